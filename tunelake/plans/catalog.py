@@ -160,3 +160,80 @@ def seeded_shuffle_rank(spark, sf_dir):
 @query
 def hash_split(spark, sf_dir):
     return S.hash_split(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+# -- vocabulary, sequences, batches ----------------------------------------
+
+from tunelake.operators import batching as B  # noqa: E402
+from tunelake.operators import sequences as Q  # noqa: E402
+from tunelake.operators import vocab as V  # noqa: E402
+from tunelake.plans import training_data as TD  # noqa: E402
+
+VOCAB_SIZE = 32000
+MAX_SEQ_LEN = 2048
+BATCH_SIZE = 2
+GRAD_ACCUM = 8
+MAX_STEPS = 1000
+
+
+def _ids_str(c):
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+@query
+def vocab_table(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(whitespace_tokens("text").alias("t"))
+    return V.vocab_table(docs, "t", VOCAB_SIZE)
+
+
+@query
+def encode_tokens(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", whitespace_tokens("text").alias("t"))
+    vocab = V.vocab_table(docs, "t", VOCAB_SIZE)
+    enc = V.encode_columns(docs, "doc_id", {"text": F.col("t")}, vocab, VOCAB_SIZE)
+    return enc.select("doc_id", F.size("text_ids").cast("bigint").alias("n_tokens"),
+                      F.size(F.filter("text_ids", lambda x: x == V.UNK_ID)).cast("bigint").alias("n_unk"),
+                      _ids_str("text_ids").alias("ids"))
+
+
+@query
+def build_sequences(spark, sf_dir):
+    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN, vocab_size=VOCAB_SIZE)
+    return s.select("conv_id", F.size("prompt_ids").cast("bigint").alias("prompt_len"),
+                    F.size("input_ids").cast("bigint").alias("seq_len"),
+                    _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
+                    _ids_str("attention_mask").alias("attention_mask"))
+
+
+@query
+def supervised_tokens(spark, sf_dir):
+    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN, vocab_size=VOCAB_SIZE)
+    n = Q.supervised_tokens(F.col("labels"))
+    return s.select("conv_id", n.alias("supervised_tokens"), (n == 0).alias("no_target"))
+
+
+@query
+def generated_suffix(spark, sf_dir):
+    e = TD.encoded_pairs(D.pairs(spark, sf_dir), vocab_size=VOCAB_SIZE)
+    out = F.concat("prompt_ids", "response_ids")
+    suf = Q.generated_suffix(F.col("prompt_ids"), out)
+    return e.select("conv_id", (F.size(out) - F.size("prompt_ids")).cast("bigint").alias("generated_count"),
+                    F.array_join(suf.cast("array<string>"), " ").alias("generated_ids"))
+
+
+@query
+def padded_batches(spark, sf_dir):
+    b = TD.training_batches(D.pairs(spark, sf_dir), batch_size=BATCH_SIZE, max_len=MAX_SEQ_LEN,
+                            vocab_size=VOCAB_SIZE)
+    return b.select("conv_id", "position", "batch_id", "batch_max_len", _ids_str("input_ids").alias("input_ids"),
+                    _ids_str("attention_mask").alias("attention_mask"), _ids_str("labels").alias("labels"))
+
+
+@query
+def accumulation_plan(spark, sf_dir):
+    pairs = D.pairs(spark, sf_dir)
+    order = S.seeded_shuffle(pairs.select("conv_id"), "conv_id")
+    batches = order.groupBy(F.floor(F.col("position") / BATCH_SIZE).cast("bigint").alias("batch_id")) \
+                   .agg(F.count(F.lit(1)).cast("bigint").alias("batch_rows"))
+    n = -(-pairs.count() // BATCH_SIZE)  # scalar: number of batches
+    return B.accumulation_plan(batches, n, GRAD_ACCUM, MAX_STEPS)

@@ -154,3 +154,87 @@ WITH b AS (SELECT doc_id, CAST(CAST(('0x' || substr(md5('42:' || CAST(doc_id AS
            FROM documents)
 SELECT doc_id, bucket, CASE WHEN bucket < 9000 THEN 'train' WHEN bucket < 9500 THEN 'validation' ELSE 'test' END AS split
 FROM b"""
+
+# -- vocabulary, sequences, batches ----------------------------------------
+
+DOC_TOKENS = f"SELECT doc_id, regexp_extract_all(text, {WS}) AS t FROM documents"
+DOC_VOCAB = f"""
+SELECT token, CAST(c AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY c DESC, token) + 1 AS BIGINT) AS id
+FROM (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM ({DOC_TOKENS})) GROUP BY token
+      ORDER BY c DESC, token LIMIT 32000)"""
+
+SQL["vocab_table"] = DOC_VOCAB
+
+SQL["encode_tokens"] = f"""
+WITH v AS ({DOC_VOCAB}),
+     e AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM ({DOC_TOKENS})),
+     j AS (SELECT e.doc_id, e.pos, coalesce(v.id, 1) AS id FROM e LEFT JOIN v ON e.token = v.token),
+     g AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM j GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(g.ids), 0) AS BIGINT) AS n_tokens,
+       CAST(coalesce(len(list_filter(g.ids, lambda x: x = 1)), 0) AS BIGINT) AS n_unk,
+       coalesce(array_to_string(g.ids, ' '), '') AS ids
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+PAIR_TOKENS = f"""
+SELECT conv_id,
+       regexp_extract_all('<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10), {WS}) AS pt,
+       regexp_extract_all(response || '<|im_end|>', {WS}) AS rt
+FROM ({PAIRS})"""
+
+PAIR_IDS = f"""
+WITH t AS ({PAIR_TOKENS}),
+     v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + 1 AS id
+           FROM (SELECT token, count(*) AS c FROM (SELECT unnest(pt) AS token FROM t UNION ALL SELECT unnest(rt) FROM t)
+                 GROUP BY token ORDER BY c DESC, token LIMIT 32000)),
+     e AS (SELECT conv_id, 'p' AS side, unnest(pt) AS token, generate_subscripts(pt, 1) AS pos FROM t
+           UNION ALL SELECT conv_id, 'r', unnest(rt), generate_subscripts(rt, 1) FROM t),
+     j AS (SELECT e.conv_id, e.side, e.pos, CAST(coalesce(v.id, 1) AS BIGINT) AS id FROM e LEFT JOIN v ON e.token = v.token)
+SELECT conv_id, list(id ORDER BY pos) FILTER (WHERE side = 'p') AS pid,
+       list(id ORDER BY pos) FILTER (WHERE side = 'r') AS rid
+FROM j GROUP BY conv_id"""
+
+SEQS = f"""
+WITH i AS ({PAIR_IDS}), s AS (SELECT conv_id, pid, rid, list_slice(list_concat(pid, rid), 1, 2048) AS ids FROM i)
+SELECT conv_id, pid, ids,
+       list_concat(list_transform(range(least(len(pid), len(ids))), lambda x: CAST(-100 AS BIGINT)),
+                   list_slice(ids, len(pid) + 1, len(ids))) AS labels,
+       list_transform(ids, lambda x: CAST(1 AS BIGINT)) AS mask
+FROM s"""
+
+SQL["build_sequences"] = f"""
+SELECT conv_id, CAST(len(pid) AS BIGINT) AS prompt_len, CAST(len(ids) AS BIGINT) AS seq_len,
+       array_to_string(ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels,
+       array_to_string(mask, ' ') AS attention_mask
+FROM ({SEQS})"""
+
+SQL["supervised_tokens"] = f"""
+SELECT conv_id, CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS supervised_tokens,
+       len(list_filter(labels, lambda x: x <> -100)) = 0 AS no_target
+FROM ({SEQS})"""
+
+SQL["generated_suffix"] = f"""
+SELECT conv_id, CAST(len(rid) AS BIGINT) AS generated_count, array_to_string(rid, ' ') AS generated_ids
+FROM ({PAIR_IDS})"""
+
+BATCHED = f"""
+WITH s AS ({SEQS}),
+     o AS (SELECT *, CAST(row_number() OVER (ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) - 1 AS BIGINT) AS position FROM s),
+     b AS (SELECT *, position // 2 AS batch_id FROM o)
+SELECT *, CAST(max(len(ids)) OVER (PARTITION BY batch_id) AS BIGINT) AS batch_max_len FROM b"""
+
+SQL["padded_batches"] = f"""
+SELECT conv_id, position, CAST(batch_id AS BIGINT) AS batch_id, batch_max_len,
+       array_to_string(list_concat(ids, list_transform(range(batch_max_len - len(ids)), lambda x: 0)), ' ') AS input_ids,
+       array_to_string(list_concat(mask, list_transform(range(batch_max_len - len(ids)), lambda x: 0)), ' ') AS attention_mask,
+       array_to_string(list_concat(labels, list_transform(range(batch_max_len - len(ids)), lambda x: -100)), ' ') AS labels
+FROM ({BATCHED})"""
+
+SQL["accumulation_plan"] = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) - 1 AS position FROM ({PAIRS})),
+     b AS (SELECT position // 2 AS batch_id, count(*) AS batch_rows FROM o GROUP BY 1),
+     nb AS (SELECT count(*) AS n FROM b),
+     e AS (SELECT b.batch_id, b.batch_rows, r.range AS epoch, r.range * nb.n + b.batch_id AS k
+           FROM b, nb, range(CAST(ceil(8000.0 / nb.n) AS BIGINT)) r)
+SELECT CAST(k // 8 AS BIGINT) AS step, CAST(k % 8 AS BIGINT) AS micro_step, CAST(epoch AS BIGINT) AS epoch,
+       CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_rows AS BIGINT) AS batch_rows
+FROM e WHERE k < 8000"""
