@@ -18,6 +18,14 @@ whole job.  The helpers here split each group into *blocks*:
 
 The result equals the plain window exactly (for sums of doubles up to
 floating-point re-association).
+
+The block-tagged frame is written once with a reliable ``checkpoint()`` (to
+the shared folder named by ``spark.checkpoint.dir``).  This is required for
+correctness, not only for speed: the window branch and the block-total
+branch would otherwise each plan their own range exchange, and Spark seeds
+the range sampler with the RDD id, so the two would cut the ranges at
+different places.  The checkpoint also cuts the lineage, so a lost executor
+re-reads the blocks instead of re-running the scan and the range shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelake.session import cut_lineage
+
 _BLK = "_tl_blk"
 
 
@@ -41,8 +51,9 @@ def _order_cols(order):
 def with_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int | None = None) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its range id."""
     n = _n_blocks(df, n_blocks)
-    return df.repartitionByRange(n, *[F.col(k) for k in keys], *_order_cols(order)) \
-             .withColumn(_BLK, F.spark_partition_id())
+    tagged = df.repartitionByRange(n, *[F.col(k) for k in keys], *_order_cols(order)) \
+               .withColumn(_BLK, F.spark_partition_id())
+    return cut_lineage(tagged)
 
 
 _COMBINE = {
@@ -153,9 +164,9 @@ def global_position(df: DataFrame, order: list, name: str = "position",
     """
     n = _n_blocks(df, n_blocks)
     oc = _order_cols(order)
-    r = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc) \
-          .withColumn(_BLK, F.spark_partition_id()) \
-          .withColumn("_tl_mono", F.monotonically_increasing_id())
+    r = cut_lineage(df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+                    .withColumn(_BLK, F.spark_partition_id())
+                    .withColumn("_tl_mono", F.monotonically_increasing_id()))
     per_block = r.groupBy(_BLK).agg(F.count(F.lit(1)).alias("_tl_n"),
                                     F.min("_tl_mono").alias("_tl_first"))
     # <= n rows: a window over the whole (tiny) block table is fine.

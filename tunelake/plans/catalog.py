@@ -237,3 +237,77 @@ def accumulation_plan(spark, sf_dir):
                    .agg(F.count(F.lit(1)).cast("bigint").alias("batch_rows"))
     n = -(-pairs.count() // BATCH_SIZE)  # scalar: number of batches
     return B.accumulation_plan(batches, n, GRAD_ACCUM, MAX_STEPS)
+
+
+# -- losses and runs ---------------------------------------------------------
+
+from tunelake.operators import losses as L  # noqa: E402
+from tunelake.operators import runs as RU  # noqa: E402
+
+LOGGING_STEPS = 10
+MAX_TO_KEEP = 3
+WARMUP_STEPS = 2
+
+
+@query
+def perplexity_by_run(spark, sf_dir):
+    return L.perplexity_by_group(D.loss_log(spark, sf_dir), ["run"])
+
+
+@query
+def running_perplexity(spark, sf_dir):
+    r = L.running_perplexity(D.loss_log(spark, sf_dir), ["run"], ["step"])
+    return r.select("run", "step", "valid_steps", "running_loss", "running_perplexity")
+
+
+@query
+def train_log_intervals(spark, sf_dir):
+    return L.train_log_intervals(D.loss_log(spark, sf_dir), logging_steps=LOGGING_STEPS,
+                                 grad_accum=GRAD_ACCUM, batch_size=BATCH_SIZE)
+
+
+@query
+def running_best(spark, sf_dir):
+    return RU.running_best(D.ckpt_log(spark, sf_dir)).select(
+        "run", "step", "metric", "is_best", "best_metric_value")
+
+
+@query
+def checkpoint_retention(spark, sf_dir):
+    b = RU.running_best(D.ckpt_log(spark, sf_dir))
+    return RU.checkpoint_retention(b, max_to_keep=MAX_TO_KEEP).select(
+        "run", "step", "is_best", "recency", "kept", "best_copy", "action")
+
+
+def _latency_stats(spark, sf_dir):
+    return RU.latency_percentiles(RU.skip_warmup(D.latency_log(spark, sf_dir), "variant", "seq", WARMUP_STEPS))
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return _latency_stats(spark, sf_dir)
+
+
+@query
+def generation_throughput(spark, sf_dir):
+    return RU.generation_throughput(D.gen_log(spark, sf_dir))
+
+
+@query
+def variant_speedup(spark, sf_dir):
+    return RU.variant_speedup(_latency_stats(spark, sf_dir), "click", "view")
+
+
+@query
+def memory_telemetry(spark, sf_dir):
+    return RU.memory_telemetry(D.memory_log(spark, sf_dir)).select(
+        "device", "event_id", "allocated_gb", "reserved_gb", "free_gb", "fragmentation_pct", "freed_gb")
+
+
+@query
+def metric_log_long(spark, sf_dir):
+    ll = D.loss_log(spark, sf_dir)
+    m = F.create_map(F.lit("train/loss"), F.col("loss"),
+                     F.lit("train/num_tokens"), F.col("num_tokens").cast("double"),
+                     F.lit("train/ppl"), L.perplexity(F.col("loss")))
+    return ll.select("run", "step", F.explode(m).alias("key", "value")).where(F.col("value").isNotNull())

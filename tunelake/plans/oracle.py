@@ -238,3 +238,102 @@ WITH o AS (SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || CAST(conv_id
 SELECT CAST(k // 8 AS BIGINT) AS step, CAST(k % 8 AS BIGINT) AS micro_step, CAST(epoch AS BIGINT) AS epoch,
        CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_rows AS BIGINT) AS batch_rows
 FROM e WHERE k < 8000"""
+
+# -- losses and runs ---------------------------------------------------------
+
+VALID = "(loss IS NOT NULL AND NOT isnan(loss) AND abs(loss) < 'inf'::DOUBLE)"
+
+SQL["perplexity_by_run"] = f"""
+WITH a AS (SELECT run, sum(CASE WHEN {VALID} THEN loss * num_tokens END) AS tl,
+                  sum(CASE WHEN {VALID} THEN num_tokens END) AS tt, count(*) FILTER (WHERE {VALID}) AS steps
+           FROM ({LOSS_LOG}) GROUP BY run),
+     m AS (SELECT *, CASE WHEN coalesce(tt, 0) = 0 THEN 0.0 ELSE tl / tt END AS ml FROM a)
+SELECT run, CAST(steps AS BIGINT) AS steps, CAST(coalesce(tt, 0) AS BIGINT) AS total_tokens, ml::DOUBLE AS mean_loss,
+       CASE WHEN ml <= 0 THEN 1.0 ELSE exp(least(ml, 100.0)) END::DOUBLE AS perplexity
+FROM m"""
+
+SQL["running_perplexity"] = f"""
+WITH r AS (SELECT run, step,
+                  sum(CASE WHEN {VALID} THEN loss * num_tokens END) OVER w AS tl,
+                  sum(CASE WHEN {VALID} THEN num_tokens END) OVER w AS tt,
+                  count(CASE WHEN {VALID} THEN 1 END) OVER w AS vs
+           FROM ({LOSS_LOG}) WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     m AS (SELECT *, CASE WHEN coalesce(tt, 0) = 0 THEN 0.0 ELSE tl / tt END AS ml FROM r)
+SELECT run, step, CAST(vs AS BIGINT) AS valid_steps, ml::DOUBLE AS running_loss,
+       CASE WHEN ml <= 0 THEN 1.0 ELSE exp(least(ml, 100.0)) END::DOUBLE AS running_perplexity
+FROM m"""
+
+SQL["train_log_intervals"] = f"""
+WITH l AS ({LOSS_LOG}),
+     iv AS (SELECT run, CAST(ceil(step / 10.0) AS BIGINT) AS interval, count(*) AS n_steps,
+                   sum(loss * 8) AS s, avg(loss) AS loss_mean, max(ts) AS te FROM l GROUP BY ALL),
+     r AS (SELECT run, max(step) AS last_step, min(ts) AS t0 FROM l GROUP BY run)
+SELECT iv.run, iv.interval, CAST(least(iv.interval * 10, r.last_step) AS BIGINT) AS log_step,
+       CAST(n_steps AS BIGINT) AS n_steps, s / 10.0 AS loss_ref, loss_mean,
+       CASE WHEN epoch_us(te) - epoch_us(t0) = 0 THEN NULL
+            ELSE least(iv.interval * 10, r.last_step) * 16 / ((epoch_us(te) - epoch_us(t0)) / 1e6) END AS samples_per_sec
+FROM iv JOIN r ON iv.run = r.run"""
+
+CKPT_BEST = """
+WITH c AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+                  value AS metric FROM events),
+     p AS (SELECT *, min(CASE WHEN isnan(metric) THEN NULL ELSE metric END)
+                       OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c)
+SELECT run, step, metric,
+       coalesce(metric < coalesce(prev, 'inf'::DOUBLE), false) AS is_best,
+       CASE WHEN coalesce(metric < coalesce(prev, 'inf'::DOUBLE), false) THEN metric ELSE coalesce(prev, 'inf'::DOUBLE) END AS best_metric_value
+FROM p"""
+
+SQL["running_best"] = CKPT_BEST
+
+SQL["checkpoint_retention"] = f"""
+WITH b AS ({CKPT_BEST}),
+     r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS recency,
+                  sum(CAST(is_best AS INTEGER)) OVER (PARTITION BY run ORDER BY step DESC
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later_best FROM b)
+SELECT run, step, is_best, CAST(recency AS BIGINT) AS recency, recency <= 3 AS kept,
+       is_best AND coalesce(later_best, 0) = 0 AS best_copy,
+       CASE WHEN recency <= 3 OR (is_best AND coalesce(later_best, 0) = 0) THEN 'keep' ELSE 'purge' END AS action
+FROM r"""
+
+LATENCY = """
+WITH l AS (SELECT event_type AS variant, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq,
+                  value AS elapsed_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS peak_mb FROM events)
+SELECT variant, CAST(count(*) AS BIGINT) AS n, avg(elapsed_ms) AS mean_latency_ms,
+       quantile_cont(elapsed_ms, 0.5) AS p50_latency_ms, quantile_cont(elapsed_ms, 0.9) AS p90_latency_ms,
+       quantile_cont(elapsed_ms, 0.99) AS p99_latency_ms, max(peak_mb) AS peak_vram_mb
+FROM l WHERE seq > 2 GROUP BY variant"""
+
+SQL["latency_percentiles"] = LATENCY
+
+SQL["generation_throughput"] = """
+WITH g AS (SELECT event_type AS variant, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS tok,
+                  sum(value) AS sec FROM events GROUP BY event_type)
+SELECT variant, CAST(n AS BIGINT) AS total_samples, CAST(tok AS BIGINT) AS total_tokens_generated,
+       round(sec, 4) AS total_latency_seconds,
+       round(CASE WHEN tok > 0 THEN sec / tok * 1000.0 ELSE 0.0 END, 2) AS latency_per_token_ms,
+       round(CASE WHEN sec > 0 THEN tok / sec ELSE 0.0 END, 2) AS tokens_per_second
+FROM g"""
+
+SQL["variant_speedup"] = f"""
+WITH s AS ({LATENCY})
+SELECT 'click' AS variant_a, 'view' AS variant_b,
+       max(mean_latency_ms) FILTER (WHERE variant = 'click') / greatest(max(mean_latency_ms) FILTER (WHERE variant = 'view'), 1e-6) AS speedup_factor,
+       max(peak_vram_mb) FILTER (WHERE variant = 'click') - max(peak_vram_mb) FILTER (WHERE variant = 'view') AS vram_saved_mb
+FROM s"""
+
+SQL["memory_telemetry"] = """
+WITH m AS (SELECT user_id % 4 AS device, ts, event_id, value AS allocated,
+                  value + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS reserved, 1000.0 AS total FROM events),
+     r AS (SELECT device, ts, event_id, round(allocated, 3) AS allocated_gb, round(reserved, 3) AS reserved_gb,
+                  round(total - reserved, 3) AS free_gb FROM m)
+SELECT device, event_id, allocated_gb, reserved_gb, free_gb,
+       round((reserved_gb - allocated_gb) / (reserved_gb + 1e-6) * 100.0, 2) AS fragmentation_pct,
+       round(lag(reserved_gb) OVER (PARTITION BY device ORDER BY ts, event_id) - reserved_gb, 3) AS freed_gb
+FROM r"""
+
+SQL["metric_log_long"] = f"""
+WITH l AS ({LOSS_LOG})
+SELECT run, step, 'train/loss' AS key, loss AS value FROM l WHERE loss IS NOT NULL
+UNION ALL SELECT run, step, 'train/num_tokens', CAST(num_tokens AS DOUBLE) FROM l WHERE num_tokens IS NOT NULL
+UNION ALL SELECT run, step, 'train/ppl', CASE WHEN loss <= 0 THEN 1.0 ELSE exp(least(loss, 100.0)) END FROM l WHERE loss IS NOT NULL"""
