@@ -311,3 +311,84 @@ def metric_log_long(spark, sf_dir):
                      F.lit("train/num_tokens"), F.col("num_tokens").cast("double"),
                      F.lit("train/ppl"), L.perplexity(F.col("loss")))
     return ll.select("run", "step", F.explode(m).alias("key", "value")).where(F.col("value").isNotNull())
+
+
+# -- text metrics ------------------------------------------------------------
+
+from tunelake.operators import textmetrics as TM  # noqa: E402
+
+
+def _eval_pairs(spark, sf_dir):
+    """Evaluation view of the pairs: the response plays the prediction and the
+    prompt the reference (deterministic, data-derived)."""
+    return D.pairs(spark, sf_dir).select("conv_id", F.col("response").alias("prediction"),
+                                         F.col("prompt").alias("reference"))
+
+
+@query
+def lcs_length(spark, sf_dir):
+    return TM.with_rouge_l(_eval_pairs(spark, sf_dir)).select("conv_id", "pred_len", "ref_len", "lcs")
+
+
+@query
+def rouge_l(spark, sf_dir):
+    return TM.with_rouge_l(_eval_pairs(spark, sf_dir)).select("conv_id", "lcs", "rouge_l")
+
+
+@query
+def sample_scores(spark, sf_dir):
+    s = TM.with_rouge_l(_eval_pairs(spark, sf_dir))
+    return s.select("conv_id", TM.sample_score(F.col("rouge_l")).alias("score"))
+
+
+@query
+def generation_metrics_fallback(spark, sf_dir):
+    return TM.generation_metrics_fallback(TM.with_rouge_l(_eval_pairs(spark, sf_dir)))
+
+
+@query
+def rouge_1(spark, sf_dir):
+    return TM.rouge_n(_eval_pairs(spark, sf_dir), "conv_id", orders=(1,)).select(
+        "conv_id", "overlap_1", "pred_1grams", "ref_1grams", "rouge1")
+
+
+@query
+def rouge_2(spark, sf_dir):
+    return TM.rouge_n(_eval_pairs(spark, sf_dir), "conv_id", orders=(2,)).select(
+        "conv_id", "overlap_2", "pred_2grams", "ref_2grams", "rouge2")
+
+
+@query
+def rouge_l_lib(spark, sf_dir):
+    return TM.rouge_l_lib(_eval_pairs(spark, sf_dir)).select("conv_id", "lib_lcs", "lib_rouge_l")
+
+
+@query
+def bleu_corpus(spark, sf_dir):
+    return TM.bleu_corpus(_eval_pairs(spark, sf_dir), "conv_id")
+
+
+@query
+def evaluation_summary(spark, sf_dir):
+    """One row: library-mode ROUGE-1/2/L and BLEU of the evaluation pairs, and
+    the token-weighted perplexity of the whole loss log."""
+    ev = _eval_pairs(spark, sf_dir)
+    rn = TM.rouge_n(ev, "conv_id", orders=(1, 2)).agg(F.avg("rouge1").alias("r1"), F.avg("rouge2").alias("r2"))
+    rl = TM.rouge_l_lib(ev).agg(F.avg("lib_rouge_l").alias("rl"))
+    bl = TM.bleu_corpus(ev, "conv_id").select("bleu")
+    pp = L.perplexity_by_group(D.loss_log(spark, sf_dir), []).select("perplexity")
+    return _one_row(rn, rl, bl, pp)
+
+
+def _one_row(*frames):
+    """Combine one-row aggregates side by side via a constant key (each input
+    is a global aggregate, so every side has exactly one row)."""
+    out = None
+    for f in frames:
+        f = f.withColumn("_one", F.lit(1))
+        out = f if out is None else out.join(f, on="_one", how="inner")
+    return out.select(F.round(F.col("r1") * 100.0, 4).alias("rouge1"),
+                      F.round(F.col("r2") * 100.0, 4).alias("rouge2"),
+                      F.round(F.col("rl") * 100.0, 4).alias("rougeL"),
+                      F.round(F.col("bleu") * 100.0, 4).alias("bleu"),
+                      F.round(F.col("perplexity"), 4).alias("perplexity"))

@@ -337,3 +337,119 @@ WITH l AS ({LOSS_LOG})
 SELECT run, step, 'train/loss' AS key, loss AS value FROM l WHERE loss IS NOT NULL
 UNION ALL SELECT run, step, 'train/num_tokens', CAST(num_tokens AS DOUBLE) FROM l WHERE num_tokens IS NOT NULL
 UNION ALL SELECT run, step, 'train/ppl', CASE WHEN loss <= 0 THEN 1.0 ELSE exp(least(loss, 100.0)) END FROM l WHERE loss IS NOT NULL"""
+
+# -- text metrics ------------------------------------------------------------
+
+EVAL = f"SELECT conv_id, response AS prediction, prompt AS reference FROM ({PAIRS})"
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """LCS length by folding the DP row over b (outer) and positions of a (inner)."""
+    return (f"list_reduce({b}, lambda prev, y: list_reduce(range(1, len({a}) + 1), "
+            f"lambda acc, i: list_append(acc, CASE WHEN {a}[i] = y THEN prev[i] + 1 "
+            f"ELSE greatest(prev[i + 1], acc[i]) END), [0]), "
+            f"list_transform(range(len({a}) + 1), lambda x: 0))[len({a}) + 1]")
+
+
+def f1_sql(ov: str, pn: str, rn: str) -> str:
+    p, r = f"({ov} / {pn})", f"({ov} / {rn})"
+    return f"CASE WHEN {pn} > 0 AND {rn} > 0 AND {ov} > 0 THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+
+
+WORDS = "'[a-z0-9]+'"
+
+LCS_WS = f"""
+WITH t AS (SELECT conv_id, regexp_extract_all(prediction, {WS}) AS a, regexp_extract_all(reference, {WS}) AS b FROM ({EVAL}))
+SELECT conv_id, CAST(len(a) AS BIGINT) AS pred_len, CAST(len(b) AS BIGINT) AS ref_len,
+       CAST({lcs_sql('a', 'b')} AS BIGINT) AS lcs FROM t"""
+
+SQL["lcs_length"] = LCS_WS
+ROUGE_L = f"SELECT conv_id, lcs, {f1_sql('lcs', 'pred_len', 'ref_len')} AS rouge_l FROM ({LCS_WS})"
+SQL["rouge_l"] = ROUGE_L
+SQL["sample_scores"] = f"SELECT conv_id, round(rouge_l * 100.0, 4) AS score FROM ({ROUGE_L})"
+SQL["generation_metrics_fallback"] = f"""
+WITH s AS (SELECT CASE WHEN count(*) > 0 THEN round(avg(rouge_l) * 100.0, 4) ELSE 0.0 END AS v FROM ({ROUGE_L}))
+SELECT v AS rouge1, v AS rouge2, v AS rougeL, 0.0::DOUBLE AS bleu FROM s"""
+
+
+def ngram_list(t: str, n: int) -> str:
+    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
+
+
+def overlap_sql(tokens_sql: str, orders) -> str:
+    """(conv_id, pred_len, ref_len, overlap_n...) from (conv_id, pt, rt)."""
+    parts = []
+    for n in orders:
+        parts.append(f"SELECT conv_id, {n} AS n, 'p' AS side, unnest({ngram_list('pt', n)}) AS gram FROM t")
+        parts.append(f"SELECT conv_id, {n}, 'r', unnest({ngram_list('rt', n)}) FROM t")
+    ovs = ", ".join(f"CAST(coalesce(sum(least(cp, cr)) FILTER (WHERE n = {n}), 0) AS BIGINT) AS overlap_{n}" for n in orders)
+    sel = ", ".join(f"coalesce(o.overlap_{n}, 0) AS overlap_{n}, CAST(greatest(len(t.pt) - {n} + 1, 0) AS BIGINT) AS pred_{n}grams, "
+                    f"CAST(greatest(len(t.rt) - {n} + 1, 0) AS BIGINT) AS ref_{n}grams" for n in orders)
+    return f"""
+WITH t AS ({tokens_sql}),
+     g AS ({' UNION ALL '.join(parts)}),
+     c AS (SELECT conv_id, n, gram, count(*) FILTER (WHERE side = 'p') AS cp, count(*) FILTER (WHERE side = 'r') AS cr
+           FROM g GROUP BY ALL),
+     o AS (SELECT conv_id, {ovs} FROM c GROUP BY conv_id)
+SELECT t.conv_id, CAST(len(t.pt) AS BIGINT) AS pred_len, CAST(len(t.rt) AS BIGINT) AS ref_len, {sel}
+FROM t LEFT JOIN o ON t.conv_id = o.conv_id"""
+
+
+WORD_TOKENS = f"SELECT conv_id, regexp_extract_all(lower(prediction), {WORDS}) AS pt, regexp_extract_all(lower(reference), {WORDS}) AS rt FROM ({EVAL})"
+
+
+def rouge_n_sql(n: int) -> str:
+    p, r = f"(overlap_{n} / greatest(pred_{n}grams, 1))", f"(overlap_{n} / greatest(ref_{n}grams, 1))"
+    return f"""
+SELECT conv_id, overlap_{n}, pred_{n}grams, ref_{n}grams,
+       CASE WHEN {p} + {r} > 0 THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END AS rouge{n}
+FROM ({overlap_sql(WORD_TOKENS, (n,))})"""
+
+
+SQL["rouge_1"] = rouge_n_sql(1)
+SQL["rouge_2"] = rouge_n_sql(2)
+
+LCS_LIB = f"""
+WITH t AS (SELECT conv_id, pt AS a, rt AS b FROM ({WORD_TOKENS})),
+     l AS (SELECT conv_id, len(a) AS pl, len(b) AS rl, CAST({lcs_sql('a', 'b')} AS BIGINT) AS lib_lcs FROM t)
+SELECT conv_id, lib_lcs, {f1_sql('lib_lcs', 'pl', 'rl')} AS lib_rouge_l FROM l"""
+SQL["rouge_l_lib"] = LCS_LIB
+
+
+def bleu_tok(x: str) -> str:
+    s = x
+    for old, new in (("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"),
+                     ("'&quot;'", "'\"'"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")):
+        s = f"replace({s}, {old}, {new})"
+    s = f"(' ' || {s} || ' ')"
+    for pat, rep in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                     (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        s = f"regexp_replace({s}, '{pat}', '{rep}', 'g')"
+    return f"regexp_extract_all({s}, {WS})"
+
+
+BLEU_TOKENS = f"SELECT conv_id, {bleu_tok('prediction')} AS pt, {bleu_tok('reference')} AS rt FROM ({EVAL})"
+
+_prec = ", ".join(f"CASE WHEN possible_{n} > 0 THEN matches_{n} / possible_{n} ELSE 0.0 END AS precision_{n}" for n in range(1, 5))
+BLEU = f"""
+WITH o AS ({overlap_sql(BLEU_TOKENS, (1, 2, 3, 4))}),
+     s AS (SELECT CAST(sum(pred_len) AS BIGINT) AS translation_length, CAST(sum(ref_len) AS BIGINT) AS reference_length,
+                  {', '.join(f'CAST(sum(overlap_{n}) AS BIGINT) AS matches_{n}' for n in range(1, 5))},
+                  {', '.join(f'CAST(sum(pred_{n}grams) AS BIGINT) AS possible_{n}' for n in range(1, 5))} FROM o),
+     p AS (SELECT *, {_prec}, translation_length / reference_length AS ratio FROM s)
+SELECT *, CASE WHEN ratio > 1.0 THEN 1.0 ELSE exp(1.0 - 1.0 / ratio) END AS brevity_penalty,
+       CASE WHEN least(precision_1, precision_2, precision_3, precision_4) > 0
+            THEN exp((ln(precision_1) + ln(precision_2) + ln(precision_3) + ln(precision_4)) / 4.0) ELSE 0.0 END
+       * CASE WHEN ratio > 1.0 THEN 1.0 ELSE exp(1.0 - 1.0 / ratio) END AS bleu
+FROM p"""
+SQL["bleu_corpus"] = BLEU
+
+SQL["evaluation_summary"] = f"""
+WITH r1 AS (SELECT avg(rouge1) AS r1 FROM ({rouge_n_sql(1)})),
+     r2 AS (SELECT avg(rouge2) AS r2 FROM ({rouge_n_sql(2)})),
+     rl AS (SELECT avg(lib_rouge_l) AS rl FROM ({LCS_LIB})),
+     b AS (SELECT bleu FROM ({BLEU})),
+     pp AS (SELECT perplexity FROM ({SQL['perplexity_by_run'].replace('GROUP BY run', '').replace('SELECT run, sum', 'SELECT sum').replace('SELECT run, CAST(steps', 'SELECT CAST(steps')}))
+SELECT round(r1 * 100.0, 4) AS rouge1, round(r2 * 100.0, 4) AS rouge2, round(rl * 100.0, 4) AS rougeL,
+       round(bleu * 100.0, 4) AS bleu, round(perplexity, 4) AS perplexity
+FROM r1, r2, rl, b, pp"""
