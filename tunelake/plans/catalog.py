@@ -392,3 +392,84 @@ def _one_row(*frames):
                       F.round(F.col("rl") * 100.0, 4).alias("rougeL"),
                       F.round(F.col("bleu") * 100.0, 4).alias("bleu"),
                       F.round(F.col("perplexity"), 4).alias("perplexity"))
+
+
+# -- paired tests --------------------------------------------------------------
+
+from tunelake.operators import hypothesis as H  # noqa: E402
+
+ALPHA = 0.01
+
+
+def _variant_scores(spark, sf_dir):
+    """Long scores: odd steps of a run score the base model, even steps the
+    fused one; sample_id pairs step 2k-1 with 2k."""
+    ll = D.loss_log(spark, sf_dir)
+    return ll.select(F.col("run").alias("group_id"),
+                     F.floor((F.col("step") + 1) / 2).cast("bigint").alias("sample_id"),
+                     F.when(F.col("step") % 2 == 1, F.lit("base")).otherwise(F.lit("fused")).alias("variant"),
+                     F.col("loss").alias("score"))
+
+
+@query
+def paired_scores(spark, sf_dir):
+    v = _variant_scores(spark, sf_dir)
+    return H.paired_scores(v.where("variant = 'base'"), v.where("variant = 'fused'"), ["group_id", "sample_id"])
+
+
+@query
+def unmatched_pairs(spark, sf_dir):
+    v = _variant_scores(spark, sf_dir)
+    return H.unmatched_pairs(v.where("variant = 'base'"), v.where("variant = 'fused'"),
+                             ["group_id", "sample_id"], ["group_id"])
+
+
+@query
+def model_comparison(spark, sf_dir):
+    return H.model_comparison(_variant_scores(spark, sf_dir), ["group_id"])
+
+
+@query
+def paired_means(spark, sf_dir):
+    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select(
+        "group_id", "n", "base_mean", "fused_mean", "mean_delta")
+
+
+@query
+def paired_t(spark, sf_dir):
+    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select("group_id", "n", "t_statistic")
+
+
+@query
+def cohens_d(spark, sf_dir):
+    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select("group_id", "cohens_d")
+
+
+@query
+def wilcoxon_signed_rank(spark, sf_dir):
+    return H.wilcoxon_stats(D.paired(spark, sf_dir), ["group_id"]).select(
+        "group_id", "n_nonzero", "r_plus", "r_minus", "w_statistic", "tie_term")
+
+
+@query
+def significance_report(spark, sf_dir):
+    return H.significance_report(D.paired(spark, sf_dir), ["group_id"], alpha=ALPHA)
+
+
+@query
+def metric_improvement(spark, sf_dir):
+    return H.metric_improvement(D.paired(spark, sf_dir), ["group_id"])
+
+
+@query
+def delta_histogram(spark, sf_dir):
+    return H.delta_histogram(D.paired(spark, sf_dir), 15)
+
+
+@query
+def score_boxplot(spark, sf_dir):
+    p = D.paired(spark, sf_dir)
+    long = p.select(F.explode(F.array(F.struct(F.lit("base").alias("variant"), F.col("base").alias("score")),
+                                      F.struct(F.lit("fused").alias("variant"), F.col("fused").alias("score"))))
+                    .alias("r")).select("r.*")
+    return H.score_boxplot(long)

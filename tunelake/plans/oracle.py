@@ -453,3 +453,79 @@ WITH r1 AS (SELECT avg(rouge1) AS r1 FROM ({rouge_n_sql(1)})),
 SELECT round(r1 * 100.0, 4) AS rouge1, round(r2 * 100.0, 4) AS rouge2, round(rl * 100.0, 4) AS rougeL,
        round(bleu * 100.0, 4) AS bleu, round(perplexity, 4) AS perplexity
 FROM r1, r2, rl, b, pp"""
+
+# -- paired tests --------------------------------------------------------------
+
+VARIANTS = f"""
+SELECT run AS group_id, CAST((step + 1) // 2 AS BIGINT) AS sample_id,
+       CASE WHEN step % 2 = 1 THEN 'base' ELSE 'fused' END AS variant, loss AS score
+FROM ({LOSS_LOG})"""
+
+PAIRED = f"""
+SELECT group_id, sample_id, max(score) FILTER (WHERE variant = 'base') AS base,
+       max(score) FILTER (WHERE variant = 'fused') AS fused
+FROM ({VARIANTS}) GROUP BY group_id, sample_id
+HAVING max(score) FILTER (WHERE variant = 'base') IS NOT NULL AND max(score) FILTER (WHERE variant = 'fused') IS NOT NULL"""
+
+SQL["paired_scores"] = f"""
+WITH v AS ({VARIANTS})
+SELECT b.group_id, b.sample_id, b.score AS base, f.score AS fused, f.score - b.score AS delta
+FROM v b JOIN v f ON b.group_id = f.group_id AND b.sample_id = f.sample_id
+WHERE b.variant = 'base' AND f.variant = 'fused'"""
+
+SQL["unmatched_pairs"] = f"""
+WITH v AS ({VARIANTS}), b AS (SELECT * FROM v WHERE variant = 'base'), f AS (SELECT * FROM v WHERE variant = 'fused'),
+     j AS (SELECT coalesce(b.group_id, f.group_id) AS group_id, b.sample_id IS NOT NULL AS hb, f.sample_id IS NOT NULL AS hf
+           FROM b FULL OUTER JOIN f ON b.group_id = f.group_id AND b.sample_id = f.sample_id)
+SELECT group_id, CAST(count(*) FILTER (WHERE hb) AS BIGINT) AS n_base, CAST(count(*) FILTER (WHERE hf) AS BIGINT) AS n_fused,
+       CAST(count(*) FILTER (WHERE hb AND NOT hf) AS BIGINT) AS unmatched_base,
+       CAST(count(*) FILTER (WHERE hf AND NOT hb) AS BIGINT) AS unmatched_fused
+FROM j GROUP BY group_id"""
+
+SQL["model_comparison"] = f"""
+SELECT group_id,
+       CAST(count(score) FILTER (WHERE variant = 'base') AS BIGINT) AS base_n, avg(score) FILTER (WHERE variant = 'base') AS base_mean,
+       min(score) FILTER (WHERE variant = 'base') AS base_min, max(score) FILTER (WHERE variant = 'base') AS base_max,
+       CAST(count(score) FILTER (WHERE variant = 'fused') AS BIGINT) AS fused_n, avg(score) FILTER (WHERE variant = 'fused') AS fused_mean,
+       min(score) FILTER (WHERE variant = 'fused') AS fused_min, max(score) FILTER (WHERE variant = 'fused') AS fused_max
+FROM ({VARIANTS}) GROUP BY group_id"""
+
+SUMMARY = f"""
+SELECT group_id, CAST(count(*) AS BIGINT) AS n, avg(base) AS base_mean, avg(fused) AS fused_mean,
+       avg(fused - base) AS dm, stddev_samp(fused - base) AS sd
+FROM ({PAIRED}) GROUP BY group_id"""
+
+SQL["paired_means"] = f"SELECT group_id, n, base_mean, fused_mean, fused_mean - base_mean AS mean_delta FROM ({SUMMARY})"
+SQL["paired_t"] = f"""
+SELECT group_id, n, CASE WHEN n < 2 THEN NULL
+                         WHEN sd = 0 THEN CASE WHEN dm = 0 THEN 'nan'::DOUBLE WHEN dm > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END
+                         ELSE dm / (sd / sqrt(n)) END AS t_statistic
+FROM ({SUMMARY})"""
+SQL["cohens_d"] = f"SELECT group_id, CASE WHEN sd > 0 THEN dm / sd ELSE 0.0 END AS cohens_d FROM ({SUMMARY})"
+
+SQL["wilcoxon_signed_rank"] = f"""
+WITH d AS (SELECT group_id, fused - base AS d FROM ({PAIRED}) WHERE fused - base <> 0),
+     t AS (SELECT group_id, abs(d) AS a, count(*) AS t, count(*) FILTER (WHERE d > 0) AS pos FROM d GROUP BY ALL),
+     r AS (SELECT *, sum(t) OVER (PARTITION BY group_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (t - 1) / 2.0 AS rk FROM t),
+     s AS (SELECT group_id, CAST(sum(t) AS BIGINT) AS n_nonzero, sum(pos * rk)::DOUBLE AS r_plus, sum((t - pos) * rk)::DOUBLE AS r_minus,
+                  CAST(sum(t * t * t - t) AS DOUBLE) AS tie_term FROM r GROUP BY group_id)
+SELECT group_id, n_nonzero, r_plus, r_minus, least(r_plus, r_minus) AS w_statistic, tie_term FROM s"""
+
+SQL["metric_improvement"] = f"""
+WITH g AS (SELECT group_id, avg(base) AS base_mean, avg(fused) AS fused_mean FROM ({PAIRED}) GROUP BY group_id)
+SELECT group_id, base_mean, fused_mean, fused_mean - base_mean AS abs_improvement,
+       CASE WHEN base_mean <> 0 THEN (fused_mean - base_mean) / base_mean * 100.0 END AS pct_improvement
+FROM g"""
+
+SQL["delta_histogram"] = histogram_sql(f"SELECT fused - base AS v FROM ({PAIRED})", 15)
+
+SQL["score_boxplot"] = f"""
+WITH l AS (SELECT 'base' AS variant, base AS score FROM ({PAIRED}) UNION ALL SELECT 'fused', fused FROM ({PAIRED})),
+     q AS (SELECT variant, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+                  quantile_cont(score, 0.75) AS q3 FROM l GROUP BY variant),
+     j AS (SELECT l.variant, l.score, q.q1, q.median, q.q3, q.q3 - q.q1 AS iqr FROM l JOIN q ON l.variant = q.variant)
+SELECT variant, q1, median, q3, iqr,
+       min(score) FILTER (WHERE score >= q1 - 1.5 * iqr AND score <= q3 + 1.5 * iqr) AS whisker_lo,
+       max(score) FILTER (WHERE score >= q1 - 1.5 * iqr AND score <= q3 + 1.5 * iqr) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE NOT (score >= q1 - 1.5 * iqr AND score <= q3 + 1.5 * iqr)) AS BIGINT) AS n_outliers
+FROM j GROUP BY ALL"""
