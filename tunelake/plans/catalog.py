@@ -473,3 +473,51 @@ def score_boxplot(spark, sf_dir):
                                       F.struct(F.lit("fused").alias("variant"), F.col("fused").alias("score"))))
                     .alias("r")).select("r.*")
     return H.score_boxplot(long)
+
+
+# -- model application ---------------------------------------------------------
+
+from tunelake.operators import scoring as SC  # noqa: E402
+
+# Rule-defined weights of one linear layer with a rank-8 adapter (alpha 16)
+# on the 64-dim embeddings: M[i][j] = ((a*i + b*j) mod m - shift) / scale.
+EMB_DIM, RANK, ALPHA_LORA = 64, 8, 16
+W_RULE, A_RULE, B_RULE = (7, 3, 11, 5, 50.0), (5, 11, 13, 6, 40.0), (3, 7, 9, 4, 30.0)
+
+
+def _weights():
+    return (SC.rule_matrix(EMB_DIM, EMB_DIM, *W_RULE), SC.rule_matrix(RANK, EMB_DIM, *A_RULE),
+            SC.rule_matrix(EMB_DIM, RANK, *B_RULE))
+
+
+def _projection(spark, sf_dir):
+    W, A, B = _weights()
+    return SC.low_rank_projection(_t(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], W, A, B,
+                                  RANK, ALPHA_LORA)
+
+
+@query
+def custom_tokenizer_lengths(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", SC.tokenizer_lengths(F.col("text"), SC.word_punct_tokenizer).alias("n_tokens"))
+
+
+@query
+def score_with_callable(spark, sf_dir):
+    ev = _eval_pairs(spark, sf_dir).select("conv_id", F.col("reference").alias("prompt"),
+                                          F.col("prediction").alias("reference"))
+    return SC.score_with_model(ev, SC.echo_model, keep=["conv_id"])
+
+
+@query
+def low_rank_projection(spark, sf_dir):
+    p = _projection(spark, sf_dir)
+    return p.select("vec_id", F.posexplode(F.arrays_zip("fused", "two_step")).alias("i", "z")) \
+            .select("vec_id", F.col("i").cast("bigint").alias("i"),
+                    F.round("z.fused", 6).alias("fused"), F.round("z.two_step", 6).alias("two_step"))
+
+
+@query
+def projection_parity(spark, sf_dir):
+    p = SC.projection_parity(_projection(spark, sf_dir), ["vec_id"])
+    return p.select("vec_id", F.round("max_abs_diff", 6).alias("max_abs_diff"), "parity_ok")

@@ -529,3 +529,33 @@ SELECT variant, q1, median, q3, iqr,
        max(score) FILTER (WHERE score >= q1 - 1.5 * iqr AND score <= q3 + 1.5 * iqr) AS whisker_hi,
        CAST(count(*) FILTER (WHERE NOT (score >= q1 - 1.5 * iqr AND score <= q3 + 1.5 * iqr)) AS BIGINT) AS n_outliers
 FROM j GROUP BY ALL"""
+
+# -- model application ---------------------------------------------------------
+
+
+def _rule(i: str, j: str, a: int, b: int, m: int, shift: int, scale: float) -> str:
+    return f"((({a} * {i} + {b} * {j}) % {m}) - {shift}) / {scale}"
+
+
+PROJ = f"""
+WITH m AS (SELECT list_transform(range(64), lambda i: list_transform(range(64), lambda j:
+                    {_rule('i', 'j', 7, 3, 11, 5, 50.0)} + 2.0 * list_sum(list_transform(range(8), lambda k:
+                    {_rule('i', 'k', 3, 7, 9, 4, 30.0)} * {_rule('k', 'j', 5, 11, 13, 6, 40.0)})))) AS fw,
+                  list_transform(range(64), lambda i: list_transform(range(64), lambda j: {_rule('i', 'j', 7, 3, 11, 5, 50.0)})) AS w,
+                  list_transform(range(8), lambda k: list_transform(range(64), lambda j: {_rule('k', 'j', 5, 11, 13, 6, 40.0)})) AS a,
+                  list_transform(range(64), lambda i: list_transform(range(8), lambda k: {_rule('i', 'k', 3, 7, 9, 4, 30.0)})) AS b),
+     x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+     ax AS (SELECT vec_id, x, list_transform(m.a, lambda row: list_dot_product(row, x)) AS ax, m.fw, m.w, m.b FROM x, m)
+SELECT vec_id,
+       list_transform(fw, lambda row: list_dot_product(row, x)) AS fused,
+       list_transform(range(64), lambda i: list_dot_product(w[i + 1], x) + 2.0 * list_dot_product(b[i + 1], ax)) AS two_step
+FROM ax"""
+
+SQL["low_rank_projection"] = f"""
+SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(fused[i], 6) AS fused, round(two_step[i], 6) AS two_step
+FROM ({PROJ}), range(1, 65) r(i)"""
+
+SQL["projection_parity"] = f"""
+SELECT vec_id, round(list_max(list_transform(range(1, 65), lambda i: abs(fused[i] - two_step[i]))), 6) AS max_abs_diff,
+       list_max(list_transform(range(1, 65), lambda i: abs(fused[i] - two_step[i]))) < 1e-4 AS parity_ok
+FROM ({PROJ})"""
