@@ -79,7 +79,9 @@ def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01
     j = s.join(w, on=keys, how="left")
     wp = wilcoxon_pvalue(F.coalesce("w_statistic", F.lit(0.0)), F.coalesce("n_nonzero", F.lit(0)),
                          F.col("tie_term"), F.col("n_zero"), F.col("has_ties"))
-    j = j.withColumn("t_test_p_value", t_pvalue(F.col("t_statistic"), F.col("t_df"))) \
+    # Arrow turns a NaN returned by a pandas UDF into null: keep NaN natively.
+    tp = F.when(F.isnan("t_statistic"), F.lit(NAN)).otherwise(t_pvalue(F.col("t_statistic"), F.col("t_df")))
+    j = j.withColumn("t_test_p_value", tp) \
          .withColumn("_w", wp)
     p_ok = F.col("t_test_p_value").isNotNull() & ~F.isnan("t_test_p_value")
     sig = p_ok & (F.col("t_test_p_value") < alpha) & (F.col("mean_delta") > 0)

@@ -18,6 +18,15 @@ from pyspark.sql import types as T
 _WORKER_CACHE: dict = {}
 
 
+def _factory_key(prefix: str, factory) -> str:
+    """Cache key of a factory: a hash of its pickled form, computed on the
+    driver, so two different factories never share a worker-side object."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return f"{prefix}:{hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()}"
+
+
 def _cached(key, factory):
     obj = _WORKER_CACHE.get(key)
     if obj is None:
@@ -39,6 +48,8 @@ def tokenizer_lengths(col: Column, factory: Callable[[], Callable[[str], list]],
 
 def tokenizer_ids(col: Column, factory: Callable[[], Callable[[str], list]], key: str = "tok_ids") -> Column:
     """Token ids under a user tokenizer returning ints."""
+    key = _factory_key(key, factory)
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def _ids(s: pd.Series) -> pd.Series:
         tok = _cached(key, factory)
@@ -72,6 +83,7 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[pd.Dat
     """
     out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     out_schema = f"{out_schema}, {SCORE_SCHEMA}" if out_schema else SCORE_SCHEMA
+    key = _factory_key(key, model_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _cached(key, model_factory)

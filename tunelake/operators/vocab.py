@@ -48,10 +48,10 @@ def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column],
     tagged = F.concat(*[tag(s, arr) for s, arr in token_arrays.items()])
     ex = df.repartition(F.col(id_col)).select(id_col, F.explode_outer(tagged).alias("e")) \
            .select(id_col, "e.side", "e.pos", "e.token")
-    lookup = F.broadcast(vocab.select("token", "id").limit(vocab_size))
+    lookup = F.broadcast(vocab.select("token", F.col("id").alias("_tok_id")).limit(vocab_size))
     j = ex.join(lookup, on="token", how="left") \
-          .withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(UNK_ID))))
+          .withColumn("_tok_id", F.when(F.col("token").isNotNull(), F.coalesce("_tok_id", F.lit(UNK_ID))))
     aggs = [F.transform(F.array_sort(F.collect_list(
-                F.when(F.col("side") == s, F.struct("pos", "id")))), lambda x: x["id"].cast("bigint"))
+                F.when(F.col("side") == s, F.struct("pos", "_tok_id")))), lambda x: x["_tok_id"].cast("bigint"))
             .alias(f"{s}_ids") for s in names]
     return j.groupBy(id_col).agg(*aggs)
