@@ -141,12 +141,11 @@ def delta_histogram(paired: DataFrame, bins: int = 15, base: str = "base", fused
 
 def score_boxplot(long_scores: DataFrame, variant: str = "variant", score: str = "score") -> DataFrame:
     """Quartiles (linear), whiskers at the most extreme values within 1.5 IQR of
-    the box, and the outlier count, per variant.  The per-variant quartile
-    table has one row per variant -- the number of variants bounds the
-    broadcast."""
-    q = long_scores.groupBy(variant).agg(
-        F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(variant, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    the box, and the outlier count, per variant.  Quartiles come from ranks
+    (exact, no per-value map); the per-variant quartile table has one row per
+    variant -- the number of variants bounds the broadcast."""
+    from tunelake.operators.profile import exact_quantiles
+    q = exact_quantiles(long_scores, score, (0.25, 0.5, 0.75), [variant], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = long_scores.join(F.broadcast(q), on=variant, how="inner")
     lo = F.col("q1") - 1.5 * F.col("iqr")

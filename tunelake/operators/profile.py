@@ -168,3 +168,46 @@ def histogram(df: DataFrame, col: str, bins: int, group_by: list[str] | None = N
                       F.when(F.col("bin") == bins - 1, F.col("hi"))
                        .otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
                       F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs, group_by: list[str] | None = None,
+                    names: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy's default) from ranks.
+
+    ``percentile`` keeps one counter per distinct value and merges them in one
+    reducer per group: fine for integer lengths, unbounded for continuous
+    values of a hot group.  Here each value gets its 1-based rank inside its
+    group from the skew-safe segmented ordinal; the group sizes come from a
+    partially aggregated count; only the <= 2 rows per quantile that sit at
+    floor/ceil of (n - 1) * q are kept and interpolated.
+    """
+    from tunelake.operators.segmented import row_ordinal
+    g = group_by or []
+    names = names or [f"q{int(round(q * 100))}" for q in qs]
+    vals = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = row_ordinal(vals, g, ["_v"], "_rk")
+    counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else \
+        ranked.agg(F.count(F.lit(1)).alias("_n"))
+    key = g or ["_one"]
+    if not g:
+        ranked, counts = ranked.withColumn("_one", F.lit(1)), counts.withColumn("_one", F.lit(1))
+    j = ranked.join(counts, on=key, how="inner")
+    pos = [(F.col("_n") - 1) * F.lit(float(q)) for q in qs]
+    lo = [F.floor(p) + 1 for p in pos]
+    hi = [F.ceil(p) + 1 for p in pos]
+    keep = None
+    for a, b in zip(lo, hi):
+        c = (F.col("_rk") == a) | (F.col("_rk") == b)
+        keep = c if keep is None else keep | c
+    picked = j.where(keep)
+    aggs = [F.max("_n").alias("_n")]
+    for i, (a, b) in enumerate(zip(lo, hi)):
+        aggs += [F.max(F.when(F.col("_rk") == a, F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_rk") == b, F.col("_v"))).alias(f"_hi{i}")]
+    agg = picked.groupBy(*key).agg(*aggs)
+    out = [F.col(k) for k in g]
+    for i, (q, name) in enumerate(zip(qs, names)):
+        p = (F.col("_n") - 1) * F.lit(float(q))
+        frac = p - F.floor(p)
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(name))
+    return agg.select(*out)

@@ -51,15 +51,18 @@ def skip_warmup(log: DataFrame, group: str, seq: str, warmup: int = 2) -> DataFr
 
 def latency_percentiles(log: DataFrame, variant: str = "variant", elapsed: str = "elapsed_ms",
                         peak: str = "peak_mb") -> DataFrame:
-    """mean / p50 / p90 / p99 (linear interpolation) latency and peak memory."""
-    p = F.percentile(F.col(elapsed), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return log.groupBy(variant).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.avg(elapsed).alias("mean_latency_ms"), p.alias("_p"),
-        F.max(peak).alias("peak_vram_mb")) \
-        .select(variant, "n", "mean_latency_ms", F.col("_p")[0].alias("p50_latency_ms"),
-                F.col("_p")[1].alias("p90_latency_ms"), F.col("_p")[2].alias("p99_latency_ms"),
-                "peak_vram_mb")
+    """mean / p50 / p90 / p99 (linear interpolation) latency and peak memory.
+
+    Latencies are continuous, so the percentiles come from ranks
+    (``exact_quantiles``) rather than a per-value counter map; the other
+    figures are algebraic aggregates."""
+    from tunelake.operators.profile import exact_quantiles
+    q = exact_quantiles(log, elapsed, (0.5, 0.9, 0.99), [variant],
+                        ["p50_latency_ms", "p90_latency_ms", "p99_latency_ms"])
+    a = log.groupBy(variant).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                 F.avg(elapsed).alias("mean_latency_ms"), F.max(peak).alias("peak_vram_mb"))
+    return a.join(q, on=variant, how="inner").select(
+        variant, "n", "mean_latency_ms", "p50_latency_ms", "p90_latency_ms", "p99_latency_ms", "peak_vram_mb")
 
 
 def generation_throughput(log: DataFrame, variant: str = "variant", tokens: str = "tokens",
