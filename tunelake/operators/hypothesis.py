@@ -71,12 +71,12 @@ def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01
     """One row per comparison: the reference's result fields plus the Wilcoxon
     method used.  Significant = t-test p < alpha AND mean delta > 0; a NaN p
     is never significant.  All-zero differences give W = 0, p = 1."""
+    if not group:  # a single comparison: group on a literal column, dropped at the end
+        out = significance_report(paired.withColumn("_all", F.lit(0)), ["_all"], alpha, base, fused)
+        return out.drop("_all")
     s = paired_summary(paired, group, base, fused)
     w = wilcoxon_stats(paired, group, base, fused)
-    keys = group or ["_one"]
-    if not group:  # both sides are single global rows
-        s, w = s.withColumn("_one", F.lit(1)), w.withColumn("_one", F.lit(1))
-    j = s.join(w, on=keys, how="left")
+    j = s.join(w, on=group, how="left")
     wp = wilcoxon_pvalue(F.coalesce("w_statistic", F.lit(0.0)), F.coalesce("n_nonzero", F.lit(0)),
                          F.col("tie_term"), F.col("n_zero"), F.col("has_ties"))
     # Arrow turns a NaN returned by a pandas UDF into null: keep NaN natively.

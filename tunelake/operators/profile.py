@@ -186,12 +186,12 @@ def exact_quantiles(df: DataFrame, value: str, qs, group_by: list[str] | None =
     names = names or [f"q{int(round(q * 100))}" for q in qs]
     vals = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     ranked = row_ordinal(vals, g, ["_v"], "_rk")
-    counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else \
-        ranked.agg(F.count(F.lit(1)).alias("_n"))
-    key = g or ["_one"]
-    if not g:
-        ranked, counts = ranked.withColumn("_one", F.lit(1)), counts.withColumn("_one", F.lit(1))
-    j = ranked.join(counts, on=key, how="inner")
+    if g:
+        counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        j = ranked.join(counts, on=g, how="inner")
+    else:  # one global count: a scalar read from a one-row aggregate
+        j = ranked.withColumn("_n", F.lit(ranked.count()).cast("bigint"))
+    key = g
     pos = [(F.col("_n") - 1) * F.lit(float(q)) for q in qs]
     lo = [F.floor(p) + 1 for p in pos]
     hi = [F.ceil(p) + 1 for p in pos]

@@ -381,143 +381,19 @@ def evaluation_summary(spark, sf_dir):
 
 
 def _one_row(*frames):
-    """Combine one-row aggregates side by side via a constant key (each input
-    is a global aggregate, so every side has exactly one row)."""
-    out = None
+    """Combine one-row aggregates without a join: each becomes (name, value)
+    rows, the rows are unioned, and one conditional aggregation pivots them
+    back into a single row."""
+    long = None
     for f in frames:
-        f = f.withColumn("_one", F.lit(1))
-        out = f if out is None else out.join(f, on="_one", how="inner")
-    return out.select(F.round(F.col("r1") * 100.0, 4).alias("rouge1"),
-                      F.round(F.col("r2") * 100.0, 4).alias("rouge2"),
-                      F.round(F.col("rl") * 100.0, 4).alias("rougeL"),
-                      F.round(F.col("bleu") * 100.0, 4).alias("bleu"),
-                      F.round(F.col("perplexity"), 4).alias("perplexity"))
-
-
-# -- paired tests --------------------------------------------------------------
-
-from tunelake.operators import hypothesis as H  # noqa: E402
-
-ALPHA = 0.01
-
-
-def _variant_scores(spark, sf_dir):
-    """Long scores: odd steps of a run score the base model, even steps the
-    fused one; sample_id pairs step 2k-1 with 2k."""
-    ll = D.loss_log(spark, sf_dir)
-    return ll.select(F.col("run").alias("group_id"),
-                     F.floor((F.col("step") + 1) / 2).cast("bigint").alias("sample_id"),
-                     F.when(F.col("step") % 2 == 1, F.lit("base")).otherwise(F.lit("fused")).alias("variant"),
-                     F.col("loss").alias("score"))
-
-
-@query
-def paired_scores(spark, sf_dir):
-    v = _variant_scores(spark, sf_dir)
-    return H.paired_scores(v.where("variant = 'base'"), v.where("variant = 'fused'"), ["group_id", "sample_id"])
-
-
-@query
-def unmatched_pairs(spark, sf_dir):
-    v = _variant_scores(spark, sf_dir)
-    return H.unmatched_pairs(v.where("variant = 'base'"), v.where("variant = 'fused'"),
-                             ["group_id", "sample_id"], ["group_id"])
-
-
-@query
-def model_comparison(spark, sf_dir):
-    return H.model_comparison(_variant_scores(spark, sf_dir), ["group_id"])
-
-
-@query
-def paired_means(spark, sf_dir):
-    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select(
-        "group_id", "n", "base_mean", "fused_mean", "mean_delta")
-
-
-@query
-def paired_t(spark, sf_dir):
-    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select("group_id", "n", "t_statistic")
-
-
-@query
-def cohens_d(spark, sf_dir):
-    return H.paired_summary(D.paired(spark, sf_dir), ["group_id"]).select("group_id", "cohens_d")
-
-
-@query
-def wilcoxon_signed_rank(spark, sf_dir):
-    return H.wilcoxon_stats(D.paired(spark, sf_dir), ["group_id"]).select(
-        "group_id", "n_nonzero", "r_plus", "r_minus", "w_statistic", "tie_term")
-
-
-@query
-def significance_report(spark, sf_dir):
-    return H.significance_report(D.paired(spark, sf_dir), ["group_id"], alpha=ALPHA)
-
-
-@query
-def metric_improvement(spark, sf_dir):
-    return H.metric_improvement(D.paired(spark, sf_dir), ["group_id"])
-
-
-@query
-def delta_histogram(spark, sf_dir):
-    return H.delta_histogram(D.paired(spark, sf_dir), 15)
-
-
-@query
-def score_boxplot(spark, sf_dir):
-    p = D.paired(spark, sf_dir)
-    long = p.select(F.explode(F.array(F.struct(F.lit("base").alias("variant"), F.col("base").alias("score")),
-                                      F.struct(F.lit("fused").alias("variant"), F.col("fused").alias("score"))))
-                    .alias("r")).select("r.*")
-    return H.score_boxplot(long)
-
-
-# -- model application ---------------------------------------------------------
-
-from tunelake.operators import scoring as SC  # noqa: E402
-
-# Rule-defined weights of one linear layer with a rank-8 adapter (alpha 16)
-# on the 64-dim embeddings: M[i][j] = ((a*i + b*j) mod m - shift) / scale.
-EMB_DIM, RANK, ALPHA_LORA = 64, 8, 16
-W_RULE, A_RULE, B_RULE = (7, 3, 11, 5, 50.0), (5, 11, 13, 6, 40.0), (3, 7, 9, 4, 30.0)
-
-
-def _weights():
-    return (SC.rule_matrix(EMB_DIM, EMB_DIM, *W_RULE), SC.rule_matrix(RANK, EMB_DIM, *A_RULE),
-            SC.rule_matrix(EMB_DIM, RANK, *B_RULE))
-
-
-def _projection(spark, sf_dir):
-    W, A, B = _weights()
-    return SC.low_rank_projection(_t(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], W, A, B,
-                                  RANK, ALPHA_LORA)
-
-
-@query
-def custom_tokenizer_lengths(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    return docs.select("doc_id", SC.tokenizer_lengths(F.col("text"), SC.word_punct_tokenizer).alias("n_tokens"))
-
-
-@query
-def score_with_callable(spark, sf_dir):
-    ev = _eval_pairs(spark, sf_dir).select("conv_id", F.col("reference").alias("prompt"),
-                                          F.col("prediction").alias("reference"))
-    return SC.score_with_model(ev, SC.echo_model, keep=["conv_id"])
-
-
-@query
-def low_rank_projection(spark, sf_dir):
-    p = _projection(spark, sf_dir)
-    return p.select("vec_id", F.posexplode(F.arrays_zip("fused", "two_step")).alias("i", "z")) \
-            .select("vec_id", F.col("i").cast("bigint").alias("i"),
-                    F.round("z.fused", 6).alias("fused"), F.round("z.two_step", 6).alias("two_step"))
-
-
-@query
-def projection_parity(spark, sf_dir):
-    p = SC.projection_parity(_projection(spark, sf_dir), ["vec_id"])
-    return p.select("vec_id", F.round("max_abs_diff", 6).alias("max_abs_diff"), "parity_ok")
+        part = f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
+                                            for c in f.columns])).alias("r")).select("r.*")
+        long = part if long is None else long.unionByName(part)
+
+    def pick(name):
+        return F.max(F.when(F.col("k") == name, F.col("v")))
+    return long.agg(F.round(pick("r1") * 100.0, 4).alias("rouge1"),
+                    F.round(pick("r2") * 100.0, 4).alias("rouge2"),
+                    F.round(pick("rl") * 100.0, 4).alias("rougeL"),
+                    F.round(pick("bleu") * 100.0, 4).alias("bleu"),
+                    F.round(pick("perplexity"), 4).alias("perplexity"))
