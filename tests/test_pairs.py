@@ -68,3 +68,23 @@ def test_template_rejects_other_fields():
 
 def test_messages_schema_declared():
     assert MESSAGES_SCHEMA.fields[0].name == "messages"
+
+
+def test_whitespace_tokens_equal_python_split(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from tunelake.functions.text import whitespace_tokens
+    alphabet = st.sampled_from(list("ab é") + ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0",
+                                               " ", " ", " ", " ", "　", "​"])
+    texts = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(alphabet=alphabet, max_size=30))
+    def collect(s):
+        texts.append(s)
+    collect()
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", whitespace_tokens("s").alias("t")).collect()}
+    for i, s in enumerate(texts):
+        assert got[i] == s.split(), repr(s)

@@ -12,6 +12,11 @@ DEFAULT_PROMPT_TEMPLATE = "<|im_start|>user\n{instruction}<|im_end|>\n<|im_start
 RESPONSE_SUFFIX = "<|im_end|>"
 # Label value of masked (prompt) positions; padding value of labels.
 IGNORE_INDEX = -100
+# The characters Python's str.split() treats as whitespace (str.isspace):
+# \t \n \v \f \r, U+001C-U+001F, space, U+0085, U+00A0, U+1680, U+2000-U+200A,
+# U+2028, U+2029, U+202F, U+205F, U+3000.  Java-regex spelling:
+PY_SPACE_CLASS = (r"\t\n\u000B\f\r\u001C-\u001F \u0085\u00A0\u1680\u2000-\u200A"
+                  r"\u2028\u2029\u202F\u205F\u3000")
 # ---------------------------------------------------------------------------
 
 
@@ -20,8 +25,9 @@ def _c(col) -> Column:
 
 
 def whitespace_tokens(col) -> Column:
-    """``text.strip().split()``: maximal runs of non-whitespace; "" -> []."""
-    return F.regexp_extract_all(_c(col), F.lit(r"\S+"), 0)
+    """``text.strip().split()``: maximal runs of characters that are not
+    Python whitespace (Unicode-aware, same set as ``str.isspace``); "" -> []."""
+    return F.regexp_extract_all(_c(col), F.lit(f"[^{PY_SPACE_CLASS}]+"), 0)
 
 
 def word_tokens(col) -> Column:

@@ -14,7 +14,8 @@ FROM conversations GROUP BY conv_id"""
 
 PAIRS = f"SELECT * FROM ({PAIRS_RAW}) WHERE length(prompt) > 0 AND length(response) > 0"
 
-WS = r"'\S+'"
+# Python whitespace (str.split) as an RE2 class, same set as text.PY_SPACE_CLASS.
+WS = r"'[^\t\n\x{000B}\f\r\x{001C}-\x{001F} \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
 
 LENGTHS = f"""
 SELECT conv_id,
