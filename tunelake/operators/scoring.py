@@ -94,7 +94,8 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[pd.Dat
             out["loss"] = res["loss"].astype("float64").values
             out["num_tokens"] = res["num_tokens"].astype("int64").values
             yield out
-    return df.select(*keep, prompt, reference).mapInPandas(run, out_schema)
+    cols = list(dict.fromkeys([*keep, prompt, reference]))
+    return df.select(*cols).mapInPandas(run, out_schema)
 
 
 def echo_model(max_new_tokens: int = 128):
