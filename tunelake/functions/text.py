@@ -14,9 +14,10 @@ RESPONSE_SUFFIX = "<|im_end|>"
 IGNORE_INDEX = -100
 # The characters Python's str.split() treats as whitespace (str.isspace):
 # \t \n \v \f \r, U+001C-U+001F, space, U+0085, U+00A0, U+1680, U+2000-U+200A,
-# U+2028, U+2029, U+202F, U+205F, U+3000.  Java-regex spelling:
-PY_SPACE_CLASS = (r"\t\n\u000B\f\r\u001C-\u001F \u0085\u00A0\u1680\u2000-\u200A"
-                  r"\u2028\u2029\u202F\u205F\u3000")
+# U+2028, U+2029, U+202F, U+205F, U+3000.  Java's Character.isWhitespace
+# (\p{javaWhitespace}) is that set minus U+00A0, U+2007, U+202F and U+0085,
+# which are added back; this spelling is ~2x faster than listing the ranges.
+PY_SPACE_CLASS = r"\p{javaWhitespace}\u00A0\u2007\u202F\u0085"
 # ---------------------------------------------------------------------------
 
 
