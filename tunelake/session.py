@@ -54,6 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                               "that every executor can reach")
+        # Single-machine session (tests, local runs): a private folder is shared by construction.
         configured = tempfile.mkdtemp(prefix="tunelake-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
