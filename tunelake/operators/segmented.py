@@ -177,3 +177,18 @@ def global_position(df: DataFrame, order: list, name: str = "position",
     out = r.join(F.broadcast(offsets), on=_BLK, how="inner") \
            .withColumn(name, (F.col("_tl_off") + F.col("_tl_mono") - F.col("_tl_first")).cast("bigint"))
     return out.drop(*[c for c in out.columns if c.startswith("_tl_")])
+
+
+TOPK_FAN_IN = 32
+
+
+def top_k(df: DataFrame, order: list, k: int, fan_in: int = TOPK_FAN_IN) -> DataFrame:
+    """The first ``k`` rows in ``order`` with a bounded final merge.
+
+    ``orderBy(...).limit(k)`` keeps k rows per partition and merges them all in
+    one task: P x k rows for P partitions (with thousands of shuffle
+    partitions, hundreds of millions).  Spreading the input round-robin over
+    ``fan_in`` partitions first bounds that merge to fan_in x k rows while the
+    per-partition top-k (a bounded priority queue) stays parallel.
+    """
+    return df.repartition(fan_in).orderBy(*_order_cols(order)).limit(k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelake.operators.segmented import top_k
+
 # Reserved ids of the built vocabulary.
 PAD_TOKEN, PAD_ID = "<pad>", 0
 UNK_TOKEN, UNK_ID = "<unk>", 1
@@ -15,9 +17,9 @@ def vocab_table(df: DataFrame, tokens: Column | str, size: int = 32000) -> DataF
     """(token, count, id): the ``size`` most frequent tokens, ties by token.
 
     Counting is a partially aggregated group-by, so a very frequent token
-    costs one row per task in the shuffle.  The top-``size`` is a bounded
-    top-k (``TakeOrderedAndProject``); numbering runs over those ``size`` rows
-    only.  The result is at most ``size`` rows -- that is the proven bound
+    costs one row per task in the shuffle.  The top-``size`` is a two-level
+    top-k whose final merge is bounded (``segmented.top_k``); numbering runs
+    over those ``size`` rows only.  The result is at most ``size`` rows -- that is the proven bound
     that lets encoders broadcast it.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
@@ -26,7 +28,7 @@ def vocab_table(df: DataFrame, tokens: Column | str, size: int = 32000) -> DataF
     counts = df.select(F.explode_outer(t).alias("token")).where(F.col("token").isNotNull()) \
                .groupBy("token") \
                .agg(F.count(F.lit(1)).alias("count"))
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(size)
+    top = top_k(counts, [F.desc("count"), F.asc("token")], size)
     w = Window.orderBy(F.desc("count"), F.asc("token"))
     return top.select("token", F.col("count").cast("bigint").alias("count"),
                       (F.row_number().over(w) - 1 + N_SPECIAL).cast("bigint").alias("id"))

@@ -75,10 +75,11 @@ def stream_pairs_source(spark: SparkSession, path: str, schema: T.StructType,
 def cap_samples(turns: DataFrame, max_samples: int = 150000, id_col: str = "conv_id") -> DataFrame:
     """First ``max_samples`` samples (conversations) in id order, all their turns.
 
-    The ids come from a top-k (bounded by ``max_samples`` per task), and that
+    The ids come from a two-level top-k (its final merge is bounded), and that
     id list -- at most ``max_samples`` longs -- is the broadcast side.
     """
-    ids = turns.select(id_col).distinct().orderBy(id_col).limit(max_samples)
+    from tunelake.operators.segmented import top_k
+    ids = top_k(turns.select(id_col).distinct(), [id_col], max_samples)
     return turns.join(F.broadcast(ids), on=id_col, how="left_semi")
 
 
