@@ -79,3 +79,10 @@ def test_shuffle_and_split_are_partitioning_independent(spark):
     s2 = {r.doc_id: r.split for r in hash_split(df.repartition(3), "doc_id").collect()}
     assert s1 == s2 and set(s1.values()) <= {"train", "validation", "test"}
     assert 400 < sum(v == "train" for v in s1.values()) < 500
+
+
+def test_encode_rejects_oversized_vocabulary(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"])], "id bigint, t array<string>")
+    voc = V.vocab_table(df, "t", size=3)
+    with pytest.raises(ValueError):
+        V.encode_columns(df, "id", {"t": F.col("t")}, voc, 2)

@@ -142,12 +142,13 @@ def delta_histogram(paired: DataFrame, bins: int = 15, base: str = "base", fused
 def score_boxplot(long_scores: DataFrame, variant: str = "variant", score: str = "score") -> DataFrame:
     """Quartiles (linear), whiskers at the most extreme values within 1.5 IQR of
     the box, and the outlier count, per variant.  Quartiles come from ranks
-    (exact, no per-value map); the per-variant quartile table has one row per
-    variant -- the number of variants bounds the broadcast."""
+    (exact, no per-value map); the per-variant quartile table is joined back
+    (one row per variant)."""
     from tunelake.operators.profile import exact_quantiles
     q = exact_quantiles(long_scores, score, (0.25, 0.5, 0.75), [variant], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = long_scores.join(F.broadcast(q), on=variant, how="inner")
+    # One row per variant: AQE broadcasts it after measuring; no size is assumed.
+    j = long_scores.join(q, on=variant, how="inner")
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
     inside = (F.col(score) >= lo) & (F.col(score) <= hi)

@@ -182,13 +182,15 @@ def global_position(df: DataFrame, order: list, name: str = "position",
 TOPK_FAN_IN = 32
 
 
-def top_k(df: DataFrame, order: list, k: int, fan_in: int = TOPK_FAN_IN) -> DataFrame:
+def top_k(df: DataFrame, order: list, k: int, key: list[str], fan_in: int = TOPK_FAN_IN) -> DataFrame:
     """The first ``k`` rows in ``order`` with a bounded final merge.
 
     ``orderBy(...).limit(k)`` keeps k rows per partition and merges them all in
     one task: P x k rows for P partitions (with thousands of shuffle
-    partitions, hundreds of millions).  Spreading the input round-robin over
-    ``fan_in`` partitions first bounds that merge to fan_in x k rows while the
-    per-partition top-k (a bounded priority queue) stays parallel.
+    partitions, hundreds of millions).  Hash-partitioning the input on its
+    unique ``key`` into ``fan_in`` partitions first bounds that merge to
+    fan_in x k rows while the per-partition top-k (a bounded priority queue)
+    stays parallel.  (Hash, not round-robin: round-robin would sort every
+    partition first to stay deterministic on retry.)
     """
-    return df.repartition(fan_in).orderBy(*_order_cols(order)).limit(k)
+    return df.repartition(fan_in, *[F.col(c) for c in key]).orderBy(*_order_cols(order)).limit(k)

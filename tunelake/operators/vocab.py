@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelake.operators.segmented import top_k
+from tunelake.session import cut_lineage
 
 # Reserved ids of the built vocabulary.
 PAD_TOKEN, PAD_ID = "<pad>", 0
@@ -28,7 +29,7 @@ def vocab_table(df: DataFrame, tokens: Column | str, size: int = 32000) -> DataF
     counts = df.select(F.explode_outer(t).alias("token")).where(F.col("token").isNotNull()) \
                .groupBy("token") \
                .agg(F.count(F.lit(1)).alias("count"))
-    top = top_k(counts, [F.desc("count"), F.asc("token")], size)
+    top = top_k(counts, [F.desc("count"), F.asc("token")], size, key=["token"])
     w = Window.orderBy(F.desc("count"), F.asc("token"))
     return top.select("token", F.col("count").cast("bigint").alias("count"),
                       (F.row_number().over(w) - 1 + N_SPECIAL).cast("bigint").alias("id"))
@@ -50,7 +51,13 @@ def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column],
     tagged = F.concat(*[tag(s, arr) for s, arr in token_arrays.items()])
     ex = df.repartition(F.col(id_col)).select(id_col, F.explode_outer(tagged).alias("e")) \
            .select(id_col, "e.side", "e.pos", "e.token")
-    lookup = F.broadcast(vocab.select("token", F.col("id").alias("_tok_id")).limit(vocab_size))
+    # Materialize the (small) vocabulary once and check its size before it is
+    # broadcast: the bound is verified, not assumed.
+    voc = cut_lineage(vocab.select("token", F.col("id").alias("_tok_id")))
+    n_voc = voc.count()
+    if n_voc > vocab_size:
+        raise ValueError(f"vocabulary has {n_voc} entries, more than vocab_size={vocab_size}")
+    lookup = F.broadcast(voc)
     j = ex.join(lookup, on="token", how="left") \
           .withColumn("_tok_id", F.when(F.col("token").isNotNull(), F.coalesce("_tok_id", F.lit(UNK_ID))))
     aggs = [F.transform(F.array_sort(F.collect_list(

@@ -79,7 +79,7 @@ def cap_samples(turns: DataFrame, max_samples: int = 150000, id_col: str = "conv
     id list -- at most ``max_samples`` longs -- is the broadcast side.
     """
     from tunelake.operators.segmented import top_k
-    ids = top_k(turns.select(id_col).distinct(), [id_col], max_samples)
+    ids = top_k(turns.select(id_col).distinct(), [id_col], max_samples, key=[id_col])
     return turns.join(F.broadcast(ids), on=id_col, how="left_semi")
 
 
