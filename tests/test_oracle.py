@@ -29,6 +29,20 @@ def _norm(v):
     return v
 
 
+# Queries built on per-group windows: also run with the skew-safe block path forced.
+SPLIT = ["running_perplexity", "running_best", "checkpoint_retention", "latency_percentiles",
+         "memory_telemetry", "wilcoxon_signed_rank", "score_boxplot", "paired_t", "train_log_intervals"]
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_split_path_matches_oracle(spark, con, name):
+    spark.conf.set("tunelake.maxGroupRows", "0")
+    try:
+        test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.unset("tunelake.maxGroupRows")
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)

@@ -19,6 +19,12 @@ whole job.  The helpers here split each group into *blocks*:
 The result equals the plain window exactly (for sums of doubles up to
 floating-point re-association).
 
+The split is adaptive, like AQE's skew join: a one-row aggregate first
+measures the largest group; only when it exceeds ``max_group_rows`` (the
+rows one task should handle; session conf ``tunelake.maxGroupRows``,
+default 2,000,000) is the block path taken.  Otherwise a plain window is
+already balanced and cheapest.
+
 The block-tagged frame is written once with a reliable ``checkpoint()`` (to
 the shared folder named by ``spark.checkpoint.dir``).  This is required for
 correctness, not only for speed: the window branch and the block-total
@@ -48,6 +54,27 @@ def _order_cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
+def _max_group_rows(df: DataFrame, max_group_rows: int | None) -> int:
+    if max_group_rows is not None:
+        return int(max_group_rows)
+    return int(df.sparkSession.conf.get("tunelake.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
+
+
+def has_hot_group(df: DataFrame, keys: list[str], max_group_rows: int | None = None) -> bool:
+    """True when some group holds more than ``max_group_rows`` rows (one
+    partially aggregated count per key, then a one-row max)."""
+    limit = _max_group_rows(df, max_group_rows)
+    if not keys:
+        return True
+    if limit <= 0:
+        return True
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return biggest is not None and biggest > limit
+
+
 def with_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int | None = None) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its range id."""
     n = _n_blocks(df, n_blocks)
@@ -67,7 +94,7 @@ _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 def running_aggregates(df: DataFrame, keys: list[str], order: list,
                        specs: dict[str, tuple[str, Column, bool]],
-                       n_blocks: int | None = None) -> DataFrame:
+                       n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """Add running aggregates per group in ``order``.
 
     ``specs`` maps an output name to ``(fn, column, inclusive)`` with ``fn`` in
@@ -77,6 +104,16 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
     when an earlier block contributed; a group's very first row stays null for
     min/max and 0 for count).
     """
+    if not has_hot_group(df, keys, max_group_rows):
+        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*_order_cols(order))
+        out = df
+        for name, (fn, col, inclusive) in specs.items():
+            frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            val = _AGG[fn](col).over(frame)
+            if fn == "count":
+                val = F.coalesce(val, F.lit(0)).cast("bigint")
+            out = out.withColumn(name, val)
+        return out
     b = with_blocks(df, keys, order, n_blocks)
     part = [F.col(k) for k in keys] + [F.col(_BLK)]
     w_incl = Window.partitionBy(*part).orderBy(*_order_cols(order)) \
@@ -119,17 +156,21 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
 
 
 def row_ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordinal",
-                n_blocks: int | None = None) -> DataFrame:
+                n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """1-based position of each row inside its group (``row_number``), skew-safe.
 
     ``order`` must be unique within a group for the result to be deterministic.
     """
-    return running_aggregates(df, keys, order, {name: ("count", F.lit(1), True)}, n_blocks)
+    return running_aggregates(df, keys, order, {name: ("count", F.lit(1), True)}, n_blocks,
+                              max_group_rows)
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list, col: str, name: str,
-                   n_blocks: int | None = None) -> DataFrame:
+                   n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """``lag(col)`` per group in ``order`` without a single-task window per group."""
+    if not has_hot_group(df, keys, max_group_rows):
+        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*_order_cols(order))
+        return df.withColumn(name, F.lag(F.col(col)).over(w))
     b = with_blocks(df, keys, order, n_blocks)
     part = [F.col(k) for k in keys] + [F.col(_BLK)]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
