@@ -62,13 +62,16 @@ def bleu_tokens(col) -> Column:
 def ngrams(tokens, n: int) -> Column:
     """All contiguous n-grams of a token array, each joined by one space.
 
-    Tokens never contain whitespace, so the join is injective.  Arrays shorter
-    than ``n`` give ``[]`` (``sequence(1, 0)`` would count downwards).
+    Order k is built from order k-1 with one ``zip_with`` against the array
+    shifted by k-1 (no per-n-gram slice).  Tokens never contain whitespace, so
+    the join is injective.  Arrays shorter than ``n`` give ``[]``.
     """
     t = _c(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
-                        lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+    g = t
+    for k in range(2, n + 1):
+        g = F.zip_with(g, F.slice(t, k, F.greatest(F.size(t) - k + 1, F.lit(0))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(g, 1, F.greatest(F.size(t) - n + 1, F.lit(0)))
 
 
 def render_template(col, template: str = DEFAULT_PROMPT_TEMPLATE,
