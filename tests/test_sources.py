@@ -9,7 +9,7 @@ from tunelake.sources import readers as R
 from tunelake.sources.writers import evaluation_payload, write_trainer_states
 
 
-@pytest.mark.parametrize("name", ["HuggingFaceH4/ultrafeedback_binarized", "data/train.jsonl", "a.tar.gz",
+@pytest.mark.parametrize("name", ["some-org/chat_dataset_v2", "data/train.jsonl", "a.tar.gz",
                                   ".hidden", "dir/", "x/..a", "plain", "a.", "http://h.example.com/en/825?p=2&r=x",
                                   "https://x.example.org/a/b.html#top"])
 def test_slug_equals_path_stem(spark, name):
