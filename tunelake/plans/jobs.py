@@ -19,6 +19,7 @@ from tunelake.operators import pairs as P
 from tunelake.operators import profile as A
 from tunelake.operators import scoring as SC
 from tunelake.operators import textmetrics as TM
+from tunelake.operators.segmented import top_k
 from tunelake.plans.training_data import training_batches
 from tunelake.sources import readers as R
 from tunelake.sources import writers as W
@@ -59,7 +60,7 @@ def run_eda_job(spark: SparkSession, source: str, output_dir: str, dataset_name:
     else:
         pairs = normalize_pairs(raw, prompt_col, response_col)
         idc = pairs.columns[0]
-        pairs = pairs.orderBy(idc).limit(max_samples)  # first N samples in id order
+        pairs = top_k(pairs, [idc], max_samples, key=[idc])  # first N samples in id order
     pairs = P.nonempty_pairs(pairs)
     if pairs.limit(1).count() == 0:
         raise ValueError("No valid prompt/response pairs extracted.")
