@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tunelake.functions.stats import t_pvalue, wilcoxon_pvalue
 from tunelake.operators.profile import histogram
 from tunelake.operators.segmented import running_aggregates
+from tunelake.session import cut_lineage
 
 NAN, INF = float("nan"), float("inf")
 
@@ -74,6 +75,8 @@ def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01
     if not group:  # a single comparison: group on a literal column, dropped at the end
         out = significance_report(paired.withColumn("_all", F.lit(0)), ["_all"], alpha, base, fused)
         return out.drop("_all")
+    # Both statistics read the pairs; materialize them once (and cut lineage).
+    paired = cut_lineage(paired.select(*group, base, fused))
     s = paired_summary(paired, group, base, fused)
     w = wilcoxon_stats(paired, group, base, fused)
     j = s.join(w, on=group, how="left")

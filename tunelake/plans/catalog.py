@@ -372,7 +372,10 @@ def bleu_corpus(spark, sf_dir):
 def evaluation_summary(spark, sf_dir):
     """One row: library-mode ROUGE-1/2/L and BLEU of the evaluation pairs, and
     the token-weighted perplexity of the whole loss log."""
-    ev = _eval_pairs(spark, sf_dir)
+    # Three metric branches read the pairs: write them once instead of
+    # re-shuffling every conversation turn three times.
+    from tunelake.session import cut_lineage
+    ev = cut_lineage(_eval_pairs(spark, sf_dir))
     rn = TM.rouge_n(ev, "conv_id", orders=(1, 2)).agg(F.avg("rouge1").alias("r1"), F.avg("rouge2").alias("r2"))
     rl = TM.rouge_l_lib(ev).agg(F.avg("lib_rouge_l").alias("rl"))
     bl = TM.bleu_corpus(ev, "conv_id").select("bleu")
