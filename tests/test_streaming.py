@@ -67,3 +67,27 @@ def test_windowed_perplexity_plans(spark, tmpdir_fresh):
     J.run_to_memory(J.online_perplexity_windowed(stream, window="1 day", watermark="1 day"), "t2w_out",
                     mode="append", checkpoint=os.path.join(tmpdir_fresh, "ck4"))
     assert spark.table("t2w_out").count() >= 0
+
+
+def test_stream_training_sequences_equal_batch(spark, tmpdir_fresh):
+    from tunelake.functions.text import whitespace_tokens
+    from tunelake.operators.pairs import chat_template, nonempty_pairs, pairs_from_messages
+    from tunelake.operators.vocab import vocab_table
+    from tunelake.plans.training_data import training_sequences
+    turns = load_table(spark, SF_ORACLE, "conversations")
+    msgs = fold_messages(turns, chunk_turns=1 << 20).drop("chunk")
+    src = os.path.join(tmpdir_fresh, "msgs")
+    _write_parts(msgs, src, 3)
+    batch_pairs = nonempty_pairs(pairs_from_messages(spark.read.parquet(src), chunk_col=None))
+    t = chat_template(batch_pairs).select(F.concat(whitespace_tokens("formatted_prompt"),
+                                                   whitespace_tokens("formatted_response")).alias("t"))
+    vocab = vocab_table(t, "t", 500)  # small: exercises unknown tokens
+    want = training_sequences(batch_pairs, vocab=vocab, vocab_size=500).select("conv_id", "input_ids", "labels")
+    out = os.path.join(tmpdir_fresh, "seqs")
+    stream = stream_pairs_source(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
+    q = J.stream_training_sequences(stream, vocab, out, os.path.join(tmpdir_fresh, "ck5"), vocab_size=500)
+    q.awaitTermination()
+    got = spark.read.parquet(out).select("conv_id", "input_ids", "labels")
+    assert got.count() == want.count() == 98
+    assert got.exceptAll(want).count() == 0
+    assert spark.read.parquet(out).select("epoch_id").distinct().count() >= 2  # several micro-batches
