@@ -14,9 +14,9 @@ variant_speedup memory_telemetry metric_log_long lcs_length rouge_l sample_score
 generation_metrics_fallback rouge_1 rouge_2 rouge_l_lib bleu_corpus evaluation_summary paired_scores
 unmatched_pairs model_comparison paired_means paired_t cohens_d wilcoxon_signed_rank significance_report
 metric_improvement delta_histogram score_boxplot custom_tokenizer_lengths score_with_callable
-low_rank_projection projection_parity
+low_rank_projection projection_parity length_quantiles_approx memory_peak
 """.split()
-ROWS_ONLY = {"significance_report", "custom_tokenizer_lengths", "score_with_callable"}
+ROWS_ONLY = {"significance_report", "custom_tokenizer_lengths", "score_with_callable", "length_quantiles_approx"}
 
 
 def test_all_planned_queries_registered():

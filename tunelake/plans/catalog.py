@@ -529,3 +529,24 @@ def low_rank_projection(spark, sf_dir):
 def projection_parity(spark, sf_dir):
     p = SC.projection_parity(_projection(spark, sf_dir), ["vec_id"])
     return p.select("vec_id", F.round("max_abs_diff", 6).alias("max_abs_diff"), "parity_ok")
+
+
+# -- additions: approximate quantiles, memory peak -----------------------------
+
+@query
+def length_quantiles_approx(spark, sf_dir):
+    """The bounded-memory sketch variant on document token counts (rows-only:
+    an approximate result has no exact oracle; its rank error is unit-tested)."""
+    docs = _t(spark, sf_dir, "documents").select(
+        "lang", F.size(whitespace_tokens("text")).cast("bigint").alias("doc_tokens"))
+    return A.length_quantiles(docs, measures=("doc_tokens",), group_by=["lang"], approx=True)
+
+
+@query
+def memory_peak(spark, sf_dir):
+    """R4 summary per device: peak allocation, peak reservation, worst fragmentation."""
+    t = RU.memory_telemetry(D.memory_log(spark, sf_dir))
+    return t.groupBy("device").agg(F.count(F.lit(1)).cast("bigint").alias("samples"),
+                                   F.max("max_allocated_gb").alias("peak_allocated_gb"),
+                                   F.max("reserved_gb").alias("peak_reserved_gb"),
+                                   F.max("fragmentation_pct").alias("max_fragmentation_pct"))

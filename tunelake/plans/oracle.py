@@ -560,3 +560,12 @@ SQL["projection_parity"] = f"""
 SELECT vec_id, round(list_max(list_transform(range(1, 65), lambda i: abs(fused[i] - two_step[i]))), 6) AS max_abs_diff,
        list_max(list_transform(range(1, 65), lambda i: abs(fused[i] - two_step[i]))) < 1e-4 AS parity_ok
 FROM ({PROJ})"""
+
+SQL["memory_peak"] = """
+WITH m AS (SELECT user_id % 4 AS device, value AS allocated,
+                  value + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS reserved FROM events),
+     r AS (SELECT device, round(allocated, 3) AS allocated_gb, round(reserved, 3) AS reserved_gb FROM m)
+SELECT device, CAST(count(*) AS BIGINT) AS samples, max(allocated_gb) AS peak_allocated_gb,
+       max(reserved_gb) AS peak_reserved_gb,
+       max(round((reserved_gb - allocated_gb) / (reserved_gb + 1e-6) * 100.0, 2)) AS max_fragmentation_pct
+FROM r GROUP BY device"""
