@@ -39,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    apply_runtime_conf(spark)
     return spark
 
 
@@ -81,6 +82,23 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(os.environ.get("BENCH_CPUS", "8"))
 
 
+# Arrow batches feed the few Python steps (LCS over whole documents, user
+# models): 1024 rows of 20,000-word texts stay within a worker's memory, where
+# the default 10,000 would not.
+ARROW_MAX_RECORDS = 1024
+
+
+def apply_runtime_conf(spark: SparkSession) -> None:
+    """Lower (never raise) the Arrow batch size of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        current = int(spark.conf.get(key, "10000"))
+    except ValueError:
+        current = 10000
+    if current <= 0 or current > ARROW_MAX_RECORDS:
+        spark.conf.set(key, str(ARROW_MAX_RECORDS))
+
+
 _SHIPPED: set = set()
 
 
