@@ -148,6 +148,7 @@ def score_boxplot(long_scores: DataFrame, variant: str = "variant", score: str =
     (exact, no per-value map); the per-variant quartile table is joined back
     (one row per variant)."""
     from tunelake.operators.profile import exact_quantiles
+    long_scores = cut_lineage(long_scores.select(variant, score))  # read by both branches below
     q = exact_quantiles(long_scores, score, (0.25, 0.5, 0.75), [variant], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     # One row per variant: AQE broadcasts it after measuring; no size is assumed.

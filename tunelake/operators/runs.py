@@ -57,6 +57,8 @@ def latency_percentiles(log: DataFrame, variant: str = "variant", elapsed: str =
     (``exact_quantiles``) rather than a per-value counter map; the other
     figures are algebraic aggregates."""
     from tunelake.operators.profile import exact_quantiles
+    from tunelake.session import cut_lineage
+    log = cut_lineage(log.select(variant, elapsed, peak))  # read by both branches below
     q = exact_quantiles(log, elapsed, (0.5, 0.9, 0.99), [variant],
                         ["p50_latency_ms", "p90_latency_ms", "p99_latency_ms"])
     a = log.groupBy(variant).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
