@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tunelake.functions.text import whitespace_tokens
 
+# The reported quantiles and the two recommended cutoffs.
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
+CUTOFF_SHORT, CUTOFF_LONG = 2048, 4096
 STAT_FIELDS = ("p50", "p90", "p95", "p99", "max_len", "min_len", "mean", "std_dev")
 
 
@@ -48,7 +50,7 @@ def with_token_lengths(df: DataFrame, prompt: str = "prompt", response: str = "r
 
 def recommended_length(p99: Column) -> Column:
     """2048 when the total-length p99 fits, else 4096 (the two values used)."""
-    return F.when(p99 <= 2048, F.lit(2048)).otherwise(F.lit(4096)).cast("bigint")
+    return F.when(p99 <= CUTOFF_SHORT, F.lit(CUTOFF_SHORT)).otherwise(F.lit(CUTOFF_LONG)).cast("bigint")
 
 
 def length_quantiles(lengths: DataFrame, measures=("prompt_tokens", "response_tokens", "total_tokens"),
@@ -117,11 +119,11 @@ def cutoff_coverage(lengths: DataFrame, total: str = "total_tokens", cutoff: int
     # Fits for both possible cutoffs are counted in the same pass.
     row = lengths.agg(F.percentile(F.col(total), F.lit(0.99)).alias("p99"),
                       F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col(total) <= 2048).alias("fit2048"),
-                      F.count_if(F.col(total) <= 4096).alias("fit4096"))
+                      F.count_if(F.col(total) <= CUTOFF_SHORT).alias("fit_short"),
+                      F.count_if(F.col(total) <= CUTOFF_LONG).alias("fit_long"))
     cut = recommended_length(F.col("p99"))
     return row.select(cut.alias("cutoff"), F.col("n"),
-                      F.try_divide(F.when(cut == 2048, F.col("fit2048")).otherwise(F.col("fit4096"))
+                      F.try_divide(F.when(cut == CUTOFF_SHORT, F.col("fit_short")).otherwise(F.col("fit_long"))
                                    .cast("double"), F.col("n").cast("double")).alias("coverage"))
 
 

@@ -21,6 +21,11 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
          .coalesce(1).write.mode("overwrite").text(path)
 
 
+# The section headings, table headers, status words and the
+# recommendation sentence of the two Markdown reports below follow the
+# reference's report layout, so the rendered reports read the same.
+
+
 def render_eda_markdown(s: Row) -> str:
     """Markdown profile report from the one-row ``eda_summary``."""
     p, r, t = s["prompt_length_quantiles"], s["response_length_quantiles"], s["total_sequence_quantiles"]
