@@ -56,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not is_single_process(sc):
             raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
                                "that every executor can reach")
         # Single-machine session (tests, local runs): a private folder is shared by construction.
@@ -75,13 +75,6 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return max(1, int(spark.sparkContext.defaultParallelism))
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        return int(os.environ.get("BENCH_CPUS", "8"))
-
-
 # Arrow batches feed the few Python steps (LCS over whole documents, user
 # models): 1024 rows of 20,000-word texts stay within a worker's memory, where
 # the default 10,000 would not.
@@ -102,20 +95,31 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 _SHIPPED: set = set()
 
 
+def is_single_process(sc) -> bool:
+    """True for ``local`` and ``local[...]``: driver and workers share this machine's files."""
+    return sc.master == "local" or sc.master.startswith("local[")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``tunelake`` importable in every Python worker (Arrow UDFs,
-    mapInPandas), as ``--py-files`` would: zip the package once and add it to
-    the SparkContext.  Done once per SparkContext."""
+    mapInPandas) wherever the driver was started.
+
+    On a cluster this does what ``--py-files`` would: zip the package once and
+    add it to the SparkContext.  In a single-process session the workers get
+    the package's folder on their path, which costs nothing per task."""
     import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED or sc.master.startswith("local"):
-        # Local workers share the driver's environment; shipping there only
-        # adds a per-task dependency check (measured: ~1 s per query).
+    if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="tunelake-pyfiles-"), "tunelake.zip")
+    if is_single_process(sc):
+        known = sc.environment.get("PYTHONPATH", "")
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+        _SHIPPED.add(key)
+        return
+    zpath = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tunelake-pyfiles-")), "tunelake.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _dirs, files in os.walk(pkg):
             for f in files:
