@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunelake.llm.common import read_documents
+
+from tunelake.llm import huffman_ids, piece_tokens
+from tunelake.llm.common import prepare, read_documents
 from tunelake.llm.quality_rules import quality_rules
 from tunelake.llm.url_filter import url_filter
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    store = huffman_ids.write_ids(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return huffman_ids.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_tokens.encode(read_documents(spark, sf_dir), path)
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(piece_tokens.decode(path)("ids"), 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -19,4 +39,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_huffman_ids, op6_piece_tokens, op8_quality_rules, op10_url_filter)}
