@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 
 
 from tunelake.llm import huffman_ids, piece_tokens
-from tunelake.llm.common import prepare, read_documents
+from tunelake.llm.common import prepare, read_documents, read_labels
+from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
+from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     store = huffman_ids.write_ids(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return huffman_ids.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
 def op6_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,4 +51,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_huffman_ids, op6_piece_tokens, op8_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op10_url_filter)}
