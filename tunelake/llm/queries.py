@@ -11,6 +11,7 @@ from tunelake.llm import huffman_ids, piece_tokens
 from tunelake.llm.common import prepare, read_documents, read_labels
 from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
+from tunelake.llm.string_tiling import tiling
 from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
 
@@ -46,9 +47,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return tiling(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op9_string_tiling, op10_url_filter)}
