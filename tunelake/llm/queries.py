@@ -12,6 +12,7 @@ from tunelake.llm.common import prepare, read_documents, read_labels
 from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
 from tunelake.llm.string_tiling import tiling
+from tunelake.llm.tensor_dedup import near_duplicates
 from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
 
@@ -27,6 +28,11 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_tensor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates(read_documents(spark, sf_dir), shingle=4, num=80, den=100)
+
+
 def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
@@ -57,4 +63,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op9_string_tiling, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op9_string_tiling, op10_url_filter)}
