@@ -50,9 +50,12 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # Words of a-z need no normalising and no splitting: the same model without these steps.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
@@ -62,20 +65,21 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words.  Words of letters only are encoded as one text and cut at word ends."""
-        plain = [w for w in words if w.isalpha()]
-        groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
         alone = [w for w in words if not w.isalpha()]
-        for group, enc in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups],
-                                                                     add_special_tokens=False)):
-            ids = np.asarray(enc.ids, np.uint32)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) != len(group):
-                alone += group
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(group, (cuts * 4).tolist()):
-                self.cache[w] = raw[at:cut]
-                at = cut
+        for library, some in ((self.plain, [w for w in words if w.isalpha() and w.isascii()]),
+                              (self.library, [w for w in words if w.isalpha() and not w.isascii()])):
+            groups = [some[i:i + 256] for i in range(0, len(some), 256)]
+            for group, enc in zip(groups, library.encode_batch_fast([" ".join(g) for g in groups],
+                                                                    add_special_tokens=False)):
+                ids = np.asarray(enc.ids, np.uint32)
+                cuts = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(cuts) != len(group):
+                    alone += group
+                    continue
+                raw, at = ids.tobytes(), 0
+                for w, cut in zip(group, (cuts * 4).tolist()):
+                    self.cache[w] = raw[at:cut]
+                    at = cut
         for w, enc in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
             self.cache[w] = np.asarray(enc.ids, np.uint32).tobytes()
 
