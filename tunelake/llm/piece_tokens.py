@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 SPACE = "▁"
 END_ID = 2
 # Words kept encoded in each worker; the store starts afresh when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 KNOWN_PAIRS = 1_000_000
 CACHE_CHARS = 48
 NEVER = 1 << 60
