@@ -12,6 +12,7 @@ from tunelake.llm.common import prepare, read_documents, read_labels
 from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
 from tunelake.llm.string_tiling import tiling
+from tunelake.llm.suffix_dedup import kept_bytes, repeated_spans, with_spans
 from tunelake.llm.tensor_dedup import near_duplicates
 from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
@@ -48,6 +49,18 @@ def op6_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(piece_tokens.decode(path)("ids"), 256).alias("decoded_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    cut = with_spans(docs, repeated_spans(docs))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
+    return cut.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2(kept_bytes(), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,4 +76,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op8_quality_rules, op9_string_tiling, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op7_suffix_dedup, op8_quality_rules, op9_string_tiling, op10_url_filter)}
