@@ -178,3 +178,9 @@ def quality(docs: DataFrame, labels: DataFrame, held: Column | None = None, thre
     net = train(labelled_sample(docs, labels, "quality", ~held, per_class))
     return with_score(docs.select("doc_id", "text"), net).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with their columns."""
+    net = train(labelled_sample(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), per_class))
+    return with_score(docs, net, "_passage_score").where(F.col("_passage_score") >= threshold).select(*docs.columns)

@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -39,8 +40,6 @@ BROADCAST_WORDS = 2_000_000
 WORDS = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-RESULT = "doc_id long, item_id long, n_items int, coverage double"
-
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
@@ -151,23 +150,24 @@ class Items:
         return best[1], n, best[0]
 
 
-def _frame(ids, found) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": ids, "item_id": pd.array([f[0] for f in found], dtype="Int64"),
-                         "n_items": [f[1] for f in found], "coverage": [f[2] for f in found]})
+FOUND = StructType([StructField("item_id", LongType()), StructField("n_items", IntegerType()),
+                    StructField("coverage", DoubleType())])
 
 
 def _near(docs: DataFrame, rows: list, min_tile: int) -> DataFrame:
-    """All items in every task."""
+    """All items in every task; rows stay where they are."""
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     built: list[Items] = []
 
-    def run(batches):
+    @F.pandas_udf(FOUND)
+    def best(text: pd.Series) -> pd.DataFrame:
         if not built:
             built.append(Items(sent.value, min_tile))
-        for b in batches:
-            yield _frame(b["doc_id"], [built[0].best(t) for t in b["text"]])
+        found = [built[0].best(t) for t in text]
+        return pd.DataFrame({"item_id": pd.array([f[0] for f in found], dtype="Int64"),
+                             "n_items": [f[1] for f in found], "coverage": [f[2] for f in found]})
 
-    return docs.mapInPandas(run, RESULT)
+    return docs.withColumn("_found", best("text"))
 
 
 def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
@@ -202,23 +202,20 @@ def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
     def tiled(batches):
         for b in batches:
             found = [Items([(i, words_of(x))], min_tile).best(t) for i, x, t in zip(b["item_id"], b["item"], b["text"])]
-            f = _frame(b["item_id"], found)
-            yield pd.DataFrame({"_key": b["_key"], "item_id": b["item_id"], "n": f["n_items"], "share": f["coverage"]})
+            yield pd.DataFrame({"_key": b["_key"], "item_id": b["item_id"], "n": [f[1] for f in found],
+                                "share": [f[2] for f in found]})
 
     met = (pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "_key")
            .select("_key", "item_id", "item", "text").mapInPandas(tiled, "_key string, item_id long, n int, share double"))
-    best = met.where("n > 0").groupBy("_key").agg(
+    best = met.where("n > 0").groupBy("_key").agg(F.struct(
         F.min_by("item_id", F.struct(-F.col("share"), F.col("item_id"))).alias("item_id"),
-        F.count("*").cast("int").alias("n_items"), F.max("share").alias("coverage"))
-    return keyed.select("doc_id", "_key").join(best, "_key", "left").select(
-        "doc_id", "item_id", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+        F.count("*").cast("int").alias("n_items"), F.max("share").alias("coverage")).alias("_found"))
+    return keyed.join(best, "_key", "left").drop("_key")
 
 
-def tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,
-           broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_items, coverage, contaminated, kept) of every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+def with_tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,
+                broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``docs`` with _found (item_id, n_items, coverage) and _contaminated."""
     items = (benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
              .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
     # Letters bound the words from above, so the size is known before anything is collected.
@@ -227,5 +224,19 @@ def tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, thre
         found = _near(docs, [(r["item_id"], words_of(r["text"])) for r in items.collect()], min_tile)
     else:
         found = _far(docs, items, min_tile)
-    bad = F.col("coverage") >= F.lit(threshold)
-    return found.withColumns({"contaminated": bad, "kept": ~bad})
+    return found.withColumn("_contaminated", F.coalesce(F.col("_found.coverage"), F.lit(0.0)) >= F.lit(threshold))
+
+
+def tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,
+           broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(doc_id, item_id, n_items, coverage, contaminated, kept) of every row of ``docs``."""
+    found = with_tiling(docs.select("doc_id", "text"), benchmark, min_tile, threshold, broadcast_words)
+    return found.select(
+        "doc_id", F.col("_found.item_id").alias("item_id"), F.coalesce("_found.n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("_found.coverage", F.lit(0.0)).alias("coverage"), F.col("_contaminated").alias("contaminated"),
+        (~F.col("_contaminated")).alias("kept"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that no item reaches, with their columns."""
+    return with_tiling(docs, benchmark, threshold=threshold).where(~F.col("_contaminated")).select(*docs.columns)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from tunelake.llm.common import deltas, pack, partitions, release, scratch, undeltas, unpack
 
@@ -479,3 +479,34 @@ def kept_bytes():
     has = F.col("spans").isNotNull()
     raw = F.coalesce("text", F.lit("")).cast("binary")
     return F.when(has, cut_bytes(F.when(has, F.col("text")), F.col("spans"))).otherwise(raw)
+
+
+@F.pandas_udf(StringType())
+def cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """A text without its spans; a span gives up parts of characters at its ends, so the rest is UTF-8."""
+    def cut(t, ranges):
+        if t is None:
+            return None
+        raw, out, at = t.encode(), [], 0
+        for r in ranges:
+            lo, hi = r["start"], r["stop"]
+            while lo < hi and raw[lo] & 0xC0 == 0x80:
+                lo += 1
+            while lo < hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                hi -= 1
+            out.append(raw[at:lo])
+            at = hi
+        return (b"".join(out) + raw[at:]).decode()
+    return pd.Series([cut(t, s) for t, s in zip(text, spans)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut from text, and n_chars (if there is one) counted anew where cut."""
+    cut = with_spans(docs, repeated_spans(docs, length))
+    has = F.col("spans").isNotNull()
+    text = cut_text(F.when(has, F.col("text")), F.col("spans"))
+    out = cut.withColumn("text", F.when(has, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(has, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -230,3 +230,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return (signed.join(named, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+SLOTS = 1 << 18
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` for each group, with all its columns: the smallest id.
+
+    Rows with equal id and text count once.  Only rows that share a hash slot
+    with a dropped or repeated id are shuffled; the slots (at most SLOTS) are
+    broadcast.
+    """
+    judged = scratch(near_duplicates(docs, shingle, num, den).select("doc_id", "kept"), "judged")
+    known = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    some = known.where("n > 1 or not kept").select("doc_id", "kept")
+    slot = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(SLOTS - 1)
+    slots = F.broadcast(some.select(slot.alias("_slot")).distinct())
+    rows = docs.withColumn("_slot", slot)
+    doubtful = rows.join(slots, "_slot", "left_semi").drop("_slot")
+    gone = some.where("not kept").select(F.col("doc_id").alias("_gone"))
+    stay = (doubtful.join(gone, doubtful["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+            .dropDuplicates(["doc_id", "text"]))
+    return rows.join(slots, "_slot", "left_anti").drop("_slot").unionByName(stay)
