@@ -8,6 +8,7 @@ every executor (and a restarted one) can read them; they replace
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -29,21 +30,27 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and read it back.
+def scratch(df: DataFrame, name: str, by: tuple = ()) -> DataFrame:
+    """Write ``df`` to a fresh table in the shared folder, partitioned ``by``, and read it back.
 
     The table holds whole results, survives lost executors and cuts lineage.
     It is removed by :func:`release` or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     _LIVE[path] = spark
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in tables:

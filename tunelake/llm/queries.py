@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 from tunelake.llm import huffman_ids, piece_tokens
-from tunelake.llm.common import prepare, read_documents, read_labels
+from tunelake.llm.common import held_out, prepare, read_documents, read_labels
+from tunelake.llm.katz import katz_scores
 from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
 from tunelake.llm.string_tiling import tiling
@@ -18,6 +19,12 @@ from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return katz_scores(read_documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
@@ -76,4 +83,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op7_suffix_dedup, op8_quality_rules, op9_string_tiling, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op7_suffix_dedup, op8_quality_rules, op9_string_tiling, op10_url_filter)}
