@@ -239,18 +239,18 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         def row():
             sizes = np.asarray([len(x) // 4 for x in ids], np.uint32)
-            known = np.asarray([d is not None for d in docs_in], bool)
-            keys = np.asarray([d if d is not None else 0 for d in docs_in], np.int64)
+            known = np.asarray([d[1] for d in docs_in], bool)
+            keys = np.asarray([d[0] for d in docs_in], np.int64)
             return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_ids": [int(sizes.sum())],
                                  "docs": [pack(deltas(keys), known, sizes)],
                                  "ids": [pack(np.frombuffer(b"".join(ids), np.uint32))]})
 
         for b in batches:
-            texts, keys = b["text"].tolist(), b["doc_id"].astype(object).where(b["doc_id"].notna(), None).tolist()
+            texts, keys = b["text"].tolist(), list(zip(b["doc_id"].tolist(), b["known"].tolist()))
             for i in range(0, len(texts), 256):
                 for key, raw in zip(keys[i:i + 256], tokenizer.encode(texts[i:i + 256])):
                     ids.append(raw + end)
-                    docs_in.append(None if key is None else int(key))
+                    docs_in.append(key)
                     held += len(raw) // 4 + 1
                     if held >= BLOCK_IDS:
                         yield row()
@@ -258,8 +258,9 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if ids:
             yield row()
 
-    ordered = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+               .select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text"))
     return ordered.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, docs binary, ids binary")
 
 
@@ -318,9 +319,10 @@ def read_ids(store: IdStore) -> DataFrame:
                 ids = decode_block(bits, undeltas(unpack(offsets)[0]), int(n), table)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw = ids.astype("<u4").tobytes()
+                doc_ids = pd.array(undeltas(keys), dtype="Int64")
+                doc_ids[~known] = pd.NA
                 yield pd.DataFrame({
-                    "doc_id": pd.array(undeltas(keys), dtype="Int64").astype(object).where(known) if not known.all()
-                    else undeltas(keys),
+                    "doc_id": doc_ids,
                     "start": start + ends - sizes, "n_tokens": sizes.astype(np.int64),
                     "ids": [raw[4 * (e - s):4 * e] for e, s in zip(ends.tolist(), sizes.tolist())]})
 

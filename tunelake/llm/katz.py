@@ -113,18 +113,16 @@ def alpha(sums: np.ndarray, seen: np.ndarray, d: np.ndarray) -> tuple[np.ndarray
 # --- 1. groups ----------------------------------------------------------------------
 
 def _group(rows: list) -> dict:
-    """rows: (doc_id, held, words) -> packed group.  Word 0 is START, word 1 END."""
+    """rows: (doc_id, known, held, words) -> packed group.  Word 0 is START, word 1 END."""
     number: dict[bytes, int] = {START: 0, END: 1}
     out = []
-    for _, _, words in rows:
+    for *_, words in rows:
         for w in set(words).difference(number):
             number[w] = len(number)
         out.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
     tokens = np.concatenate(out)
     sizes = np.asarray([len(x) for x in out], np.uint32)
-    held = np.asarray([r[1] for r in rows], bool)
-    known = np.asarray([r[0] is not None for r in rows], bool)
-    ids = np.asarray([r[0] if r[0] is not None else 0 for r in rows], np.int64)
+    ids, known, held = (np.asarray([r[k] for r in rows], t) for k, t in enumerate((np.int64, bool, bool)))
     words = list(number)
     return {"docs": pack(deltas(ids), known, held, sizes), "tokens": pack(tokens),
             "words": pack(np.frombuffer(b"\n".join(words), np.uint8))}
@@ -133,10 +131,9 @@ def _group(rows: list) -> dict:
 def _groups(batches):
     part, seq, rows, size = TaskContext.get().partitionId(), 0, [], 0
     for b in batches:
-        ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
-        for d, h, t in zip(ids, b["held"], b["text"]):
+        for d, k, h, t in zip(b["doc_id"], b["known"], b["held"], b["text"]):
             raw = t.encode().lower()
-            rows.append((None if d is None else int(d), h, raw.split()))
+            rows.append((d, k, h, raw.split()))
             size += len(raw) + 64
             if size >= GROUP_BYTES:
                 yield pd.DataFrame([{"grp": part << 32 | seq, **_group(rows)}])
@@ -386,7 +383,8 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) under the model of the rows outside ``held``."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"),
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
+                       F.col("doc_id").isNotNull().alias("known"), held.alias("held"),
                        F.coalesce("text", F.lit("")).alias("text"))
     groups = scratch(rows.mapInPandas(_groups, "grp long, docs binary, tokens binary, words binary"), "lm-groups")
     blob = "part int, grp long, blob binary"

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tunelake.llm.common import held_out, pack, unpack
 from tunelake.llm.labelled import labelled_sample
@@ -164,7 +165,7 @@ def scores(net: Network, texts: list[str]) -> np.ndarray:
 
 def with_score(docs: DataFrame, net: Network, name: str = "score", text: str = "text") -> DataFrame:
     """``docs`` with the quality score of ``text``; a column of that name is replaced."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def judged(t: pd.Series) -> pd.Series:
         return pd.Series(scores(net, t.tolist()))
 

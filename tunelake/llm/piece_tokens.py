@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 SPACE = "▁"
 END_ID = 2
@@ -224,20 +224,17 @@ def load(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``; row-local, no shuffle."""
-    schema = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
-
-    def run(batches):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encoded(texts: pd.Series) -> pd.Series:
         model, end = load(model_path), np.asarray([] if end_id is None else [end_id], np.int32)
-        for b in batches:
-            ids = [np.concatenate([model.encode(t or ""), end]) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": pd.Series(ids, dtype=object)})
+        return pd.Series([np.concatenate([model.encode(t), end]) for t in texts], dtype=object)
 
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", encoded(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
 
 
 def decode(model_path: str):
     """Column function: array of ids to text."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decoded(ids: pd.Series) -> pd.Series:
         model = load(model_path)
         return ids.map(lambda x: None if x is None else model.decode(x.tolist()))

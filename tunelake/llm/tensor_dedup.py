@@ -34,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tunelake.llm.common import release, scratch
 from tunelake.llm.components import components
@@ -90,26 +91,25 @@ def subkeys(sets: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+SIGNATURE = StructType([StructField("n_shingles", LongType()), StructField("digest", BinaryType()),
+                        StructField("a", ArrayType(LongType())), StructField("b", ArrayType(LongType()))])
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, digest, a, b) of every row; digest names the shingle set."""
-    def run(batches):
-        shingles, mult = Shingler(shingle), _multipliers(2 * SUBKEYS * EACH)
-        for batch in batches:
-            out = []
-            for d, t in zip(batch["doc_id"], batch["text"]):
-                s = shingles(t)
-                if len(s):
-                    k = subkeys(s, mult)
-                    out.append((d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                                k[:SUBKEYS], k[SUBKEYS:]))
-                else:
-                    out.append((d, 0, None, None, None))
-            f = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "a", "b"], dtype=object)
-            f["doc_id"] = pd.array(f["doc_id"].where(f["doc_id"].notna(), None), dtype="Int64")
-            yield f
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>")
+    @F.pandas_udf(SIGNATURE)
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        shingles, mult, out = Shingler(shingle), _multipliers(2 * SUBKEYS * EACH), []
+        for t in texts:
+            s = shingles(t)
+            if len(s):
+                k = subkeys(s, mult)
+                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:SUBKEYS], k[SUBKEYS:]))
+            else:
+                out.append((0, None, None, None))
+        return pd.DataFrame(out, columns=SIGNATURE.names).astype({"digest": object, "a": object, "b": object})
+
+    return docs.select("doc_id", signed(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
 
 def _slot(column: str):

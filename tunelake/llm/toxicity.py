@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tunelake.llm.common import held_out, pack, unpack
 from tunelake.llm.labelled import labelled_sample
@@ -154,14 +155,13 @@ def train(sample: DataFrame) -> Machine:
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
-    def run(batches):
-        cache: dict = {}
-        for b in batches:
-            rows = [machine.position(term_buckets(t, cache)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": sigmoid(machine.margins(rows))})
+    cache: dict = {}
+
+    @F.pandas_udf(DoubleType())
+    def judged(texts: pd.Series) -> pd.Series:
+        return pd.Series(sigmoid(machine.margins([machine.position(term_buckets(t, cache)) for t in texts])))
 
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(
-        run, docs.select("doc_id").schema.add("score", "double"))
+    return docs.select("doc_id", judged(F.coalesce(F.col(text), F.lit(""))).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held: Column | None = None, threshold: float = 0.7,
