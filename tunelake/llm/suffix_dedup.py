@@ -5,10 +5,12 @@ document with a smaller id goes.  Three distributed steps find those strings:
 
 1. Anchors.  The smallest hash of the 24-byte strings inside a window of
    ``length`` bytes depends on its bytes alone, so equal windows have equal
-   anchors.  Anchors are sent by hash; one that two documents have is shared.
+   anchors.  Anchors are sent by hash; one is shared if two documents have it
+   with equal bytes on its left or on its right, as far as any common window
+   must reach on one of the sides.
 2. Segments.  Runs of windows under a shared anchor are sent by that anchor,
    so equal windows meet in one task.  There the distinct segments are joined
-   to one text, its Burrows-Wheeler transform is built, and intervals are
+   to texts of about BATCH_BYTES (an anchor's stay together), whose Burrows-Wheeler transform is built, and intervals are
    expanded backward, breadth first, which finds common prefixes by increasing
    length; it stops at ``length``.  Borders not found by then part suffixes
    with equal first ``length`` bytes: such a class takes its smallest document.
@@ -30,6 +32,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,7 @@ from tunelake.llm.common import deltas, pack, partitions, release, scratch, unde
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
-GROUP_BYTES, CHUNK_BYTES = 24 << 20, 1 << 20
+GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 24 << 20, 1 << 20, 2 << 20
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +67,23 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return _mix(h[:len(raw) - GRAM + 1] * _ODD + eight[16:16 + len(raw) - GRAM + 1])
 
 
+def _side_marks(h: np.ndarray, at: np.ndarray, owner: np.ndarray, ends: np.ndarray, length: int):
+    """16-bit marks of the grams with the bytes that a window has on their left, or on their right.
+
+    A window holds length - GRAM bytes beside its anchor: at least half of them
+    on one side.  Grams that overlap the anchor's stand for these bytes.  0: the
+    document has no room there.
+    """
+    half = (length - GRAM + 1) // 2
+    begin = np.r_[0, ends[:-1]][owner]
+    left, right = at - half >= begin, at + GRAM + half <= ends[owner]
+    marks = []
+    for has, other in ((left, at - half), (right, at + half)):
+        both = _mix(h[at] * _ODD + h[np.clip(other, 0, len(h) - 1)])
+        marks.append(np.where(has, (both >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint16))
+    return marks
+
+
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best of every ``width`` successive values."""
     size = 1
@@ -122,25 +142,22 @@ def _send_anchors(parts: int, length: int):
         base = np.cumsum([0] + [len(f[0]) for f in found])
         anchors = np.concatenate([f[2] for f in found])
         docs = np.concatenate([f[3] + b for f, b in zip(found, base)])
-        order = np.lexsort((docs, anchors))
-        anchors, docs = anchors[order], docs[order]
-        new = np.r_[True, (anchors[1:] != anchors[:-1]) | (docs[1:] != docs[:-1])]
-        anchors, docs = anchors[new], docs[new]
-        first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        size = np.diff(np.r_[first, len(anchors)])
-        lo, hi = np.minimum.reduceat(ids[docs], first), np.maximum.reduceat(ids[docs], first)
-        here = lo != hi  # shared within this group: settled, but others must know
-        settled = np.repeat(here, size)
+        left, right = (np.concatenate([f[k] for f in found]) for k in (4, 5))
+        # What this group shares is settled here; of each anchor, mark and side one row goes on.
+        settled, send = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
+        for mark in (left, right):
+            shared, first = _shared(anchors, mark, ids[docs])
+            settled |= shared
+            send |= first
+        send |= ~settled
         out = []
         if settled.any():
-            out.append((turn % parts, 1, _anchor_blob(anchors[settled], docs[settled], ids, keys)))
-        # One row for each anchor of the group, unless it is settled several documents of one id.
-        send = ~settled
-        send[first[here]] = True
-        anchors, docs, open_ = anchors[send], docs[send], ~settled[send]
+            out.append((turn % parts, 1, _anchor_blob(anchors, docs, left, right, ids, keys, settled, settled)))
         part = (anchors >> np.uint64(40)).astype(np.int64) % parts
-        for p, at in _by_part(part, parts):
-            out.append((p, 0, _anchor_blob(anchors[at], docs[at], ids, keys, open_[at])))
+        for p, at in _by_part(np.where(send, part, -1), parts):
+            chosen = np.zeros(len(anchors), bool)
+            chosen[at] = True
+            out.append((p, 0, _anchor_blob(anchors, docs, left, right, ids, keys, chosen, ~settled)))
         return pd.DataFrame(out, columns=["part", "kind", "blob"])
 
     def run(batches):
@@ -152,7 +169,8 @@ def _send_anchors(parts: int, length: int):
                 seen = _sliding(np.pad(np.where(inside, m, np.uint64(0)), (length - GRAM,)),
                                 length - GRAM + 1, np.maximum)
                 at = np.flatnonzero(seen == h)
-                found.append((ids, keys, h[at], _owner(at, ends)))
+                owner = _owner(at, ends)
+                found.append((ids, keys, h[at], owner, *_side_marks(h, at, owner, ends, length)))
                 held += len(raw)
             if held >= GROUP_BYTES:
                 yield flush(found, turn)
@@ -170,30 +188,39 @@ def _by_part(part: np.ndarray, parts: int):
             yield p, order[cut[p]:cut[p + 1]]
 
 
-def _anchor_blob(anchors, docs, ids, keys, open_=None) -> bytes:
-    used, local = np.unique(docs, return_inverse=True)
-    return pack(deltas(anchors), local.astype(np.uint32), ids[used], keys[used],
-                np.ones(len(anchors), bool) if open_ is None else open_)
+def _shared(anchors, mark, ids) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose anchor and mark occur with another id too, and one row for each anchor and mark."""
+    order = np.lexsort((ids, mark, anchors))
+    a, m, d = anchors[order], mark[order], ids[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])])
+    many = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) & (m[start] != 0)
+    shared, first = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    shared[order] = np.repeat(many, np.diff(np.r_[start, len(a)]))
+    first[order[start]] = True
+    return shared, first
+
+
+def _anchor_blob(anchors, docs, left, right, ids, keys, chosen, open_) -> bytes:
+    at = np.flatnonzero(chosen)
+    at = at[np.argsort(anchors[at], kind="stable")]
+    used, local = np.unique(docs[at], return_inverse=True)
+    return pack(deltas(anchors[at]), local.astype(np.uint32), left[at], right[at], ids[used], keys[used], open_[at])
 
 
 def _meet_anchors(part: pd.DataFrame) -> pd.DataFrame:
     """(doc_id, crc, anchor) of every shared anchor."""
     out, met = [], []
     for kind, blob in zip(part["kind"], part["blob"]):
-        anchors, local, ids, keys, open_ = unpack(blob)
-        row = undeltas(anchors), ids[local], keys[local], open_
+        anchors, local, left, right, ids, keys, open_ = unpack(blob)
+        row = undeltas(anchors), ids[local], keys[local], open_, left, right
         (out if kind else met).append(row)
     frames = [pd.DataFrame({"doc_id": d, "crc": k.astype(np.int64), "anchor": a.astype(np.int64)})
-              for a, d, k, _ in out]
+              for a, d, k, *_ in out]
     if met:
-        anchors, ids, keys, open_ = (np.concatenate([m[i] for m in met]) for i in range(4))
-        order = np.argsort(anchors, kind="stable")
-        anchors, ids, keys, open_ = anchors[order], ids[order], keys[order], open_[order]
-        first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        size = np.diff(np.r_[first, len(anchors)])
-        many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        many |= ~np.logical_and.reduceat(open_, first)  # one group has settled it
-        good = np.repeat(many, size) & open_
+        anchors, ids, keys, open_, left, right = (np.concatenate([m[i] for m in met]) for i in range(6))
+        # A row that its group has settled stands for several documents: it is an id of its own.
+        who = np.where(open_, ids, np.iinfo(np.int64).min)
+        good = open_ & (_shared(anchors, left, who)[0] | _shared(anchors, right, who)[0])
         frames.append(pd.DataFrame({"doc_id": ids[good], "crc": keys[good].astype(np.int64),
                                     "anchor": anchors[good].astype(np.int64)}))
     return pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "crc": [], "anchor": []})
@@ -210,7 +237,7 @@ def _send_segments(parts: int, length: int):
             for d, (crc, offsets) in docs.items():
                 if d != least:
                     settled += [(d, crc, o, o + len(raw)) for o in offsets]
-            sent.setdefault((anchor >> 40) % parts, []).append((raw, least, *docs[least]))
+            sent.setdefault((anchor >> 40) % parts, []).append((raw, least, *docs[least], anchor))
         out = []
         if settled:
             s = np.asarray(settled, np.int64)
@@ -221,7 +248,8 @@ def _send_segments(parts: int, length: int):
             offsets = np.concatenate([np.asarray(r[3], np.uint32) for r in rows])
             out.append((p, 0, pack(np.frombuffer(b"".join([r[0] for r in rows]), np.uint8), sizes,
                                    np.asarray([r[1] for r in rows], np.int64),
-                                   np.asarray([r[2] for r in rows], np.uint32), n, offsets)))
+                                   np.asarray([r[2] for r in rows], np.uint32), n, offsets,
+                                   np.asarray([r[4] for r in rows], np.uint64))))
         return pd.DataFrame(out, columns=["part", "kind", "blob"])
 
     def run(batches):
@@ -260,7 +288,7 @@ def _send_segments(parts: int, length: int):
                     else:
                         seen[d] = (int(keys[k]), [s - int(begin[k])])
                         held += 300
-            if held >= GROUP_BYTES * 4:
+            if held >= 2 * GROUP_BYTES:
                 yield flush(segments, turn)
                 segments, held, turn = {}, 0, turn + 1
         if segments:
@@ -316,11 +344,17 @@ def class_borders(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     for _ in range(length):
         size = hi - lo
         # All places of all intervals, and where they go by one symbol to the left.
-        place = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        of.fill(-1)
-        of[step[place]] = np.repeat(np.arange(len(lo)), size)
-        at = np.flatnonzero(of >= 0)
-        cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(of[at]) != 0) | (np.diff(symbol[at]) != 0)])
+        goal = step[np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        owner = np.repeat(np.arange(len(lo)), size)
+        if len(goal) > n // 8:
+            of.fill(-1)
+            of[goal] = owner
+            at = np.flatnonzero(of >= 0)
+            owner = of[at]
+        else:
+            by = np.argsort(goal)
+            at, owner = goal[by], owner[by]
+        cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(owner) != 0) | (np.diff(symbol[at]) != 0)])
         lo, hi = at[cut], at[np.r_[cut[1:], len(at)] - 1] + 1
         new = ~border[hi]
         lo, hi = lo[new], hi[new]
@@ -365,45 +399,55 @@ def _meet_segments(length: int):
             if kind:
                 out.append(np.stack(unpack(blob)))
                 continue
-            raw, sizes, ids, keys, n, offsets = unpack(blob)
+            raw, sizes, ids, keys, n, offsets, anchors = unpack(blob)
             raw, at, o = raw.tobytes(), np.r_[0, np.cumsum(sizes)].tolist(), np.r_[0, np.cumsum(n)].tolist()
-            rows += [(raw[at[k]:at[k + 1]], int(ids[k]), int(keys[k]), offsets[o[k]:o[k + 1]]) for k in range(len(ids))]
-        rows.sort(key=lambda r: r[:3])
-        texts, docs, settled = [], [], []
-        owners = []
-        for raw, d, crc, offsets in rows:
-            if texts and texts[-1] == raw:
-                if d != docs[-1]:  # a smaller document has the whole segment
-                    settled += [(d, crc, int(x), int(x) + len(raw)) for x in offsets]
-                    continue
-            else:
-                texts.append(raw)
-                docs.append(d)
-            owners.append((len(texts) - 1, crc, offsets))
-        if settled:
-            out.append(np.asarray(settled, np.int64).T)
-        if texts:
-            docs = np.asarray(docs, np.int64)
-            sizes = np.asarray([len(x) for x in texts])
-            begin = np.cumsum(sizes) - sizes
-            gone = least_documents(texts, docs, length) < np.repeat(docs, sizes)
-            text = np.repeat(np.arange(len(texts)), sizes)
-            at = np.flatnonzero(gone)
-            if len(at):
-                cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(text[at]) != 0)])
-                lo, hi = at[cut], at[np.r_[cut[1:], len(at)] - 1] + length
-                which = text[lo]
-                found = {}
-                for w, a, b in zip(which.tolist(), (lo - begin[which]).tolist(), (hi - begin[which]).tolist()):
-                    found.setdefault(w, []).append((a, b))
-                ranges = [(docs[w], crc, int(x) + a, int(x) + b) for w, crc, offsets in owners if w in found
-                          for x in offsets for a, b in found[w]]
-                out.append(np.asarray(ranges, np.int64).T)
+            rows += [(anchor, raw[at[k]:at[k + 1]], d, key, offsets[o[k]:o[k + 1]]) for k, (anchor, d, key) in enumerate(
+                zip(anchors.tolist(), ids.tolist(), keys.tolist()))]
+        rows.sort(key=lambda r: r[:4])
+        ranges: list[tuple[int, int, int, int]] = []
+        batch, held = [], 0
+        for anchor, group in groupby(rows, key=lambda r: r[0]):
+            texts = []  # of this anchor: (bytes, smallest document, rows of that document)
+            for _, raw, d, crc, offsets in group:
+                if texts and texts[-1][0] == raw:
+                    if d != texts[-1][1]:  # a smaller document has the whole segment
+                        ranges += [(d, crc, x, x + len(raw)) for x in offsets.tolist()]
+                        continue
+                else:
+                    texts.append((raw, d, []))
+                texts[-1][2].append((crc, offsets))
+            if len(texts) > 1:  # equal windows have equal anchors: one text alone loses nothing
+                batch += texts
+                held += sum(len(t[0]) for t in texts)
+            if held >= BATCH_BYTES:
+                ranges += _ranges(batch, length)
+                batch, held = [], 0
+        if batch:
+            ranges += _ranges(batch, length)
+        if ranges:
+            out.append(np.asarray(ranges, np.int64).T)
         whole = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
         return pd.DataFrame(dict(zip(("doc_id", "crc", "start", "stop"), whole)))
     return run
 
 
+def _ranges(batch: list, length: int) -> list[tuple[int, int, int, int]]:
+    """(doc_id, crc, start, stop) of what smaller documents in the batch have too."""
+    docs = np.asarray([b[1] for b in batch], np.int64)
+    sizes = np.asarray([len(b[0]) for b in batch])
+    begin = np.cumsum(sizes) - sizes
+    gone = least_documents([b[0] for b in batch], docs, length) < np.repeat(docs, sizes)
+    at = np.flatnonzero(gone)
+    if not len(at):
+        return []
+    text = np.repeat(np.arange(len(batch)), sizes)[at]
+    cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(text) != 0)])
+    which = text[cut]
+    lo, hi = at[cut] - begin[which], at[np.r_[cut[1:], len(at)] - 1] + length - begin[which]
+    return [(batch[w][1], crc, x + a, x + b) for w, a, b in zip(which.tolist(), lo.tolist(), hi.tolist())
+            for crc, offsets in batch[w][2] for x in offsets.tolist()]
+
+
 # --- operator ----------------------------------------------------------------------------
 
 def _slots(keys: DataFrame) -> DataFrame:
