@@ -60,6 +60,13 @@ def release(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def release_part(table: DataFrame, part: str) -> None:
+    """Delete one partition folder (``kind=1``) of a scratch table."""
+    path = getattr(table, "_scratch_path", None)
+    if path in _LIVE:
+        _delete(_LIVE[path], f"{path}/{part}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

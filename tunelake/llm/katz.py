@@ -43,11 +43,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import deltas, pack, partitions, release, scratch, tidy, undeltas, unpack
+from tunelake.llm.common import deltas, pack, partitions, release_part, scratch, tidy, undeltas, unpack
 
 CUTOFF = 5
 HOT = 1000
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 # Not words: words hold no white space and have a letter at least.
 START, END = b" ", b""
 
@@ -112,8 +112,9 @@ def alpha(sums: np.ndarray, seen: np.ndarray, d: np.ndarray) -> tuple[np.ndarray
 
 # --- 1. groups ----------------------------------------------------------------------
 
-def _group(rows: list) -> dict:
-    """rows: (doc_id, known, held, words) -> packed group.  Word 0 is START, word 1 END."""
+def _group(grp: int, rows: list) -> pd.DataFrame:
+    """rows: (doc_id, known, held, words) -> packed documents (kind 0) and words with their training
+    counts (kind 1).  Word 0 is START, word 1 END."""
     number: dict[bytes, int] = {START: 0, END: 1}
     out = []
     for *_, words in rows:
@@ -123,9 +124,11 @@ def _group(rows: list) -> dict:
     tokens = np.concatenate(out)
     sizes = np.asarray([len(x) for x in out], np.uint32)
     ids, known, held = (np.asarray([r[k] for r in rows], t) for k, t in enumerate((np.int64, bool, bool)))
-    words = list(number)
-    return {"docs": pack(deltas(ids), known, held, sizes), "tokens": pack(tokens),
-            "words": pack(np.frombuffer(b"\n".join(words), np.uint8))}
+    n = np.bincount(tokens, np.repeat(~held, sizes), len(number)).astype(np.int64)
+    n[1] = (~held).sum()
+    words = pack(np.frombuffer(b"\n".join(number), np.uint8))
+    return pd.DataFrame({"kind": [0, 1], "grp": grp, "first": [pack(deltas(ids), known, held, sizes), words],
+                         "second": [pack(tokens), pack(n)]})
 
 
 def _groups(batches):
@@ -136,10 +139,10 @@ def _groups(batches):
             rows.append((d, k, h, raw.split()))
             size += len(raw) + 64
             if size >= GROUP_BYTES:
-                yield pd.DataFrame([{"grp": part << 32 | seq, **_group(rows)}])
+                yield _group(part << 32 | seq, rows)
                 rows, size, seq = [], 0, seq + 1
     if rows:
-        yield pd.DataFrame([{"grp": part << 32 | seq, **_group(rows)}])
+        yield _group(part << 32 | seq, rows)
 
 
 class Group:
@@ -184,10 +187,8 @@ def _row(kind, part=0, grp=0, r=0, n=0, blob=None):
 def _send_words(parts: int):
     def run(batches):
         for b in batches:
-            for grp, docs, tokens, words in zip(b["grp"], b["docs"], b["tokens"], b["words"]):
-                g = Group(docs, tokens)
-                words = unpack(words)[0].tobytes().split(b"\n")
-                n = np.bincount(g.word, g.train, len(words)).astype(np.int64)
+            for grp, words, n in zip(b["grp"], b["first"], b["second"]):
+                words, n = unpack(words)[0].tobytes().split(b"\n"), unpack(n)[0]
                 part = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % parts
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -260,7 +261,7 @@ def _split_pairs(g: Group, number, count, hot_from: float, parts: int):
 def _send_pairs(parts: int, hot_from: float):
     def run(batches):
         for b in batches:
-            for grp, docs, tokens, replies in zip(b["grp"], b["docs"], b["tokens"], b["words_in"]):
+            for grp, docs, tokens, replies in zip(b["grp"], b["first"], b["second"], b["words_in"]):
                 g = Group(docs, tokens)
                 number, count = _numbers(replies, parts)
                 first, second, n, _, hot, split = _split_pairs(g, number, count, hot_from, parts)
@@ -275,6 +276,11 @@ def _send_pairs(parts: int, hot_from: float):
     return run
 
 
+def _columns(sums: np.ndarray) -> np.ndarray:
+    """Bit r - 1: some word was seen r times after this one."""
+    return ((sums > 0) << np.arange(CUTOFF + 1)).sum(1).astype(np.uint8)
+
+
 def _add_pairs(uni: Unigrams):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
@@ -297,13 +303,15 @@ def _add_pairs(uni: Unigrams):
         seen = c > 0
         np.add.at(sums, (head[seen], column[seen]), c[seen])
         mass = np.bincount(head, p2, len(heads))
+        total, which = sums.sum(1), _columns(sums)
         out, k, is_hot = [], 0, np.zeros(len(heads), bool)
         for grp, mine, hot, length, _, _, tail, _ in sent:
             at = np.searchsorted(heads, mine)
             is_hot[at[hot]] = True
-            total = sums[at]
-            # Most first words were seen once: their columns are nearly empty.
-            out.append(_row(0, part, grp, blob=pack(c[pair[k:k + len(tail)]], total.T.ravel(), mass[at])))
+            answer = c[pair[k:k + len(tail)]]
+            # Backoff weights are needed only for first words with a pair that training lacks.
+            need = at[np.unique(np.repeat(np.arange(len(mine)), length)[answer == 0])]
+            out.append(_row(0, part, grp, blob=pack(answer, total[at], which[at], sums[need].T.ravel(), mass[need])))
             k += len(tail)
         out += [_row(1, part, r=r, n=int((c == r).sum())) for r in range(1, CUTOFF + 2)]
         out.append(_row(2, part, blob=pack(deltas(f[seen]), s[seen], c[seen])))
@@ -337,24 +345,27 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def _score(parts: int, hot_from: float, uni: Unigrams, d: np.ndarray, hot_sums: dict):
     def run(batches):
         for b in batches:
-            for docs, tokens, words_in, pairs_in in zip(b["docs"], b["tokens"], b["words_in"], b["pairs_in"]):
+            for docs, tokens, words_in, pairs_in in zip(b["first"], b["second"], b["words_in"], b["pairs_in"]):
                 g = Group(docs, tokens)
                 number, count = _numbers(words_in, parts)
                 first, second, _, which, hot, split = _split_pairs(g, number, count, hot_from, parts)
                 answers = {r["part"]: r["blob"] for r in pairs_in}
                 c = np.empty(len(first), np.int64)
                 sums, mass = np.zeros((len(number), CUTOFF + 1), np.int64), np.zeros(len(number))
+                total, seen_as = np.zeros(len(number), np.int64), np.zeros(len(number), np.uint8)
                 for p, at in split:
-                    mine, s, m = unpack(answers[p])
+                    mine, n, columns, s, m = unpack(answers[p])
                     c[at] = mine
-                    heads = np.unique(first[at])
-                    cold = ~hot[heads]
-                    sums[heads[cold]] = s.reshape(CUTOFF + 1, -1).T[cold]
-                    mass[heads[cold]] = m[cold]
+                    heads, need = np.unique(first[at]), np.unique(first[at][mine == 0])
+                    total[heads], seen_as[heads] = n, columns
+                    sums[need], mass[need] = s.reshape(CUTOFF + 1, -1).T, m
                 for k in np.flatnonzero(hot):
-                    sums[k], mass[k] = hot_sums.get(int(number[k]), (sums[k], 0.0))
-                back, scale = alpha(sums, mass, d)
-                total = sums.sum(1)
+                    sums[k], mass[k] = hot_sums.get(int(number[k]), (0, 0.0))
+                    total[k], seen_as[k] = sums[k].sum(), _columns(sums[k:k + 1])[0]
+                back, _ = alpha(sums, mass, d)
+                # As in alpha(): a context that gives up nothing by its discounts is scaled.
+                gives = seen_as & sum(1 << r for r in range(CUTOFF) if d[r + 1] < 1) > 0
+                scale = np.where(gives, 1.0, total / (total + 1.0))
                 p1 = uni.p(count)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     seen = discounted(c, d) * scale[first] / total[first]
@@ -386,16 +397,18 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
                        F.col("doc_id").isNotNull().alias("known"), held.alias("held"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    groups = scratch(rows.mapInPandas(_groups, "grp long, docs binary, tokens binary, words binary"), "lm-groups")
+    packed = scratch(rows.mapInPandas(_groups, "kind int, grp long, first binary, second binary"), "lm-groups", by=("kind",))
+    groups, words = (packed.where(F.col("kind") == k).drop("kind") for k in (0, 1))
     blob = "part int, grp long, blob binary"
-    unigrams = scratch(groups.mapInPandas(_send_words(parts), blob).groupBy("part")
+    unigrams = scratch(words.mapInPandas(_send_words(parts), blob).groupBy("part")
                        .applyInPandas(_add_words(parts), OUT), "lm-unigrams", by=("kind",))
+    release_part(packed, "kind=1")
     tidy(spark)
     n = _counts(unigrams)
     total, kinds = n.pop(0, 0), n.pop(-1, 0)
     uni = Unigrams.of(total, kinds, n)
     hot_from = max(1.0, total / HOT)
-    numbered = groups.select("grp", "docs", "tokens").join(_by_group(unigrams, "words_in"), "grp")
+    numbered = groups.join(_by_group(unigrams, "words_in"), "grp")
     bigrams = scratch(numbered.mapInPandas(_send_pairs(parts, hot_from), blob).groupBy("part")
                       .applyInPandas(_add_pairs(uni), OUT), "lm-bigrams", by=("kind",))
     tidy(spark)
