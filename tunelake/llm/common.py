@@ -12,6 +12,7 @@ import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,24 @@ def held_out(doc_id, modulus: int, remainder: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
+# --- bounded batches ----------------------------------------------------------
+
+PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def in_slices(fn, schema: pa.Schema = PACKED, rows: int = 256):
+    """``fn`` (an iterator of frames to an iterator of frames) for mapInArrow, fed ``rows`` rows at a time.
+
+    Only a slice of an Arrow batch becomes Python objects at once, so memory
+    doesn't follow the session's batch size.
+    """
+    def run(batches):
+        slices = (b.slice(i, rows).to_pandas() for b in batches for i in range(0, b.num_rows, rows))
+        for frame in fn(slices):
+            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+    return run
+
+
 # --- packed arrays -----------------------------------------------------------
 
 def pack(*arrays: np.ndarray) -> bytes:

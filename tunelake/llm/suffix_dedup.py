@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tunelake.llm.common import deltas, pack, partitions, release, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, in_slices, pack, partitions, release, scratch, undeltas, unpack
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
-GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 24 << 20, 1 << 20, 2 << 20
+GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 16 << 20, 1 << 19, 1 << 20
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -288,7 +288,7 @@ def _send_segments(parts: int, length: int):
                     else:
                         seen[d] = (int(keys[k]), [s - int(begin[k])])
                         held += 300
-            if held >= 2 * GROUP_BYTES:
+            if held >= GROUP_BYTES:
                 yield flush(segments, turn)
                 segments, held, turn = {}, 0, turn + 1
         if segments:
@@ -467,7 +467,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
     blob = "part int, kind int, blob binary"
     shared = scratch(
-        rows.mapInPandas(_send_anchors(parts, length), blob)
+        rows.mapInArrow(in_slices(_send_anchors(parts, length)), blob)
         .groupBy("part").applyInPandas(_meet_anchors, "doc_id long, crc long, anchor long"), "anchors")
     listed = shared.groupBy("doc_id", "crc").agg(F.collect_set("anchor").alias("anchors"))
     near = rows.withColumn("_slot", F.xxhash64("doc_id").bitwiseAND(SLOTS - 1)).join(
@@ -475,7 +475,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     held = (near.withColumn("crc", F.crc32(F.col("text").cast("binary")))
             .join(listed, ["doc_id", "crc"]).select("doc_id", "text", "anchors"))
     ranges = scratch(
-        held.mapInPandas(_send_segments(parts, length), blob)
+        held.mapInArrow(in_slices(_send_segments(parts, length)), blob)
         .groupBy("part").applyInPandas(_meet_segments(length), "doc_id long, crc long, start long, stop long"), "ranges")
     release(shared)
     spans = F.aggregate(
