@@ -19,7 +19,7 @@ def test_eda_job_on_turn_table(spark, tmpdir_fresh):
     assert row.total_sequence_quantiles.p99 == pytest.approx(q.total_p99)
     assert glob.glob(f"{tmpdir_fresh}/conversations_eda_summary.json/*.json")
     md = "\n".join(r.value for r in spark.read.text(f"{tmpdir_fresh}/conversations_eda_report.md").collect())
-    assert "Recommended Sequence Length Cutoff" in md
+    assert "samples fit into" in md
     assert spark.read.parquet(f"{tmpdir_fresh}/conversations_total_histogram.parquet").count() == 60
 
 
@@ -44,9 +44,14 @@ def test_evaluation_then_significance(spark, tmpdir_fresh):
                                    "small", "large").first()
     assert len(payload.scores_base) == len(payload.scores_fused) == 12
     assert "perplexity" in payload.base_results
+    full = J.run_evaluation_job(spark, items, os.path.join(tmpdir_fresh, "lib"), lambda: SC.echo_model(2),
+                                lambda: SC.echo_model(4), library=True).first()
+    assert 0 <= full.base_results["rouge2"] <= full.base_results["rouge1"] <= 100 and full.base_results["rouge1"] > 0
     vec = glob.glob(f"{out}/raw_evaluation_vectors.json/*.json")[0]
     rep = J.run_significance_job(spark, vec, os.path.join(tmpdir_fresh, "sig"))
     assert rep.n == 12 and rep.mean_delta > 0
+    written = spark.read.json(os.path.join(tmpdir_fresh, "sig", "statistical_significance_report.json")).first()
+    assert written.aggregate_metrics.base.rougeL == pytest.approx(payload.base_results["rougeL"])
     assert spark.read.parquet(os.path.join(tmpdir_fresh, "sig", "delta_histogram.parquet")).count() == 15
 
 
@@ -56,3 +61,23 @@ def test_training_data_job(spark, tmpdir_fresh):
     assert n > 0 and b.where(F.size("input_ids") != F.col("batch_max_len")).count() == 0
     plan = spark.read.parquet(f"{tmpdir_fresh}/accumulation_plan.parquet")
     assert plan.count() == 3 * 8
+
+
+def test_each_item_is_scored_once(spark, tmpdir_fresh):
+    calls = os.path.join(tmpdir_fresh, "calls")
+    os.makedirs(calls)
+    items = os.path.join(tmpdir_fresh, "items.jsonl")
+    with open(items, "w") as f:
+        f.writelines(json.dumps({"prompt": f"p{i} q", "reference": f"p{i}"}) + "\n" for i in range(10))
+
+    def counting():
+        import os as o
+        import uuid
+        model = SC.echo_model(3)
+
+        def run(batch):
+            with open(o.path.join(calls, f"{uuid.uuid4().hex}-{len(batch)}"), "w"):
+                return model(batch)
+        return run
+    J.run_evaluation_job(spark, items, os.path.join(tmpdir_fresh, "out"), counting, lambda: SC.echo_model(3))
+    assert sum(int(f.rsplit("-", 1)[1]) for f in os.listdir(calls)) == 10

@@ -100,3 +100,10 @@ def test_memory_formulas(spark):
     r = RU.memory_telemetry(df).orderBy("event_id").collect()
     assert r[0].free_gb == 6.0 and r[0].fragmentation_pct == 25.0 and r[0].freed_gb is None
     assert r[1].freed_gb == 2.5
+
+
+def test_perplexity_of_a_missing_loss(spark):
+    from tunelake.operators.losses import perplexity
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.0,), (1.0,), (500.0,)], "x double")
+    got = [r.p for r in df.select(perplexity(F.col("x")).alias("p")).collect()]
+    assert got[:3] == [None, None, 1.0] and got[3] == pytest.approx(2.718281828) and got[4] == pytest.approx(2.6881e43, rel=1e-4)

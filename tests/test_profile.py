@@ -48,7 +48,7 @@ def test_eda_summary_counts_before_drop_and_reports(spark, tmpdir_fresh):
     assert row.total_sequence_quantiles.p50 == pytest.approx(np.percentile([5, 5], 50))
     assert row.recommended_max_seq_length == 2048
     md = render_eda_markdown(row)
-    assert "| `prompt` | 1 | WARNING (1 nulls) |" in md and "**2048**" in md
+    assert "| prompt | 1 | has gaps |" in md and "2048" in md
     write_summary_json(s, f"{tmpdir_fresh}/summary")
     back = spark.read.json(f"{tmpdir_fresh}/summary").first()
     assert back.total_samples == 3

@@ -33,3 +33,10 @@ def test_tokenizer_and_model_callables(spark):
     s = {r.id: r for r in SC.score_with_model(df, lambda: SC.echo_model(2), keep=["id"]).collect()}
     assert s[1].prediction == "Hello, world!" and s[2].prediction == "a b"
     assert s[2].loss == pytest.approx(np.log1p(1.0)) and s[2].num_tokens == 2
+
+
+def test_two_tokenizers_in_one_query(spark):
+    df = spark.createDataFrame([("ab cd",)], "t string")
+    row = df.select(SC.tokenizer_lengths(F.col("t"), lambda: str.split).alias("w"),
+                    SC.tokenizer_lengths(F.col("t"), lambda: list).alias("c")).first()
+    assert (row.w, row.c) == (2, 5)

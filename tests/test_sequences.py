@@ -41,7 +41,7 @@ def test_vocab_and_unknown_tokens(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, ["a", "d"]), (3, [])], "id bigint, t array<string>")
     voc = V.vocab_table(df, "t", size=2)
     assert [(r.token, r["count"], r.id) for r in voc.orderBy("id").collect()] == [("a", 3, 2), ("b", 1, 3)]
-    enc = {r.id: r.t_ids for r in V.encode_columns(df, "id", {"t": F.col("t")}, voc, 2).collect()}
+    enc = {r.id: r.t_ids for r in V.encode_columns(df, "id", {"t": F.col("t")}, voc).collect()}
     assert enc == {1: [2, 3, 2, 1], 2: [2, 1], 3: []}
 
 
@@ -81,8 +81,19 @@ def test_shuffle_and_split_are_partitioning_independent(spark):
     assert 400 < sum(v == "train" for v in s1.values()) < 500
 
 
-def test_encode_rejects_oversized_vocabulary(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "c"])], "id bigint, t array<string>")
-    voc = V.vocab_table(df, "t", size=3)
-    with pytest.raises(ValueError):
-        V.encode_columns(df, "id", {"t": F.col("t")}, voc, 2)
+def test_every_token_has_an_id_and_rows_stay_apart(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (1, ["c", "a", "a"]), (2, None)], "id bigint, t array<string>")
+    voc = V.vocab_table(df, "t")
+    ids = {r.token: r.id for r in voc.collect()}
+    assert ids == {"a": 2, "c": 3, "b": 4}
+    enc = sorted((r.id, r.t_ids) for r in V.encode_columns(df, "id", {"t": F.col("t")}, voc).collect())
+    assert enc == [(1, [2, 4, 3]), (1, [3, 2, 2]), (2, [])]
+
+
+def test_ids_of_a_user_tokenizer(spark):
+    from tunelake.plans.training_data import training_sequences
+    pairs = spark.createDataFrame([(1, "ab cd", "e")], "conv_id bigint, prompt string, response string")
+    template = "{instruction}"
+    s = training_sequences(pairs, tokenizer=lambda: lambda t: [ord(c) for c in t], template=template).first()
+    n = len(s.prompt_ids)
+    assert s.labels[:n] == [-100] * n and s.labels[n:] == s.input_ids[n:] and chr(s.labels[n]) == "e"

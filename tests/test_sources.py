@@ -28,8 +28,7 @@ def test_score_vectors_roundtrip_and_mismatch(spark, tmpdir_fresh):
     scores = R.read_score_vectors(spark, p).where("fused IS NOT NULL")
     pay = evaluation_payload(scores, "b", "f", {"rougeL": 1.0}, {"rougeL": 2.0}).first()
     assert pay.scores_base == [0.0, 6.8182] and pay.base_results == {"rougeL": 1.0}
-    with pytest.raises(ValueError):
-        evaluation_payload(scores, "b", "f", {}, {}, max_vector_len=1)
+    assert evaluation_payload(scores, "b", "f", {}, {}, with_vectors=False).first().scores_base == []
 
 
 def test_eval_items_and_missing_file(spark, tmpdir_fresh):
@@ -39,7 +38,8 @@ def test_eval_items_and_missing_file(spark, tmpdir_fresh):
     assert R.read_eval_items(spark, p).count() == 2
     with pytest.raises(FileNotFoundError):
         R.read_eval_items(spark, p + ".missing")
-    assert R.read_eval_items(spark, p + ".missing", allow_default=True).count() == 0
+    assert R.read_eval_items(spark, p + ".missing", allow_default=True).count() == len(R.DEFAULT_EVAL_ITEMS)
+    assert R.read_eval_items(spark, "file://" + p).count() == 2
 
 
 def test_trainer_states(spark, tmpdir_fresh):
@@ -54,7 +54,16 @@ def test_trainer_states(spark, tmpdir_fresh):
     st = R.read_trainer_states(spark, root)
     assert sorted(r.step for r in st.collect()) == [100, 200]
     write_trainer_states(st.withColumn("run", F.lit("r")), os.path.join(tmpdir_fresh, "out"))
-    assert spark.read.json(os.path.join(tmpdir_fresh, "out")).count() == 2
+    back = R.read_trainer_states(spark, os.path.join(tmpdir_fresh, "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, st.collect()))
+    assert R.read_trainer_states(spark, "file://" + root).count() == 2
+
+
+def test_unknown_split_is_an_error(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "plain.parquet")
+    spark.range(3).write.parquet(p)
+    with pytest.raises(ValueError):
+        R.read_pairs_source(spark, p, split="validation")
 
 
 def test_cap_samples_keeps_whole_conversations(spark):

@@ -89,10 +89,10 @@ def test_stream_training_sequences_equal_batch(spark, tmpdir_fresh):
     t = chat_template(batch_pairs).select(F.concat(whitespace_tokens("formatted_prompt"),
                                                    whitespace_tokens("formatted_response")).alias("t"))
     vocab = vocab_table(t, "t", 500)  # small: exercises unknown tokens
-    want = training_sequences(batch_pairs, vocab=vocab, vocab_size=500).select("conv_id", "input_ids", "labels")
+    want = training_sequences(batch_pairs, vocab=vocab).select("conv_id", "input_ids", "labels")
     out = os.path.join(tmpdir_fresh, "seqs")
     stream = stream_pairs_source(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
-    q = J.stream_training_sequences(stream, vocab, out, os.path.join(tmpdir_fresh, "ck5"), vocab_size=500)
+    q = J.stream_training_sequences(stream, vocab, out, os.path.join(tmpdir_fresh, "ck5"))
     q.awaitTermination()
     got = spark.read.parquet(out).select("conv_id", "input_ids", "labels")
     assert got.count() == want.count() == 98

@@ -9,6 +9,8 @@ correction.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,30 +21,27 @@ from pyspark.sql import types as T
 EXACT_SIGNED_RANK_MAX_N = 50
 
 
-def _betacf(a: float, b: float, x: float, maxit: int = 500, eps: float = 1e-16) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, maxit + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float, limit: int = 1 << 14) -> float:
+    """1 / (1 + e1 / (1 + e2 / ...)) of the incomplete beta function (DLMF 8.17.22).
+
+    The first n terms are folded from the last one up, with n doubled until
+    the value stays; NaN if it doesn't within ``limit`` terms.
+    """
+    def term(k: int) -> float:
+        m, odd = divmod(k, 2)
+        if odd:
+            return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+    n, before = 16, math.nan
+    while n <= limit:
+        value = 1.0
+        for k in range(n, 0, -1):
+            value = 1.0 + term(k) / value
+        if abs(value - before) <= 1e-15 * abs(value):
+            return 1.0 / value
+        n, before = 2 * n, value
+    return math.nan
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -54,8 +53,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
     lfront = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
               + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lfront) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lfront) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(lfront) * _beta_fraction(a, b, x) / a
+    return 1.0 - math.exp(lfront) * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided_p(t: float | None, df: float | None) -> float | None:
@@ -67,16 +66,21 @@ def t_two_sided_p(t: float | None, df: float | None) -> float | None:
     return betainc_reg(df / 2.0, 0.5, df / (df + t * t))
 
 
+@lru_cache(maxsize=None)
+def _signed_rank_sums(n: int) -> tuple[int, ...]:
+    """How many sign patterns of the ranks 1..n give at most each rank sum."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        counts = [(counts[s] if s < len(counts) else 0) + (counts[s - rank] if s >= rank else 0)
+                  for s in range(len(counts) + rank)]
+    return tuple(accumulate(counts))
+
+
 def signed_rank_cdf(w: float, n: int) -> float:
-    """P(T <= w) for the signed-rank statistic of n untied, non-zero values."""
-    top = n * (n + 1) // 2
-    counts = [0] * (top + 1)
-    counts[0] = 1
-    for k in range(1, n + 1):
-        for s in range(top, k - 1, -1):
-            counts[s] += counts[s - k]
-    upto = min(int(math.floor(w + 1e-9)), top)
-    return sum(counts[: upto + 1]) / float(2 ** n)
+    """P(T <= w) for the signed-rank statistic of n untied, non-zero values (one table for each n)."""
+    table = _signed_rank_sums(n)
+    at = min(math.floor(w + 1e-9), len(table) - 1)
+    return table[at] / 2 ** n if at >= 0 else 0.0
 
 
 def wilcoxon_p(w: float | None, n: int | None, tie_term: float | None, n_zero: int | None,

@@ -36,20 +36,19 @@ def padded_batches(seqs: DataFrame, position: str = "position", batch_size: int
 
 
 def accumulation_plan(batches: DataFrame, n_batches: int, grad_accum: int = 8,
-                      max_steps: int = 1000) -> DataFrame:
+                      max_steps: int | None = None) -> DataFrame:
     """Which micro-batch feeds which optimizer step.
 
     Micro-batch ``k`` (0-based over the whole run) is batch ``k mod n_batches``
     of epoch ``k div n_batches`` (the data is re-iterated in the same order);
-    step = k div grad_accum; only steps < max_steps are kept.  ``batches``
-    has one row per ``batch_id``; the output is bounded by
-    max_steps * grad_accum rows.
+    step = k div grad_accum; only steps < max_steps are kept, or one epoch
+    without ``max_steps``.  ``batches`` has one row per ``batch_id``.
     """
     if n_batches <= 0:
         return batches.select(F.lit(None).cast("bigint").alias("step"),
                               F.lit(None).cast("bigint").alias("micro_step"),
                               F.lit(None).cast("bigint").alias("epoch"), "batch_id").limit(0)
-    needed = max_steps * grad_accum
+    needed = n_batches if max_steps is None else max_steps * grad_accum
     epochs = -(-needed // n_batches)
     e = batches.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))).alias("epoch"))
     k = F.col("epoch") * F.lit(n_batches) + F.col("batch_id")

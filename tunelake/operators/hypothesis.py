@@ -16,18 +16,20 @@ NAN, INF = float("nan"), float("inf")
 
 def check_paired(spark_df: DataFrame, base: str = "base", fused: str = "fused") -> int:
     """Single comparison input checks; returns n.  One tiny aggregate row."""
-    r = spark_df.agg(F.count(base).alias("nb"), F.count(fused).alias("nf")).first()
-    if r["nb"] != r["nf"]:
-        raise ValueError(f"Vector dimension mismatch: len(scores_base)={r['nb']} != len(scores_fused)={r['nf']}")
-    if r["nb"] < 2:
-        raise ValueError("Hypothesis testing requires at least 2 paired observations.")
-    return int(r["nb"])
+    r = spark_df.agg(F.count_if(F.col(base).isNotNull() & F.col(fused).isNotNull()).alias("both"),
+                     F.count_if(F.col(base).isNotNull() != F.col(fused).isNotNull()).alias("one")).first()
+    if r["one"]:
+        raise ValueError(f"{r['one']} observations have a score on one side only")
+    if r["both"] < 2:
+        raise ValueError(f"a paired test needs two observations or more, got {r['both']}")
+    return int(r["both"])
 
 
 def paired_summary(paired: DataFrame, group: list[str], base: str = "base", fused: str = "fused") -> DataFrame:
-    """Means, delta, t statistic and Cohen's d per group, in one aggregation."""
+    """Means, delta, t statistic and Cohen's d per group, in one aggregation.
+    Only rows with both scores count."""
     d = F.col(fused) - F.col(base)
-    g = paired.groupBy(*group).agg(
+    g = paired.where(d.isNotNull()).groupBy(*group).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.avg(base).alias("base_mean"), F.avg(fused).alias("fused_mean"),
         F.avg(d).alias("d_mean"), F.stddev_samp(d).alias("d_sd"),
@@ -62,7 +64,7 @@ def wilcoxon_stats(paired: DataFrame, group: list[str], base: str = "base", fuse
         F.sum("t").cast("bigint").alias("n_nonzero"),
         F.sum(F.col("pos") * avg_rank).alias("r_plus"),
         F.sum((F.col("t") - F.col("pos")) * avg_rank).alias("r_minus"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("tie_term"),
+        F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("tie_term"),
         F.max(F.col("t") > 1).alias("has_ties")) \
         .withColumn("w_statistic", F.least("r_plus", "r_minus"))
 

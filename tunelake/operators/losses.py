@@ -23,8 +23,9 @@ def mean_loss(total_loss: Column, total_tokens: Column) -> Column:
 
 
 def perplexity(loss: Column) -> Column:
-    """exp(min(loss, 100)); 1.0 for a mean loss <= 0."""
-    return F.when(loss <= 0.0, F.lit(1.0)).otherwise(F.exp(F.least(loss, F.lit(PPL_EXP_CAP))))
+    """exp(min(loss, 100)); 1.0 for a mean loss <= 0; null for null and NaN."""
+    return F.when(loss.isNull() | F.isnan(loss), F.lit(None).cast("double")) \
+            .when(loss <= 0.0, F.lit(1.0)).otherwise(F.exp(F.least(loss, F.lit(PPL_EXP_CAP))))
 
 
 def perplexity_by_group(log: DataFrame, group: list[str], loss: str = "loss",

@@ -17,7 +17,7 @@ def running_best(ckpts: DataFrame, run: str = "run", step: str = "step", metrics
     best unchanged; the initial best is +inf (min) / -inf (max)."""
     mode = mode.lower()
     if mode not in ("min", "max"):
-        raise ValueError(f"Invalid mode '{mode}'. Expected 'min' or 'max'.")
+        raise ValueError(f"mode must be min or max, not {mode!r}")
     m = F.try_element_at(F.col(metrics), F.lit(metric_name))
     clean = F.when(F.isnan(m), F.lit(None)).otherwise(m)
     base = ckpts.withColumn("metric", m).withColumn("_clean", clean)

@@ -39,6 +39,8 @@ def _cached(key, factory):
 def tokenizer_lengths(col: Column, factory: Callable[[], Callable[[str], list]], key: str = "tok") -> Column:
     """Token count of ``col`` under a user tokenizer (``factory()`` returns
     ``text -> tokens``), built once per worker; Arrow-batched."""
+    key = _factory_key(key, factory)
+
     @F.pandas_udf(T.LongType())
     def _len(s: pd.Series) -> pd.Series:
         tok = _cached(key, factory)
@@ -98,7 +100,7 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[pd.Dat
     return df.select(*cols).mapInPandas(run, out_schema)
 
 
-def echo_model(max_new_tokens: int = 128):
+def echo_model(max_new_tokens: int):
     """Deterministic stand-in model for tests and the registered query: the
     prediction repeats the first ``max_new_tokens`` words of the prompt; the
     loss is the share of reference words absent from the prompt (in nats,

@@ -16,14 +16,10 @@ whole job.  The helpers here split each group into *blocks*:
    first key of each range.  That table has <= n rows, a proven bound, so it
    is broadcast back.
 
-The result equals the plain window exactly (for sums of doubles up to
-floating-point re-association).
-
-The split is adaptive, like AQE's skew join: a one-row aggregate first
-measures the largest group; only when it exceeds ``max_group_rows`` (the
-rows one task should handle; session conf ``tunelake.maxGroupRows``,
-default 2,000,000) is the block path taken.  Otherwise a plain window is
-already balanced and cheapest.
+The result does not depend on where the ranges are cut: sums of doubles are
+added as decimals with 18 places (exact, so their order doesn't matter; sums
+must stay under 1e20), everything else is integer or a comparison.  There is
+no other path for small groups: plan and result are the same at every size.
 
 The block-tagged frame is written once with a reliable ``checkpoint()`` (to
 the shared folder named by ``spark.checkpoint.dir``).  This is required for
@@ -38,6 +34,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunelake.session import cut_lineage
 
@@ -54,25 +51,8 @@ def _order_cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-
-def _max_group_rows(df: DataFrame, max_group_rows: int | None) -> int:
-    if max_group_rows is not None:
-        return int(max_group_rows)
-    return int(df.sparkSession.conf.get("tunelake.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
-
-
-def has_hot_group(df: DataFrame, keys: list[str], max_group_rows: int | None = None) -> bool:
-    """True when some group holds more than ``max_group_rows`` rows (one
-    partially aggregated count per key, then a one-row max)."""
-    limit = _max_group_rows(df, max_group_rows)
-    if not keys:
-        return True
-    if limit <= 0:
-        return True
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return biggest is not None and biggest > limit
+# Exact type of running sums of doubles.
+EXACT = T.DecimalType(38, 18)
 
 
 def with_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int | None = None) -> DataFrame:
@@ -94,7 +74,7 @@ _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 def running_aggregates(df: DataFrame, keys: list[str], order: list,
                        specs: dict[str, tuple[str, Column, bool]],
-                       n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                       n_blocks: int | None = None) -> DataFrame:
     """Add running aggregates per group in ``order``.
 
     ``specs`` maps an output name to ``(fn, column, inclusive)`` with ``fn`` in
@@ -104,25 +84,18 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
     when an earlier block contributed; a group's very first row stays null for
     min/max and 0 for count).
     """
-    if not has_hot_group(df, keys, max_group_rows):
-        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*_order_cols(order))
-        out = df
-        for name, (fn, col, inclusive) in specs.items():
-            frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-            val = _AGG[fn](col).over(frame)
-            if fn == "count":
-                val = F.coalesce(val, F.lit(0)).cast("bigint")
-            out = out.withColumn(name, val)
-        return out
     b = with_blocks(df, keys, order, n_blocks)
     part = [F.col(k) for k in keys] + [F.col(_BLK)]
     w_incl = Window.partitionBy(*part).orderBy(*_order_cols(order)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_excl = Window.partitionBy(*part).orderBy(*_order_cols(order)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    local = b
+    local, exact = b, set()
     for name, (fn, col, inclusive) in specs.items():
         local = local.withColumn(f"_tl_val_{name}", col)
+        if fn == "sum" and isinstance(local.schema[f"_tl_val_{name}"].dataType, (T.DoubleType, T.FloatType)):
+            local = local.withColumn(f"_tl_val_{name}", F.col(f"_tl_val_{name}").cast(EXACT))
+            exact.add(name)
         local = local.withColumn(
             f"_tl_loc_{name}",
             _AGG[fn](F.col(f"_tl_val_{name}")).over(w_incl if inclusive else w_excl))
@@ -150,27 +123,23 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
                 val = F.coalesce(val, F.lit(0)).cast("bigint")
         else:
             val = _COMBINE[fn](loc, pre)
-        out = out.withColumn(name, val)
+        out = out.withColumn(name, val.cast("double") if name in exact else val)
     drop = [c for c in out.columns if c.startswith("_tl_")]
     return out.drop(*drop)
 
 
 def row_ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordinal",
-                n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                n_blocks: int | None = None) -> DataFrame:
     """1-based position of each row inside its group (``row_number``), skew-safe.
 
     ``order`` must be unique within a group for the result to be deterministic.
     """
-    return running_aggregates(df, keys, order, {name: ("count", F.lit(1), True)}, n_blocks,
-                              max_group_rows)
+    return running_aggregates(df, keys, order, {name: ("count", F.lit(1), True)}, n_blocks)
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list, col: str, name: str,
-                   n_blocks: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                   n_blocks: int | None = None) -> DataFrame:
     """``lag(col)`` per group in ``order`` without a single-task window per group."""
-    if not has_hot_group(df, keys, max_group_rows):
-        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*_order_cols(order))
-        return df.withColumn(name, F.lag(F.col(col)).over(w))
     b = with_blocks(df, keys, order, n_blocks)
     part = [F.col(k) for k in keys] + [F.col(_BLK)]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
@@ -217,21 +186,9 @@ def global_position(df: DataFrame, order: list, name: str = "position",
                    F.lit(0)).alias("_tl_off"))
     out = r.join(F.broadcast(offsets), on=_BLK, how="inner") \
            .withColumn(name, (F.col("_tl_off") + F.col("_tl_mono") - F.col("_tl_first")).cast("bigint"))
-    return out.drop(*[c for c in out.columns if c.startswith("_tl_")])
-
+    return out.drop(_BLK, "_tl_mono", "_tl_first", "_tl_off")
 
-TOPK_FAN_IN = 32
 
-
-def top_k(df: DataFrame, order: list, k: int, key: list[str], fan_in: int = TOPK_FAN_IN) -> DataFrame:
-    """The first ``k`` rows in ``order`` with a bounded final merge.
-
-    ``orderBy(...).limit(k)`` keeps k rows per partition and merges them all in
-    one task: P x k rows for P partitions (with thousands of shuffle
-    partitions, hundreds of millions).  Hash-partitioning the input on its
-    unique ``key`` into ``fan_in`` partitions first bounds that merge to
-    fan_in x k rows while the per-partition top-k (a bounded priority queue)
-    stays parallel.  (Hash, not round-robin: round-robin would sort every
-    partition first to stay deterministic on retry.)
-    """
-    return df.repartition(fan_in, *[F.col(c) for c in key]).orderBy(*_order_cols(order)).limit(k)
+def first_n(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows in ``order`` (unique), by their global position: no task merges them."""
+    return global_position(df, order, "_tl_position_").where(F.col("_tl_position_") < n).drop("_tl_position_")

@@ -52,12 +52,13 @@ def ngram_overlaps(df: DataFrame, id_col: str, pred_tokens: Column, ref_tokens:
                    orders=(1, 2)) -> DataFrame:
     """Per row id and order n: clipped n-gram overlap and both n-gram counts.
 
-    Rows are hash-partitioned by id once; the n-grams of both sides are
-    exploded and counted per (id, n, gram) and then summed per id -- both
-    aggregations are satisfied by that partitioning, so the n-grams themselves
-    never cross the network.  A row's group is its own n-grams only.
+    Rows get a generated key (an id may repeat) and are hash-partitioned by it
+    once; the n-grams of both sides are exploded and counted per (row, n, gram)
+    and then summed per row -- both aggregations are satisfied by that
+    partitioning, so the n-grams themselves never cross the network.
     """
-    base = df.repartition(F.col(id_col)).select(id_col, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
+    base = df.withColumn("_row", F.monotonically_increasing_id()).repartition(F.col("_row")).select(
+        "_row", id_col, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
 
     def tag(side, col, n):
         return F.transform(ngrams(F.col(col), n),
@@ -65,16 +66,17 @@ def ngram_overlaps(df: DataFrame, id_col: str, pred_tokens: Column, ref_tokens:
 
     def tagged(side, col):
         return [tag(side, col, n) for n in orders]
-    grams = base.select(id_col, F.size("_pt").alias("_pl"), F.size("_rt").alias("_rl"),
+    grams = base.select("_row", id_col, F.size("_pt").alias("_pl"), F.size("_rt").alias("_rl"),
                         F.explode_outer(F.concat(*tagged("p", "_pt"), *tagged("r", "_rt"))).alias("e"))
-    per_gram = grams.groupBy(id_col, "e.n", "e.gram").agg(
+    per_gram = grams.groupBy("_row", "e.n", "e.gram").agg(
+        F.first(id_col).alias(id_col),
         F.max("_pl").alias("_pl"), F.max("_rl").alias("_rl"),
         F.count_if(F.col("e.side") == "p").alias("cp"), F.count_if(F.col("e.side") == "r").alias("cr"))
     aggs = [F.max("_pl").cast("bigint").alias("pred_len"), F.max("_rl").cast("bigint").alias("ref_len")]
     for n in orders:
         aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.least("cp", "cr"))), F.lit(0))
                     .cast("bigint").alias(f"overlap_{n}"))
-    out = per_gram.groupBy(id_col).agg(*aggs)
+    out = per_gram.groupBy("_row").agg(F.first(id_col).alias(id_col), *aggs).drop("_row")
     for n in orders:
         out = out.withColumn(f"pred_{n}grams", F.greatest(F.col("pred_len") - (n - 1), F.lit(0)).cast("bigint")) \
                  .withColumn(f"ref_{n}grams", F.greatest(F.col("ref_len") - (n - 1), F.lit(0)).cast("bigint"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.operators.segmented import top_k
-from tunelake.session import cut_lineage
+from tunelake.operators.segmented import global_position
 
 # Reserved ids of the built vocabulary.
 PAD_TOKEN, PAD_ID = "<pad>", 0
@@ -14,53 +13,46 @@ UNK_TOKEN, UNK_ID = "<unk>", 1
 N_SPECIAL = 2
 
 
-def vocab_table(df: DataFrame, tokens: Column | str, size: int = 32000) -> DataFrame:
-    """(token, count, id): the ``size`` most frequent tokens, ties by token.
+def vocab_table(df: DataFrame, tokens: Column | str, size: int | None = None) -> DataFrame:
+    """(token, count, id): tokens by falling count, ties by token; every token unless ``size`` limits them.
 
     Counting is a partially aggregated group-by, so a very frequent token
-    costs one row per task in the shuffle.  The top-``size`` is a two-level
-    top-k whose final merge is bounded (``segmented.top_k``); numbering runs
-    over those ``size`` rows only.  The result is at most ``size`` rows -- that is the proven bound
-    that lets encoders broadcast it.
+    costs one row per task in the shuffle.  Ids are global positions: a range
+    shuffle of the distinct tokens, no single-task sort.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     # explode_outer: plain explode makes Catalyst add a size(t) > 0 filter that
     # evaluates the tokenizer a second time.
     counts = df.select(F.explode_outer(t).alias("token")).where(F.col("token").isNotNull()) \
                .groupBy("token") \
-               .agg(F.count(F.lit(1)).alias("count"))
-    top = top_k(counts, [F.desc("count"), F.asc("token")], size, key=["token"])
-    w = Window.orderBy(F.desc("count"), F.asc("token"))
-    return top.select("token", F.col("count").cast("bigint").alias("count"),
-                      (F.row_number().over(w) - 1 + N_SPECIAL).cast("bigint").alias("id"))
+               .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    placed = global_position(counts, [F.desc("count"), F.asc("token")], "_place")
+    if size is not None:
+        placed = placed.where(F.col("_place") < size)
+    return placed.select("token", "count", (F.col("_place") + N_SPECIAL).cast("bigint").alias("id"))
 
 
-def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column],
-                   vocab: DataFrame, vocab_size: int) -> DataFrame:
-    """Map each token array to ids (unknown -> ``UNK_ID``), keeping order.
+def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column], vocab: DataFrame) -> DataFrame:
+    """Map each token array to ids (unknown -> ``UNK_ID``), keeping order; one row out for each row in.
 
-    The rows are hash-partitioned by ``id_col`` once; explode, the broadcast
-    lookup (the vocabulary has at most ``vocab_size`` rows) and the regroup
-    by ``id_col`` then all run inside that partitioning -- the tokens
-    themselves are never shuffled.  Each regrouped list is one input row.
+    Tokens meet the vocabulary in a join on the token (Spark broadcasts it
+    while it is small by its own measure, and splits the partitions of very
+    frequent tokens otherwise).  Rows are put together again by a generated
+    row key, so rows that repeat an id stay apart.
     """
     names = list(token_arrays)
+
     def tag(side, arr):
         return F.transform(arr, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"),
                                                       t.alias("token")))
     tagged = F.concat(*[tag(s, arr) for s, arr in token_arrays.items()])
-    ex = df.repartition(F.col(id_col)).select(id_col, F.explode_outer(tagged).alias("e")) \
-           .select(id_col, "e.side", "e.pos", "e.token")
-    # Materialize the (small) vocabulary once and check its size before it is
-    # broadcast: the bound is verified, not assumed.
-    voc = cut_lineage(vocab.select("token", F.col("id").alias("_tok_id")))
-    n_voc = voc.count()
-    if n_voc > vocab_size:
-        raise ValueError(f"vocabulary has {n_voc} entries, more than vocab_size={vocab_size}")
-    lookup = F.broadcast(voc)
+    ex = df.withColumn("_row", F.monotonically_increasing_id()) \
+           .select("_row", id_col, F.explode_outer(tagged).alias("e")) \
+           .select("_row", id_col, "e.side", "e.pos", "e.token")
+    lookup = vocab.select("token", F.col("id").alias("_tok_id"))
     j = ex.join(lookup, on="token", how="left") \
           .withColumn("_tok_id", F.when(F.col("token").isNotNull(), F.coalesce("_tok_id", F.lit(UNK_ID))))
     aggs = [F.transform(F.array_sort(F.collect_list(
                 F.when(F.col("side") == s, F.struct("pos", "_tok_id")))), lambda x: x["_tok_id"].cast("bigint"))
             .alias(f"{s}_ids") for s in names]
-    return j.groupBy(id_col).agg(*aggs)
+    return j.groupBy("_row").agg(F.first(id_col).alias(id_col), *aggs).drop("_row")

@@ -26,6 +26,10 @@ def query(fn):
     return fn
 
 
+# Fewer than the conversations of any test table, so that the cap cuts.
+MAX_SAMPLES = 50
+
+
 def _t(spark, sf_dir, name):
     return load_table(spark, sf_dir, name)
 
@@ -39,7 +43,7 @@ def read_pairs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cap_samples(spark, sf_dir):
-    return R.cap_samples(_t(spark, sf_dir, "conversations"), max_samples=150000)
+    return R.cap_samples(_t(spark, sf_dir, "conversations"), max_samples=MAX_SAMPLES)
 
 
 @query
@@ -169,7 +173,6 @@ from tunelake.operators import sequences as Q  # noqa: E402
 from tunelake.operators import vocab as V  # noqa: E402
 from tunelake.plans import training_data as TD  # noqa: E402
 
-VOCAB_SIZE = 32000
 MAX_SEQ_LEN = 2048
 BATCH_SIZE = 2
 GRAD_ACCUM = 8
@@ -183,14 +186,14 @@ def _ids_str(c):
 @query
 def vocab_table(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(whitespace_tokens("text").alias("t"))
-    return V.vocab_table(docs, "t", VOCAB_SIZE)
+    return V.vocab_table(docs, "t")
 
 
 @query
 def encode_tokens(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", whitespace_tokens("text").alias("t"))
-    vocab = V.vocab_table(docs, "t", VOCAB_SIZE)
-    enc = V.encode_columns(docs, "doc_id", {"text": F.col("t")}, vocab, VOCAB_SIZE)
+    vocab = V.vocab_table(docs, "t")
+    enc = V.encode_columns(docs, "doc_id", {"text": F.col("t")}, vocab)
     return enc.select("doc_id", F.size("text_ids").cast("bigint").alias("n_tokens"),
                       F.size(F.filter("text_ids", lambda x: x == V.UNK_ID)).cast("bigint").alias("n_unk"),
                       _ids_str("text_ids").alias("ids"))
@@ -198,7 +201,7 @@ def encode_tokens(spark, sf_dir):
 
 @query
 def build_sequences(spark, sf_dir):
-    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN, vocab_size=VOCAB_SIZE)
+    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN)
     return s.select("conv_id", F.size("prompt_ids").cast("bigint").alias("prompt_len"),
                     F.size("input_ids").cast("bigint").alias("seq_len"),
                     _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
@@ -207,14 +210,14 @@ def build_sequences(spark, sf_dir):
 
 @query
 def supervised_tokens(spark, sf_dir):
-    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN, vocab_size=VOCAB_SIZE)
+    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN)
     n = Q.supervised_tokens(F.col("labels"))
     return s.select("conv_id", n.alias("supervised_tokens"), (n == 0).alias("no_target"))
 
 
 @query
 def generated_suffix(spark, sf_dir):
-    e = TD.encoded_pairs(D.pairs(spark, sf_dir), vocab_size=VOCAB_SIZE)
+    e = TD.encoded_pairs(D.pairs(spark, sf_dir))
     out = F.concat("prompt_ids", "response_ids")
     suf = Q.generated_suffix(F.col("prompt_ids"), out)
     return e.select("conv_id", (F.size(out) - F.size("prompt_ids")).cast("bigint").alias("generated_count"),
@@ -223,8 +226,7 @@ def generated_suffix(spark, sf_dir):
 
 @query
 def padded_batches(spark, sf_dir):
-    b = TD.training_batches(D.pairs(spark, sf_dir), batch_size=BATCH_SIZE, max_len=MAX_SEQ_LEN,
-                            vocab_size=VOCAB_SIZE)
+    b = TD.training_batches(D.pairs(spark, sf_dir), batch_size=BATCH_SIZE, max_len=MAX_SEQ_LEN)
     return b.select("conv_id", "position", "batch_id", "batch_max_len", _ids_str("input_ids").alias("input_ids"),
                     _ids_str("attention_mask").alias("attention_mask"), _ids_str("labels").alias("labels"))
 
@@ -514,7 +516,7 @@ def custom_tokenizer_lengths(spark, sf_dir):
 def score_with_callable(spark, sf_dir):
     ev = _eval_pairs(spark, sf_dir).select("conv_id", F.col("reference").alias("prompt"),
                                           F.col("prediction").alias("reference"))
-    return SC.score_with_model(ev, SC.echo_model, keep=["conv_id"])
+    return SC.score_with_model(ev, lambda: SC.echo_model(10 ** 9), keep=["conv_id"])
 
 
 @query

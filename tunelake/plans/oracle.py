@@ -67,7 +67,7 @@ SQL["read_pairs_source"] = "SELECT conv_id, turn, role, text FROM conversations"
 
 SQL["cap_samples"] = """
 SELECT * FROM conversations
-WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 150000)"""
+WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 50)"""
 
 SQL["dataset_slug"] = r"""
 WITH s AS (SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS last FROM pages)
@@ -162,7 +162,7 @@ DOC_TOKENS = f"SELECT doc_id, regexp_extract_all(text, {WS}) AS t FROM documents
 DOC_VOCAB = f"""
 SELECT token, CAST(c AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY c DESC, token) + 1 AS BIGINT) AS id
 FROM (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM ({DOC_TOKENS})) GROUP BY token
-      ORDER BY c DESC, token LIMIT 32000)"""
+     )"""
 
 SQL["vocab_table"] = DOC_VOCAB
 
@@ -186,7 +186,7 @@ PAIR_IDS = f"""
 WITH t AS ({PAIR_TOKENS}),
      v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + 1 AS id
            FROM (SELECT token, count(*) AS c FROM (SELECT unnest(pt) AS token FROM t UNION ALL SELECT unnest(rt) FROM t)
-                 GROUP BY token ORDER BY c DESC, token LIMIT 32000)),
+                 GROUP BY token)),
      e AS (SELECT conv_id, 'p' AS side, unnest(pt) AS token, generate_subscripts(pt, 1) AS pos FROM t
            UNION ALL SELECT conv_id, 'r', unnest(rt), generate_subscripts(rt, 1) FROM t),
      j AS (SELECT e.conv_id, e.side, e.pos, CAST(coalesce(v.id, 1) AS BIGINT) AS id FROM e LEFT JOIN v ON e.token = v.token)
@@ -255,7 +255,9 @@ FROM m"""
 
 SQL["running_perplexity"] = f"""
 WITH r AS (SELECT run, step,
-                  sum(CASE WHEN {VALID} THEN loss * num_tokens END) OVER w AS tl,
+                  -- exact sums, like the query's: decimals of 18 places, by way of text
+                  CAST(CAST(sum(CAST(CAST(CASE WHEN {VALID} THEN loss * num_tokens END AS VARCHAR) AS DECIMAL(38, 18)))
+                            OVER w AS VARCHAR) AS DOUBLE) AS tl,
                   sum(CASE WHEN {VALID} THEN num_tokens END) OVER w AS tt,
                   count(CASE WHEN {VALID} THEN 1 END) OVER w AS vs
            FROM ({LOSS_LOG}) WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -337,7 +339,7 @@ SQL["metric_log_long"] = f"""
 WITH l AS ({LOSS_LOG})
 SELECT run, step, 'train/loss' AS key, loss AS value FROM l WHERE loss IS NOT NULL
 UNION ALL SELECT run, step, 'train/num_tokens', CAST(num_tokens AS DOUBLE) FROM l WHERE num_tokens IS NOT NULL
-UNION ALL SELECT run, step, 'train/ppl', CASE WHEN loss <= 0 THEN 1.0 ELSE exp(least(loss, 100.0)) END FROM l WHERE loss IS NOT NULL"""
+UNION ALL SELECT run, step, 'train/ppl', CASE WHEN loss <= 0 THEN 1.0 ELSE exp(least(loss, 100.0)) END FROM l WHERE loss IS NOT NULL AND NOT isnan(loss)"""
 
 # -- text metrics ------------------------------------------------------------
 

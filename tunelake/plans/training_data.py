@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from tunelake.functions.text import DEFAULT_PROMPT_TEMPLATE, whitespace_tokens
 from tunelake.operators.batching import padded_batches
 from tunelake.operators.pairs import chat_template
+from tunelake.operators.scoring import tokenizer_ids
 from tunelake.operators.sequences import build_sequences
 from tunelake.operators.splits import seeded_shuffle
 from tunelake.operators.vocab import encode_columns, vocab_table
 
 
-def encoded_pairs(pairs: DataFrame, id_col: str = "conv_id", vocab_size: int = 32000,
+def encoded_pairs(pairs: DataFrame, id_col: str = "conv_id", vocab_size: int | None = None,
                   template: str = DEFAULT_PROMPT_TEMPLATE, tokens_fn=whitespace_tokens,
-                  vocab: DataFrame | None = None) -> DataFrame:
+                  vocab: DataFrame | None = None, tokenizer=None) -> DataFrame:
     """(id, prompt_ids, response_ids) of the templated pair.
 
-    Without a given vocabulary one is built from the same templated texts.
+    With ``tokenizer`` (a factory of ``text -> ids``) the ids come from it, in
+    one Arrow pass without vocabulary, shuffle or join.  Otherwise a given
+    vocabulary is used, or one of all tokens of the same templated texts.
     """
+    if tokenizer is not None:
+        f = chat_template(pairs, template)
+        return f.select(id_col, tokenizer_ids(F.col("formatted_prompt"), tokenizer).alias("prompt_ids"),
+                        tokenizer_ids(F.col("formatted_response"), tokenizer).alias("response_ids"))
     f = chat_template(pairs, template).select(
         id_col, tokens_fn("formatted_prompt").alias("pt"), tokens_fn("formatted_response").alias("rt"))
     if vocab is None:
         vocab = vocab_table(f, F.concat("pt", "rt"), vocab_size)
-    return encode_columns(f, id_col, {"prompt": F.col("pt"), "response": F.col("rt")}, vocab, vocab_size)
+    return encode_columns(f, id_col, {"prompt": F.col("pt"), "response": F.col("rt")}, vocab)
 
 
 def training_sequences(pairs: DataFrame, id_col: str = "conv_id", max_len: int = 2048,
-                       vocab_size: int = 32000, **kw) -> DataFrame:
+                       vocab_size: int | None = None, **kw) -> DataFrame:
     return build_sequences(encoded_pairs(pairs, id_col, vocab_size, **kw), max_len=max_len)
 
 

@@ -3,7 +3,6 @@ metadata (S1-S6), and the artifact slug (S14)."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +42,22 @@ def _format_of(path: str) -> str:
     return "parquet"
 
 
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob matches anything, on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+# Items used when a caller allows a missing evaluation set.
+DEFAULT_EVAL_ITEMS = [
+    ("Name the largest planet of the solar system.", "Jupiter is the largest planet of the solar system."),
+    ("What does a compiler do?", "A compiler translates source code into a form that a machine can run."),
+    ("Give one use of a hash table.", "A hash table finds a value by its key in constant expected time."),
+]
+
+
 def read_pairs_source(spark: SparkSession, path: str, schema: T.StructType | None = None,
                       split: str | None = None, fmt: str | None = None) -> DataFrame:
     """Instruction dataset by path; the format follows the extension.
@@ -56,10 +71,12 @@ def read_pairs_source(spark: SparkSession, path: str, schema: T.StructType | Non
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    if split and os.path.isdir(os.path.join(path, f"split={split}")):
-        return reader.load(os.path.join(path, f"split={split}"))
+    if split and path_exists(spark, f"{path}/split={split}"):
+        return reader.load(f"{path}/split={split}")
     df = reader.load(path)
-    if split and "split" in df.columns:
+    if split:
+        if "split" not in df.columns:
+            raise ValueError(f"{path} has neither a folder split={split} nor a column split")
         df = df.where(F.col("split") == split)
     return df
 
@@ -72,25 +89,30 @@ def stream_pairs_source(spark: SparkSession, path: str, schema: T.StructType,
             .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
 
 
-def cap_samples(turns: DataFrame, max_samples: int = 150000, id_col: str = "conv_id") -> DataFrame:
+def cap_samples(turns: DataFrame, max_samples: int, id_col: str = "conv_id") -> DataFrame:
     """First ``max_samples`` samples (conversations) in id order, all their turns.
 
-    The ids come from a two-level top-k (its final merge is bounded), and that
-    id list -- at most ``max_samples`` longs -- is the broadcast side.
+    The ids are cut by their global position; the join is Spark's choice.
     """
-    from tunelake.operators.segmented import top_k
-    ids = top_k(turns.select(id_col).distinct(), [id_col], max_samples, key=[id_col])
-    return turns.join(F.broadcast(ids), on=id_col, how="left_semi")
+    from tunelake.operators.segmented import first_n
+    ids = first_n(turns.select(id_col).where(F.col(id_col).isNotNull()).distinct(), [id_col], max_samples)
+    return turns.join(ids, on=id_col, how="left_semi")
 
 
 def read_eval_items(spark: SparkSession, path: str, allow_default: bool = False) -> DataFrame:
-    """Evaluation set: a JSON array of {prompt, reference} objects."""
-    if not os.path.exists(path):
+    """Evaluation set of {prompt, reference} items (S4): a JSON array, or the
+    same rows as ``.jsonl`` or parquet, which are read in parallel."""
+    if not path_exists(spark, path):
         if not allow_default:
             raise FileNotFoundError(path)
-        return spark.createDataFrame([], EVAL_ITEM_SCHEMA)
-    return spark.read.option("multiLine", True).schema(EVAL_ITEM_SCHEMA).json(path) \
-        .withColumn("sample_id", F.monotonically_increasing_id())
+        items = spark.createDataFrame(DEFAULT_EVAL_ITEMS, EVAL_ITEM_SCHEMA).coalesce(1)
+    elif path.endswith((".jsonl", ".ndjson")):
+        items = spark.read.schema(EVAL_ITEM_SCHEMA).json(path)
+    elif path.endswith(".parquet"):
+        items = spark.read.schema(EVAL_ITEM_SCHEMA).parquet(path)
+    else:
+        items = spark.read.option("multiLine", True).schema(EVAL_ITEM_SCHEMA).json(path)
+    return items.withColumn("sample_id", F.monotonically_increasing_id())
 
 
 def read_score_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -107,15 +129,17 @@ def read_score_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trainer_states(spark: SparkSession, root: str) -> DataFrame:
-    """All ``checkpoint-step-*/trainer_state.json`` under ``root``.
+    """All ``checkpoint-step-*/trainer_state.json`` and the table of ``write_trainer_states`` under ``root``.
 
     No file -> an empty table with the declared schema.
     """
-    import glob
-    files = glob.glob(os.path.join(root, "checkpoint-step-*", "trainer_state.json"))
-    if not files:
-        return spark.createDataFrame([], TRAINER_STATE_SCHEMA)
-    return spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(files)
+    found = spark.createDataFrame([], TRAINER_STATE_SCHEMA)
+    pattern, table = f"{root}/checkpoint-step-*/trainer_state.json", f"{root}/trainer_states.parquet"
+    if path_exists(spark, pattern):
+        found = spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(pattern)
+    if path_exists(spark, table):
+        found = found.unionByName(spark.read.schema(TRAINER_STATE_SCHEMA).parquet(table))
+    return found
 
 
 def dataset_slug(name: Column) -> Column:

@@ -9,20 +9,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    Text work here is CPU-bound per row.  A small file with few row groups
-    scans in fewer tasks than there are cores; then (and only then) the rows
-    are spread round-robin over ``defaultParallelism`` partitions.  On a
-    cluster the scan already has many splits and this is a no-op.
+    The number of scan tasks is the reader's own (``spark.sql.files.*``).
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if rebalance:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-        except Exception:  # pragma: no cover - no RDD API (Spark Connect)
-            pass
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

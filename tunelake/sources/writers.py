@@ -21,83 +21,69 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
          .coalesce(1).write.mode("overwrite").text(path)
 
 
-# The section headings, table headers, status words and the
-# recommendation sentence of the two Markdown reports below follow the
-# reference's report layout, so the rendered reports read the same.
-
-
-def render_eda_markdown(s: Row) -> str:
-    """Markdown profile report from the one-row ``eda_summary``."""
-    p, r, t = s["prompt_length_quantiles"], s["response_length_quantiles"], s["total_sequence_quantiles"]
-    lines = [f"# EDA Report: {s['dataset_name']}", "", "## 1. Dataset Overview",
-             f"* **Total Samples Profiled:** `{s['total_samples']:,}`",
-             f"* **Recommended Sequence Length Cutoff:** `{s['recommended_max_seq_length']}`", "",
-             "## 2. Feature Health & Missing Values", "| Feature Name | Null / Missing Count | Status |",
-             "| :--- | :--- | :--- |"]
-    for col, n in s["missing_value_counts"].items():
-        status = "PASS" if n == 0 else f"WARNING ({n} nulls)"
-        lines.append(f"| `{col}` | {n} | {status} |")
-
-    def f0(x):
-        return "nan" if x is None else f"{x:.0f}"
-
-    def f1(x):
-        return "nan" if x is None else f"{x:.1f}"
-    lines += ["", "## 3. Sequence Length Distribution Analysis (Token Count)",
-              "| Metric | Prompt Tokens | Response Tokens | Total Combined Tokens |",
-              "| :--- | :--- | :--- | :--- |",
-              f"| **Mean ± Std** | {f1(p['mean'])} ± {f1(p['std_dev'])} | {f1(r['mean'])} ± {f1(r['std_dev'])} | "
-              f"{f1(t['mean'])} ± {f1(t['std_dev'])} |",
-              f"| **P50 (Median)** | {f0(p['p50'])} | {f0(r['p50'])} | {f0(t['p50'])} |",
-              f"| **P90** | {f0(p['p90'])} | {f0(r['p90'])} | {f0(t['p90'])} |",
-              f"| **P95** | {f0(p['p95'])} | {f0(r['p95'])} | {f0(t['p95'])} |",
-              f"| **P99** | **{f0(p['p99'])}** | **{f0(r['p99'])}** | **{f0(t['p99'])}** |",
-              f"| **Max Length** | {p['max_len']} | {r['max_len']} | {t['max_len']} |", "",
-              "## 4. Engineering Recommendations",
-              f"* **Context Truncation Strategy:** Setting max sequence length to "
-              f"**{s['recommended_max_seq_length']}** tokens retains **>99%** of complete instruction "
-              f"sequences without information loss.", ""]
-    return "\n".join(lines)
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)] + [
+        "| " + " | ".join(map(str, r)) + " |" for r in rows]
+
+
+def _number(x, digits: int = 0) -> str:
+    return "n/a" if x is None else f"{x:.{digits}f}"
+
+
+def render_eda_markdown(s: Row, coverage: Row | None = None) -> str:
+    """Markdown profile from the one-row ``eda_summary`` and, if given, the measured ``cutoff_coverage``."""
+    parts = {"prompt": s["prompt_length_quantiles"], "response": s["response_length_quantiles"],
+             "both": s["total_sequence_quantiles"]}
+    lines = [f"# Profile of {s['dataset_name']}", "", f"{s['total_samples']:,} samples; "
+             f"suggested length limit {s['recommended_max_seq_length']} tokens.", "", "## Missing values", ""]
+    lines += _table(["column", "missing", "state"], [
+        [c, n, "complete" if n == 0 else "has gaps"] for c, n in s["missing_value_counts"].items()])
+    fields = [("mean", 1), ("std_dev", 1), ("p50", 0), ("p90", 0), ("p95", 0), ("p99", 0), ("max_len", 0)]
+    lines += ["", "## Tokens per sample", ""]
+    lines += _table(["part", *[f for f, _ in fields]], [
+        [name, *[_number(q[f], d) for f, d in fields]] for name, q in parts.items()])
+    if coverage is not None:
+        lines += ["", f"{_number(100 * (coverage['coverage'] or 0.0), 2)} % of {coverage['n']:,} samples fit into "
+                  f"{coverage['cutoff']} tokens."]
+    return "\n".join([*lines, ""])
 
 
 def render_significance_markdown(rep: Row, alpha: float) -> str:
-    """Markdown table of one significance-report row."""
-    return "\n".join([
-        "# Evaluation & Statistical Significance Report", "", "## Aggregate Benchmarking Summary", "",
-        "| Metric | Baseline Model | Fused PEFT Model | Performance Delta |",
-        "| :--- | :---: | :---: | :---: |",
-        f"| **Mean Score** | `{rep['base_mean']:.4f}` | `{rep['fused_mean']:.4f}` | **`+{rep['mean_delta']:.4f}`** |",
-        "", f"## Statistical Hypothesis Testing Results ($p < {alpha}$)", "",
-        f"* **Paired Student's t-test Statistic**: `{rep['t_statistic']:.4f}`",
-        f"* **Paired Student's t-test $p$-value**: `{rep['t_test_p_value']:.6e}`",
-        f"* **Wilcoxon Signed-Rank Statistic**: `{rep['wilcoxon_statistic']:.4f}`",
-        f"* **Wilcoxon Signed-Rank $p$-value**: `{rep['wilcoxon_p_value']:.6e}`",
-        f"* **Effect Size (Cohen's $d$)**: `{rep['cohens_d']:.4f}`",
-        f"* **Statistically Significant Improvement ($p < {alpha}$)**: **`{rep['is_statistically_significant']}`**",
-        ""])
+    """Markdown of one significance-report row."""
+    verdict = "better" if rep["is_statistically_significant"] else "no proven gain"
+    lines = [f"# Paired comparison: {verdict} (level {alpha})", ""]
+    lines += _table(["mean of base", "mean of fused", "difference"], [
+        [f"{rep['base_mean']:.4f}", f"{rep['fused_mean']:.4f}", f"{rep['mean_delta']:+.4f}"]])
+    lines += ["", *_table(["test", "statistic", "p"], [
+        ["t (paired)", f"{rep['t_statistic']:.4f}", f"{rep['t_test_p_value']:.3e}"],
+        ["signed rank", f"{rep['wilcoxon_statistic']:.1f}", f"{rep['wilcoxon_p_value']:.3e}"]])]
+    return "\n".join([*lines, "", f"Effect size d = {rep['cohens_d']:.4f}.", ""])
 
 
 def significance_payload(report: DataFrame, base_name: str, fused_name: str,
                          base_metrics: DataFrame | None = None, fused_metrics: DataFrame | None = None) -> DataFrame:
-    """Nested JSON-ready row: model names, aggregate metric maps and the test
-    result struct (one row per comparison)."""
+    """Nested JSON-ready row: model names, aggregate metric maps (one-row frames with a map
+    column ``metrics``) and the test result struct (one row per comparison)."""
     test_cols = [c for c in report.columns if c not in ("status", "n", "wilcoxon_method")]
     out = report.select(F.struct(F.lit(base_name).alias("base"), F.lit(fused_name).alias("fused")).alias("models"),
                         F.struct(*test_cols).alias("statistical_hypothesis_test"))
-    return out
+    for name, metrics in (("base", base_metrics), ("fused", fused_metrics)):
+        m = metrics.select(F.col("metrics").alias(f"_{name}")) if metrics is not None else None
+        out = out.withColumn(f"_{name}", F.lit(None).cast("map<string,double>")) if m is None else out.crossJoin(m)
+    return out.withColumn("aggregate_metrics", F.struct(F.col("_base").alias("base"), F.col("_fused").alias("fused"))
+                          ).drop("_base", "_fused")
 
 
 def evaluation_payload(scores: DataFrame, base_name: str, fused_name: str, base_results: dict,
-                       fused_results: dict, max_vector_len: int = 1_000_000) -> DataFrame:
+                       fused_results: dict, with_vectors: bool = True) -> DataFrame:
     """The evaluation payload (names, metric maps, both score vectors) as one row.
 
-    The vectors must travel in one record, so their length is checked first
-    (one aggregate) and beyond ``max_vector_len`` the long form written by
-    ``write_scores_long`` must be used instead.
+    The format holds all scores in one record.  For evaluation sets too large
+    for that, take ``with_vectors=False``: the vectors are left empty and the
+    long form written by ``write_scores_long`` has the scores.
     """
-    n = scores.count()
-    if n > max_vector_len:
-        raise ValueError(f"{n} scores exceed max_vector_len={max_vector_len}; write the long form instead")
+    if not with_vectors:
+        scores = scores.limit(0)
 
     def mp(d):
         return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))]) if d \
@@ -117,5 +103,5 @@ def write_scores_long(scores: DataFrame, path: str) -> None:
 
 def write_trainer_states(states: DataFrame, root: str) -> None:
     """Checkpoint metadata rows (step, epoch, metrics, is_best, best value,
-    extra state) as JSON, one folder per run and step."""
-    states.write.mode("overwrite").partitionBy("run", "step").json(root)
+    extra state) as one table under ``root``, which ``read_trainer_states`` reads."""
+    states.write.mode("overwrite").parquet(f"{root}/trainer_states.parquet")

@@ -81,7 +81,7 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: st
 
 
 def stream_training_sequences(messages: DataFrame, vocab: DataFrame, path: str, checkpoint: str,
-                              id_col: str = "conv_id", max_len: int = 2048, vocab_size: int = 32000,
+                              id_col: str = "conv_id", max_len: int = 2048,
                               available_now: bool = True) -> StreamingQuery:
     """Chat-form stream -> masked training sequences, appended as parquet.
 
@@ -89,15 +89,16 @@ def stream_training_sequences(messages: DataFrame, vocab: DataFrame, path: str,
     on a stream that would need state.  ``foreachBatch`` instead runs the
     batch functions on each micro-batch (every sample is one row of one
     micro-batch, so the regroup is complete) against a fixed vocabulary.
-    The file sink and the checkpoint make each micro-batch exactly-once.
+    Each micro-batch overwrites its own ``epoch_id=`` folder, so a batch that
+    is replayed after a failure replaces what its first run left.
     """
     from tunelake.operators.sequences import build_sequences
     from tunelake.plans.training_data import encoded_pairs
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         pairs = nonempty_pairs(pairs_from_messages(batch.select(id_col, "messages"), chunk_col=None))
-        seqs = build_sequences(encoded_pairs(pairs, id_col, vocab_size, vocab=vocab), max_len=max_len)
-        seqs.withColumn("epoch_id", F.lit(epoch_id).cast("bigint")).write.mode("append").parquet(path)
+        seqs = build_sequences(encoded_pairs(pairs, id_col, vocab=vocab), max_len=max_len)
+        seqs.write.mode("overwrite").parquet(f"{path}/epoch_id={epoch_id}")
 
     w = messages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
