@@ -14,7 +14,7 @@ variant_speedup memory_telemetry metric_log_long lcs_length rouge_l sample_score
 generation_metrics_fallback rouge_1 rouge_2 rouge_l_lib bleu_corpus evaluation_summary paired_scores
 unmatched_pairs model_comparison paired_means paired_t cohens_d wilcoxon_signed_rank significance_report
 metric_improvement delta_histogram score_boxplot custom_tokenizer_lengths score_with_callable
-low_rank_projection projection_parity length_quantiles_approx memory_peak
+tokenizer_sequences low_rank_projection projection_parity length_quantiles_approx memory_peak
 """.split()
 ROWS_ONLY = {"significance_report", "custom_tokenizer_lengths", "score_with_callable", "length_quantiles_approx"}
 
@@ -28,3 +28,15 @@ def test_oracles_present():
     sql = E.oracle_sql()
     assert sorted(set(EXPECTED) - ROWS_ONLY - set(sql)) == []
     assert set(sql) <= set(E.queries())
+
+
+def test_branches_are_reached(spark):
+    """The registered parameters reach the branches that the queries exist for."""
+    from conftest import SF_ORACLE
+    q = E.queries()
+    n = spark.read.parquet(f"{SF_ORACLE}/conversations.parquet").count()
+    assert 0 < q["cap_samples"](spark, SF_ORACLE).count() < n
+    targets = q["supervised_tokens"](spark, SF_ORACLE)
+    assert targets.where("no_target").count() > 0 and targets.where("not no_target").count() > 0
+    assert q["build_sequences"](spark, SF_ORACLE).where("seq_len = 48").count() > 0
+    assert q["encode_tokens"](spark, SF_ORACLE).where("n_unk > 0").count() == 0

@@ -173,7 +173,8 @@ from tunelake.operators import sequences as Q  # noqa: E402
 from tunelake.operators import vocab as V  # noqa: E402
 from tunelake.plans import training_data as TD  # noqa: E402
 
-MAX_SEQ_LEN = 2048
+# Shorter than many pairs of the test tables, so that sequences are cut and targets lost.
+MAX_SEQ_LEN = 48
 BATCH_SIZE = 2
 GRAD_ACCUM = 8
 MAX_STEPS = 1000
@@ -208,6 +209,15 @@ def build_sequences(spark, sf_dir):
                     _ids_str("attention_mask").alias("attention_mask"))
 
 
+@query
+def tokenizer_sequences(spark, sf_dir):
+    s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN,
+                              tokenizer=lambda: lambda text: [len(w) + 2 for w in text.split()])
+    return s.select("conv_id", F.size("prompt_ids").cast("bigint").alias("prompt_len"),
+                    F.size("input_ids").cast("bigint").alias("seq_len"),
+                    _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
+
+
 @query
 def supervised_tokens(spark, sf_dir):
     s = TD.training_sequences(D.pairs(spark, sf_dir), max_len=MAX_SEQ_LEN)

@@ -195,7 +195,7 @@ SELECT conv_id, list(id ORDER BY pos) FILTER (WHERE side = 'p') AS pid,
 FROM j GROUP BY conv_id"""
 
 SEQS = f"""
-WITH i AS ({PAIR_IDS}), s AS (SELECT conv_id, pid, rid, list_slice(list_concat(pid, rid), 1, 2048) AS ids FROM i)
+WITH i AS ({PAIR_IDS}), s AS (SELECT conv_id, pid, rid, list_slice(list_concat(pid, rid), 1, 48) AS ids FROM i)
 SELECT conv_id, pid, ids,
        list_concat(list_transform(range(least(len(pid), len(ids))), lambda x: CAST(-100 AS BIGINT)),
                    list_slice(ids, len(pid) + 1, len(ids))) AS labels,
@@ -208,6 +208,18 @@ SELECT conv_id, CAST(len(pid) AS BIGINT) AS prompt_len, CAST(len(ids) AS BIGINT)
        array_to_string(mask, ' ') AS attention_mask
 FROM ({SEQS})"""
 
+# The same sequences under a rule that stands for a user tokenizer: a word's id is its length plus 2.
+WORD_LENGTHS = "lambda x: CAST(length(x) + 2 AS BIGINT)"
+SQL["tokenizer_sequences"] = f"""
+WITH i AS (SELECT conv_id, list_transform(pt, {WORD_LENGTHS}) AS pid, list_transform(rt, {WORD_LENGTHS}) AS rid
+           FROM ({PAIR_TOKENS})),
+     s AS (SELECT conv_id, pid, list_slice(list_concat(pid, rid), 1, 48) AS ids FROM i)
+SELECT conv_id, CAST(len(pid) AS BIGINT) AS prompt_len, CAST(len(ids) AS BIGINT) AS seq_len,
+       array_to_string(ids, ' ') AS input_ids,
+       array_to_string(list_concat(list_transform(range(least(len(pid), len(ids))), lambda x: CAST(-100 AS BIGINT)),
+                                   list_slice(ids, len(pid) + 1, len(ids))), ' ') AS labels
+FROM s"""
+
 SQL["supervised_tokens"] = f"""
 SELECT conv_id, CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS supervised_tokens,
        len(list_filter(labels, lambda x: x <> -100)) = 0 AS no_target
