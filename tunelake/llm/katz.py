@@ -168,6 +168,17 @@ class Group:
         self.word, self.before = self.sequence[at], self.sequence[at - 1]
         self.train = ~self.held[self.doc]
 
+    def renumber(self, number: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Put the words in the order of their corpus numbers: (numbers, counts, place of START).
+
+        Frequent words have small numbers, so lists of neighbours pack well.
+        """
+        by = np.argsort(number)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.word, self.before = place[self.word], place[self.before]
+        return number[by], count[by], int(place[0])
+
     def pairs(self, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (first, second) in order, training count, and the pair of each token."""
         code, which = np.unique(self.before * kinds + self.word, return_inverse=True)
@@ -212,6 +223,10 @@ def _add_words(parts: int):
             words += some
         which, kinds = pd.factorize(np.asarray(words, object))
         c = np.bincount(which, np.concatenate([s[2] for s in sent])).astype(np.int64)
+        by = np.argsort(-c, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        which, c, kinds = rank[which], c[by], kinds[by]
         out, k = [], 0
         for grp, at, _ in sent:
             mine = which[k:k + len(at)]
@@ -248,10 +263,10 @@ def _part_of(first, second, hot, parts: int) -> np.ndarray:
         np.int64) % parts
 
 
-def _split_pairs(g: Group, number, count, hot_from: float, parts: int):
-    """Pairs of a group by part: (part, places in the pair list), always in the same order."""
+def _split_pairs(g: Group, number, count, start: int, hot_from: float, parts: int):
+    """Pairs of a renumbered group by part: (part, places in the pair list), always in the same order."""
     first, second, n, which = g.pairs(len(number))
-    hot = (count >= hot_from) | (np.arange(len(number)) == 0)
+    hot = (count >= hot_from) | (np.arange(len(number)) == start)
     part = _part_of(number[first], number[second], hot[first], parts)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -263,14 +278,14 @@ def _send_pairs(parts: int, hot_from: float):
         for b in batches:
             for grp, docs, tokens, replies in zip(b["grp"], b["first"], b["second"], b["words_in"]):
                 g = Group(docs, tokens)
-                number, count = _numbers(replies, parts)
-                first, second, n, _, hot, split = _split_pairs(g, number, count, hot_from, parts)
+                number, count, start = g.renumber(*_numbers(replies, parts))
+                first, second, n, _, hot, split = _split_pairs(g, number, count, start, hot_from, parts)
                 out = []
                 for p, at in split:
                     heads, run_length = np.unique(first[at], return_counts=True)
                     tails, tail = np.unique(second[at], return_inverse=True)
                     out.append((p, grp, pack(
-                        number[heads], hot[heads], run_length.astype(np.uint32), number[tails], count[tails],
+                        deltas(number[heads]), hot[heads], run_length.astype(np.uint32), deltas(number[tails]), count[tails],
                         tail.astype(np.uint32), n[at].astype(np.uint32))))
                 yield pd.DataFrame(out, columns=["part", "grp", "blob"])
     return run
@@ -285,6 +300,7 @@ def _add_pairs(uni: Unigrams):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
         sent = [(grp, *unpack(blob)) for grp, blob in zip(rows["grp"], rows["blob"])]
+        sent = [(s[0], undeltas(s[1]), s[2], s[3], undeltas(s[4]), *s[5:]) for s in sent]
         first = np.concatenate([np.repeat(s[1], s[3]) for s in sent])
         second = np.concatenate([s[4][s[6]] for s in sent])
         times = np.concatenate([s[5][s[6]] for s in sent])
@@ -347,8 +363,8 @@ def _score(parts: int, hot_from: float, uni: Unigrams, d: np.ndarray, hot_sums:
         for b in batches:
             for docs, tokens, words_in, pairs_in in zip(b["first"], b["second"], b["words_in"], b["pairs_in"]):
                 g = Group(docs, tokens)
-                number, count = _numbers(words_in, parts)
-                first, second, _, which, hot, split = _split_pairs(g, number, count, hot_from, parts)
+                number, count, start = g.renumber(*_numbers(words_in, parts))
+                first, second, _, which, hot, split = _split_pairs(g, number, count, start, hot_from, parts)
                 answers = {r["part"]: r["blob"] for r in pairs_in}
                 c = np.empty(len(first), np.int64)
                 sums, mass = np.zeros((len(number), CUTOFF + 1), np.int64), np.zeros(len(number))
