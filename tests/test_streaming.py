@@ -97,4 +97,7 @@ def test_stream_training_sequences_equal_batch(spark, tmpdir_fresh):
     got = spark.read.parquet(out).select("conv_id", "input_ids", "labels")
     assert got.count() == want.count() == 98
     assert got.exceptAll(want).count() == 0
+    # Every micro-batch once more, as after a failure before its commit: nothing is doubled.
+    J.stream_training_sequences(stream, vocab, out, os.path.join(tmpdir_fresh, "ck6")).awaitTermination()
+    assert spark.read.parquet(out).count() == 98
     assert spark.read.parquet(out).select("epoch_id").distinct().count() >= 2  # several micro-batches

@@ -53,17 +53,25 @@ def metric_rows(log: DataFrame, run: str = "run", step: str = "step", metrics: s
     return log.select(run, step, F.explode(metrics).alias("key", "value")).where(F.col("value").isNotNull())
 
 
+# A folder for each run would be as many folders as runs.
+LOG_BUCKETS = 64
+
+
+def log_bucket(run):
+    return F.pmod(F.xxhash64(run), F.lit(LOG_BUCKETS)).cast("int")
+
+
 def write_metric_log(rows: DataFrame, path: str) -> None:
-    """Batch append of metric rows, partitioned by run."""
-    rows.write.mode("append").partitionBy("run").parquet(path)
+    """Batch append of metric rows, in ``LOG_BUCKETS`` folders by a hash of the run."""
+    rows.withColumn("bucket", log_bucket(F.col("run"))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def metric_log_stream(log: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                       query_name: str | None = None) -> StreamingQuery:
     """Continuous metric log: append to parquet with a checkpoint (exactly-once
     file sink).  Stopping the query is the ``close``."""
-    w = (metric_rows(log).writeStream.format("parquet").option("path", path)
-         .option("checkpointLocation", checkpoint).partitionBy("run").outputMode("append"))
+    w = (metric_rows(log).withColumn("bucket", log_bucket(F.col("run"))).writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint).partitionBy("bucket").outputMode("append"))
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
