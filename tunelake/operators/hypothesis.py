@@ -100,6 +100,24 @@ def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01
                     sig.alias("is_statistically_significant"))
 
 
+def variant_pairs(long_scores: DataFrame, keys: list[str], variant: str = "variant", score: str = "score",
+                  base: str = "base", fused: str = "fused") -> DataFrame:
+    """(keys..., base, fused, n_base, n_fused) of a log that holds both variants, unique by keys and
+    variant: one aggregation instead of a join of the log with itself."""
+    is_base, is_fused = F.col(variant) == base, F.col(variant) == fused
+    return long_scores.where(is_base | is_fused).groupBy(*keys).agg(
+        F.max(F.when(is_base, F.col(score))).alias("base"), F.max(F.when(is_fused, F.col(score))).alias("fused"),
+        F.count_if(is_base).alias("n_base"), F.count_if(is_fused).alias("n_fused"))
+
+
+def unmatched_variants(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """The counts of ``unmatched_pairs`` from ``variant_pairs``."""
+    return pairs.groupBy(*group).agg(
+        F.sum("n_base").cast("bigint").alias("n_base"), F.sum("n_fused").cast("bigint").alias("n_fused"),
+        F.sum(F.when(F.col("n_fused") == 0, F.col("n_base")).otherwise(0)).cast("bigint").alias("unmatched_base"),
+        F.sum(F.when(F.col("n_base") == 0, F.col("n_fused")).otherwise(0)).cast("bigint").alias("unmatched_fused"))
+
+
 def paired_scores(base_scores: DataFrame, fused_scores: DataFrame, keys: list[str],
                   score: str = "score") -> DataFrame:
     """Positional pairing as a real equi-join on (group, sample id)."""

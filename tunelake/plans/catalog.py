@@ -433,15 +433,14 @@ def _variant_scores(spark, sf_dir):
 
 @query
 def paired_scores(spark, sf_dir):
-    v = _variant_scores(spark, sf_dir)
-    return H.paired_scores(v.where("variant = 'base'"), v.where("variant = 'fused'"), ["group_id", "sample_id"])
+    p = H.variant_pairs(_variant_scores(spark, sf_dir), ["group_id", "sample_id"])
+    return p.where("n_base > 0 and n_fused > 0").select(
+        "group_id", "sample_id", "base", "fused", (F.col("fused") - F.col("base")).alias("delta"))
 
 
 @query
 def unmatched_pairs(spark, sf_dir):
-    v = _variant_scores(spark, sf_dir)
-    return H.unmatched_pairs(v.where("variant = 'base'"), v.where("variant = 'fused'"),
-                             ["group_id", "sample_id"], ["group_id"])
+    return H.unmatched_variants(H.variant_pairs(_variant_scores(spark, sf_dir), ["group_id", "sample_id"]), ["group_id"])
 
 
 @query
