@@ -265,18 +265,18 @@ def _send_segments(parts: int, length: int):
                 wanted = np.concatenate([np.asarray(known[base + k], np.int64) for k in range(len(ids))])
                 owner = np.repeat(np.arange(len(ids)), [len(known[base + k]) for k in range(len(ids))])
                 at = np.flatnonzero(inside)
-                at = at[np.isin(m[at], np.unique(wanted).view(np.uint64))]
                 if not len(at):
                     continue
+                # Runs of windows with one anchor in one document.
                 doc = _owner(at, ends)
-                # An anchor counts for the documents that share it.
-                pair = np.unique(_mix(wanted.view(np.uint64)) + owner.astype(np.uint64))
-                fits = np.isin(_mix(m[at]) + doc.astype(np.uint64), pair)
-                at, doc = at[fits], doc[fits]
-                if not len(at):
-                    continue
-                cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (m[at][1:] != m[at][:-1]) | (np.diff(doc) != 0)])
+                cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(m[at]) != 0) | (np.diff(doc) != 0)])
                 start, stop, doc = at[cut], at[np.r_[cut[1:], len(at)] - 1] + length, doc[cut]
+                # An anchor counts for the documents that share it.
+                fits = np.isin(m[start], wanted.view(np.uint64))
+                start, stop, doc = start[fits], stop[fits], doc[fits]
+                fits = np.isin(_mix(m[start]) + doc.astype(np.uint64),
+                               _mix(wanted.view(np.uint64)) + owner.astype(np.uint64))
+                start, stop, doc = start[fits], stop[fits], doc[fits]
                 begin = np.r_[0, ends[:-1]]
                 whole = raw.tobytes()
                 for a, s, e, k in zip(m[start].tolist(), start.tolist(), stop.tolist(), doc.tolist()):
