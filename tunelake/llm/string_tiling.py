@@ -16,10 +16,14 @@ The benchmark side is small next to the corpus: while it has at most
 shuffled.  Beyond, seeds are joined by a shuffle and only pairs that meet are
 tiled.  Both ways give the same rows.
 
+An item is a distinct (item_id, text): ids may repeat with other texts, or be
+null, and every text is searched.
+
 Cases: null and empty texts have no words and are clean; items without words
 match nothing, items shorter than ``min_tile`` words must be met whole; ties
-for the best item go to the smallest id; repeated rows are judged one by one;
-an empty table on either side is fine; extra columns are ignored.
+for the best item go to the smallest id, a null id comes last; repeated rows
+are judged one by one; an empty table on either side is fine; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from tunelake.llm.common import scratch
+
 MIN_TILE = 5
 THRESHOLD = 0.6
 BROADCAST_WORDS = 2_000_000
@@ -155,16 +161,18 @@ FOUND = StructType([StructField("item_id", LongType()), StructField("n_items", I
 
 
 def _near(docs: DataFrame, rows: list, min_tile: int) -> DataFrame:
-    """All items in every task; rows stay where they are."""
+    """All items (item_id, words) in every task; rows stay where they are."""
+    # Numbered by id, so that the first of equal items has the smallest one.
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     built: list[Items] = []
 
     @F.pandas_udf(FOUND)
     def best(text: pd.Series) -> pd.DataFrame:
         if not built:
-            built.append(Items(sent.value, min_tile))
+            built.append(Items([(k, r[1]) for k, r in enumerate(sent.value)], min_tile))
         found = [built[0].best(t) for t in text]
-        return pd.DataFrame({"item_id": pd.array([f[0] for f in found], dtype="Int64"),
+        return pd.DataFrame({"item_id": pd.array([None if f[0] is None else sent.value[f[0]][0] for f in found], dtype="Int64"),
                              "n_items": [f[1] for f in found], "coverage": [f[2] for f in found]})
 
     return docs.withColumn("_found", best("text"))
@@ -172,18 +180,20 @@ def _near(docs: DataFrame, rows: list, min_tile: int) -> DataFrame:
 
 def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
     """Items and documents meet by a shuffle on seed hashes; only pairs that meet are tiled."""
+    items = scratch(items.withColumn("item", F.monotonically_increasing_id()), "items")  # one number in all joins
+
     def item_seeds(batches):
         for b in batches:
             out = []
-            for item, t in zip(b["item_id"], b["text"]):
+            for item, t in zip(b["item"], b["text"]):
                 words = words_of(t)
                 size = min(min_tile, len(words))
                 if size:
                     h = np.asarray([word_hash(w) for w in words], np.uint64)
                     out += [(size, s, item) for s in set(windows(h, size).astype(np.int64).tolist())]
-            yield pd.DataFrame(out, columns=["size", "seed", "item_id"])
+            yield pd.DataFrame(out, columns=["size", "seed", "item"])
 
-    seeds = items.mapInPandas(item_seeds, "size int, seed long, item_id long")
+    seeds = items.select("item", "text").mapInPandas(item_seeds, "size int, seed long, item long")
     sizes = [r["size"] for r in seeds.select("size").distinct().collect()]  # min_tile values at most
 
     def doc_seeds(batches):
@@ -197,18 +207,19 @@ def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
     keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     texts = keyed.select("_key", "text").dropDuplicates(["_key"])  # equal texts are tiled once
     pairs = (texts.mapInPandas(doc_seeds, "size int, seed long, _key string")
-             .join(seeds, ["size", "seed"]).select("_key", "item_id").distinct())
+             .join(seeds, ["size", "seed"]).select("_key", "item").distinct())
 
     def tiled(batches):
         for b in batches:
-            found = [Items([(i, words_of(x))], min_tile).best(t) for i, x, t in zip(b["item_id"], b["item"], b["text"])]
-            yield pd.DataFrame({"_key": b["_key"], "item_id": b["item_id"], "n": [f[1] for f in found],
+            found = [Items([(i, words_of(x))], min_tile).best(t) for i, x, t in zip(b["item"], b["passage"], b["text"])]
+            yield pd.DataFrame({"_key": b["_key"], "item": b["item"], "n": [f[1] for f in found],
                                 "share": [f[2] for f in found]})
 
-    met = (pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts, "_key")
-           .select("_key", "item_id", "item", "text").mapInPandas(tiled, "_key string, item_id long, n int, share double"))
-    best = met.where("n > 0").groupBy("_key").agg(F.struct(
-        F.min_by("item_id", F.struct(-F.col("share"), F.col("item_id"))).alias("item_id"),
+    met = (pairs.join(items.select("item", F.col("text").alias("passage")), "item").join(texts, "_key")
+           .select("_key", "item", "passage", "text").mapInPandas(tiled, "_key string, item long, n int, share double")
+           .where("n > 0").join(items.select("item", "item_id"), "item"))
+    best = met.groupBy("_key").agg(F.struct(
+        F.min_by("item_id", F.struct(-F.col("share"), F.col("item_id").isNull(), F.col("item_id"))).alias("item_id"),
         F.count("*").cast("int").alias("n_items"), F.max("share").alias("coverage")).alias("_found"))
     return keyed.join(best, "_key", "left").drop("_key")
 
@@ -216,8 +227,8 @@ def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
 def with_tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,
                 broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``docs`` with _found (item_id, n_items, coverage) and _contaminated."""
-    items = (benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-             .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
+    items = benchmark.where(F.col("text").isNotNull()).select(
+        F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     # Letters bound the words from above, so the size is known before anything is collected.
     size = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
     if size <= 2 * broadcast_words:
