@@ -2,9 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tunelake.llm import string_tiling as G
+from tunelake.llm import suffix_dedup as S
 
 from helpers import text
+from test_duplicates import brute_cut
 
 
 def test_tiling_of_all_texts_of_an_id(spark):
@@ -22,3 +26,19 @@ def test_tiling_of_all_texts_of_an_id(spark):
         assert [got[i].item_id for i in range(7)] == [0, 0, 1, 1, None, None, 0]
         assert got[2].n_items >= 2 and got[6].n_items >= 2
     assert G.decontaminated(docs, bench).count() == 0
+
+
+def test_repeats_of_null_and_repeated_ids(spark):
+    """Two texts of no id and two of one id share a passage with a smaller document, all in one group."""
+    rng = random.Random(12)
+    shared = text(rng, 20)
+    rows = [(1, text(rng, 20) + shared + text(rng, 20))]
+    for d in (None, None, 7, 7):
+        rows.append((d, text(rng, rng.randint(5, 60)) + shared + text(rng, rng.randint(5, 60))))
+    rows.append((7, rows[-1][1]))
+    other = text(rng, 20)  # of the smallest id of its group: its texts lose nothing here
+    rows += [(d, text(rng, rng.randint(5, 30)) + other) for d in (3, 3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cut = S.with_spans(docs, S.repeated_spans(docs))
+    got = [(r.doc_id, bytes(r.left)) for r in cut.select("doc_id", S.kept_bytes().alias("left")).collect()]
+    assert sorted(got, key=repr) == sorted(((r[0], r[4]) for r in brute_cut(rows, S.LENGTH)), key=repr)

@@ -230,14 +230,15 @@ def _meet_anchors(part: pd.DataFrame) -> pd.DataFrame:
 
 def _send_segments(parts: int, length: int):
     def flush(segments, turn):
-        """segments: bytes -> {doc: (crc, [offsets])}; the smallest document goes on, the others are settled."""
+        """segments: bytes -> {(doc, crc): [offsets]}; the texts of the smallest document go on, the others are settled."""
         settled, sent = [], {}
         for (anchor, raw), docs in segments.items():
-            least = min(docs)
-            for d, (crc, offsets) in docs.items():
+            least = min(docs)[0]
+            for (d, crc), offsets in docs.items():
                 if d != least:
                     settled += [(d, crc, o, o + len(raw)) for o in offsets]
-            sent.setdefault((anchor >> 40) % parts, []).append((raw, least, *docs[least], anchor))
+                else:
+                    sent.setdefault((anchor >> 40) % parts, []).append((raw, d, crc, offsets, anchor))
         out = []
         if settled:
             s = np.asarray(settled, np.int64)
@@ -282,11 +283,11 @@ def _send_segments(parts: int, length: int):
                 for a, s, e, k in zip(m[start].tolist(), start.tolist(), stop.tolist(), doc.tolist()):
                     seg = whole[s:e]
                     seen = segments.setdefault((a, seg), {})
-                    d = int(ids[k])
-                    if d in seen:
-                        seen[d][1].append(s - int(begin[k]))
+                    row = int(ids[k]), int(keys[k])  # null and repeated ids have several texts
+                    if row in seen:
+                        seen[row].append(s - int(begin[k]))
                     else:
-                        seen[d] = (int(keys[k]), [s - int(begin[k])])
+                        seen[row] = [s - int(begin[k])]
                         held += 300
             if held >= GROUP_BYTES:
                 yield flush(segments, turn)
