@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tunelake.llm import string_tiling as G
 from tunelake.llm import suffix_dedup as S
+from tunelake.llm import tensor_dedup as D
 
 from helpers import text
-from test_duplicates import brute_cut
+from test_duplicates import brute_cut, brute_groups
 
 
 def test_tiling_of_all_texts_of_an_id(spark):
@@ -42,3 +43,29 @@ def test_repeats_of_null_and_repeated_ids(spark):
     cut = S.with_spans(docs, S.repeated_spans(docs))
     got = [(r.doc_id, bytes(r.left)) for r in cut.select("doc_id", S.kept_bytes().alias("left")).collect()]
     assert sorted(got, key=repr) == sorted(((r[0], r[4]) for r in brute_cut(rows, S.LENGTH)), key=repr)
+
+
+def test_one_row_of_groups_with_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    t = [text(rng, 60) for _ in range(8)]
+
+    def near(i):
+        return t[i] + " " + text(rng, 1)
+    rows = [(1, t[0]), (None, t[0]), (None, near(0)), (None, None), (None, ""),     # null ids beside a number
+            (None, t[1]), (None, t[1]), (None, near(1)),                            # null ids alone
+            (5, t[2]), (5, near(2)), (5, t[3]), (6, near(3)),                       # two texts of one id
+            (4, t[4]), (5, near(4)), (9, t[5]), (9, t[5].upper()), (9, t[6]), (8, None), (8, " ")]
+    groups = {}
+    for (d, x), (_, n, least, _) in zip(rows, brute_groups(rows, 5)):
+        if n:
+            i = next(i for i in range(8) if x.lower().startswith(t[i]))
+            groups.setdefault(i, []).append((d, x))
+    docs = spark.createDataFrame([(d, x, i) for i, (d, x) in enumerate(rows)], "doc_id int, text string, part int")
+    got = [(r.doc_id, r.text) for r in D.without_near_duplicates(docs.repartition(3)).collect()]
+    for members in groups.values():
+        left = [g for g in got if g in members]
+        ids = [d for d, _ in members if d is not None]
+        assert len(left) == 1 and left[0][0] == (min(ids) if ids else None)
+    assert sorted((g for g in got if not (g[1] or "").strip()), key=repr) == sorted(
+        [(None, None), (None, ""), (8, None), (8, " ")], key=repr)
+    assert len(got) == len(groups) + 4

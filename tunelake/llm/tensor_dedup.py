@@ -96,7 +96,7 @@ SIGNATURE = StructType([StructField("n_shingles", LongType()), StructField("dige
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, a, b) of every row; digest names the shingle set."""
+    """The columns of ``docs`` but text, with n_shingles, digest, a, b; digest names the shingle set."""
     @F.pandas_udf(SIGNATURE)
     def signed(texts: pd.Series) -> pd.DataFrame:
         shingles, mult, out = Shingler(shingle), _multipliers(2 * SUBKEYS * EACH), []
@@ -109,7 +109,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 out.append((0, None, None, None))
         return pd.DataFrame(out, columns=SIGNATURE.names).astype({"digest": object, "a": object, "b": object})
 
-    return docs.select("doc_id", signed(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, signed(F.coalesce("text", F.lit(""))).alias("s")).select(*rest, "s.*")
 
 
 def _slot(column: str):
@@ -215,20 +216,33 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int)
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Columns of ``docs`` (doc_id, text, maybe key) but text, with n_shingles and first.
+
+    first: the smallest (null id, doc_id[, key]) of the row's group; null where
+    the row has no shingles.
+    """
     signed = scratch(signatures(docs, shingle), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("null_id"), *[c for c in docs.columns if c != "text"])
     classes = scratch(
         signed.where("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"),
-             F.first("b").alias("b")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+        .agg(F.min(row).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"),
+             F.first("b").alias("b")).withColumn("doc_id", F.col("first.doc_id"))
+        .withColumn("cls", F.monotonically_increasing_id()), "classes")
     roots = links(docs, classes, shingle, num, den)
-    placed = classes.select("cls", "digest", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select(
-        "digest", "doc_id", F.coalesce("root", "cls").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("digest", "least")
-    return (signed.join(named, "digest", "left")
-            .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    placed = classes.select("cls", "digest", "first").join(roots, F.col("cls") == F.col("node"), "left").select(
+        "digest", "first", F.coalesce("root", "cls").alias("root"))
+    named = placed.select("root", "digest").join(
+        placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("digest", "first")
+    return signed.join(named, "digest", "left").select(
+        *[c for c in docs.columns if c != "text"], "n_shingles", "first")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (_grouped(docs, shingle, num, den)
+            .select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
@@ -238,18 +252,24 @@ SLOTS = 1 << 18
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns: the smallest id.
 
-    Rows with equal id and text count once.  Only rows that share a hash slot
-    with a dropped or repeated id are shuffled; the slots (at most SLOTS) are
-    broadcast.
+    Rows are judged by id and text, so null and repeated ids stand for each of
+    their texts: of several texts of the smallest id in a group one stays, and
+    a null id only in a group without another.  Rows without words are in no
+    group.  Rows with equal id and text count once.  Only rows that share a
+    hash slot with a dropped or repeated row are shuffled; the slots (at most
+    SLOTS) are broadcast.
     """
-    judged = scratch(near_duplicates(docs, shingle, num, den).select("doc_id", "kept"), "judged")
-    known = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    some = known.where("n > 1 or not kept").select("doc_id", "kept")
-    slot = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(SLOTS - 1)
-    slots = F.broadcast(some.select(slot.alias("_slot")).distinct())
-    rows = docs.withColumn("_slot", slot)
+    doc_id, key = F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    grouped = _grouped(docs.select(doc_id.alias("doc_id"), key.alias("key"), "text"), shingle, num, den)
+    best = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    judged = scratch(grouped.select("doc_id", "key", (F.col("first").isNull() | best).alias("kept")), "judged")
+    # Equal id and text, equal judgement.
+    some = judged.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where(
+        "n > 1 or not kept")
+    slots = F.broadcast(some.select(F.xxhash64("doc_id", "key").bitwiseAND(SLOTS - 1).alias("_slot")).distinct())
+    rows = docs.withColumn("_key", key).withColumn("_slot", F.xxhash64(doc_id, "_key").bitwiseAND(SLOTS - 1))
     doubtful = rows.join(slots, "_slot", "left_semi").drop("_slot")
-    gone = some.where("not kept").select(F.col("doc_id").alias("_gone"))
-    stay = (doubtful.join(gone, doubtful["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-            .dropDuplicates(["doc_id", "text"]))
-    return rows.join(slots, "_slot", "left_anti").drop("_slot").unionByName(stay)
+    gone = some.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key"))
+    stay = (doubtful.join(gone, (doubtful["_key"] == F.col("_gone_key")) & doubtful["doc_id"].cast("long").eqNullSafe(
+                F.col("_gone")), "left_anti").drop("_key").dropDuplicates(["doc_id", "text"]))
+    return rows.join(slots, "_slot", "left_anti").drop("_slot", "_key").unionByName(stay)
