@@ -1,12 +1,14 @@
-"""Null and repeated ids: nothing of the input is left out."""
+"""Null and repeated ids, rare terms and pairs: nothing of the input is left out."""
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tunelake.llm import string_tiling as G
 from tunelake.llm import suffix_dedup as S
 from tunelake.llm import tensor_dedup as D
+from tunelake.llm import toxicity as T
 
 from helpers import text
 from test_duplicates import brute_cut, brute_groups
@@ -69,3 +71,32 @@ def test_one_row_of_groups_with_null_and_repeated_ids(spark):
     assert sorted((g for g in got if not (g[1] or "").strip()), key=repr) == sorted(
         [(None, None), (None, ""), (8, None), (8, " ")], key=repr)
     assert len(got) == len(groups) + 4
+
+
+def fitted(rows):
+    m = T.fit_machine([T.term_buckets(t, {}) for t, _ in rows], np.array([y for _, y in rows]))
+    return lambda texts: m.margins([m.position(T.term_buckets(t, {})) for t in texts])
+
+
+def test_exclusive_or_among_noise_words():
+    """Either word alone is toxic, both together are not: a single word tells nothing."""
+    rng = random.Random(14)
+    rows = []
+    for _ in range(4500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"n{rng.randrange(4000)}" for _ in range(30)] + ["vermin"] * a + ["martians"] * b
+        rows.append((" ".join(words), int(a != b)))
+    margins = fitted(rows[:3500])([t for t, _ in rows[3500:]])
+    assert np.mean((margins >= 0) == [y for _, y in rows[3500:]]) > 0.97
+
+
+def test_insult_seen_once_or_twice():
+    rng = random.Random(15)
+
+    def noise():
+        return " ".join(f"n{rng.randrange(300)}" for _ in range(12))
+    rows = [(noise() + " " + rng.choice(["vermin", "cretin", "numbskull"]) * y, y) for y in (0, 1) for _ in range(300)]
+    rows += [(noise() + " blockhead", 1), (noise() + " blockhead", 1), (noise() + " dunderpate", 1)]
+    judge, plain = fitted(rows), [noise() for _ in range(50)]
+    for word in ("blockhead", "dunderpate"):
+        assert min(judge([f"{t} {word}" for t in plain]) - judge(plain)) > 0.5

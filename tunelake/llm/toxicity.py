@@ -4,9 +4,10 @@ score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 if a
 term of the text falls into bucket i.  The factors learn pairs (an insult and
 a group mention together) that a sum of single weights can't express.  It is
 fitted once on a bounded, balanced sample of labelled rows (``PER_CLASS`` of
-each class) in one task, with buckets screened by their chi-square with the
-label; the model is a few thousand numbers and goes to every task.  Scoring is
-row-local over whole texts.
+each class) in one task.  Every bucket that occurs in the sample has a weight
+and factors, however rare; an L1 penalty, the same in each epoch for rare and
+frequent terms, holds back what the label doesn't bear out.  The model has at most BUCKETS * (1 + FACTORS) single-precision numbers
+and is broadcast.  Scoring is row-local over whole texts.
 
 Cases: null and empty texts have no terms and score sigmoid(w0); without rows
 of both classes the score is the share of label 1 (0.0 without any); repeated
@@ -30,10 +31,11 @@ from tunelake.llm.common import held_out, pack, unpack
 from tunelake.llm.labelled import labelled_sample
 
 BUCKETS = 1 << 20
-KEPT = 512
 FACTORS = 8
 PER_CLASS = 4000
-EPOCHS, RATE, DECAY, MIN_ROWS = 30, 0.1, 1e-3, 3
+EPOCHS, BATCH = 50, 64
+RATE, FACTOR_RATE = 4.0, 0.05      # of the first epoch; they fall to zero
+SPARSE, FACTOR_SPARSE, DECAY = 5e-4, 1e-3, 1e-3
 CACHE_TERMS = 500_000
 TERM = re.compile(r"\w+")
 STEM = 5
@@ -55,13 +57,13 @@ def term_buckets(text: str, cache: dict) -> np.ndarray:
 
 @dataclass
 class Machine:
-    buckets: np.ndarray   # kept buckets, ascending
+    buckets: np.ndarray   # buckets of the sample, ascending
     bias: float
     weights: np.ndarray
-    factors: np.ndarray   # kept x FACTORS
+    factors: np.ndarray   # buckets x FACTORS
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Margin of each row of kept-bucket positions."""
+        """Margin of each row of positions in ``buckets``."""
         sizes = np.asarray([len(r) for r in rows])
         out = np.full(len(rows), self.bias)
         full = np.flatnonzero(sizes)
@@ -85,49 +87,60 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Values drawn to zero (proximal step of L1)."""
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss; classes weigh the same."""
+    """Proximal AdaGrad on the logistic loss; classes weigh the same.
+
+    A bucket pays its penalties when a batch has it, for the batches since then
+    too (``gap``, their mean number).
+    """
     rate1 = float(y.mean()) if len(y) else 0.0
     if not 0 < rate1 < 1:
         # sigmoid(+-35) is 1 or 0 to the last bit that counts.
         return Machine(np.zeros(0, np.int64), 35.0 if rate1 else -35.0, np.zeros(0), np.zeros((0, FACTORS)))
-    pos = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v] or [np.zeros(0, int)]), minlength=BUCKETS)
-    neg = np.bincount(np.concatenate([r for r, v in zip(rows, y) if not v] or [np.zeros(0, int)]), minlength=BUCKETS)
+    known = np.unique(np.concatenate(rows).astype(np.int64))
     n1, n0 = y.sum(), len(y) - y.sum()
-    total = pos + neg
-    share = total / len(y)
-    gap = (pos / n1 - neg / n0) ** 2 / np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12)
-    gap[total < MIN_ROWS] = 0
-    kept = np.sort(np.argsort(-gap, kind="stable")[:KEPT])
-    kept = kept[gap[kept] > 0]
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     rng = np.random.default_rng(seed)
-    m = Machine(kept, 0.0, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
+    n = len(known)
+    m = Machine(known, 0.0, np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32))
     local = [m.position(r) for r in rows]
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    g_b, g_w, g_v = 1e-6, np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    batches = -(-len(y) // BATCH)
+    gap = (batches / np.minimum(np.bincount(np.concatenate(local), minlength=n), batches)).astype(np.float32)
+    g_b, g_w, g_v = 1e-6, np.ones(n, np.float32), np.ones((n, FACTORS), np.float32)
+    for epoch in range(EPOCHS):
+        rate, factor_rate = (r * (1 - epoch / EPOCHS) for r in (RATE, FACTOR_RATE))
         order = rng.permutation(len(y))
-        for at in range(0, len(y), 64):
-            some = order[at:at + 64]
+        for at in range(0, len(y), BATCH):
+            some = order[at:at + BATCH]
             part = [local[i] for i in some]
-            err = (sigmoid(m.margins(part)) - y[some]) * weight[some] / len(some)
+            err = ((sigmoid(m.margins(part)) - y[some]) * weight[some] / len(some)).astype(np.float32)
+            d_b = float(err.sum())
+            g_b += d_b * d_b
+            m.bias -= rate * d_b / g_b ** 0.5
             sizes = np.asarray([len(p) for p in part])
             flat, owner = np.concatenate(part), np.repeat(np.arange(len(some)), sizes)
-            v = m.factors[flat]
-            s = np.zeros((len(some), FACTORS))
-            np.add.at(s, owner, v)
-            touched, slot = np.unique(flat, return_inverse=True)
-            d_w = np.bincount(slot, err[owner], len(touched)) + DECAY * m.weights[touched]
-            d_v = np.zeros((len(touched), FACTORS))
-            np.add.at(d_v, slot, err[owner][:, None] * (s[owner] - v))
-            d_v += DECAY * m.factors[touched]
-            d_b = err.sum()
-            g_b += d_b * d_b
+            if not len(flat):
+                continue
+            s = np.zeros((len(some), FACTORS), np.float32)
+            s[sizes > 0] = np.add.reduceat(m.factors[flat], (np.cumsum(sizes) - sizes)[sizes > 0])
+            by = np.argsort(flat, kind="stable")
+            flat, owner = flat[by], owner[by]
+            cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            touched = flat[cut]
+            w, v, since = m.weights[touched], m.factors[touched], gap[touched]
+            d_w = np.add.reduceat(err[owner], cut)
+            d_v = np.add.reduceat(err[owner][:, None] * (s[owner] - m.factors[flat]), cut) + DECAY * since[:, None] * v
             g_w[touched] += d_w * d_w
             g_v[touched] += d_v * d_v
-            m.bias -= RATE * d_b / g_b ** 0.5
-            m.weights[touched] -= RATE * d_w / np.sqrt(g_w[touched])
-            m.factors[touched] -= RATE / 4 * d_v / np.sqrt(g_v[touched])
+            h = rate / np.sqrt(g_w[touched])
+            m.weights[touched] = shrunk(w - h * d_w, h * SPARSE * since)
+            h = factor_rate / np.sqrt(g_v[touched])
+            m.factors[touched] = shrunk(v - h * d_v, h * FACTOR_SPARSE * since[:, None])
     return m
 
 
@@ -156,10 +169,12 @@ def train(sample: DataFrame) -> Machine:
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     cache: dict = {}
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf(DoubleType())
     def judged(texts: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(machine.margins([machine.position(term_buckets(t, cache)) for t in texts])))
+        known = sent.value
+        return pd.Series(sigmoid(known.margins([known.position(term_buckets(t, cache)) for t in texts])))
 
     return docs.select("doc_id", judged(F.coalesce(F.col(text), F.lit(""))).alias("score"))
 
