@@ -9,7 +9,7 @@ from tunelake.operators import scoring as SC
 from tunelake.plans import jobs as J
 from tunelake.plans.catalog import QUERIES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_eda_job_on_turn_table(spark, tmpdir_fresh):

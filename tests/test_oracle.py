@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from tunelake.plans.catalog import QUERIES
 from tunelake.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SQLS = E.oracle_sql()
 

@@ -32,7 +32,7 @@ def test_oracles_present():
 
 def test_branches_are_reached(spark):
     """The registered parameters reach the branches that the queries exist for."""
-    from conftest import SF_ORACLE
+    from paths import SF_ORACLE
     q = E.queries()
     n = spark.read.parquet(f"{SF_ORACLE}/conversations.parquet").count()
     assert 0 < q["cap_samples"](spark, SF_ORACLE).count() < n

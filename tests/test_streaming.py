@@ -10,7 +10,7 @@ from tunelake.sources.readers import stream_pairs_source
 from tunelake.sources.tables import load_table
 from tunelake.streaming import jobs as J
 
-from conftest import SF_ORACLE
+from paths import SF_ORACLE
 
 
 def _write_parts(df, path, n=4):
