@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 
 from tunelake.llm import huffman_ids, piece_tokens
+from tunelake.llm.bond_negatives import hard_negatives
 from tunelake.llm.common import held_out, prepare, read_documents, read_labels
 from tunelake.llm.katz import katz_scores
 from tunelake.llm.passage_quality import quality
 from tunelake.llm.quality_rules import quality_rules
+from tunelake.llm.site_templates import main_text
 from tunelake.llm.string_tiling import tiling
 from tunelake.llm.suffix_dedup import kept_bytes, repeated_spans, with_spans
 from tunelake.llm.tensor_dedup import near_duplicates
 from tunelake.llm.toxicity import toxicity
 from tunelake.llm.url_filter import url_filter
+from tunelake.llm.whitening import whitened
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +86,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op7_suffix_dedup, op8_quality_rules, op9_string_tiling, op10_url_filter)}
+def op11_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitened(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_toxicity, op3_huffman_ids, op4_tensor_dedup, op5_passage_quality, op6_piece_tokens, op7_suffix_dedup, op8_quality_rules, op9_string_tiling, op10_url_filter, op11_site_templates, op12_qd_whitening, op13_bond_negatives)}
