@@ -63,6 +63,16 @@ def with_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int | Non
     return cut_lineage(tagged)
 
 
+def _with_block_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of the (keys, block) table, at most one row for each block; a null key is a key."""
+    renamed = values.select(*[F.col(k).alias(f"_tl_k{i}") for i, k in enumerate(keys)], F.col(_BLK).alias("_tl_kb"),
+                            *[c for c in values.columns if c not in (*keys, _BLK)])
+    same = F.col(_BLK) == F.col("_tl_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_tl_k{i}"))
+    return rows.join(F.broadcast(renamed), same, "left")
+
+
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -114,7 +124,7 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
     # Only the first key of a range can continue from earlier ranges:
     # at most n_blocks rows, so the broadcast is bounded by the block count.
     corrections = prefix.where(F.col("_tl_earlier") > 0).drop("_tl_earlier")
-    out = local.join(F.broadcast(corrections), on=[*keys, _BLK], how="left")
+    out = _with_block_values(local, corrections, keys)
     for name, (fn, _c, inclusive) in specs.items():
         loc, pre = F.col(f"_tl_loc_{name}"), F.col(f"_tl_pre_{name}")
         if fn in ("sum", "count"):
@@ -140,23 +150,29 @@ def row_ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordina
 def previous_value(df: DataFrame, keys: list[str], order: list, col: str, name: str,
                    n_blocks: int | None = None) -> DataFrame:
     """``lag(col)`` per group in ``order`` without a single-task window per group."""
+    return _neighbour(df, keys, order, col, name, n_blocks, F.lag, F.max_by)
+
+
+def next_value(df: DataFrame, keys: list[str], order: list, col: str, name: str,
+               n_blocks: int | None = None) -> DataFrame:
+    """``lead(col)`` per group in ``order`` without a single-task window per group."""
+    return _neighbour(df, keys, order, col, name, n_blocks, F.lead, F.min_by)
+
+
+def _neighbour(df, keys, order, col, name, n_blocks, shift, edge_by):
     b = with_blocks(df, keys, order, n_blocks)
     part = [F.col(k) for k in keys] + [F.col(_BLK)]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
-    local = b.withColumn("_tl_lag", F.lag(F.col(col)).over(w)) \
-             .withColumn("_tl_first", F.row_number().over(w) == 1)
-    # Last value of each (key, block), then the value of the nearest earlier
-    # block of the same key.
-    last = local.groupBy(*keys, _BLK).agg(
-        F.max_by(F.col(col), F.struct(*_order_cols(order))).alias("_tl_last"))
+    local = b.withColumn("_tl_near", shift(F.col(col)).over(w)) \
+             .withColumn("_tl_edge", shift(F.lit(1)).over(w).isNull())
+    # The value at the edge of each (key, block), then that of the nearest block of the same key.
+    edge = local.groupBy(*keys, _BLK).agg(edge_by(F.col(col), F.struct(*_order_cols(order))).alias("_tl_value"))
     w_blocks = Window.partitionBy(*keys).orderBy(_BLK)
-    carry = last.select(*keys, _BLK,
-                        F.lag("_tl_last").over(w_blocks).alias("_tl_carry"),
-                        F.lag(F.lit(1)).over(w_blocks).alias("_tl_has_prev")) \
-                .where(F.col("_tl_has_prev").isNotNull()).drop("_tl_has_prev")
-    out = local.join(F.broadcast(carry), on=[*keys, _BLK], how="left")
-    out = out.withColumn(name, F.when(F.col("_tl_first"), F.col("_tl_carry"))
-                         .otherwise(F.col("_tl_lag")))
+    carry = edge.select(*keys, _BLK, shift("_tl_value").over(w_blocks).alias("_tl_carry"),
+                        shift(F.lit(1)).over(w_blocks).alias("_tl_has")) \
+                .where(F.col("_tl_has").isNotNull()).drop("_tl_has")
+    out = _with_block_values(local, carry, keys)
+    out = out.withColumn(name, F.when(F.col("_tl_edge"), F.col("_tl_carry")).otherwise(F.col("_tl_near")))
     return out.drop(*[c for c in out.columns if c.startswith("_tl_")])
 
 

@@ -83,12 +83,21 @@ def read_pairs_source(spark: SparkSession, path: str, schema: T.StructType | Non
 
 def stream_pairs_source(spark: SparkSession, path: str, schema: T.StructType,
                         max_files_per_trigger: int = 1, fmt: str | None = None) -> DataFrame:
-    """Streaming read of the same source (S2); a file stream needs a schema."""
+    """Streaming read of the same source (S2): a folder, or a single file; a file stream needs a schema."""
     fmt = fmt or _format_of(path)
+    path = path.rstrip("/")
+    if _is_file(spark, path):
+        path = f"{path[:-1]}[{path[-1]}]"  # Spark streams folders and globs: the glob of this one file
     return (spark.readStream.format(fmt).schema(schema)
             .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def cap_samples(turns: DataFrame, max_samples: int, id_col: str = "conv_id") -> DataFrame:
     """First ``max_samples`` samples (conversations) in id order, all their turns.
 

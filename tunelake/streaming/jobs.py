@@ -3,11 +3,15 @@
 T1 instruction_stream  -- stateless: messages -> pairs -> template -> lengths
 T2 online_perplexity   -- running perplexity per run (built-in aggregation state)
 T3 metric_log_stream   -- continuous (run, step, key, value) log, appended
+T3 metric_log_targets  -- the same log to several targets, each row once in each
+(Jobs with state of their own are in ``stateful``.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -78,6 +82,71 @@ def metric_log_stream(log: DataFrame, path: str, checkpoint: str, available_now:
     return w.start()
 
 
+def file_target(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A target that keeps each micro-batch in a folder of its own, which a replay overwrites."""
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+    return write
+
+
+class Ledger:
+    """Finished (batch, target) pairs, one empty file each, on the file system of ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = root
+
+    def _entry(self, batch_id: int, target: str):
+        return self._path(f"{self.root}/{target}/{batch_id}")
+
+    def done(self, batch_id: int, target: str) -> bool:
+        return self._fs.exists(self._entry(batch_id, target))
+
+    def mark(self, batch_id: int, target: str) -> None:
+        self._fs.create(self._entry(batch_id, target), True).close()
+
+
+def metric_log_targets(log: DataFrame, targets: dict[str, Callable[[DataFrame, int], None]], checkpoint: str,
+                       available_now: bool = True) -> StreamingQuery:
+    """Continuous metric log to several targets: ``targets`` maps a name to a function (rows, batch id).
+
+    A target that has finished a micro-batch is written into a ledger beside the
+    checkpoint.  If one target fails, the others still get the batch; the query
+    then stops, and its replay writes only to the targets that lack the batch.  A
+    target that can fail half-way should overwrite its own batch, as ``file_target`` does.
+    """
+    ledger = Ledger(log.sparkSession, f"{checkpoint}/targets")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        waiting = [name for name in targets if not ledger.done(batch_id, name)]
+        failed = {}
+        batch.persist()  # the rows are read once for all targets
+        try:
+            for name in waiting:
+                try:
+                    targets[name](batch, batch_id)
+                    ledger.mark(batch_id, name)
+                except Exception as error:  # the other targets go on; the batch is replayed for this one
+                    failed[name] = error
+        finally:
+            batch.unpersist()
+        if failed:
+            raise RuntimeError(f"batch {batch_id} is missing in {sorted(failed)}") from next(iter(failed.values()))
+
+    w = metric_rows(log).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Drive a streaming DataFrame to the end of its source into a parquet table under ``path`` and read that."""
+    q = (df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+         .outputMode(mode).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
     """Drive a streaming DataFrame to completion into a memory table (tests)."""
     w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
