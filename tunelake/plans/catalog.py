@@ -561,3 +561,8 @@ def memory_peak(spark, sf_dir):
                                    F.max("max_allocated_gb").alias("peak_allocated_gb"),
                                    F.max("reserved_gb").alias("peak_reserved_gb"),
                                    F.max("fragmentation_pct").alias("max_fragmentation_pct"))
+
+
+# -- streams -------------------------------------------------------------------
+
+from tunelake.plans import stream_queries  # noqa: E402,F401

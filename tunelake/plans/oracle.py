@@ -583,3 +583,37 @@ SELECT device, CAST(count(*) AS BIGINT) AS samples, max(allocated_gb) AS peak_al
        max(reserved_gb) AS peak_reserved_gb,
        max(round((reserved_gb - allocated_gb) / (reserved_gb + 1e-6) * 100.0, 2)) AS max_fragmentation_pct
 FROM r GROUP BY device"""
+
+
+# Streams: the SQL of their batch twins.
+SQL["stream_turns"] = SQL["read_pairs_source"]
+SQL["stream_instructions"] = f"""
+SELECT t.conv_id, formatted_prompt, formatted_response, prompt_tokens, response_tokens, total_tokens
+FROM ({SQL["chat_template"]}) t JOIN ({LENGTHS}) l ON t.conv_id = l.conv_id"""
+
+SQL["fold_turns"] = SQL["stream_fold_turns"] = """
+WITH t AS (SELECT *, 1700000000 + conv_id * 86400 + turn * 60 + (turn // 8) * 1800 AS ts FROM conversations),
+     s AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY conv_id ORDER BY ts) >= 600, true) AS opens
+           FROM t WHERE ts IS NOT NULL),
+     n AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY conv_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM s)
+SELECT conv_id, min(ts) AS session_start, max(ts) + 600 AS session_end, count(*) AS turns,
+       arg_max(text, turn) FILTER (WHERE role = 'user') AS prompt,
+       arg_max(text, turn) FILTER (WHERE role = 'assistant') AS response
+FROM n GROUP BY conv_id, session"""
+
+SQL["buffer_shuffle"] = SQL["stream_buffer_shuffle"] = """
+WITH d AS (SELECT doc_id, md5('42:' || doc_id) AS shuffle_key FROM documents),
+     s AS (SELECT *, CAST('0x' || substr(shuffle_key, 1, 8) AS BIGINT) % 64 AS slot FROM d),
+     p AS (SELECT doc_id, shuffle_key, lead(doc_id) OVER (PARTITION BY slot ORDER BY doc_id) AS pushed_by FROM s)
+SELECT doc_id, pushed_by, shuffle_key,
+       row_number() OVER (ORDER BY pushed_by NULLS LAST, shuffle_key) - 1 AS position
+FROM p"""
+
+SQL["stream_checkpoints"] = f"""
+SELECT run, step, is_best, best_metric_value, lag(step, 3) OVER (PARTITION BY run ORDER BY step) AS purged_step
+FROM ({CKPT_BEST})"""
+SQL["stream_retention"] = f"SELECT run, step, kept, best_copy, action FROM ({SQL['checkpoint_retention']})"
+SQL["stream_perplexity"] = SQL["perplexity_by_run"]
+SQL["stream_metric_targets"] = f"""
+SELECT run, step, key, value, target
+FROM ({SQL["metric_log_long"]}), (VALUES ('parquet'), ('json')) AS t(target) WHERE key <> 'train/ppl'"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +67,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder, deleted when the driver exits."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _FOLDERS[path] = spark
+    return path
+
+
+@atexit.register
+def _delete_folders() -> None:
+    for path, spark in list(_FOLDERS.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the cluster's folder policy applies
+            return
+
+
 def cut_lineage(df):
     """Reliable, eager checkpoint into the shared checkpoint folder.
 

@@ -147,6 +147,17 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
+def run_complete(df: DataFrame, path: str) -> DataFrame:
+    """Drive a streaming aggregation to the end of its source; read the table that its last micro-batch wrote."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/complete")
+
+    q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{path}/checkpoint")
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/complete")
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
     """Drive a streaming DataFrame to completion into a memory table (tests)."""
     w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

@@ -121,7 +121,7 @@ def shuffle_stream(rows: DataFrame, id_col: str, ts: str, buffer_size: int = DEF
     waits for about ``buffer_size`` others.  Order by ``splits.pushed_order``;
     it depends on seed and buffer size alone, not on micro-batches, partitions
     or restarts.  Rows later than ``delay`` are dropped by the watermark, as are
-    rows without id or time.  A row with a time after ``END_OF_STREAM`` (plus the
+    rows without id or time, or with a time before 1970.  A row with a time after ``END_OF_STREAM`` (plus the
     delay) empties the buffer, as at the end of a finite source.
 
     ``groups`` keys hold the slots: one timer and one state read for each group
