@@ -16,10 +16,9 @@ whole job.  The helpers here split each group into *blocks*:
    first key of each range.  That table has <= n rows, a proven bound, so it
    is broadcast back.
 
-The result does not depend on where the ranges are cut: sums of doubles are
-added as decimals with 18 places (exact, so their order doesn't matter; sums
-must stay under 1e20), everything else is integer or a comparison.  There is
-no other path for small groups: plan and result are the same at every size.
+The result does not depend on where the ranges are cut: a sum of doubles is
+kept as integer sums of its digits (``exact_sums``), everything else is
+integer or a comparison.  There is no other path for small groups.
 
 The block-tagged frame is written once with a reliable ``checkpoint()`` (to
 the shared folder named by ``spark.checkpoint.dir``).  This is required for
@@ -36,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunelake.operators import exact_sums
 from tunelake.session import cut_lineage
 
 _BLK = "_tl_blk"
@@ -51,10 +51,6 @@ def _order_cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-# Exact type of running sums of doubles.
-EXACT = T.DecimalType(38, 18)
-
-
 def with_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int | None = None) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its range id."""
     n = _n_blocks(df, n_blocks)
@@ -100,42 +96,52 @@ def running_aggregates(df: DataFrame, keys: list[str], order: list,
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_excl = Window.partitionBy(*part).orderBy(*_order_cols(order)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    local, exact = b, set()
-    for name, (fn, col, inclusive) in specs.items():
-        local = local.withColumn(f"_tl_val_{name}", col)
-        if fn == "sum" and isinstance(local.schema[f"_tl_val_{name}"].dataType, (T.DoubleType, T.FloatType)):
-            local = local.withColumn(f"_tl_val_{name}", F.col(f"_tl_val_{name}").cast(EXACT))
-            exact.add(name)
-        local = local.withColumn(
-            f"_tl_loc_{name}",
-            _AGG[fn](F.col(f"_tl_val_{name}")).over(w_incl if inclusive else w_excl))
+    valued = b.withColumns({f"_tl_val_{name}": col for name, (_fn, col, _inclusive) in specs.items()})
+    doubles = [name for name, (fn, _c, _i) in specs.items()
+               if fn == "sum" and isinstance(valued.schema[f"_tl_val_{name}"].dataType, (T.DoubleType, T.FloatType))]
+    digits = exact_sums.plan(valued, [f"_tl_val_{name}" for name in doubles])
+    parts: dict[str, tuple[str, bool]] = {}  # column that is aggregated -> (fn, inclusive)
+    places = []
+    for name, (fn, _c, inclusive) in specs.items():
+        d = digits.get(f"_tl_val_{name}")
+        if d is None:
+            parts[name] = (fn, inclusive)
+            continue
+        for i, digit in enumerate(d.split(F.col(f"_tl_val_{name}"))):
+            places.append(digit.alias(f"_tl_val_{name}__{i}"))
+            parts[f"{name}__{i}"] = ("sum", inclusive)
+    valued = valued.select("*", *places)
+    local = valued.select("*", *[
+        _AGG[fn](F.col(f"`_tl_val_{name}`")).over(w_incl if inclusive else w_excl).alias(f"_tl_loc_{name}")
+        for name, (fn, inclusive) in parts.items()])
 
     # Block totals per (keys, block): one row per key per range.
     totals = local.groupBy(*keys, _BLK).agg(
-        *[_AGG[fn](F.col(f"_tl_val_{name}")).alias(f"_tl_tot_{name}")
-          for name, (fn, _c, _i) in specs.items()])
+        *[_AGG[fn](F.col(f"`_tl_val_{name}`")).alias(f"_tl_tot_{name}") for name, (fn, _i) in parts.items()])
     w_blocks = Window.partitionBy(*keys).orderBy(_BLK) \
         .rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(
         *keys, _BLK,
         F.count(F.lit(1)).over(w_blocks).alias("_tl_earlier"),
-        *[_AGG["sum" if fn == "count" else fn](F.col(f"_tl_tot_{name}")).over(w_blocks)
-          .alias(f"_tl_pre_{name}") for name, (fn, _c, _i) in specs.items()])
+        *[_AGG["sum" if fn == "count" else fn](F.col(f"`_tl_tot_{name}`")).over(w_blocks)
+          .alias(f"_tl_pre_{name}") for name, (fn, _i) in parts.items()])
     # Only the first key of a range can continue from earlier ranges:
     # at most n_blocks rows, so the broadcast is bounded by the block count.
     corrections = prefix.where(F.col("_tl_earlier") > 0).drop("_tl_earlier")
     out = _with_block_values(local, corrections, keys)
-    for name, (fn, _c, inclusive) in specs.items():
-        loc, pre = F.col(f"_tl_loc_{name}"), F.col(f"_tl_pre_{name}")
-        if fn in ("sum", "count"):
-            val = F.when(pre.isNull(), loc).otherwise(_COMBINE[fn](loc, pre))
-            if fn == "count":
-                val = F.coalesce(val, F.lit(0)).cast("bigint")
-        else:
-            val = _COMBINE[fn](loc, pre)
-        out = out.withColumn(name, val.cast("double") if name in exact else val)
-    drop = [c for c in out.columns if c.startswith("_tl_")]
-    return out.drop(*drop)
+
+    def combined(name, fn):
+        loc, pre = F.col(f"`_tl_loc_{name}`"), F.col(f"`_tl_pre_{name}`")
+        if fn not in ("sum", "count"):
+            return _COMBINE[fn](loc, pre)
+        val = F.when(pre.isNull(), loc).otherwise(_COMBINE[fn](loc, pre))
+        return F.coalesce(val, F.lit(0)).cast("bigint") if fn == "count" else val
+    results = {}
+    for name, (fn, _c, _i) in specs.items():
+        d = digits.get(f"_tl_val_{name}")
+        results[name] = combined(name, fn) if d is None else d.join([combined(f"{name}__{i}", "sum") for i in range(d.columns)])
+    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith("_tl_") and c not in results]
+    return out.select(*kept, *[c.alias(name) for name, c in results.items()])
 
 
 def row_ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordinal",
