@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.functions.lcs import lcs_length
-from tunelake.functions.text import bleu_tokens, ngrams, whitespace_tokens, word_tokens
+from tunelake.functions.overlap import clipped_overlaps
+from tunelake.functions.text import bleu_tokens, whitespace_tokens, word_tokens
 
 
 def f1(overlap: Column, pred_n: Column, ref_n: Column) -> Column:
@@ -50,33 +51,14 @@ def generation_metrics_fallback(scored: DataFrame, prediction: str = "prediction
 
 def ngram_overlaps(df: DataFrame, id_col: str, pred_tokens: Column, ref_tokens: Column,
                    orders=(1, 2)) -> DataFrame:
-    """Per row id and order n: clipped n-gram overlap and both n-gram counts.
+    """Per row and order n: clipped n-gram overlap and both n-gram counts.
 
-    Rows get a generated key (an id may repeat) and are hash-partitioned by it
-    once; the n-grams of both sides are exploded and counted per (row, n, gram)
-    and then summed per row -- both aggregations are satisfied by that
-    partitioning, so the n-grams themselves never cross the network.
+    All is counted inside the row, so nothing is shuffled and rows that repeat an id stay apart.
     """
-    base = df.withColumn("_row", F.monotonically_increasing_id()).repartition(F.col("_row")).select(
-        "_row", id_col, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
-
-    def tag(side, col, n):
-        return F.transform(ngrams(F.col(col), n),
-                           lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
-
-    def tagged(side, col):
-        return [tag(side, col, n) for n in orders]
-    grams = base.select("_row", id_col, F.size("_pt").alias("_pl"), F.size("_rt").alias("_rl"),
-                        F.explode_outer(F.concat(*tagged("p", "_pt"), *tagged("r", "_rt"))).alias("e"))
-    per_gram = grams.groupBy("_row", "e.n", "e.gram").agg(
-        F.first(id_col).alias(id_col),
-        F.max("_pl").alias("_pl"), F.max("_rl").alias("_rl"),
-        F.count_if(F.col("e.side") == "p").alias("cp"), F.count_if(F.col("e.side") == "r").alias("cr"))
-    aggs = [F.max("_pl").cast("bigint").alias("pred_len"), F.max("_rl").cast("bigint").alias("ref_len")]
-    for n in orders:
-        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.least("cp", "cr"))), F.lit(0))
-                    .cast("bigint").alias(f"overlap_{n}"))
-    out = per_gram.groupBy("_row").agg(F.first(id_col).alias(id_col), *aggs).drop("_row")
+    tokens = df.select(id_col, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
+    out = tokens.select(id_col, F.size("_pt").cast("bigint").alias("pred_len"), F.size("_rt").cast("bigint").alias("ref_len"),
+                        clipped_overlaps(F.col("_pt"), F.col("_rt"), orders).alias("_overlaps"))
+    out = out.select(id_col, "pred_len", "ref_len", *[F.col("_overlaps")[i].alias(f"overlap_{n}") for i, n in enumerate(orders)])
     for n in orders:
         out = out.withColumn(f"pred_{n}grams", F.greatest(F.col("pred_len") - (n - 1), F.lit(0)).cast("bigint")) \
                  .withColumn(f"ref_{n}grams", F.greatest(F.col("ref_len") - (n - 1), F.lit(0)).cast("bigint"))
