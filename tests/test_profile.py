@@ -79,12 +79,12 @@ def test_exact_quantiles_match_numpy_with_ties_and_hot_group(spark):
     rows = [("hot", float(x)) for x in rng.normal(size=900).round(1)] + \
            [("cold", float(x)) for x in rng.normal(size=7)] + [("one", 5.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in A.exact_quantiles(df, "v", (0.25, 0.5, 0.9, 0.99), ["g"]).collect()}
+    got = {r.g: r for r in A.quantiles_by_rank(df, "v", (0.25, 0.5, 0.9, 0.99), ["g"]).collect()}
     for g in ("hot", "cold", "one"):
         arr = np.array([v for k, v in rows if k == g])
         for q, name in ((25, "q25"), (50, "q50"), (90, "q90"), (99, "q99")):
             assert got[g][name] == pytest.approx(float(np.percentile(arr, q)), abs=1e-12)
-    whole = A.exact_quantiles(df, "v", (0.5,)).first()
+    whole = A.quantiles_by_rank(df, "v", (0.5,)).first()
     assert whole.q50 == pytest.approx(float(np.percentile([v for _, v in rows], 50)))
 
 

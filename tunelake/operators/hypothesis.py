@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.functions.stats import t_pvalue, wilcoxon_pvalue
+from tunelake.operators.order_stats import exact_quantiles
 from tunelake.operators.profile import histogram
 from tunelake.operators.segmented import running_aggregates
 from tunelake.session import cut_lineage
@@ -164,11 +165,8 @@ def delta_histogram(paired: DataFrame, bins: int = 15, base: str = "base", fused
 
 def score_boxplot(long_scores: DataFrame, variant: str = "variant", score: str = "score") -> DataFrame:
     """Quartiles (linear), whiskers at the most extreme values within 1.5 IQR of
-    the box, and the outlier count, per variant.  Quartiles come from ranks
-    (exact, no per-value map); the per-variant quartile table is joined back
-    (one row per variant)."""
-    from tunelake.operators.profile import exact_quantiles
-    long_scores = cut_lineage(long_scores.select(variant, score))  # read by both branches below
+    the box, and the outlier count, per variant.  Quartiles are exact, by
+    counting (``order_stats``); their table, one row per variant, is joined back."""
     q = exact_quantiles(long_scores, score, (0.25, 0.5, 0.75), [variant], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     # One row per variant: AQE broadcasts it after measuring; no size is assumed.

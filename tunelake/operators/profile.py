@@ -172,9 +172,10 @@ def histogram(df: DataFrame, col: str, bins: int, group_by: list[str] | None = N
                       F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
-def exact_quantiles(df: DataFrame, value: str, qs, group_by: list[str] | None = None,
-                    names: list[str] | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (numpy's default) from ranks.
+def quantiles_by_rank(df: DataFrame, value: str, qs, group_by: list[str] | None = None,
+                      names: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy's default) from ranks, for very many groups
+    (``order_stats.exact_quantiles`` counts instead).
 
     ``percentile`` keeps one counter per distinct value and merges them in one
     reducer per group: fine for integer lengths, unbounded for continuous

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelake.operators.order_stats import exact_quantiles
 from tunelake.operators.segmented import previous_value, row_ordinal, running_aggregates
 
 INF = float("inf")
@@ -49,16 +50,26 @@ def skip_warmup(log: DataFrame, group: str, seq: str, warmup: int = 2) -> DataFr
     return log.where(F.col(seq) > warmup)
 
 
+def skip_first(log: DataFrame, group: str, order: list[str], warmup: int = 2) -> DataFrame:
+    """``skip_warmup`` for a log without a sequence number: drops the first ``warmup`` rows of each group in
+    ``order`` (unique).  The last of them is found by a window with a rank limit, which keeps that many
+    rows of a group in each task; no group is sorted or numbered."""
+    if warmup <= 0:
+        return log
+    at = F.struct(*order)
+    first = Window.partitionBy(group).orderBy(*order)
+    last = (log.select(group, *order).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= warmup)
+            .groupBy(F.col(group).alias("_group")).agg(F.max(at).alias("_last")))
+    return log.join(last, F.col(group).eqNullSafe(F.col("_group"))).where(at > F.col("_last")).drop("_group", "_last")
+
+
 def latency_percentiles(log: DataFrame, variant: str = "variant", elapsed: str = "elapsed_ms",
                         peak: str = "peak_mb") -> DataFrame:
     """mean / p50 / p90 / p99 (linear interpolation) latency and peak memory.
 
-    Latencies are continuous, so the percentiles come from ranks
-    (``exact_quantiles``) rather than a per-value counter map; the other
+    Latencies are continuous, so the percentiles come from counts of key
+    ranges (``order_stats``) rather than a per-value counter map; the other
     figures are algebraic aggregates."""
-    from tunelake.operators.profile import exact_quantiles
-    from tunelake.session import cut_lineage
-    log = cut_lineage(log.select(variant, elapsed, peak))  # read by both branches below
     q = exact_quantiles(log, elapsed, (0.5, 0.9, 0.99), [variant],
                         ["p50_latency_ms", "p90_latency_ms", "p99_latency_ms"])
     a = log.groupBy(variant).agg(F.count(F.lit(1)).cast("bigint").alias("n"),

@@ -292,7 +292,8 @@ def checkpoint_retention(spark, sf_dir):
 
 
 def _latency_stats(spark, sf_dir):
-    return RU.latency_percentiles(RU.skip_warmup(D.latency_log(spark, sf_dir), "variant", "seq", WARMUP_STEPS))
+    log = RU.skip_first(D.latency_events(spark, sf_dir), "variant", ["ts", "event_id"], WARMUP_STEPS)
+    return RU.latency_percentiles(log)
 
 
 @query

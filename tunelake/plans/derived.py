@@ -67,6 +67,13 @@ def latency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("variant", "seq", "elapsed_ms", "peak_mb")
 
 
+def latency_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``latency_log`` in the order (ts, event_id), without a sequence number."""
+    return load_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("variant"), "ts", "event_id",
+        F.col("value").alias("elapsed_ms"), props_k().cast("double").alias("peak_mb"))
+
+
 def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(device, ts, event_id, allocated, reserved, max_allocated, total) in GB."""
     ev = load_table(spark, sf_dir, "events")
