@@ -48,3 +48,14 @@ def test_sums_do_not_depend_on_the_cut(spark):
     spec = {"s": ("sum", F.col("v"), True)}
     runs = [sorted(map(tuple, running_aggregates(df, ["k"], ["o"], spec, n_blocks=n).collect())) for n in (1, 8, 200)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_ranges_follow_the_bytes(spark, tmpdir_fresh, monkeypatch):
+    from tunelake.operators import segmented as G
+    spark.range(20000).write.parquet(tmpdir_fresh + "/t")
+    df = spark.read.parquet(tmpdir_fresh + "/t")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert G._n_blocks(df, None) == least and G._n_blocks(df, 3) == 3
+    monkeypatch.setattr(G, "BLOCK_BYTES", 1000)
+    assert G._n_blocks(df, None) > 40
+    assert G._n_blocks(df.crossJoin(df.limit(3)), None) < 1000  # the inputs count, not an estimate of the join

@@ -43,10 +43,12 @@ def perplexity_by_group(log: DataFrame, group: list[str], loss: str = "loss",
 
 
 def running_perplexity(log: DataFrame, group: list[str], order: list[str], loss: str = "loss",
-                       tokens: str = "num_tokens") -> DataFrame:
-    """Mean loss and perplexity as read after every update, per group."""
+                       tokens: str = "num_tokens", ordinal: str | None = None) -> DataFrame:
+    """Mean loss and perplexity as read after every update, per group; ``ordinal`` names a column for the
+    number of the update, counted in the same pass."""
     ok = valid_loss(F.col(loss))
     r = running_aggregates(log, group, order, {
+        **({ordinal: ("count", F.lit(1), True)} if ordinal else {}),
         "_rl": ("sum", F.when(ok, F.col(loss) * F.col(tokens)), True),
         "_rt": ("sum", F.when(ok, F.col(tokens)), True),
         "valid_steps": ("count", F.when(ok, F.lit(1)), True)})

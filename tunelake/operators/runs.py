@@ -12,17 +12,22 @@ INF = float("inf")
 
 
 def running_best(ckpts: DataFrame, run: str = "run", step: str = "step", metrics: str = "metrics",
-                 metric_name: str = "eval_loss", mode: str = "min") -> DataFrame:
+                 metric_name: str = "eval_loss", mode: str = "min", order: list[str] | None = None,
+                 ordinal: str | None = None) -> DataFrame:
     """Per checkpoint: is it strictly better than every earlier one, and the
     best value after it.  A missing or NaN metric is never best and leaves the
-    best unchanged; the initial best is +inf (min) / -inf (max)."""
+    best unchanged; the initial best is +inf (min) / -inf (max).
+
+    Checkpoints come in ``order`` (default: the step); ``ordinal`` names a column
+    for their number within the run, counted in the same pass."""
     mode = mode.lower()
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be min or max, not {mode!r}")
     m = F.try_element_at(F.col(metrics), F.lit(metric_name))
     clean = F.when(F.isnan(m), F.lit(None)).otherwise(m)
     base = ckpts.withColumn("metric", m).withColumn("_clean", clean)
-    r = running_aggregates(base, [run], [step], {"_prev": (mode, F.col("_clean"), False)})
+    r = running_aggregates(base, [run], order or [step], {
+        "_prev": (mode, F.col("_clean"), False), **({ordinal: ("count", F.lit(1), True)} if ordinal else {})})
     start = F.lit(INF if mode == "min" else -INF)
     prev = F.coalesce(F.col("_prev"), start)
     better = (F.col("_clean") < prev) if mode == "min" else (F.col("_clean") > prev)
@@ -32,18 +37,25 @@ def running_best(ckpts: DataFrame, run: str = "run", step: str = "step", metrics
 
 
 def checkpoint_retention(best: DataFrame, run: str = "run", step: str = "step",
-                         max_to_keep: int = 3) -> DataFrame:
+                         max_to_keep: int = 3, ordinal: str | None = None) -> DataFrame:
     """Keep/purge plan: the newest ``max_to_keep`` checkpoint folders of a run
     stay (save order is step order); the last checkpoint marked best is also
-    kept as the best copy.  Nothing is deleted here."""
-    r = running_aggregates(best, [run], [F.col(step).desc()], {
-        "recency": ("count", F.lit(1), True),
-        "_later_best": ("sum", F.col("is_best").cast("int"), False)})
+    kept as the best copy.  Nothing is deleted here.
+
+    ``ordinal`` names the number of the checkpoint within its run, if ``best`` has it
+    (``running_best`` counts it); else it is counted here.  Counts and last best of
+    the runs are one row for each run, joined back.
+    """
+    at = ordinal or "_at"
+    rows = best if ordinal else row_ordinal(best, [run], [step], at)
+    of_run = rows.groupBy(F.col(run).alias("_run")).agg(
+        F.max(at).alias("_n"), F.max(F.when(F.col("is_best"), F.col(at))).alias("_last_best"))
+    r = rows.join(of_run, F.col(run).eqNullSafe(F.col("_run")))
     kept = F.col("recency") <= max_to_keep
-    best_copy = F.col("is_best") & (F.coalesce(F.col("_later_best"), F.lit(0)) == 0)
-    return r.withColumn("kept", kept).withColumn("best_copy", best_copy) \
+    best_copy = F.coalesce(F.col(at) == F.col("_last_best"), F.lit(False))
+    return r.withColumn("recency", F.col("_n") - F.col(at) + 1).withColumn("kept", kept).withColumn("best_copy", best_copy) \
             .withColumn("action", F.when(kept | best_copy, F.lit("keep")).otherwise(F.lit("purge"))) \
-            .drop("_later_best")
+            .drop("_run", "_n", "_last_best", "_at")
 
 
 def skip_warmup(log: DataFrame, group: str, seq: str, warmup: int = 2) -> DataFrame:
@@ -119,7 +131,3 @@ def memory_telemetry(log: DataFrame, device: str = "device", order=("ts", "event
     r = previous_value(r, [device], list(order), "reserved_gb", "_prev_reserved")
     return r.withColumn("freed_gb", F.round(F.col("_prev_reserved") - F.col("reserved_gb"), 3)) \
             .drop("_prev_reserved")
-
-
-def with_sequence(log: DataFrame, group: str, order: list, name: str = "seq") -> DataFrame:
-    return row_ordinal(log, [group], order, name)

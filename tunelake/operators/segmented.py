@@ -41,10 +41,18 @@ from tunelake.session import cut_lineage
 _BLK = "_tl_blk"
 
 
+BLOCK_BYTES = 128 << 20
+
+
 def _n_blocks(df: DataFrame, n_blocks: int | None) -> int:
+    """As many ranges as the session has shuffle partitions, and more if the inputs, by Spark's own
+    estimate of their bytes, would make ranges larger than ``BLOCK_BYTES``."""
     if n_blocks:
         return int(n_blocks)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(least, -(-sum(s for s in sizes if s < 1 << 60) // BLOCK_BYTES))  # beyond: Spark has no estimate
 
 
 def _order_cols(order):

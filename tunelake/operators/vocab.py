@@ -45,8 +45,12 @@ def vocab_table(df: DataFrame, tokens: Column | str, size: int | None = None) ->
     shuffle of the distinct tokens, no single-task sort.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    counts = df.select(t.alias("t")).mapInArrow(_counted, "token string, n long") \
-               .groupBy("token").agg(F.sum("n").cast("bigint").alias("count"))
+    return _numbered(df.select(t.alias("t")).mapInArrow(_counted, "token string, n long"), size)
+
+
+def _numbered(parts: DataFrame, size: int | None) -> DataFrame:
+    """Vocabulary of partial counts (token, n)."""
+    counts = parts.groupBy("token").agg(F.sum("n").cast("bigint").alias("count"))
     placed = global_position(counts, [F.desc("count"), F.asc("token")], "_place")
     if size is not None:
         placed = placed.where(F.col("_place") < size)
@@ -66,16 +70,24 @@ def _to_blocks(n_sides: int, schema: pa.Schema):
                     offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
                     lists.append(pa.ListArray.from_arrays(offsets, index.slice(start, len(tokens))))
                     start += len(tokens)
-                of_block = pa.array([words.dictionary.to_pylist()] + [None] * (part.num_rows - 1), pa.list_(pa.string()))
+                known = index.drop_null().to_numpy()
+                counts = np.bincount(known, minlength=len(words.dictionary))
+                rest = [None] * (part.num_rows - 1)
+                of_block = pa.array([words.dictionary.to_pylist()] + rest, pa.list_(pa.string()))
+                counted = pa.array([counts] + rest, pa.list_(pa.int64()))
                 block = pa.array(np.full(part.num_rows, (task << 32) + made, np.int64))
                 made += 1
-                yield pa.RecordBatch.from_arrays([block, part.column(0), of_block, *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([block, part.column(0), of_block, counted, *lists], schema=schema)
     return run
 
 
-def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column], vocab: DataFrame) -> DataFrame:
+def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column], vocab: DataFrame | None = None,
+                   size: int | None = None) -> DataFrame:
     """Map each token array to ids (unknown -> ``UNK_ID``), keeping order; one row out for each row in.
 
+    Without ``vocab`` the vocabulary is that of these arrays (``size`` limits it as in
+    ``vocab_table``), counted from the blocks, so the texts are read and cut once.
+
     Rows are cut into blocks, whose tokens become positions in the block's list
     of distinct words; that table is written once.  The words of the blocks meet the
     vocabulary in a join, one row for each word and block however often it
@@ -84,14 +96,18 @@ def encode_columns(df: DataFrame, id_col: str, token_arrays: dict[str, Column],
     """
     names = list(token_arrays)
     schema = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_id", df.schema[id_col].dataType),
-                           T.StructField("_words", T.ArrayType(T.StringType()))]
+                           T.StructField("_words", T.ArrayType(T.StringType())), T.StructField("_counts", T.ArrayType(T.LongType()))]
                           + [T.StructField(f"_{s}", T.ArrayType(T.IntegerType())) for s in names])
     rows = df.select(F.col(id_col), *[arr.alias(f"_t{i}") for i, arr in enumerate(token_arrays.values())])
     blocks = cut_lineage(rows.mapInArrow(_to_blocks(len(names), to_arrow_schema(schema)), schema))
-    words = blocks.where(F.col("_words").isNotNull()).select("_block", F.posexplode("_words").alias("pos", "token"))
+    lists = blocks.where(F.col("_words").isNotNull())
+    words = lists.select("_block", F.posexplode("_words").alias("pos", "token"))
+    if vocab is None:
+        vocab = _numbered(lists.select(F.explode(F.arrays_zip(F.col("_words").alias("token"), F.col("_counts").alias("n")))
+                                       .alias("w")).select("w.token", "w.n"), size)
     lookup = vocab.select("token", F.col("id").alias("_token_id"))
     ids = words.join(lookup, on="token", how="left").groupBy(F.col("_block").alias("_of_block")).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))).alias("_ids"))
-    joined = blocks.drop("_words").join(ids, F.col("_block") == F.col("_of_block"), "left")
+    joined = blocks.drop("_words", "_counts").join(ids, F.col("_block") == F.col("_of_block"), "left")
     return joined.select(F.col("_id").alias(id_col), *[
         F.transform(f"_{s}", lambda i: F.get(F.col("_ids.id"), i)).alias(f"{s}_ids") for s in names])

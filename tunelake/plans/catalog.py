@@ -193,8 +193,7 @@ def vocab_table(spark, sf_dir):
 @query
 def encode_tokens(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", whitespace_tokens("text").alias("t"))
-    vocab = V.vocab_table(docs, "t")
-    enc = V.encode_columns(docs, "doc_id", {"text": F.col("t")}, vocab)
+    enc = V.encode_columns(docs, "doc_id", {"text": F.col("t")})
     return enc.select("doc_id", F.size("text_ids").cast("bigint").alias("n_tokens"),
                       F.size(F.filter("text_ids", lambda x: x == V.UNK_ID)).cast("bigint").alias("n_unk"),
                       _ids_str("text_ids").alias("ids"))
@@ -268,7 +267,7 @@ def perplexity_by_run(spark, sf_dir):
 
 @query
 def running_perplexity(spark, sf_dir):
-    r = L.running_perplexity(D.loss_log(spark, sf_dir), ["run"], ["step"])
+    r = L.running_perplexity(D.loss_events(spark, sf_dir), ["run"], ["ts", "event_id"], ordinal="step")
     return r.select("run", "step", "valid_steps", "running_loss", "running_perplexity")
 
 
@@ -280,14 +279,14 @@ def train_log_intervals(spark, sf_dir):
 
 @query
 def running_best(spark, sf_dir):
-    return RU.running_best(D.ckpt_log(spark, sf_dir)).select(
+    return RU.running_best(D.ckpt_events(spark, sf_dir), order=["ts", "event_id"], ordinal="step").select(
         "run", "step", "metric", "is_best", "best_metric_value")
 
 
 @query
 def checkpoint_retention(spark, sf_dir):
-    b = RU.running_best(D.ckpt_log(spark, sf_dir))
-    return RU.checkpoint_retention(b, max_to_keep=MAX_TO_KEEP).select(
+    b = RU.running_best(D.ckpt_events(spark, sf_dir), order=["ts", "event_id"], ordinal="step")
+    return RU.checkpoint_retention(b, max_to_keep=MAX_TO_KEEP, ordinal="step").select(
         "run", "step", "is_best", "recency", "kept", "best_copy", "action")
 
 

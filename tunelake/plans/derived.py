@@ -25,12 +25,16 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``step`` is the 1-based position of the event within its user by
     (ts, event_id); computed with the skew-safe ordinal.
     """
-    ev = load_table(spark, sf_dir, "events").select(
+    return row_ordinal(loss_events(spark, sf_dir), ["run"], ["ts", "event_id"], name="step") \
+        .select("run", "step", "ts", "event_id", "loss", "num_tokens")
+
+
+def loss_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``loss_log`` in the order (ts, event_id), without a step."""
+    return load_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), "ts", "event_id",
         (F.col("value") / F.lit(100.0)).alias("loss"),
         props_k().alias("num_tokens"))
-    return row_ordinal(ev, ["run"], ["ts", "event_id"], name="step") \
-        .select("run", "step", "ts", "event_id", "loss", "num_tokens")
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +49,13 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ckpt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, step, metrics map<string,double>) -- one checkpoint per event."""
-    ev = load_table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run"), "ts", "event_id", "value")
-    return row_ordinal(ev, ["run"], ["ts", "event_id"], name="step").select(
-        "run", "step", F.create_map(F.lit("eval_loss"), F.col("value")).alias("metrics"))
+    return row_ordinal(ckpt_events(spark, sf_dir), ["run"], ["ts", "event_id"], name="step").select("run", "step", "metrics")
+
+
+def ckpt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``ckpt_log`` in the order (ts, event_id), without a step."""
+    return load_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), "ts", "event_id", F.create_map(F.lit("eval_loss"), F.col("value")).alias("metrics"))
 
 
 def gen_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tunelake.operators.pairs import chat_template
 from tunelake.operators.scoring import tokenizer_ids
 from tunelake.operators.sequences import build_sequences
 from tunelake.operators.splits import seeded_shuffle
-from tunelake.operators.vocab import encode_columns, vocab_table
+from tunelake.operators.vocab import encode_columns
 
 
 def encoded_pairs(pairs: DataFrame, id_col: str = "conv_id", vocab_size: int | None = None,
@@ -29,9 +29,7 @@ def encoded_pairs(pairs: DataFrame, id_col: str = "conv_id", vocab_size: int | N
                         tokenizer_ids(F.col("formatted_response"), tokenizer).alias("response_ids"))
     f = chat_template(pairs, template).select(
         id_col, tokens_fn("formatted_prompt").alias("pt"), tokens_fn("formatted_response").alias("rt"))
-    if vocab is None:
-        vocab = vocab_table(f, F.concat("pt", "rt"), vocab_size)
-    return encode_columns(f, id_col, {"prompt": F.col("pt"), "response": F.col("rt")}, vocab)
+    return encode_columns(f, id_col, {"prompt": F.col("pt"), "response": F.col("rt")}, vocab, vocab_size)
 
 
 def training_sequences(pairs: DataFrame, id_col: str = "conv_id", max_len: int = 2048,
