@@ -47,9 +47,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """(doc_id, n_tokens, ids, text) with the ids of each text and the text they decode to."""
     prepare(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = piece_tokens.encode(docs, path)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      piece_tokens.decode(path)("ids").alias("text"))
+    ids = piece_tokens.encode_and_decode(docs, path)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -24,16 +24,16 @@ import re
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
 SPACE = "▁"
 END_ID = 2
-# Words kept encoded in each worker; the store starts afresh when full.
-CACHE_WORDS = 300_000
-KNOWN_PAIRS = 1_000_000
+# Words kept encoded in each worker: the newest ones, and those met again since the store was last full.
+CACHE_WORDS = 150_000
+KNOWN_PAIRS = 300_000
 CACHE_CHARS = 48
 NEVER = 1 << 60
 
@@ -63,6 +63,7 @@ class PieceModel:
         self.single = {i for i in self.byte_ids.values()}
         self._build()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _build(self) -> None:
         ids, rank = self.ids, self.rank
@@ -172,10 +173,13 @@ class PieceModel:
         for w in self.words.findall(SPACE + text.replace(" ", SPACE)):
             got = cache.get(w)
             if got is None:
-                got = np.asarray(self.encode_word(w), np.int32).tobytes()
+                got = self.older.get(w)
+                if got is None:
+                    got = np.asarray(self.encode_word(w), np.int32).tobytes()
                 if len(w) <= CACHE_CHARS:
                     if len(cache) >= CACHE_WORDS:
-                        cache.clear()
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[w] = got
             out.append(got)
         return np.frombuffer(b"".join(out), np.int32)
@@ -222,20 +226,60 @@ def load(path: str) -> PieceModel:
     return _LOADED[path]
 
 
+# Rows that become Python objects at once, whatever the session's Arrow batch is.
+SLICE = 256
+_IDS = pa.list_(pa.int32())
+
+
+def _encoded(model: PieceModel, texts: pa.Array, end: bytes) -> pa.ListArray:
+    raw = [model.encode(t or "").tobytes() + end for t in texts.to_pylist()]
+    sizes = np.asarray([len(r) // 4 for r in raw], np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))), pa.int32()),
+                                    pa.array(np.frombuffer(b"".join(raw), np.int32), pa.int32()))
+
+
+def _decoded(model: PieceModel, ids: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else model.decode(x) for x in ids.to_pylist()], pa.string())
+
+
+def _sliced(model_path: str, end_id: int | None, with_text: bool):
+    end = np.asarray([] if end_id is None else [end_id], np.int32).tobytes()
+
+    def run(batches):
+        model = load(model_path)
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ids = _encoded(model, part.column(1), end)
+                columns, names = [part.column(0), ids], ["doc_id", "ids"]
+                if with_text:
+                    columns, names = [*columns, _decoded(model, ids)], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+    return run
+
+
+def _mapped(docs: DataFrame, model_path: str, text: str, end_id: int | None, with_text: bool) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, ids array<int>" + (", text string" if with_text else "")
+    rows = docs.select(F.col("doc_id").alias("a"), F.col(text).alias("b"))
+    return rows.mapInArrow(_sliced(model_path, end_id, with_text), schema)
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``; row-local, no shuffle."""
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encoded(texts: pd.Series) -> pd.Series:
-        model, end = load(model_path), np.asarray([] if end_id is None else [end_id], np.int32)
-        return pd.Series([np.concatenate([model.encode(t), end]) for t in texts], dtype=object)
+    return _mapped(docs, model_path, text, end_id, False)
+
 
-    return docs.select("doc_id", encoded(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
+def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | None = END_ID) -> DataFrame:
+    """(doc_id, ids array<int>, text): the ids of every row and the text that they decode to, in one pass."""
+    return _mapped(docs, model_path, text, end_id, True)
 
 
 def decode(model_path: str):
     """Column function: array of ids to text."""
-    @F.pandas_udf(StringType())
-    def decoded(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def decoded(ids: pa.Array) -> pa.Array:
         model = load(model_path)
-        return ids.map(lambda x: None if x is None else model.decode(x.tolist()))
+        return pa.concat_arrays([pa.array([], pa.string())] + [_decoded(model, ids.slice(at, SLICE).cast(_IDS))
+                                                               for at in range(0, len(ids), SLICE)])
     return decoded

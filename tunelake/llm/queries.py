@@ -52,11 +52,10 @@ def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = piece_tokens.encode(read_documents(spark, sf_dir), path)
+    ids = piece_tokens.encode_and_decode(read_documents(spark, sf_dir), path)
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2(piece_tokens.decode(path)("ids"), 256).alias("decoded_sha256"))
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
