@@ -1,6 +1,7 @@
 """Round trips and exact comparisons of the token operators."""
 
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -70,9 +71,12 @@ def test_blocks_round_trip():
         assert (H.decode_block(bits, offsets, n, code.table()) == ids[:n]).all()
 
 
-def test_store(spark, monkeypatch):
+def test_store(spark, tmpdir_fresh):
     docs, rows = odd_documents(spark)
-    got = H.read_ids(H.write_ids(docs, WORD_FILE)).collect()
+    folder = f"{tmpdir_fresh}/store"
+    assert H.write_ids(docs, WORD_FILE, folder) == folder
+    shutil.move(folder, folder + "2")  # the reader has the files alone
+    got = H.read_ids(spark, folder + "2").collect()
     library = Tokenizer.from_file(WORD_FILE)
     want, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
@@ -81,7 +85,16 @@ def test_store(spark, monkeypatch):
         start += len(ids)
     assert sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in got) == [
         (s, d, n, c) for d, s, n, c in want]
-    assert H.read_ids(H.write_ids(empty(spark), WORD_FILE)).count() == 0
+    assert H.read_ids(spark, H.write_ids(empty(spark), WORD_FILE)).count() == 0
+
+
+def test_large_ids(spark):
+    """Ids beyond 16 bits have a place in the code."""
+    docs, rows = odd_documents(spark)
+    end = 1 << 17
+    got = H.read_ids(spark, H.write_ids(docs, WORD_FILE, end_id=end)).collect()
+    assert len(got) == len(rows) and all(np.frombuffer(r.ids, "<u4")[-1] == end for r in got)
+    assert H.vocabulary_size(WORD_FILE) == max(Tokenizer.from_file(WORD_FILE).get_vocab().values()) + 1
 
 
 def test_pieces_match_library():

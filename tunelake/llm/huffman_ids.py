@@ -7,6 +7,9 @@ bits; each block then becomes a row of a Parquet table: its bits, and the bit
 offset of every ``STRIDE``-th id.  Blocks are independent, so a reader can
 take any of them, and a lost task rewrites only its own.
 
+The files are complete: ``blocks`` holds the bits, ``code`` the code lengths and
+the stride.  ``read_ids`` needs nothing else.
+
 Reading: the offsets cut a block into segments that are decoded side by side,
 one table lookup for each id.
 
@@ -22,14 +25,16 @@ import os
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import deltas, pack, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, pack, release, scratch, undeltas, unpack
+from tunelake.session import work_folder
 
 END_ID = 2
 MAX_BITS = 20
@@ -59,15 +64,15 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self.words = re.compile(r"[^\x20\x09-\x0D]+")
         self.tail = re.compile(r"[.,;:!?]+$")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids of a word, by its UTF-8 bytes
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words.  Words of letters only are encoded as one text and cut at word ends."""
-        alone = [w for w in words if not w.isalpha()]
-        for library, some in ((self.plain, [w for w in words if w.isalpha() and w.isascii()]),
-                              (self.library, [w for w in words if w.isalpha() and not w.isascii()])):
+        plain, letters, alone = [], [], []
+        for w in words:
+            (alone if not w.isalpha() else plain if w.isascii() else letters).append(w)
+        for library, some in ((self.plain, plain), (self.library, letters)):
             groups = [some[i:i + 256] for i in range(0, len(some), 256)]
             for group, enc in zip(groups, library.encode_batch_fast([" ".join(g) for g in groups],
                                                                     add_special_tokens=False)):
@@ -78,38 +83,47 @@ class WordTokenizer:
                     continue
                 raw, at = ids.tobytes(), 0
                 for w, cut in zip(group, (cuts * 4).tolist()):
-                    self.cache[w] = raw[at:cut]
+                    self.cache[w.encode()] = raw[at:cut]
                     at = cut
         for w, enc in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-            self.cache[w] = np.asarray(enc.ids, np.uint32).tobytes()
+            self.cache[w.encode()] = np.asarray(enc.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        # A-Z only: what the tokenizer lowers beyond them is left to it.
-        split = [self.words.findall(t.encode().lower().decode()) if _by_words(t) else None for t in texts]
+        # Bytes split at ASCII white space and lower A-Z only: what the tokenizer lowers beyond is left to it.
+        split = [t.encode().lower().split() if _by_words(t) else None for t in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = set()
-        for ws in split:
-            if ws:
-                new |= set(ws).difference(cache)
+        out, waiting, new = [], [], set()
+        for at, ws in enumerate(split):
+            ids = [] if ws is None else list(map(cache.get, ws))
+            if None in ids:
+                waiting.append(at)
+                new.update(compress(ws, [i is None for i in ids]))
+            out.append(ids)
         bases, tails = {}, {}
         for w in new:
-            m = self.tail.search(w)
+            if w.isalpha():  # bytes: a-z
+                bases[w.decode()] = 0
+                continue
+            word = w.decode()
+            m = self.tail.search(word)
             # A run of these marks after letters is a token group of its own.
-            if m and w[:m.start()].isalpha():
-                tails[w] = w[:m.start()], m[0]
-                bases |= {w[:m.start()]: 0, m[0]: 0}
+            if m and word[:m.start()].isalpha():
+                tails[w] = word[:m.start()].encode(), m[0].encode()
+                bases |= {word[:m.start()]: 0, m[0]: 0}
             else:
-                bases[w] = 0
-        self._learn([w for w in bases if w not in cache])
+                bases[word] = 0
+        self._learn([w for w in bases if w.encode() not in cache])
         for w, (a, b) in tails.items():
             cache[w] = cache[a] + cache[b]
+        for at in waiting:
+            out[at] = map(cache.__getitem__, split[at])
         whole = iter(self.library.encode_batch_fast([t for t, ws in zip(texts, split) if ws is None],
                                                     add_special_tokens=False))
-        return [np.asarray(next(whole).ids, np.uint32).tobytes() if ws is None else b"".join([cache[w] for w in ws])
-                for ws in split]
+        return [np.asarray(next(whole).ids, np.uint32).tobytes() if ws is None else b"".join(ids)
+                for ids, ws in zip(out, split)]
 
 
 def _by_words(text: str) -> bool:
@@ -224,11 +238,8 @@ def decode_block(bits: bytes, offsets: np.ndarray, n: int, table, stride: int =
 
 # --- store -----------------------------------------------------------------------
 
-@dataclass
-class IdStore:
-    """blocks: (part, seq, n_ids, n_docs, docs, bits, offsets); lengths: bits of each id's code."""
-    blocks: DataFrame
-    lengths: np.ndarray
+_BLOCKS = "part int, seq int, n_docs int, n_ids long, docs binary, bits binary, offsets binary"
+_CODE = "lengths binary, stride int, end_id int"
 
 
 def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -264,8 +275,21 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return ordered.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, docs binary, ids binary")
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, vocab: int = 1 << 16) -> IdStore:
-    """Encode, count, code and write ``docs`` (doc_id, text)."""
+def vocabulary_size(tokenizer_path: str) -> int:
+    """One more than the largest id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab().values(), default=0) + 1
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID) -> str:
+    """Encode, count, code and write ``docs`` (doc_id, text) to the folder ``path``; the folder.
+
+    Without a path it is one in the shared folder that is deleted when the driver exits.
+    """
+    spark = docs.sparkSession
+    path = path or work_folder(spark, "llm-ids")
+    vocab = max(vocabulary_size(tokenizer_path), end_id + 1)
     raw = scratch(_id_blocks(docs, tokenizer_path, end_id), "ids")
 
     def counted(batches):
@@ -291,21 +315,24 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, vocab:
                                 "docs": b["docs"], "bits": [x[0] for x in out],
                                 "offsets": [pack(deltas(x[1])) for x in out]})
 
-    blocks = raw.mapInPandas(
-        coded, "part int, seq int, n_docs int, n_ids long, docs binary, bits binary, offsets binary")
-    return IdStore(scratch(blocks, "huffman"), lengths)
+    raw.mapInPandas(coded, _BLOCKS).write.parquet(f"{path}/blocks")
+    spark.createDataFrame([(bytearray(pack(lengths)), STRIDE, end_id)], _CODE).coalesce(1).write.parquet(f"{path}/code")
+    release(raw)
+    return path
 
 
-def read_ids(store: IdStore) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document; ids: binary, unsigned 32-bit little-endian."""
-    blocks, lengths = store.blocks, store.lengths
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document of the folder; ids: binary, unsigned 32-bit little-endian."""
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+    code = spark.read.schema(_CODE).parquet(f"{path}/code").first()  # one row
+    lengths, stride = unpack(code["lengths"])[0], code["stride"]
     # Ids before each part: one number for each written part.
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     before, sums = 0, []
     for r in totals:
         sums.append((r["part"], before))
         before += r["n"]
-    starts = blocks.sparkSession.createDataFrame(sums, "part int, _before long")
+    starts = spark.createDataFrame(sums, "part int, _before long")
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     at = (blocks.select("part", "seq", "n_ids").withColumn("_in", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
           .join(F.broadcast(starts), "part")
@@ -316,7 +343,7 @@ def read_ids(store: IdStore) -> DataFrame:
         for b in batches:
             for docs, bits, offsets, n, start in zip(b["docs"], b["bits"], b["offsets"], b["n_ids"], b["start"]):
                 keys, known, sizes = unpack(docs)
-                ids = decode_block(bits, undeltas(unpack(offsets)[0]), int(n), table)
+                ids = decode_block(bits, undeltas(unpack(offsets)[0]), int(n), table, stride)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw = ids.astype("<u4").tobytes()
                 doc_ids = pd.array(undeltas(keys), dtype="Int64")

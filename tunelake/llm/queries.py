@@ -35,8 +35,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    store = huffman_ids.write_ids(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return huffman_ids.read_ids(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = huffman_ids.write_ids(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return huffman_ids.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_tensor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
