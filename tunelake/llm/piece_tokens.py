@@ -21,6 +21,7 @@ one for each byte.
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql.types import StringType
 SPACE = "▁"
 END_ID = 2
 # Words kept encoded in each worker: the newest ones, and those met again since the store was last full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 KNOWN_PAIRS = 300_000
 CACHE_CHARS = 48
 NEVER = 1 << 60
@@ -90,7 +91,8 @@ class PieceModel:
         for piece, i in usable.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = {}
+        self.compatible: dict[int, dict[int, bool]] = {}  # left token -> right token -> may they stand side by side?
+        self.n_known = 0
         # Space marks stand at the front of tokens only: then a text falls
         # apart into words before them; and around line ends if no token has one.
         apart = all(SPACE not in p.lstrip(SPACE) for p in usable)
@@ -139,21 +141,24 @@ class PieceModel:
         n = len(word)
         last = [-1] * n  # -1: none yet, or a character outside the vocabulary
         known = self.compatible
-        if len(known) > KNOWN_PAIRS:
+        if self.n_known > KNOWN_PAIRS:
             known.clear()
+            self.n_known = 0
         for end, (t, size) in self.automaton.iter(word):
             if last[end] < 0:
-                before = end - size
-                if before < 0 or (p := last[before]) < 0:
+                if size > end or (p := last[end - size]) < 0:
                     last[end] = t
-                else:
-                    key = p << 20 | t
-                    fits = known.get(key)
-                    if fits is None:
-                        fits = known[key] = self._fits(p, t)
-                    if fits:
-                        last[end] = t
-        out, i = [], n - 1
+                    continue
+                row = known.get(p)
+                if row is None:
+                    row = known[p] = {}
+                fits = row.get(t)
+                if fits is None:
+                    fits = row[t] = self._fits(p, t)
+                    self.n_known += 1
+                if fits:
+                    last[end] = t
+        out, i, length = [], n - 1, self.length
         while i >= 0:
             t = last[i]
             if t < 0:
@@ -161,7 +166,7 @@ class PieceModel:
                 i -= 1
             else:
                 out.append(t)
-                i -= self.length[t]
+                i -= length[t]
         out.reverse()
         return out
 
@@ -169,20 +174,27 @@ class PieceModel:
         """Ids of a text, without an end id."""
         if not text:
             return np.zeros(0, np.int32)
-        cache, out = self.cache, []
-        for w in self.words.findall(SPACE + text.replace(" ", SPACE)):
-            got = cache.get(w)
-            if got is None:
-                got = self.older.get(w)
-                if got is None:
-                    got = np.asarray(self.encode_word(w), np.int32).tobytes()
-                if len(w) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        self.older, self.cache = cache, {}
-                        cache = self.cache
-                    cache[w] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        got = list(map(self.cache.get, words))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    got[i] = self._word(words[i])
+        return np.frombuffer(b"".join(got), np.int32)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that the newer store lacks (or got a moment ago)."""
+        ids = self.cache.get(word)
+        if ids is not None:
+            return ids
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.encode_word(word)).tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_WORDS:
+                self.older, self.cache = self.cache, {}
+            self.cache[word] = ids
+        return ids
 
     def decode(self, ids) -> str:
         """Text of ids; control ids have none.  The mark put before a text goes."""
