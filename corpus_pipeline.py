@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; between stages the documents are written to the shared folder and read
 back, so a lost executor costs the tasks it held and nothing more.
+
+Cases, for every stage: a null text counts as empty; texts of any length are
+read whole; null and repeated ids and repeated rows are judged by their text
+(near_dedup keeps one row of equal id and text); an empty table gives an empty
+one; other columns pass through whatever their names, but for the last stage,
+which returns (doc_id, n_tokens, ids, text).
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import piece_tokens
-from tunelake.llm.common import prepare, read_documents, read_labels, scratch
+from tunelake.llm.common import prepare, read_documents, read_labels, release, scratch
 from tunelake.llm.passage_quality import accepted
 from tunelake.llm.string_tiling import decontaminated
 from tunelake.llm.suffix_dedup import without_repeats
@@ -68,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch(stage(spark, docs, sf_dir), name)
+        release(before)  # the table of the stage before; the given documents are not one
     return STAGES[-1][1](spark, docs, sf_dir)

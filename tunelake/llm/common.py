@@ -8,6 +8,7 @@ every executor (and a restarted one) can read them; they replace
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import uuid
 
@@ -101,6 +102,21 @@ def held_out(doc_id, modulus: int, remainder: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
+def others_packed(fn):
+    """For functions (docs, ...) -> rows of docs with their columns: what is not doc_id, text or n_chars
+    travels in one struct, so a caller's column can have any name."""
+    @functools.wraps(fn)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        core = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+        others = [c for c in docs.columns if c not in core]
+        if not others:
+            return fn(docs, *args, **kw)
+        packed = docs.select(*core, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"))
+        out = fn(packed, *args, **kw)
+        return out.select(*[F.col(c) if c in core else F.col("_others").getField(c).alias(c) for c in docs.columns])
+    return run
+
+
 # --- bounded batches ----------------------------------------------------------
 
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])

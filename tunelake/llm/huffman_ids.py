@@ -22,13 +22,14 @@ table gives an empty store; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ MAX_BITS = 20
 STRIDE = 256
 BLOCK_IDS = 1 << 20
 CACHE_WORDS = 600_000
+MARKS = b".,;:!?"
+SLICE = 512  # texts that are encoded together
 
 
 # --- tokenizer -----------------------------------------------------------------
@@ -64,17 +67,16 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self.tail = re.compile(r"[.,;:!?]+$")
         self.cache: dict[bytes, bytes] = {}  # ids of a word, by its UTF-8 bytes
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Ids of new words.  Words of letters only are encoded as one text and cut at word ends."""
         plain, letters, alone = [], [], []
         for w in words:
-            (alone if not w.isalpha() else plain if w.isascii() else letters).append(w)
+            (plain if w.isalpha() else letters if not w.isascii() and w.decode().isalpha() else alone).append(w)
         for library, some in ((self.plain, plain), (self.library, letters)):
             groups = [some[i:i + 256] for i in range(0, len(some), 256)]
-            for group, enc in zip(groups, library.encode_batch_fast([" ".join(g) for g in groups],
+            for group, enc in zip(groups, library.encode_batch_fast([b" ".join(g).decode() for g in groups],
                                                                     add_special_tokens=False)):
                 ids = np.asarray(enc.ids, np.uint32)
                 cuts = np.flatnonzero(self.ends_word[ids]) + 1
@@ -83,47 +85,56 @@ class WordTokenizer:
                     continue
                 raw, at = ids.tobytes(), 0
                 for w, cut in zip(group, (cuts * 4).tolist()):
-                    self.cache[w.encode()] = raw[at:cut]
+                    self.cache[w] = raw[at:cut]
                     at = cut
-        for w, enc in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-            self.cache[w.encode()] = np.asarray(enc.ids, np.uint32).tobytes()
+        for w, enc in zip(alone, self.library.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            self.cache[w] = np.asarray(enc.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        # Bytes split at ASCII white space and lower A-Z only: what the tokenizer lowers beyond is left to it.
-        split = [t.encode().lower().split() if _by_words(t) else None for t in texts]
+        by_words = [_by_words(t) for t in texts]
+        # Split at ASCII white space, lower A-Z only: what the tokenizer lowers beyond is left to it.
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(
+            pa.array([t if ok else "" for t, ok in zip(texts, by_words)], pa.large_string())))
+        words = lists.flatten().dictionary_encode()
+        known, index = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
+        ids = self._ids_of(known)
+        # The ids of the distinct words one after another, and from them those of every word.
+        size_of = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size_of) - size_of
+        size = size_of[index]
+        ends = np.cumsum(size)
+        raw = flat[np.arange(size.sum()) + np.repeat(start[index] - ends + size, size)].tobytes()
+        word_ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        cuts = (4 * np.concatenate(([0], ends))[np.concatenate(([0], word_ends))]).tolist()
+        whole = iter(self.library.encode_batch_fast([t for t, ok in zip(texts, by_words) if not ok],
+                                                    add_special_tokens=False))
+        return [raw[lo:hi] if ok else np.asarray(next(whole).ids, np.uint32).tobytes()
+                for lo, hi, ok in zip(cuts, cuts[1:], by_words)]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from the store or the library."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        out, waiting, new = [], [], set()
-        for at, ws in enumerate(split):
-            ids = [] if ws is None else list(map(cache.get, ws))
-            if None in ids:
-                waiting.append(at)
-                new.update(compress(ws, [i is None for i in ids]))
-            out.append(ids)
-        bases, tails = {}, {}
-        for w in new:
-            if w.isalpha():  # bytes: a-z
-                bases[w.decode()] = 0
-                continue
-            word = w.decode()
-            m = self.tail.search(word)
+        cache[b""] = b""
+        ids = list(map(cache.get, words))
+        if None not in ids:
+            return ids
+        new, marked = set(), []
+        for w in compress(words, [i is None for i in ids]):
+            head = w if w.isalpha() else w.rstrip(MARKS)
             # A run of these marks after letters is a token group of its own.
-            if m and word[:m.start()].isalpha():
-                tails[w] = word[:m.start()].encode(), m[0].encode()
-                bases |= {word[:m.start()]: 0, m[0]: 0}
+            if len(head) < len(w) and (head.isalpha() or not head.isascii() and head.decode().isalpha()):
+                marked.append((w, len(head)))
+                new.add(head)
+                new.add(w[len(head):])
             else:
-                bases[word] = 0
-        self._learn([w for w in bases if w.encode() not in cache])
-        for w, (a, b) in tails.items():
-            cache[w] = cache[a] + cache[b]
-        for at in waiting:
-            out[at] = map(cache.__getitem__, split[at])
-        whole = iter(self.library.encode_batch_fast([t for t, ws in zip(texts, split) if ws is None],
-                                                    add_special_tokens=False))
-        return [np.asarray(next(whole).ids, np.uint32).tobytes() if ws is None else b"".join(ids)
-                for ids, ws in zip(out, split)]
+                new.add(w)
+        self._learn([w for w in new if w not in cache])
+        for w, at in marked:
+            cache[w] = cache[w[:at]] + cache[w[at:]]
+        return list(map(cache.__getitem__, words))
 
 
 def _by_words(text: str) -> bool:
@@ -258,8 +269,8 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         for b in batches:
             texts, keys = b["text"].tolist(), list(zip(b["doc_id"].tolist(), b["known"].tolist()))
-            for i in range(0, len(texts), 256):
-                for key, raw in zip(keys[i:i + 256], tokenizer.encode(texts[i:i + 256])):
+            for i in range(0, len(texts), SLICE):
+                for key, raw in zip(keys[i:i + SLICE], tokenizer.encode(texts[i:i + SLICE])):
                     ids.append(raw + end)
                     docs_in.append(key)
                     held += len(raw) // 4 + 1

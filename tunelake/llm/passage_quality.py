@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tunelake.llm.common import held_out, pack, unpack
+from tunelake.llm.common import held_out, others_packed, pack, unpack
 from tunelake.llm.labelled import labelled_sample
 
 PASSAGE = 64
@@ -181,6 +181,7 @@ def quality(docs: DataFrame, labels: DataFrame, held: Column | None = None, thre
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@others_packed
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns."""
     net = train(labelled_sample(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), per_class))

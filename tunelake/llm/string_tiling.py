@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tunelake.llm.common import scratch
+from tunelake.llm.common import others_packed, scratch
 
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -248,6 +248,7 @@ def tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, thre
         (~F.col("_contaminated")).alias("kept"))
 
 
+@others_packed
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no item reaches, with their columns."""
     return with_tiling(docs, benchmark, threshold=threshold).where(~F.col("_contaminated")).select(*docs.columns)

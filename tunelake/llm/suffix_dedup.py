@@ -10,8 +10,8 @@ document with a smaller id goes.  Three distributed steps find those strings:
    must reach on one of the sides.
 2. Segments.  Runs of windows under a shared anchor are sent by that anchor,
    so equal windows meet in one task.  There the distinct segments are joined
-   to texts of about BATCH_BYTES (an anchor's stay together), whose Burrows-Wheeler transform is built, and intervals are
-   expanded backward, breadth first, which finds common prefixes by increasing
+   to texts of about BATCH_BYTES (an anchor's stay together), whose Burrows-Wheeler transform is built (from suffixes in the order of their first
+   ``length`` symbols, which is all that is asked of it), and intervals are expanded backward, breadth first, which finds common prefixes by increasing
    length; it stops at ``length``.  Borders not found by then part suffixes
    with equal first ``length`` bytes: such a class takes its smallest document.
 3. Ranges of removed bytes are gathered by document.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tunelake.llm.common import deltas, in_slices, pack, partitions, release, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, in_slices, others_packed, pack, partitions, release, scratch, undeltas, unpack
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
@@ -304,24 +304,22 @@ def _numbered(chunks):
         base += len(c[0])
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffixes of ``t`` (symbols 0 to 256, the last one the only 0-ending sentinel) in order."""
+def suffix_order(t: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes of ``t`` (symbols 0 to 256) in the order of their first ``length`` symbols or more."""
     n = len(t)
     key = np.zeros(n, np.int64)
-    padded = np.pad(t.astype(np.int64) + 1, (0, 6))
-    for k in range(6):
+    padded = np.pad(t.astype(np.int64) + 1, (0, 7))
+    for k in range(7):
         key = key * 259 + padded[k:n + k]
     _, rank = np.unique(key, return_inverse=True)
-    size = 6
-    while rank.max() < n - 1:
+    size = 7
+    while size < length and rank.max(initial=0) < n - 1:
         after = np.zeros(n, np.int64)
         if size < n:
             after[:n - size] = rank[size:] + 1
         _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
         size *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+    return np.argsort(rank, kind="stable")
 
 
 def class_borders(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -333,11 +331,10 @@ def class_borders(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     whose end is known already has nothing new to its left.
     """
     n = len(t)
-    last = t[order - 1]
-    by = np.argsort(last, kind="stable")
-    step = np.empty(n, np.int64)  # place of the suffix that starts one symbol earlier
-    step[by] = np.arange(n)
-    symbol = last[by]             # first symbol of each place
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    step = place[order - 1]       # place of the suffix that starts one symbol earlier
+    symbol = t[order]             # first symbol of each place
     border = np.zeros(n + 1, bool)
     border[0] = True
     lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
@@ -376,7 +373,7 @@ def least_documents(texts: list[bytes], docs: np.ndarray, length: int) -> np.nda
     start = np.cumsum(sizes + 1) - sizes
     t[start - 1] = 0
     t = np.append(t, np.int16(0))
-    order = suffix_array(t)
+    order = suffix_order(t, length)
     border = class_borders(t, order, length)
     left = np.zeros(len(t), np.int64)
     whole = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -545,6 +542,7 @@ def cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, s) for t, s in zip(text, spans)], dtype=object)
 
 
+@others_packed
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut from text, and n_chars (if there is one) counted anew where cut."""
     cut = with_spans(docs, repeated_spans(docs, length))

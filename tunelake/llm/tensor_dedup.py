@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tunelake.llm.common import release, scratch
+from tunelake.llm.common import others_packed, release, scratch
 from tunelake.llm.components import components
 
 SUBKEYS, EACH = 20, 4
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 SLOTS = 1 << 18
 
 
+@others_packed
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns: the smallest id.
 
