@@ -15,8 +15,11 @@ generation_metrics_fallback rouge_1 rouge_2 rouge_l_lib bleu_corpus evaluation_s
 unmatched_pairs model_comparison paired_means paired_t cohens_d wilcoxon_signed_rank significance_report
 metric_improvement delta_histogram score_boxplot custom_tokenizer_lengths score_with_callable
 tokenizer_sequences low_rank_projection projection_parity length_quantiles_approx memory_peak
+stream_turns stream_instructions fold_turns stream_fold_turns buffer_shuffle stream_buffer_shuffle stream_checkpoints
+stream_retention stream_perplexity stream_metric_targets significance_report_ties rouge_bootstrap merged_quantiles
+checkpoint_folders
 """.split()
-ROWS_ONLY = {"significance_report", "custom_tokenizer_lengths", "score_with_callable", "length_quantiles_approx"}
+ROWS_ONLY = {"length_quantiles_approx"}
 
 
 def test_all_planned_queries_registered():

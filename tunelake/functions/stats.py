@@ -83,14 +83,45 @@ def signed_rank_cdf(w: float, n: int) -> float:
     return table[at] / 2 ** n if at >= 0 else 0.0
 
 
+@lru_cache(maxsize=1024)
+def _tied_rank_sums(ties: tuple[int, ...]) -> tuple[int, ...]:
+    """How many sign patterns give at most each doubled sum of positive mid-ranks.
+
+    ``ties``: numbers of equal values, by increasing value.  Doubled mid-ranks
+    are whole, so each value adds one convolution with {0, doubled rank}.
+    """
+    counts, below = [1], 0
+    for t in ties:
+        doubled = 2 * below + t + 1
+        below += t
+        for _ in range(t):
+            counts = [(counts[s] if s < len(counts) else 0) + (counts[s - doubled] if s >= doubled else 0)
+                      for s in range(len(counts) + doubled)]
+    return tuple(accumulate(counts))
+
+
+def tied_rank_cdf(w: float, ties: tuple[int, ...]) -> float:
+    """P(T <= w) for the signed-rank statistic of non-zero values with these ties."""
+    table = _tied_rank_sums(ties)
+    at = min(math.floor(2 * w + 1e-9), len(table) - 1)
+    return table[at] / 2 ** sum(ties) if at >= 0 else 0.0
+
+
 def wilcoxon_p(w: float | None, n: int | None, tie_term: float | None, n_zero: int | None,
-               has_ties: bool | None, method: str = "auto") -> tuple[float | None, str]:
+               has_ties: bool | None, method: str = "auto",
+               ties: tuple[int, ...] | None = None) -> tuple[float | None, str]:
     """Two-sided p of W = min(R+, R-) over ``n`` non-zero differences.
 
     auto: exact when n (with zeros) <= 50 and there are neither zeros nor
     ties, else the normal approximation with tie correction and no
-    continuity correction.
+    continuity correction.  exact: exact for up to 50 non-zero differences,
+    over their mid-ranks (zeros are dropped; ``ties`` are the numbers of equal
+    absolute values), else that approximation.
     """
+    if method == "exact":
+        if n and ties and sum(ties) == n <= EXACT_SIGNED_RANK_MAX_N and w is not None:
+            return min(1.0, 2.0 * tied_rank_cdf(w, tuple(ties))), "exact"
+        method = "exact" if n and n <= EXACT_SIGNED_RANK_MAX_N and not has_ties else "approx"
     if w is None or n is None:
         return None, "none"
     if n == 0:
@@ -120,15 +151,15 @@ def t_pvalue(t: Column, df: Column) -> Column:
 _W_SCHEMA = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("method", T.StringType())])
 
 
-@F.pandas_udf(_W_SCHEMA)
-def _w_p_udf(w: pd.Series, n: pd.Series, tie: pd.Series, nz: pd.Series, ties: pd.Series) -> pd.DataFrame:
-    out = [wilcoxon_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b),
-                      None if pd.isna(c) else float(c), None if pd.isna(d) else int(d),
-                      None if pd.isna(e) else bool(e))
-           for a, b, c, d, e in zip(w, n, tie, nz, ties)]
-    return pd.DataFrame({"p": [o[0] for o in out], "method": [o[1] for o in out]})
-
-
-def wilcoxon_pvalue(w: Column, n: Column, tie_term: Column, n_zero: Column, has_ties: Column) -> Column:
+def wilcoxon_pvalue(w: Column, n: Column, tie_term: Column, n_zero: Column, has_ties: Column,
+                    ties: Column | None = None, method: str = "auto") -> Column:
     """struct<p double, method string>."""
-    return _w_p_udf(w, n, tie_term, n_zero, has_ties)
+    @F.pandas_udf(_W_SCHEMA)
+    def p_value(w: pd.Series, n: pd.Series, tie: pd.Series, nz: pd.Series, tied: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        out = [wilcoxon_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b),
+                          None if pd.isna(c) else float(c), None if pd.isna(d) else int(d),
+                          None if pd.isna(e) else bool(e), method, None if t is None else tuple(int(x) for x in t))
+               for a, b, c, d, e, t in zip(w, n, tie, nz, tied, ties)]
+        return pd.DataFrame({"p": [o[0] for o in out], "method": [o[1] for o in out]})
+    ties = F.lit(None).cast("array<bigint>") if ties is None else ties
+    return p_value(w, n, tie_term, n_zero, has_ties, ties)

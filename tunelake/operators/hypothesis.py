@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.functions.stats import t_pvalue, wilcoxon_pvalue
+from tunelake.functions.stats import EXACT_SIGNED_RANK_MAX_N, t_pvalue, wilcoxon_pvalue
 from tunelake.operators.order_stats import exact_quantiles
 from tunelake.operators.profile import histogram
 from tunelake.operators.segmented import running_aggregates
@@ -66,17 +66,20 @@ def wilcoxon_stats(paired: DataFrame, group: list[str], base: str = "base", fuse
         F.sum(F.col("pos") * avg_rank).alias("r_plus"),
         F.sum((F.col("t") - F.col("pos")) * avg_rank).alias("r_minus"),
         F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("tie_term"),
-        F.max(F.col("t") > 1).alias("has_ties")) \
+        F.max(F.col("t") > 1).alias("has_ties"),
+        # The ties by increasing value, of the ranks that an exact distribution may need: a bounded list.
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("cum") <= EXACT_SIGNED_RANK_MAX_N, F.struct("a", "t")))),
+                    lambda x: x["t"]).alias("ties")) \
         .withColumn("w_statistic", F.least("r_plus", "r_minus"))
 
 
 def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01,
-                        base: str = "base", fused: str = "fused") -> DataFrame:
+                        base: str = "base", fused: str = "fused", method: str = "auto") -> DataFrame:
     """One row per comparison: the reference's result fields plus the Wilcoxon
-    method used.  Significant = t-test p < alpha AND mean delta > 0; a NaN p
+    method used (``method`` as in ``stats.wilcoxon_p``: "exact" also covers ties).  Significant = t-test p < alpha AND mean delta > 0; a NaN p
     is never significant.  All-zero differences give W = 0, p = 1."""
     if not group:  # a single comparison: group on a literal column, dropped at the end
-        out = significance_report(paired.withColumn("_all", F.lit(0)), ["_all"], alpha, base, fused)
+        out = significance_report(paired.withColumn("_all", F.lit(0)), ["_all"], alpha, base, fused, method)
         return out.drop("_all")
     # Both statistics read the pairs; materialize them once (and cut lineage).
     paired = cut_lineage(paired.select(*group, base, fused))
@@ -84,7 +87,7 @@ def significance_report(paired: DataFrame, group: list[str], alpha: float = 0.01
     w = wilcoxon_stats(paired, group, base, fused)
     j = s.join(w, on=group, how="left")
     wp = wilcoxon_pvalue(F.coalesce("w_statistic", F.lit(0.0)), F.coalesce("n_nonzero", F.lit(0)),
-                         F.col("tie_term"), F.col("n_zero"), F.col("has_ties"))
+                         F.col("tie_term"), F.col("n_zero"), F.col("has_ties"), F.col("ties"), method)
     # Arrow turns a NaN returned by a pandas UDF into null: keep NaN natively.
     tp = F.when(F.isnan("t_statistic"), F.lit(NAN)).otherwise(t_pvalue(F.col("t_statistic"), F.col("t_df")))
     j = j.withColumn("t_test_p_value", tp) \

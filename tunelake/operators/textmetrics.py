@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,16 @@ def generation_metrics_fallback(scored: DataFrame, prediction: str = "prediction
 
 
 def ngram_overlaps(df: DataFrame, id_col: str, pred_tokens: Column, ref_tokens: Column,
-                   orders=(1, 2)) -> DataFrame:
+                   orders=(1, 2), keep: tuple = ()) -> DataFrame:
     """Per row and order n: clipped n-gram overlap and both n-gram counts.
 
     All is counted inside the row, so nothing is shuffled and rows that repeat an id stay apart.
+    ``keep``: other columns that stay.
     """
-    tokens = df.select(id_col, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
-    out = tokens.select(id_col, F.size("_pt").cast("bigint").alias("pred_len"), F.size("_rt").cast("bigint").alias("ref_len"),
+    tokens = df.select(id_col, *keep, pred_tokens.alias("_pt"), ref_tokens.alias("_rt"))
+    out = tokens.select(id_col, *keep, F.size("_pt").cast("bigint").alias("pred_len"), F.size("_rt").cast("bigint").alias("ref_len"),
                         clipped_overlaps(F.col("_pt"), F.col("_rt"), orders).alias("_overlaps"))
-    out = out.select(id_col, "pred_len", "ref_len", *[F.col("_overlaps")[i].alias(f"overlap_{n}") for i, n in enumerate(orders)])
+    out = out.select(id_col, *keep, "pred_len", "ref_len", *[F.col("_overlaps")[i].alias(f"overlap_{n}") for i, n in enumerate(orders)])
     for n in orders:
         out = out.withColumn(f"pred_{n}grams", F.greatest(F.col("pred_len") - (n - 1), F.lit(0)).cast("bigint")) \
                  .withColumn(f"ref_{n}grams", F.greatest(F.col("ref_len") - (n - 1), F.lit(0)).cast("bigint"))
@@ -66,10 +69,10 @@ def ngram_overlaps(df: DataFrame, id_col: str, pred_tokens: Column, ref_tokens:
 
 
 def rouge_n(df: DataFrame, id_col: str, prediction: str = "prediction", reference: str = "reference",
-            orders=(1, 2)) -> DataFrame:
+            orders=(1, 2), keep: tuple = ()) -> DataFrame:
     """ROUGE-N F1 per row with the ROUGE library tokenizer (lower-cased
     alphanumeric tokens, no stemming)."""
-    o = ngram_overlaps(df, id_col, word_tokens(prediction), word_tokens(reference), orders)
+    o = ngram_overlaps(df, id_col, word_tokens(prediction), word_tokens(reference), orders, keep)
     for n in orders:
         p = F.col(f"overlap_{n}") / F.greatest(F.col(f"pred_{n}grams"), F.lit(1))
         r = F.col(f"overlap_{n}") / F.greatest(F.col(f"ref_{n}grams"), F.lit(1))
@@ -104,3 +107,41 @@ def bleu_corpus(df: DataFrame, id_col: str, prediction: str = "prediction",
     bp = F.when(ratio > 1.0, F.lit(1.0)).otherwise(F.exp(1.0 - F.try_divide(F.lit(1.0), ratio)))
     return tot.withColumn("ratio", ratio).withColumn("brevity_penalty", F.coalesce(bp, F.lit(0.0))) \
               .withColumn("bleu", geo * F.col("brevity_penalty"))
+
+
+# Poisson(1): P(weight <= k), in 2^32 parts.
+_POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2 ** 32) for k in range(9)]
+
+
+def poisson_weight(hash32: Column) -> Column:
+    """Weight of a row in one replicate, from 32 hash bits."""
+    w = F.lit(0)
+    for bound in _POISSON:
+        w = w + (hash32 >= bound).cast("int")
+    return w
+
+
+def bootstrap_interval(scores: DataFrame, id_col: str, metrics: list[str], replicates: int = 200,
+                       seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(metric, low, mid, high): bootstrap interval of each metric's mean.
+
+    A row counts Poisson(1) times in each replicate; the counts come from a hash
+    of seed, id and replicate, so the result does not depend on how the rows are
+    spread.  All replicates are summed in one aggregation: a row is four
+    replicates to a hash, and a task sends one row for each replicate.
+    """
+    blocks = -(-replicates // 4)
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":"), F.col("_block").cast("string")))
+    bits = [F.conv(F.substring(F.col("_hash"), 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    rows = scores.select(id_col, values.alias("_values"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    weighted = rows.withColumn("_hash", hashed).select(
+        "_values", F.explode(F.array(*[F.struct((F.col("_block") * 4 + i).alias("r"), poisson_weight(b).alias("w"))
+                                       for i, b in enumerate(bits)])).alias("p")) \
+        .where((F.col("p.w") > 0) & (F.col("p.r") < replicates)).select(
+            F.col("p.r").alias("r"), F.col("p.w").alias("w"), F.explode("_values").alias("m"))
+    means = weighted.where(F.col("m.v").isNotNull()).groupBy("m.metric", "r").agg(
+        (F.sum(F.col("w") * F.col("m.v")) / F.sum("w")).alias("mean"))
+    tail = (1.0 - level) / 2.0
+    ends = means.groupBy("metric").agg(F.percentile("mean", F.array(F.lit(tail), F.lit(0.5), F.lit(1.0 - tail))).alias("p"))
+    return ends.select("metric", F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("high"))

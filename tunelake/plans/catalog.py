@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tunelake.functions.text import whitespace_tokens
 from tunelake.operators import pairs as P
 from tunelake.operators import profile as A
+from tunelake.operators import sketches as K
 from tunelake.operators import splits as S
 from tunelake.plans import derived as D
+from tunelake.session import work_folder
+from tunelake.sources import checkpoint_folders as CF
 from tunelake.sources import readers as R
 from tunelake.sources.tables import load_table
 
@@ -330,6 +333,9 @@ def metric_log_long(spark, sf_dir):
 from tunelake.operators import textmetrics as TM  # noqa: E402
 
 
+BOOTSTRAP = 200
+
+
 def _eval_pairs(spark, sf_dir):
     """Evaluation view of the pairs: the response plays the prediction and the
     prompt the reference (deterministic, data-derived)."""
@@ -414,6 +420,16 @@ def _one_row(*frames):
                     F.round(pick("perplexity"), 4).alias("perplexity"))
 
 
+@query
+def rouge_bootstrap(spark, sf_dir):
+    """The interval of the library mode, by a Poisson bootstrap."""
+    ev = _eval_pairs(spark, sf_dir)
+    scores = TM.rouge_n(TM.rouge_l_lib(ev), "conv_id", orders=(1, 2), keep=("lib_rouge_l",)).select(
+        "conv_id", "rouge1", "rouge2", F.col("lib_rouge_l").alias("rougeL"))
+    b = TM.bootstrap_interval(scores, "conv_id", ["rouge1", "rouge2", "rougeL"], BOOTSTRAP)
+    return b.select("metric", *[F.round(F.col(c) * 100.0, 4).alias(c) for c in ("low", "mid", "high")])
+
+
 # -- paired tests --------------------------------------------------------------
 
 from tunelake.operators import hypothesis as H  # noqa: E402
@@ -472,7 +488,20 @@ def wilcoxon_signed_rank(spark, sf_dir):
 
 @query
 def significance_report(spark, sf_dir):
-    return H.significance_report(D.paired(spark, sf_dir), ["group_id"], alpha=ALPHA)
+    """H6 without the three rounded means (``paired_means`` has them unrounded)."""
+    r = H.significance_report(D.paired(spark, sf_dir), ["group_id"], alpha=ALPHA)
+    return r.withColumns({c: F.round(c, 6) for c in ("t_test_p_value", "wilcoxon_p_value")}) \
+            .drop("base_mean", "fused_mean", "mean_delta")
+
+
+@query
+def significance_report_ties(spark, sf_dir):
+    """H4 over whole scores, which tie: the exact distribution of the mid-ranks."""
+    p = D.paired(spark, sf_dir).select("group_id", "sample_id", F.floor("base").cast("double").alias("base"),
+                                       F.floor("fused").cast("double").alias("fused"))
+    r = H.significance_report(p, ["group_id"], alpha=ALPHA, method="exact")
+    return r.select("group_id", "n", "wilcoxon_statistic", F.round("wilcoxon_p_value", 6).alias("wilcoxon_p_value"),
+                    "wilcoxon_method")
 
 
 @query
@@ -553,6 +582,33 @@ def length_quantiles_approx(spark, sf_dir):
     return A.length_quantiles(docs, measures=("doc_tokens",), group_by=["lang"], approx=True)
 
 
+@query
+def merged_quantiles(spark, sf_dir):
+    """A2b, mergeable: sketches stored by language and source, merged by language; each merged quantile
+    with whether its exact rank keeps the error bound."""
+    docs = _t(spark, sf_dir, "documents").select(
+        "lang", "source", F.size(whitespace_tokens("text")).cast("bigint").alias("doc_tokens"))
+    table = work_folder(spark, "sketches")
+    K.build_sketches(docs, "doc_tokens", ["lang", "source"]).write.parquet(table)
+    merged = K.merge_sketches(spark.read.parquet(table), ["lang"])
+    errors = K.rank_errors(K.sketch_quantiles(merged, A.QUANTILES, ["lang"]), docs, "doc_tokens", ["lang"])
+    return errors.select("lang", "q", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))
+
+
+@query
+def checkpoint_folders(spark, sf_dir):
+    """The checkpoints that retention keeps, written as folders and read back."""
+    best = RU.running_best(D.ckpt_events(spark, sf_dir), order=["ts", "event_id"], ordinal="step")
+    kept = RU.checkpoint_retention(best, max_to_keep=MAX_TO_KEEP, ordinal="step").where("kept or best_copy")
+    root = work_folder(spark, "checkpoint-folders")
+    CF.write_checkpoint_folders(kept.select(
+        F.col("event_id").cast("bigint").alias("step"), F.col("step").cast("bigint").alias("epoch"), "metrics", "is_best",
+        "best_metric_value", F.create_map(F.lit("run"), F.col("run").cast("string")).alias("extra_state")), root)
+    s = R.read_trainer_states(spark, root)
+    return s.select("step", "epoch", F.col("metrics")["eval_loss"].alias("eval_loss"), "is_best", "best_metric_value",
+                    F.col("extra_state")["run"].alias("run"))
+
+
 @query
 def memory_peak(spark, sf_dir):
     """R4 summary per device: peak allocation, peak reservation, worst fragmentation."""

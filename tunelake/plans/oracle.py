@@ -6,6 +6,8 @@ inputs are spelled out as CTE text so both engines start from the same rows.
 
 from __future__ import annotations
 
+import math
+
 PAIRS_RAW = """
 SELECT conv_id,
        arg_max(text, turn) FILTER (WHERE role = 'user') AS prompt,
@@ -617,3 +619,100 @@ SQL["stream_perplexity"] = SQL["perplexity_by_run"]
 SQL["stream_metric_targets"] = f"""
 SELECT run, step, key, value, target
 FROM ({SQL["metric_log_long"]}), (VALUES ('parquet'), ('json')) AS t(target) WHERE key <> 'train/ppl'"""
+
+# p-values: the incomplete beta and the error function by Simpson's rule, the signed-rank distribution by a fold.
+SIMPSON = "list_sum(list_transform(range(0, 801), lambda i: (CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * {h} / 3.0"
+T_P = ("1.0 - 2.0 * exp(lgamma((n - 1 + 1) / 2.0) - lgamma((n - 1) / 2.0)) / sqrt(pi()) * "
+       + SIMPSON.format(f="pow(cos(i * atan(abs(t) / sqrt(n - 1)) / 800.0), n - 2)", h="(atan(abs(t) / sqrt(n - 1)) / 800.0)"))
+Z_P = "1.0 - 2.0 / sqrt(pi()) * " + SIMPSON.format(f="exp(-pow(i * abs(z) / sqrt(2.0) / 800.0, 2))", h="(abs(z) / sqrt(2.0) / 800.0)")
+
+SQL["significance_report"] = f"""
+WITH RECURSIVE dist(k, counts) AS (
+  SELECT 0, [1.0::DOUBLE]
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, len(counts) + k + 1), lambda s:
+           coalesce(counts[s + 1], 0.0) + CASE WHEN s >= k + 1 THEN coalesce(counts[s - k], 0.0) ELSE 0.0 END)
+  FROM dist WHERE k < 50),
+m AS (SELECT * FROM ({SUMMARY})),
+z AS (SELECT group_id, count(*) FILTER (WHERE fused = base) AS n_zero FROM ({PAIRED}) GROUP BY group_id),
+w AS (SELECT *, (n_nonzero * (n_nonzero + 1) / 4.0 - w_statistic) /
+             sqrt(n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24.0 - tie_term / 48.0) AS z
+      FROM ({SQL["wilcoxon_signed_rank"]})),
+j AS (SELECT m.*, z.n_zero, w.n_nonzero, w.w_statistic, w.tie_term, w.z, p.t_statistic AS t,
+             w.n_nonzero + z.n_zero <= 50 AND z.n_zero = 0 AND w.tie_term = 0 AS exact
+      FROM m JOIN z ON m.group_id = z.group_id LEFT JOIN w ON m.group_id = w.group_id
+      JOIN ({SQL["paired_t"]}) p ON m.group_id = p.group_id),
+r AS (SELECT j.*, CASE WHEN n < 2 THEN NULL WHEN isinf(t) THEN 0.0 WHEN isnan(t) THEN 'nan'::DOUBLE ELSE {T_P} END AS tp,
+             CASE WHEN n_nonzero IS NULL THEN 1.0
+                  WHEN exact THEN least(1.0, 2.0 * list_sum(counts[1:CAST(floor(w_statistic) AS BIGINT) + 1]) / pow(2, n_nonzero))
+                  ELSE {Z_P} END AS wp
+      FROM j LEFT JOIN dist ON dist.k = j.n_nonzero)
+SELECT group_id, n, CASE WHEN n < 2 THEN 'too_few' ELSE 'ok' END AS status,
+       round(t, 6) AS t_statistic, round(tp, 6) AS t_test_p_value,
+       round(coalesce(w_statistic, 0.0), 6) AS wilcoxon_statistic, round(wp, 6) AS wilcoxon_p_value,
+       CASE WHEN n_nonzero IS NULL THEN 'none' WHEN exact THEN 'exact' ELSE 'approx' END AS wilcoxon_method,
+       round(CASE WHEN sd > 0 THEN dm / sd ELSE 0.0 END, 6) AS cohens_d, 0.01::DOUBLE AS alpha_threshold,
+       coalesce(NOT isnan(tp) AND tp < 0.01 AND fused_mean - base_mean > 0, false) AS is_statistically_significant
+FROM r"""
+
+# Exact distribution with ties: one convolution for each value, by its doubled mid-rank.
+SQL["significance_report_ties"] = f"""
+WITH RECURSIVE p AS (SELECT group_id, sample_id, floor(base) AS base, floor(fused) AS fused FROM ({PAIRED})),
+d AS (SELECT group_id, fused - base AS d FROM p WHERE fused <> base),
+v AS (SELECT group_id, d, row_number() OVER (PARTITION BY group_id ORDER BY abs(d)) AS i,
+             2 * rank() OVER (PARTITION BY group_id ORDER BY abs(d)) + count(*) OVER (PARTITION BY group_id, abs(d)) - 1 AS doubled,
+             count(*) OVER (PARTITION BY group_id) AS nz FROM d),
+s AS (SELECT group_id, max(nz) AS nz, sum(doubled) FILTER (WHERE d > 0) AS plus, sum(doubled) FILTER (WHERE d < 0) AS minus,
+             sum(doubled) AS total FROM v GROUP BY group_id),
+t AS (SELECT group_id, sum(c * c * c - c) AS tie_term FROM (SELECT group_id, count(*) AS c FROM d GROUP BY group_id, abs(d)) GROUP BY group_id),
+fold(group_id, i, counts) AS (
+  SELECT group_id, 0::BIGINT, [1.0::DOUBLE] FROM s WHERE nz <= 50
+  UNION ALL
+  SELECT f.group_id, f.i + 1, list_transform(range(0, len(counts) + v.doubled), lambda x:
+           coalesce(counts[x + 1], 0.0) + CASE WHEN x >= v.doubled THEN coalesce(counts[x - v.doubled + 1], 0.0) ELSE 0.0 END)
+  FROM fold f JOIN v ON v.group_id = f.group_id AND v.i = f.i + 1),
+e AS (SELECT s.*, least(coalesce(plus, 0), coalesce(minus, 0)) AS doubled_w, counts, tie_term,
+             (nz * (nz + 1) / 4.0 - least(coalesce(plus, 0), coalesce(minus, 0)) / 2.0) /
+             sqrt(nz * (nz + 1) * (2 * nz + 1) / 24.0 - tie_term / 48.0) AS z
+      FROM s JOIN t ON s.group_id = t.group_id LEFT JOIN fold f ON f.group_id = s.group_id AND f.i = s.nz),
+g AS (SELECT group_id, count(*) AS n FROM p GROUP BY group_id)
+SELECT g.group_id, g.n, round(coalesce(doubled_w / 2.0, 0.0), 6) AS wilcoxon_statistic,
+       round(CASE WHEN nz IS NULL THEN 1.0 WHEN nz <= 50 THEN least(1.0, 2.0 * list_sum(counts[1:CAST(doubled_w AS BIGINT) + 1]) / pow(2, nz))
+                  ELSE {Z_P} END, 6) AS wilcoxon_p_value,
+       CASE WHEN nz IS NULL THEN 'none' WHEN nz <= 50 THEN 'exact' ELSE 'approx' END AS wilcoxon_method
+FROM g LEFT JOIN e ON g.group_id = e.group_id"""
+
+SQL["custom_tokenizer_lengths"] = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s\p{Z}]')) AS BIGINT) AS n_tokens FROM documents"""
+
+SQL["score_with_callable"] = f"""
+WITH e AS (SELECT conv_id, regexp_extract_all(reference, {WS}) AS pw, regexp_extract_all(prediction, {WS}) AS rw FROM ({EVAL}))
+SELECT conv_id, array_to_string(pw, ' ') AS prediction,
+       CASE WHEN len(rw) = 0 THEN 0.0 ELSE ln(1.0 + len(list_filter(rw, lambda x: NOT list_contains(pw, x))) / len(rw)) END AS loss,
+       CAST(len(rw) AS BIGINT) AS num_tokens
+FROM e"""
+
+POISSON = " + ".join(f"CAST(h >= {int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2 ** 32)} AS INT)" for k in range(9))
+SQL["rouge_bootstrap"] = f"""
+WITH s AS (SELECT a.conv_id, rouge1, rouge2, lib_rouge_l AS "rougeL" FROM ({SQL["rouge_1"]}) a
+           JOIN ({SQL["rouge_2"]}) b ON a.conv_id = b.conv_id JOIN ({SQL["rouge_l_lib"]}) c ON a.conv_id = c.conv_id),
+     h AS (SELECT *, CAST('0x' || substr(md5('42:' || conv_id || ':' || (r // 4)), 1 + 8 * (r % 4), 8) AS BIGINT) AS h
+           FROM s, (SELECT unnest(range(0, 200)) AS r)),
+     w AS (SELECT *, {POISSON} AS w FROM h),
+     m AS (SELECT 'rouge1' AS metric, r, sum(w * rouge1) / sum(w) AS mean FROM w WHERE w > 0 GROUP BY r
+           UNION ALL SELECT 'rouge2', r, sum(w * rouge2) / sum(w) FROM w WHERE w > 0 GROUP BY r
+           UNION ALL SELECT 'rougeL', r, sum(w * "rougeL") / sum(w) FROM w WHERE w > 0 GROUP BY r)
+SELECT metric, round(quantile_cont(mean, 0.025) * 100.0, 4) AS low, round(quantile_cont(mean, 0.5) * 100.0, 4) AS mid,
+       round(quantile_cont(mean, 0.975) * 100.0, 4) AS high
+FROM m GROUP BY metric"""
+
+SQL["merged_quantiles"] = """
+SELECT lang, q, n, true AS within_bound FROM (SELECT lang, count(text) AS n FROM documents GROUP BY lang),
+       (VALUES (0.5::DOUBLE), (0.9), (0.95), (0.99)) AS t(q) WHERE n > 0"""
+
+SQL["checkpoint_folders"] = f"""
+WITH k AS (SELECT run, step FROM ({SQL["checkpoint_retention"]}) WHERE kept OR best_copy),
+     e AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+SELECT CAST(e.event_id AS BIGINT) AS step, e.step AS epoch, b.metric AS eval_loss, b.is_best, b.best_metric_value,
+       CAST(e.run AS VARCHAR) AS run
+FROM k JOIN e ON k.run = e.run AND k.step = e.step JOIN ({CKPT_BEST}) b ON b.run = e.run AND b.step = e.step"""
