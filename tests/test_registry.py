@@ -17,7 +17,7 @@ metric_improvement delta_histogram score_boxplot custom_tokenizer_lengths score_
 tokenizer_sequences low_rank_projection projection_parity length_quantiles_approx memory_peak
 stream_turns stream_instructions fold_turns stream_fold_turns buffer_shuffle stream_buffer_shuffle stream_checkpoints
 stream_retention stream_perplexity stream_metric_targets significance_report_ties rouge_bootstrap merged_quantiles
-checkpoint_folders
+checkpoint_folders model_evaluation
 """.split()
 ROWS_ONLY = {"length_quantiles_approx"}
 

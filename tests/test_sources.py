@@ -26,9 +26,9 @@ def test_score_vectors_roundtrip_and_mismatch(spark, tmpdir_fresh):
     v = R.read_score_vectors(spark, p).orderBy("sample_id").collect()
     assert [(r.base, r.fused) for r in v] == [(0.0, 0.0), (6.8182, 6.8182), (1.0, None)]
     scores = R.read_score_vectors(spark, p).where("fused IS NOT NULL")
-    pay = evaluation_payload(scores, "b", "f", {"rougeL": 1.0}, {"rougeL": 2.0}).first()
+    pay = evaluation_payload(scores, "b", "f", {"rougeL": 1.0}, {"rougeL": 2.0}, with_vectors=True).first()
     assert pay.scores_base == [0.0, 6.8182] and pay.base_results == {"rougeL": 1.0}
-    assert evaluation_payload(scores, "b", "f", {}, {}, with_vectors=False).first().scores_base == []
+    assert evaluation_payload(scores, "b", "f", {}, {}).first().scores_base == []
 
 
 def test_eval_items_and_missing_file(spark, tmpdir_fresh):
@@ -70,3 +70,13 @@ def test_cap_samples_keeps_whole_conversations(spark):
     turns = spark.createDataFrame([(c, t) for c in range(5) for t in range(3)], "conv_id bigint, turn bigint")
     got = R.cap_samples(turns, max_samples=2)
     assert sorted({r.conv_id for r in got.collect()}) == [0, 1] and got.count() == 6
+
+
+def test_benchmark_report(spark, tmpdir_fresh):
+    """The speed-up row as JSON."""
+    from tunelake.operators.runs import latency_percentiles, variant_speedup
+    from tunelake.sources.writers import write_summary_json
+    log = spark.createDataFrame([("a", 2.0, 7.0), ("a", 4.0, 9.0), ("b", 1.5, 4.0)], "variant string, elapsed_ms double, peak_mb double")
+    write_summary_json(variant_speedup(latency_percentiles(log), "a", "b"), tmpdir_fresh + "/r")
+    row = spark.read.json(tmpdir_fresh + "/r").first()
+    assert (row.speedup_factor, row.vram_saved_mb) == (2.0, 5.0)

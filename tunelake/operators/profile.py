@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunelake.functions.text import whitespace_tokens
 
@@ -131,20 +132,24 @@ def histogram(df: DataFrame, col: str, bins: int, group_by: list[str] | None = N
     """Equal-width histogram with numpy's rules (last bin closed, lo == hi
     widened by 0.5 on each side), one row per bin including empty bins.
 
-    Values are first reduced to (group, value, count) with a partially
-    aggregated group-by -- for integer lengths that table is tiny whatever
-    the row count -- and that table is checkpointed, so the input is scanned
-    once.  Bounds are one row per group: without groups that single
-    row is read on the driver and becomes two literals; with groups it is
-    joined back (AQE turns the join into a broadcast when the measured side
-    is small).
+    Whole values are first reduced to (group, value, count) with a partially
+    aggregated group-by -- for lengths that table is tiny whatever the row
+    count -- and that table is checkpointed, so the input is scanned once.
+    Fractions, which hardly repeat, are not: the input is scanned once for the
+    bounds and once for the bins, and a task sends one row for each bin.
+    Bounds are one row per group: without groups that single row is read on
+    the driver and becomes two literals; with groups it is joined back (AQE
+    turns the join into a broadcast when the measured side is small).
     """
     from tunelake.session import cut_lineage
     g = group_by or []
     # The reduced table is read twice (bounds, then bins): write it once so the
     # input -- and any tokenization feeding ``col`` -- is computed only once.
-    vc = cut_lineage(df.where(F.col(col).isNotNull()).groupBy(*g, F.col(col).cast("double").alias("v"))
-                       .agg(F.count(F.lit(1)).alias("c")))
+    rows = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("v"))
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        vc = rows.withColumn("c", F.lit(1))
+    else:
+        vc = cut_lineage(rows.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c")))
     b = vc.groupBy(*g).agg(F.min("v").alias("lo0"), F.max("v").alias("hi0"))
     b = b.select(*g, F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
                  F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))

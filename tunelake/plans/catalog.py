@@ -420,6 +420,23 @@ def _one_row(*frames):
                     F.round(pick("perplexity"), 4).alias("perplexity"))
 
 
+# Words that the two stand-in models generate.
+MODELS = {"base": 4, "fused": 12}
+
+
+@query
+def model_evaluation(spark, sf_dir):
+    """Every pair scored once by each of two models; the library metrics of the generated texts and the
+    perplexity of the references under the model."""
+    from tunelake.plans.jobs import evaluate_model
+    items = D.pairs(spark, sf_dir).select(F.col("conv_id").alias("sample_id"), "prompt", F.col("response").alias("reference"))
+    rows = []
+    for name, words in MODELS.items():
+        _, m = evaluate_model(items, lambda words=words: SC.echo_model(words), work_folder(spark, f"scored-{name}"), library=True)
+        rows.append((name, m["rouge1"], m["rouge2"], m["rougeL"], m["bleu"], m["perplexity"]))
+    return spark.createDataFrame(rows, "variant string, rouge1 double, rouge2 double, rougeL double, bleu double, perplexity double")
+
+
 @query
 def rouge_bootstrap(spark, sf_dir):
     """The interval of the library mode, by a Poisson bootstrap."""

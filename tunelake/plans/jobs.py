@@ -62,7 +62,7 @@ def run_eda_job(spark: SparkSession, source: str, output_dir: str, dataset_name:
             pairs = pairs.join(first_n(pairs.select(idc).distinct(), [idc], max_samples), idc, "left_semi")
     pairs = P.nonempty_pairs(pairs)
     if pairs.limit(1).count() == 0:
-        raise ValueError("No valid prompt/response pairs extracted.")
+        raise ValueError(f"{source} holds no sample with both a prompt and a response")
     name = dataset_name or _slug(spark, source)
     summary = A.eda_summary(pairs.select("prompt", "response"), name, tokens_fn=tokens_fn)
     row = summary.first()
@@ -140,7 +140,7 @@ def run_significance_job(spark: SparkSession, eval_file: str, output_dir: str, a
     names = raw.select("base_model", "fused_model").first()
     W.write_summary_json(
         W.significance_payload(spark.createDataFrame([row], report.schema), names["base_model"] or "baseline",
-                               names["fused_model"] or "fused_peft",
+                               names["fused_model"] or "fused",
                                raw.select(F.col("base_results").alias("metrics")),
                                raw.select(F.col("fused_results").alias("metrics"))),
         f"{output_dir}/statistical_significance_report.json")

@@ -716,3 +716,21 @@ WITH k AS (SELECT run, step FROM ({SQL["checkpoint_retention"]}) WHERE kept OR b
 SELECT CAST(e.event_id AS BIGINT) AS step, e.step AS epoch, b.metric AS eval_loss, b.is_best, b.best_metric_value,
        CAST(e.run AS VARCHAR) AS run
 FROM k JOIN e ON k.run = e.run AND k.step = e.step JOIN ({CKPT_BEST}) b ON b.run = e.run AND b.step = e.step"""
+
+
+def _evaluated(name: str, words: int) -> str:
+    """The metrics of a model that repeats the first words of the prompt."""
+    said = f"""SELECT conv_id, array_to_string(regexp_extract_all(prompt, {WS})[1:{words}], ' ') AS prediction,
+                      response AS reference FROM ({PAIRS})"""
+    r1, r2, rl, bleu = (SQL[q].replace(EVAL, said) for q in ("rouge_1", "rouge_2", "rouge_l_lib", "bleu_corpus"))
+    return f"""
+SELECT '{name}' AS variant, round((SELECT avg(rouge1) FROM ({r1})) * 100.0, 4) AS rouge1,
+       round((SELECT avg(rouge2) FROM ({r2})) * 100.0, 4) AS rouge2,
+       round((SELECT avg(lib_rouge_l) FROM ({rl})) * 100.0, 4) AS "rougeL",
+       round((SELECT bleu FROM ({bleu})) * 100.0, 4) AS bleu,
+       round((SELECT CASE WHEN sum(loss * num_tokens) / sum(num_tokens) <= 0 THEN 1.0
+                          ELSE exp(least(sum(loss * num_tokens) / sum(num_tokens), 100.0)) END
+              FROM ({SQL["score_with_callable"].replace(EVAL, f"SELECT conv_id, response AS prediction, prompt AS reference FROM ({PAIRS})")})), 4) AS perplexity"""
+
+
+SQL["model_evaluation"] = " UNION ALL ".join(_evaluated(n, w) for n, w in (("base", 4), ("fused", 12)))

@@ -75,12 +75,12 @@ def significance_payload(report: DataFrame, base_name: str, fused_name: str,
 
 
 def evaluation_payload(scores: DataFrame, base_name: str, fused_name: str, base_results: dict,
-                       fused_results: dict, with_vectors: bool = True) -> DataFrame:
+                       fused_results: dict, with_vectors: bool = False) -> DataFrame:
     """The evaluation payload (names, metric maps, both score vectors) as one row.
 
-    The format holds all scores in one record.  For evaluation sets too large
-    for that, take ``with_vectors=False``: the vectors are left empty and the
-    long form written by ``write_scores_long`` has the scores.
+    The vectors are left empty, as the long form written by ``write_scores_long``
+    has the scores; ``with_vectors=True`` puts all of them into the one record, for
+    evaluation sets that fit into it.
     """
     if not with_vectors:
         scores = scores.limit(0)
