@@ -207,3 +207,32 @@ def test_trees_against_brute_force(spark):
         want = sum(y - p for y in labels) / (len(labels) * p * (1 - p) + U.RIDGE)
         assert model.trees[0].leaves[(1, int(side))] == pytest.approx(want)
     assert np.mean([len(set(v)) == 1 for v in by.values()]) == 1
+
+
+def test_url_features_by_hand(spark):
+    """Every feature from its definition."""
+    import math
+    urls = ["http://A.b.example.com/x/y/12?p=1&q&&r=2#f?z=1", "https://h.org", "", None, "no scheme?a=b", "http://e.net/#x?y=1",
+            "http://ü.example/ß?" + "&".join(f"k{i}" for i in range(50))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in U.with_features(U.with_host_path(df)).collect():
+        u = urls[r.page_id] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group(0)
+        path = re.match(r"[^?#]*", rest[len(host):]).group(0)
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        query = u.split("#")[0].split("?", 1)[1] if "?" in u.split("#")[0] else ""
+        shape = host + path
+        share = [shape.count(c) / len(shape) for c in set(shape)]
+        want = (len(u), len(host), path.count("/"), sum(c in "0123456789" for c in u) / len(u) if u else 0.0,
+                -sum(p * math.log2(p) for p in share), sum(bool(p) for p in query.split("&")), host.count("."))
+        got = (r.length, r.host_length, r.depth, r.digit_ratio, r.entropy, r.n_params, r.labels)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want)), (u, got, want)
+        assert r.suffix == host.rsplit(".", 1)[-1]
+
+
+def test_bins_by_hand(spark):
+    import bisect
+    cuts, values = [-1.0, 0.0, 0.5, 2.0], [-5.0, -1.0, -0.5, 0.0, 0.1, 0.5, 1.9, 2.0, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.b for r in df.select(U._bin(F.col("v"), cuts).alias("b")).collect()] == [bisect.bisect_left(cuts, v) for v in values]

@@ -10,7 +10,8 @@ that small table and the driver only sees (node, feature, bin) sums.
 
 Cases: a null URL or one without ``://`` has empty host and path, no rule and
 the trees' verdict; a table without labelled URLs gives ``default`` verdicts;
-repeated rows are judged one by one; extra columns are ignored.
+URLs of any length are read whole; equal URLs get equal verdicts, row by row; an
+empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ RULES = (
 
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "labels", "suffix_rate")
 BINS, DEPTH, TREES, RATE, RIDGE, SMOOTH = 16, 3, 12, 0.3, 1.0, 20.0
+FOLDS = 5
 
 
 def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
@@ -84,7 +86,7 @@ def with_features(df: DataFrame, url: str = "url") -> DataFrame:
         "depth": (F.length("path") - F.length(F.translate("path", "/", ""))).cast("double"),
         "digit_ratio": F.when(n > 0, (n - F.length(F.translate(u, "0123456789", ""))) / n).otherwise(0.0),
         "entropy": F.when(size > 0, entropy).otherwise(0.0),
-        "n_params": (F.length(u) - F.length(F.translate(u, "=", ""))).cast("double"),
+        "n_params": F.size(F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")).cast("double"),
         "labels": (F.length("host") - F.length(F.translate("host", ".", ""))).cast("double"),
         "suffix": F.regexp_extract("host", r"[^.]*$", 0),
     })
@@ -196,6 +198,8 @@ def url_filter(pages: DataFrame, rules=RULES, url: str = "url", default: str = "
 
     The suffix block rate is smoothed towards the overall rate with weight
     ``SMOOTH``; it is a joined aggregate, so the number of suffixes is unbounded.
+    A row that the trees learn from gets the rate of the other ``FOLDS`` - 1 parts
+    of the labelled urls, so it doesn't see its own label.
     """
     df = with_features(with_host_path(pages.select("page_id", F.col(url).alias("url"))))
     host, path = F.col("host"), F.col("path")
@@ -206,13 +210,20 @@ def url_filter(pages: DataFrame, rules=RULES, url: str = "url", default: str = "
     rates = labelled.groupBy("suffix").agg(F.count("*").alias("_n"), F.sum("label").alias("_pos"))
     total = rates.agg(F.sum("_n"), F.sum("_pos")).first()
     prior = total[1] / total[0] if total[0] else 0.0
-    rates = rates.select("suffix", ((F.col("_pos") + SMOOTH * prior) / (F.col("_n") + SMOOTH)).alias("_rate"))
+
+    def smoothed(n, pos):
+        return (pos + SMOOTH * prior) / (n + SMOOTH)
 
     def with_rate(x):
-        return x.join(rates, "suffix", "left").withColumn(
+        known = rates.select("suffix", smoothed(F.col("_n"), F.col("_pos")).alias("_rate"))
+        return x.join(known, "suffix", "left").withColumn(
             "suffix_rate", F.coalesce(F.col("_rate"), F.lit(float(prior)))).drop("_rate")
 
-    model = fit(with_rate(labelled), trees=trees)
+    parts = labelled.withColumn("_fold", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(FOLDS)))
+    own = parts.groupBy("suffix", "_fold").agg(F.count("*").alias("_own_n"), F.sum("label").alias("_own_pos"))
+    others = own.join(rates, "suffix").select(
+        "suffix", "_fold", smoothed(F.col("_n") - F.col("_own_n"), F.col("_pos") - F.col("_own_pos")).alias("suffix_rate"))
+    model = fit(parts.join(others, ["suffix", "_fold"]), trees=trees)
     if model is None:
         return df.select("page_id", "host", "path", "rule",
                          F.coalesce("_by_rule", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("score"))
