@@ -249,8 +249,8 @@ def accumulation_plan(spark, sf_dir):
     order = S.seeded_shuffle(pairs.select("conv_id"), "conv_id")
     batches = order.groupBy(F.floor(F.col("position") / BATCH_SIZE).cast("bigint").alias("batch_id")) \
                    .agg(F.count(F.lit(1)).cast("bigint").alias("batch_rows"))
-    n = -(-pairs.count() // BATCH_SIZE)  # scalar: number of batches
-    return B.accumulation_plan(batches, n, GRAD_ACCUM, MAX_STEPS)
+    last = order.agg(F.max("position")).first()[0]  # scalar, from the written order: the pairs are read once
+    return B.accumulation_plan(batches, 0 if last is None else last // BATCH_SIZE + 1, GRAD_ACCUM, MAX_STEPS)
 
 
 # -- losses and runs ---------------------------------------------------------
