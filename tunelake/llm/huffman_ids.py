@@ -34,16 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import deltas, pack, release, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, in_slices, pack, release, scratch, undeltas, unpack
 from tunelake.session import work_folder
 
 END_ID = 2
 MAX_BITS = 20
 STRIDE = 256
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 MARKS = b".,;:!?"
-SLICE = 512  # texts that are encoded together
+SLICE = 256  # texts that are encoded together
 
 
 # --- tokenizer -----------------------------------------------------------------
@@ -268,22 +268,23 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                                  "ids": [pack(np.frombuffer(b"".join(ids), np.uint32))]})
 
         for b in batches:
-            texts, keys = b["text"].tolist(), list(zip(b["doc_id"].tolist(), b["known"].tolist()))
-            for i in range(0, len(texts), SLICE):
-                for key, raw in zip(keys[i:i + SLICE], tokenizer.encode(texts[i:i + SLICE])):
-                    ids.append(raw + end)
-                    docs_in.append(key)
-                    held += len(raw) // 4 + 1
-                    if held >= BLOCK_IDS:
-                        yield row()
-                        ids, docs_in, held, seq = [], [], 0, seq + 1
+            for key, raw in zip(zip(b["doc_id"].tolist(), b["known"].tolist()), tokenizer.encode(b["text"].tolist())):
+                ids.append(raw + end)
+                docs_in.append(key)
+                held += len(raw) // 4 + 1
+                if held >= BLOCK_IDS:
+                    yield row()
+                    ids, docs_in, held, seq = [], [], 0, seq + 1
         if ids:
             yield row()
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
                .select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text"))
-    return ordered.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, docs binary, ids binary")
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()),
+                        ("docs", pa.binary()), ("ids", pa.binary())])
+    return ordered.mapInArrow(in_slices(run, schema, SLICE),
+                              "part int, seq int, n_docs int, n_ids long, docs binary, ids binary")
 
 
 def vocabulary_size(tokenizer_path: str) -> int:

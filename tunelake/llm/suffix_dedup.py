@@ -45,7 +45,7 @@ from tunelake.llm.common import deltas, in_slices, others_packed, pack, partitio
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
-GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 16 << 20, 1 << 19, 1 << 20
+GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 16 << 20, 1 << 19, 1 << 17
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +190,7 @@ def _by_part(part: np.ndarray, parts: int):
 
 def _shared(anchors, mark, ids) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose anchor and mark occur with another id too, and one row for each anchor and mark."""
-    order = np.lexsort((ids, mark, anchors))
+    order = np.lexsort((mark, anchors))
     a, m, d = anchors[order], mark[order], ids[order]
     start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])])
     many = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) & (m[start] != 0)
@@ -246,7 +246,7 @@ def _send_segments(parts: int, length: int):
         for p, rows in sent.items():
             sizes = np.asarray([len(r[0]) for r in rows], np.uint32)
             n = np.asarray([len(r[3]) for r in rows], np.uint32)
-            offsets = np.concatenate([np.asarray(r[3], np.uint32) for r in rows])
+            offsets = np.asarray([o for r in rows for o in r[3]], np.uint32)
             out.append((p, 0, pack(np.frombuffer(b"".join([r[0] for r in rows]), np.uint8), sizes,
                                    np.asarray([r[1] for r in rows], np.int64),
                                    np.asarray([r[2] for r in rows], np.uint32), n, offsets,
@@ -304,6 +304,16 @@ def _numbered(chunks):
         base += len(c[0])
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in the order of ``key``, the rank of each place (equal keys, equal ranks) and the last rank."""
+    order = np.argsort(key)
+    k = key[order]
+    steps = np.cumsum(k[1:] != k[:-1])
+    rank = np.zeros(len(key), np.int64)
+    rank[order[1:]] = steps
+    return order, rank, int(steps[-1]) if len(steps) else 0
+
+
 def suffix_order(t: np.ndarray, length: int) -> np.ndarray:
     """Suffixes of ``t`` (symbols 0 to 256) in the order of their first ``length`` symbols or more."""
     n = len(t)
@@ -311,15 +321,15 @@ def suffix_order(t: np.ndarray, length: int) -> np.ndarray:
     padded = np.pad(t.astype(np.int64) + 1, (0, 7))
     for k in range(7):
         key = key * 259 + padded[k:n + k]
-    _, rank = np.unique(key, return_inverse=True)
+    order, rank, last = _ranked(key)
     size = 7
-    while size < length and rank.max(initial=0) < n - 1:
+    while size < length and last < n - 1:
         after = np.zeros(n, np.int64)
         if size < n:
             after[:n - size] = rank[size:] + 1
-        _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
+        order, rank, last = _ranked(rank * (n + 1) + after)
         size *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def class_borders(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
