@@ -277,6 +277,7 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ids, docs_in, held, seq = [], [], 0, seq + 1
         if ids:
             yield row()
+        tokenizer.cache.clear()  # a worker that waits for its next task holds the tokenizer alone
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

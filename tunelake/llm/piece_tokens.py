@@ -196,6 +196,10 @@ class PieceModel:
             self.cache[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the stores: a worker that waits for its next task holds the tables alone."""
+        self.cache, self.older, self.compatible, self.n_known = {}, {}, {}, 0
+
     def decode(self, ids) -> str:
         """Text of ids; control ids have none.  The mark put before a text goes."""
         table = self.bytes_of
@@ -267,6 +271,7 @@ def _sliced(model_path: str, end_id: int | None, with_text: bool):
                 if with_text:
                     columns, names = [*columns, _decoded(model, ids)], [*names, "text"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        model.forget()
     return run
 
 

@@ -45,7 +45,7 @@ from tunelake.llm.common import deltas, in_slices, others_packed, pack, partitio
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
-GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 16 << 20, 1 << 19, 1 << 17
+GROUP_BYTES, CHUNK_BYTES, BATCH_BYTES = 8 << 20, 1 << 19, 1 << 17
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
