@@ -8,6 +8,7 @@ every executor (and a restarted one) can read them; they replace
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import gc
 import uuid
@@ -117,6 +118,16 @@ def others_packed(fn):
     return run
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on, and the next stage needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only the GNU library has it
+        return
+
+
 # --- bounded batches ----------------------------------------------------------
 
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -132,6 +143,7 @@ def in_slices(fn, schema: pa.Schema = PACKED, rows: int = 256):
         slices = (b.slice(i, rows).to_pandas() for b in batches for i in range(0, b.num_rows, rows))
         for frame in fn(slices):
             yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+        give_back()
     return run
 
 

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tunelake.llm.common import give_back
+
 SPACE = "▁"
 END_ID = 2
 # Words kept encoded in each worker: the newest ones, and those met again since the store was last full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 KNOWN_PAIRS = 300_000
 CACHE_CHARS = 48
 NEVER = 1 << 60
@@ -272,6 +274,7 @@ def _sliced(model_path: str, end_id: int | None, with_text: bool):
                     columns, names = [*columns, _decoded(model, ids)], [*names, "text"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         model.forget()
+        give_back()
     return run
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tunelake.llm.common import others_packed, release, scratch
+from tunelake.llm.common import give_back, others_packed, release, scratch
 from tunelake.llm.components import components
 
 SUBKEYS, EACH = 20, 4
@@ -138,6 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             sets = [shingles(t) for t in b["text"][keep]]
             yield pd.DataFrame({"digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
                                 "items": [x.astype(np.int64) for x in sets]})
+        give_back()
 
     found = (docs.select(_slot("doc_id").alias("s"), F.coalesce("text", F.lit("")).alias("text"))
              .mapInPandas(run, "digest binary, items array<long>"))
