@@ -12,6 +12,7 @@ import ctypes
 import functools
 import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,16 @@ def give_back() -> None:
         return
 
 
+@contextmanager
+def no_collector():
+    """For steps that make very many small objects and no cycles: the collector would walk over them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 # --- bounded batches ----------------------------------------------------------
 
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -140,10 +151,10 @@ def in_slices(fn, schema: pa.Schema = PACKED, rows: int = 256):
     doesn't follow the session's batch size.
     """
     def run(batches):
+        give_back()
         slices = (b.slice(i, rows).to_pandas() for b in batches for i in range(0, b.num_rows, rows))
         for frame in fn(slices):
             yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
-        give_back()
     return run
 
 

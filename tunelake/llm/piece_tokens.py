@@ -264,6 +264,7 @@ def _sliced(model_path: str, end_id: int | None, with_text: bool):
     end = np.asarray([] if end_id is None else [end_id], np.int32).tobytes()
 
     def run(batches):
+        give_back()
         model = load(model_path)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
@@ -274,7 +275,6 @@ def _sliced(model_path: str, end_id: int | None, with_text: bool):
                     columns, names = [*columns, _decoded(model, ids)], [*names, "text"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         model.forget()
-        give_back()
     return run
 
 

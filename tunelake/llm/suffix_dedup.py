@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tunelake.llm.common import deltas, give_back, in_slices, others_packed, pack, partitions, release, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, in_slices, no_collector, others_packed, pack, partitions, release, scratch, undeltas, unpack
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
@@ -223,7 +223,6 @@ def _meet_anchors(part: pd.DataFrame) -> pd.DataFrame:
         good = open_ & (_shared(anchors, left, who)[0] | _shared(anchors, right, who)[0])
         frames.append(pd.DataFrame({"doc_id": ids[good], "crc": keys[good].astype(np.int64),
                                     "anchor": anchors[good].astype(np.int64)}))
-    give_back()
     return pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "crc": [], "anchor": []})
 
 
@@ -255,6 +254,10 @@ def _send_segments(parts: int, length: int):
         return pd.DataFrame(out, columns=["part", "kind", "blob"])
 
     def run(batches):
+        with no_collector():
+            yield from sent(batches)
+
+    def sent(batches):
         segments, held, turn = {}, 0, TaskContext.get().partitionId()
         for b in batches:
             known = {}
@@ -403,6 +406,10 @@ def least_documents(texts: list[bytes], docs: np.ndarray, length: int) -> np.nda
 
 def _meet_segments(length: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        with no_collector():
+            return met(part)
+
+    def met(part: pd.DataFrame) -> pd.DataFrame:
         out, rows = [], []
         for kind, blob in zip(part["kind"], part["blob"]):
             if kind:
@@ -436,8 +443,6 @@ def _meet_segments(length: int):
         if ranges:
             out.append(np.asarray(ranges, np.int64).T)
         whole = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        del out, rows, ranges
-        give_back()
         return pd.DataFrame(dict(zip(("doc_id", "crc", "start", "stop"), whole)))
     return run
 
