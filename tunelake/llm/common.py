@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.session import ensure_checkpoint_dir, ship_package
+from tunelake.session import apply_runtime_conf, ensure_checkpoint_dir, ship_package
 
 # Words of every contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,9 +29,10 @@ _LIVE: dict[str, SparkSession] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared folder known, package importable on the workers."""
+    """Shared folder known, package importable on the workers, Arrow batches of at most 1024 whole texts."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    apply_runtime_conf(spark)
 
 
 def scratch(df: DataFrame, name: str, by: tuple = ()) -> DataFrame:
