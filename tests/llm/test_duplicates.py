@@ -66,6 +66,17 @@ def test_large_bucket_of_near_copies(spark):
     assert sorted(got) == sorted(brute_groups(rows, 4))
 
 
+def test_batches_without_a_wanted_class(spark):
+    """A task of which no row is shingled again gives no rows; sets of one size stay lists."""
+    docs = spark.createDataFrame([(0, "a b c d e f"), (1, "b c d e f g"), *[(i, "a b c d e f") for i in range(2, 40)]],
+                                 "doc_id long, text string").repartitionByRange(8, "doc_id")
+    digests = {r.doc_id: r.digest for r in D.signatures(docs, 5).collect()}
+    wanted = spark.createDataFrame([(7, 0, digests[0]), (8, 1, digests[1])], "cls long, doc_id long, digest binary")
+    got = {r.cls: r["items"] for r in D._sets(docs, wanted, 5).collect()}
+    shingles = D.Shingler(5)
+    assert got == {7: shingles("a b c d e f").astype(np.int64).tolist(), 8: shingles("b c d e f g").astype(np.int64).tolist()}
+
+
 def test_one_row_of_each_group(spark):
     docs, rows = odd_documents(spark, n=25)
     got = D.without_near_duplicates(docs).collect()

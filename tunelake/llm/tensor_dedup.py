@@ -136,8 +136,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             s = b["s"].to_numpy()
             keep = (sent.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1
             sets = [shingles(t) for t in b["text"][keep]]
+            # Without a wanted row in the batch the columns would be of floats.
             yield pd.DataFrame({"digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
-                                "items": [x.astype(np.int64) for x in sets]})
+                                "items": [x.astype(np.int64) for x in sets]}, dtype=object)
         give_back()
 
     found = (docs.select(_slot("doc_id").alias("s"), F.coalesce("text", F.lit("")).alias("text"))
