@@ -2,6 +2,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunelake.operators.segmented import global_position, previous_value, row_ordinal, running_aggregates
+from tunelake.session import cut_lineage
 
 
 def skewed(spark):
@@ -59,3 +60,15 @@ def test_ranges_follow_the_bytes(spark, tmpdir_fresh, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_BYTES", 1000)
     assert G._n_blocks(df, None) > 40
     assert G._n_blocks(df.crossJoin(df.limit(3)), None) < 1000  # the inputs count, not an estimate of the join
+
+
+def test_blocks_of_a_checkpoint_follow_its_bytes(spark):
+    """Spark takes a join for the product of its sides and keeps that estimate over a checkpoint."""
+    import tunelake.operators.segmented as G
+    side = spark.range(200_000).withColumn("v", F.rand(1))
+    joined = cut_lineage(side.join(side.select("id", F.col("v").alias("w")), "id", "left"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert G._n_blocks(joined, None) == least
+    assert G._n_blocks(joined.unionByName(joined), 3) == 3
+    got = row_ordinal(joined.withColumn("g", F.col("id") % 2), ["g"], ["id"]).agg(F.sum("ordinal")).first()[0]
+    assert got == 2 * sum(range(1, 100_001))

@@ -51,10 +51,22 @@ def _n_blocks(df: DataFrame, n_blocks: int | None) -> int:
         return int(n_blocks)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    sizes = [_leaf_bytes(df, leaves.apply(i)) for i in range(leaves.size())]
     return max(least, -(-sum(s for s in sizes if s < 1 << 60) // BLOCK_BYTES))  # beyond: Spark has no estimate
 
 
+def _leaf_bytes(df: DataFrame, leaf) -> int:
+    """Spark's estimate; of a checkpoint the bytes of its files, as Spark keeps the estimate of the plan
+    that was cut off, and takes a join for the product of its sides."""
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        file = leaf.rdd().getCheckpointFile()
+        if file.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            return int(path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength())
+    return int(str(leaf.stats().sizeInBytes()))
+
+
 def _order_cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
