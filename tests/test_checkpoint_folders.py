@@ -99,3 +99,31 @@ def test_parts_of_lost_attempts_do_not_count(tmpdir_fresh):
 def test_empty_table(spark, tmpdir_fresh):
     C.write_checkpoint_folders(frame(spark, [], 1), f"{tmpdir_fresh}/ck")
     assert read(spark, f"{tmpdir_fresh}/ck") == [] and folders(f"{tmpdir_fresh}/ck") == []
+
+
+def test_many_small_folders_are_spread_over_tasks(spark, tmpdir_fresh, monkeypatch):
+    """Small rows would be coalesced to one task; each part's staged folders go with their files."""
+    root, staged, publish = f"{tmpdir_fresh}/ck", [], C._publish
+
+    def seen(spark, path, transaction):
+        staged.extend(os.listdir(f"{path}/.staging-{transaction}"))
+        publish(spark, path, transaction)
+    monkeypatch.setattr(C, "_publish", seen)
+    C.write_checkpoint_folders(frame(spark, states(80)), root)
+    assert sum(name.startswith("part-") for name in staged) > 4
+    assert read(spark, root) == states(80)
+    part = f"{root}/.staging-x/part-0-0"
+    os.makedirs(f"{part}/checkpoint-step-90")
+    with open(f"{part}/checkpoint-step-90/trainer_state.json", "w") as f:
+        f.write("{}")
+    import pandas as pd
+    move = C._move_parts(root, "x")
+    frames = [pd.DataFrame({"part": ["part-0-0"]})]
+    assert [f["moved"].tolist() for f in move(iter(frames))] == [[1]] and not os.path.exists(part)
+    assert [f["moved"].tolist() for f in move(iter(frames))] == [[0]]   # again, as after a lost task
+
+
+def test_listing_setting_is_restored(spark, tmpdir_fresh):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    assert read(spark, f"{tmpdir_fresh}/none") == [] and spark.conf.get(key) == before

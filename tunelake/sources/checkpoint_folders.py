@@ -108,6 +108,8 @@ def _move_parts(root: str, transaction: str):
                         fs.create_dir(folder, recursive=True)
                         fs.move(found.path, f"{folder}/{STATE_FILE}")
                         moved += 1
+                if fs.get_file_info(base).type != pafs.FileType.NotFound:
+                    fs.delete_dir(base)  # its empty folders: one for each file
             yield pd.DataFrame({"moved": [moved]})
     return run
 
@@ -118,7 +120,7 @@ def _publish(spark: SparkSession, root: str, transaction: str) -> None:
     with fs.open_input_stream(f"{staging}/_COMMITTED") as f:
         parts = [(p,) for p in f.read().decode().split("\n") if p]
     if parts:
-        spark.createDataFrame(parts, "part string").repartition(min(len(parts), 1000), "part") \
+        spark.createDataFrame(parts, "part string").repartitionByRange(min(len(parts), 1000), "part") \
              .mapInPandas(_move_parts(root, transaction), "moved long").agg(F.sum("moved")).collect()
     fs.delete_dir(staging)
 
@@ -152,6 +154,8 @@ def write_checkpoint_folders(states: DataFrame, root: str, best_copy: bool = Tru
     if best_copy:
         best = states.where("step is not null and is_best").agg(F.max_by(row, F.struct("step", "epoch")).alias("r"))
         rows = rows.unionByName(best.where("r is not null").select(F.lit(BEST).alias("folder"), "r.*"))
+    # A folder costs the same whatever its bytes: Spark would coalesce small rows to one task.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
     transaction = uuid.uuid4().hex[:12]
     rows.write.format("checkpoint_folders").option("path", root).option("transaction", transaction).mode("append").save()
     _publish(spark, root, transaction)

@@ -3,7 +3,9 @@ metadata (S1-S6), and the artifact slug (S14)."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +139,18 @@ def read_score_vectors(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("sample_id", F.col("sample_id").cast("bigint"))
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Many small folders are listed by a few tasks on each core; Spark's default is one for each folder, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_trainer_states(spark: SparkSession, root: str) -> DataFrame:
     """All ``checkpoint-step-*/trainer_state.json`` and the table of ``write_trainer_states`` under ``root``.
 
@@ -144,8 +158,12 @@ def read_trainer_states(spark: SparkSession, root: str) -> DataFrame:
     """
     found = spark.createDataFrame([], TRAINER_STATE_SCHEMA)
     pattern, table = f"{root}/checkpoint-step-*/trainer_state.json", f"{root}/trainer_states.parquet"
-    if path_exists(spark, pattern):
-        found = spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(pattern)
+    try:  # the folders are matched once, not before the read too
+        with _few_listing_tasks(spark):
+            found = spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(pattern)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     if path_exists(spark, table):
         found = found.unionByName(spark.read.schema(TRAINER_STATE_SCHEMA).parquet(table))
     return found
