@@ -119,3 +119,26 @@ def test_piece_frames(spark):
     assert sorted(((r.doc_id, list(r.ids), r.text) for r in got), key=key) == sorted(
         ((d, i, library.decode(i)) for d, i in want), key=key)
     assert P.encode(empty(spark), PIECE_FILE).select(F.size("ids")).count() == 0
+
+
+def test_word_store_keeps_its_later_half(monkeypatch):
+    """The store outlives a task and an overflow, stays bounded, and the ids are the library's."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    from helpers import text
+    from tunelake.llm import huffman_ids
+
+    monkeypatch.setattr(huffman_ids, "CACHE_WORDS", 60)
+    store = huffman_ids.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    for _ in range(6):
+        texts = [text(rng, 30), "", "Zwei W\u00f6rter!?"]
+        got = [np.frombuffer(x, np.uint32).tolist() for x in store.encode(texts)]
+        assert got == [store.library.encode(t, add_special_tokens=False).ids for t in texts]
+    before = list(store.cache)
+    assert 60 < len(before) < 200
+    store.encode(["one more"])
+    assert before[-1] in store.cache and before[0] not in store.cache

@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from dataclasses import dataclass
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,7 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are the ids of its words one after another.  Each worker keeps the ids of
-    the words it has met; new ones are encoded together in one library call.
+    the words it has met, from task to task and at most CACHE_WORDS and a slice's; new ones are encoded together in one library call.
     """
 
     def __init__(self, path: str):
@@ -114,8 +114,8 @@ class WordTokenizer:
 
     def _ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words, from the store or the library."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:  # the later half stays
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2, None))
         cache = self.cache
         cache[b""] = b""
         ids = list(map(cache.get, words))
@@ -277,7 +277,6 @@ def _id_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ids, docs_in, held, seq = [], [], 0, seq + 1
         if ids:
             yield row()
-        tokenizer.cache.clear()  # a worker that waits for its next task holds the tokenizer alone
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
