@@ -142,3 +142,35 @@ def test_word_store_keeps_its_later_half(monkeypatch):
     assert 60 < len(before) < 200
     store.encode(["one more"])
     assert before[-1] in store.cache and before[0] not in store.cache
+
+
+def test_words_are_met_without_their_marks():
+    """A word is learned once, whatever marks and capitals it has, and one of small letters without the full pipeline."""
+    store, library = H.WordTokenizer(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    text = "ended ended, Ended. ended!! (ended) ended$$$ ended*** Été été, ÉTÉß&&& où it's"
+    assert np.frombuffer(store.encode([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    met = {w.decode() for w in store.cache}
+    assert {w for w in met if w.strip("()!.,$*&'s")} == {"(ended", "ended", "été", "étéß", "où", "it"}
+
+    class Counted:
+        words = []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.words += texts
+            return library.encode_batch_fast(texts, **kw)
+
+    store.library = Counted()
+    text = "Über straße, garçon. à la Øl!"
+    assert np.frombuffer(store.encode([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not any(c.isalpha() for w in Counted.words for c in w)
+
+
+def test_combining_marks_match_library():
+    """Lowering comes after composing: a capital has no composed form where its small letter has one."""
+    store, library = H.WordTokenizer(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    rng = random.Random(11)
+    texts = ["H̱a b", "T̈.", "J̌ é", "W̊, y", "Aʾ"] + [
+        "".join(rng.choice("abcHTJ Éé×÷ÿß'st.,<>|!-̱́̈̌") for _ in range(30))
+        for _ in range(500)]
+    for got, w in zip(store.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, np.uint32).tolist() == w.ids
