@@ -174,3 +174,19 @@ def test_combining_marks_match_library():
         for _ in range(500)]
     for got, w in zip(store.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(got, np.uint32).tolist() == w.ids
+
+
+def test_special_tokens_stay_whole(tmp_path):
+    """A text is not parted before a mark that follows a letter in a special token."""
+    import json
+
+    with open(WORD_FILE) as f:
+        model = json.load(f)
+    model["added_tokens"].append({**model["added_tokens"][0], "id": 49408, "content": "<s>"})
+    path = tmp_path / "with_s.json"
+    path.write_text(json.dumps(model))
+    own, library = H.WordTokenizer(str(path)), Tokenizer.from_file(str(path))
+    texts = ["<s>", "a<s>b, <s>!", "it's <s>x<|endoftext|>."]
+    for got, w in zip(own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, np.uint32).tolist() == w.ids and 49408 in w.ids
+    assert np.flatnonzero(H._MARKS & ~H.WordTokenizer(WORD_FILE).marks).tolist() == [ord("|")]

@@ -26,7 +26,7 @@ import os
 import re
 import unicodedata
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,8 @@ SLICE = 512  # texts that are encoded together
 
 # --- tokenizer -----------------------------------------------------------------
 
-# ASCII marks, without the one that special tokens end with.
 _MARKS = np.zeros(256, bool)
-_MARKS[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~")] = True
+_MARKS[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 # Small letters up to U+00FF, in UTF-8.
 _SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 # The characters that stand for bytes in byte-level vocabularies; a space stays one and parts words.
@@ -87,6 +86,10 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
+        # Marks that follow a letter in no special token: a text may be parted before them.
+        self.marks = _MARKS.copy()
+        for token in self.library.get_added_tokens_decoder().values():
+            self.marks[[ord(b) for a, b in pairwise(token.content) if a.isalpha() and b.isascii()]] = False
         self.cache: dict[bytes, bytes] = {}  # ids of a word, by its UTF-8 bytes
 
     def _learn(self, words: list[bytes]) -> None:
@@ -116,7 +119,7 @@ class WordTokenizer:
         by_words = [_by_words(t) for t in texts]
         # Split at ASCII white space and before marks; what the tokenizer lowers beyond U+00FF is left to it.
         lists = pc.ascii_split_whitespace(_marks_apart(pc.ascii_lower(
-            pa.array([t if ok else "" for t, ok in zip(texts, by_words)], pa.large_string()))))
+            pa.array([t if ok else "" for t, ok in zip(texts, by_words)], pa.large_string())), self.marks))
         words = lists.flatten().dictionary_encode()
         index = words.indices.to_numpy()
         ids = self._ids_of(_as_bytes(words.dictionary))
@@ -147,7 +150,7 @@ class WordTokenizer:
         return ids
 
 
-def _marks_apart(lowered: pa.Array) -> pa.Array:
+def _marks_apart(lowered: pa.Array, is_mark: np.ndarray) -> pa.Array:
     """Texts with the capitals up to U+00FF lowered and a space between a letter and a mark that follows.
 
     The tokenizer always parts there, so no id changes, and a word is the same one with and without its marks.
@@ -161,7 +164,7 @@ def _marks_apart(lowered: pa.Array) -> pa.Array:
     second = np.flatnonzero(raw == 0xC3) + 1
     capital = second[(raw[second] < 0x9F) & (raw[second] != 0x97)]
     raw[capital] += 0x20
-    marks = np.flatnonzero(_MARKS[raw])
+    marks = np.flatnonzero(is_mark[raw])
     marks = marks[marks > 0]
     last, lead = raw[marks - 1], raw[np.maximum(marks - 2, 0)]
     letter = (last >= 0x61) & (last <= 0x7A) | (lead == 0xC3) & (last != 0x97) & (last != 0xB7)
