@@ -100,6 +100,15 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join whose other side is not to be broadcast either: both are sorted and merged.
+
+    Spark takes a table for small by its compressed files, and an explode or a step in Python for as long as
+    its input; once a broadcast is planned, it stays, whatever the rows are found to be.
+    """
+    return df.hint("merge")
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id written in decimal, modulo; a null id counts as empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder

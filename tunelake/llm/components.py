@@ -3,8 +3,8 @@
 Each round hangs every node on its smallest neighbour, from above (large star)
 and from below (small star); the number of rounds grows with the logarithm of
 the component size, not with its diameter.  Minima are combined before the
-shuffle, so a hub costs no more than its edges; nothing is collected.  Rounds
-are written to the shared folder, which also cuts lineage.
+shuffle, so a hub costs no more than its edges; nothing is collected or
+broadcast.  Rounds are written to the shared folder, which also cuts lineage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import release, scratch
+from tunelake.llm.common import release, scratch, unsent
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = (both.join(least, "u").where("v > u")
+        large = (both.join(unsent(least), "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(unsent(below), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(below.select("u", F.col("m").alias("v")))
                  .where("u <> v")
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

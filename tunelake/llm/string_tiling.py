@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tunelake.llm.common import others_packed, scratch
+from tunelake.llm.common import others_packed, scratch, unsent
 
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -207,7 +207,7 @@ def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
     keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     texts = keyed.select("_key", "text").dropDuplicates(["_key"])  # equal texts are tiled once
     pairs = (texts.mapInPandas(doc_seeds, "size int, seed long, _key string")
-             .join(seeds, ["size", "seed"]).select("_key", "item").distinct())
+             .join(unsent(seeds), ["size", "seed"]).select("_key", "item").distinct())
 
     def tiled(batches):
         for b in batches:
@@ -215,13 +215,13 @@ def _far(docs: DataFrame, items: DataFrame, min_tile: int) -> DataFrame:
             yield pd.DataFrame({"_key": b["_key"], "item": b["item"], "n": [f[1] for f in found],
                                 "share": [f[2] for f in found]})
 
-    met = (pairs.join(items.select("item", F.col("text").alias("passage")), "item").join(texts, "_key")
+    met = (pairs.join(unsent(items.select("item", F.col("text").alias("passage"))), "item").join(unsent(texts), "_key")
            .select("_key", "item", "passage", "text").mapInPandas(tiled, "_key string, item long, n int, share double")
-           .where("n > 0").join(items.select("item", "item_id"), "item"))
+           .where("n > 0").join(unsent(items.select("item", "item_id")), "item"))
     best = met.groupBy("_key").agg(F.struct(
         F.min_by("item_id", F.struct(-F.col("share"), F.col("item_id").isNull(), F.col("item_id"))).alias("item_id"),
         F.count("*").cast("int").alias("n_items"), F.max("share").alias("coverage")).alias("_found"))
-    return keyed.join(best, "_key", "left").drop("_key")
+    return keyed.join(unsent(best), "_key", "left").drop("_key")
 
 
 def with_tiling(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD,

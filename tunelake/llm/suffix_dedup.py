@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tunelake.llm.common import deltas, in_slices, no_collector, others_packed, pack, partitions, release, scratch, undeltas, unpack
+from tunelake.llm.common import deltas, in_slices, no_collector, others_packed, pack, partitions, release, scratch, undeltas, unpack, unsent
 
 LENGTH, GRAM = 50, 24
 SLOTS = 1 << 18
@@ -489,7 +489,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     near = rows.withColumn("_slot", F.xxhash64("doc_id").bitwiseAND(SLOTS - 1)).join(
         F.broadcast(_slots(shared)), "_slot", "left_semi")
     held = (near.withColumn("crc", F.crc32(F.col("text").cast("binary")))
-            .join(listed, ["doc_id", "crc"]).select("doc_id", "text", "anchors"))
+            .join(unsent(listed), ["doc_id", "crc"]).select("doc_id", "text", "anchors"))
     ranges = scratch(
         held.mapInArrow(in_slices(_send_segments(parts, length)), blob)
         .groupBy("part").applyInPandas(_meet_segments(length), "doc_id long, crc long, start long, stop long"), "ranges")
@@ -513,7 +513,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     slots = F.broadcast(_slots(spans))
     some = (keyed.join(slots, "_slot", "left_semi").drop("_slot")
             .withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
-    some = some.join(spans.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "spans"),
+    some = some.join(unsent(spans.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "spans")),
                      ["_id", "_crc"], "left").drop("_id", "_crc")
     none = keyed.join(slots, "_slot", "left_anti").drop("_slot", "_id").withColumn(
         "spans", F.lit(None).cast(spans.schema["spans"].dataType))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tunelake.llm.common import give_back, others_packed, release, scratch
+from tunelake.llm.common import give_back, others_packed, release, scratch, unsent
 from tunelake.llm.components import components
 
 SUBKEYS, EACH = 20, 4
@@ -143,13 +143,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     found = (docs.select(_slot("doc_id").alias("s"), F.coalesce("text", F.lit("")).alias("text"))
              .mapInPandas(run, "digest binary, items array<long>"))
-    return found.join(wanted.select("cls", "digest"), "digest").dropDuplicates(["cls"]).select("cls", "items")
+    return found.join(unsent(wanted.select("cls", "digest")), "digest").dropDuplicates(["cls"]).select("cls", "items")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (u, v) with den * intersection >= num * union."""
-    both = (pairs.join(sets.select(F.col("cls").alias("u"), F.col("items").alias("x")), "u")
-            .join(sets.select(F.col("cls").alias("v"), F.col("items").alias("y")), "v")
+    both = (pairs.join(unsent(sets.select(F.col("cls").alias("u"), F.col("items").alias("x"))), "u")
+            .join(unsent(sets.select(F.col("cls").alias("v"), F.col("items").alias("y"))), "v")
             .where(den * F.least(F.size("x"), F.size("y")) >= num * F.greatest(F.size("x"), F.size("y"))))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("u", "v")
@@ -160,7 +160,7 @@ def _prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> Data
     items = sets.select("cls", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle that one class alone has joins nothing, but it counts in the order.
-    known = items.join(often, "item").groupBy("cls", "n").agg(
+    known = items.join(unsent(often), "item").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "item"))).alias("few"))
     alone = F.col("n") - F.size("few")
     last = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den))  # last place of the prefix
@@ -169,7 +169,7 @@ def _prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> Data
              .select("cls", "n", "alone", F.posexplode("few").alias("k", "s"))
              .select("cls", F.col("s.item").alias("item"), F.col("n").cast("long").alias("n"),
                      (F.col("n") - F.col("alone") - F.col("k")).cast("long").alias("rest"))
-             .join(roots, F.col("cls") == F.col("node"), "left")
+             .join(unsent(roots), F.col("cls") == F.col("node"), "left")
              .select("cls", "item", "n", "rest", F.coalesce("root", "cls").alias("root")))
 
     def side(x: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> Data
 
     # From their first common shingle on, two sets can share no more than the shorter rest.
     enough = (num + den) * F.least("restu", "restv") >= num * (F.col("nu") + F.col("nv"))
-    return (side("u").join(side("v"), "item").where((F.col("clsu") < F.col("clsv")) & (
+    return (side("u").join(unsent(side("v")), "item").where((F.col("clsu") < F.col("clsv")) & (
                 F.col("rootu") != F.col("rootv")) & enough)
             .select(F.col("clsu").alias("u"), F.col("clsv").alias("v")).distinct())
 
@@ -192,26 +192,26 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int)
         """(cls, number, value) of the half keys that two classes or more have."""
         rows = classes.select("cls", F.posexplode(half).alias(i, x))
         many = rows.groupBy(i, x).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-        return rows.join(many.select(i, x), [i, x])
+        return rows.join(unsent(many.select(i, x)), [i, x])
 
-    keys = scratch(shared("a", "i", "x").join(shared("b", "j", "y"), "cls").select(
+    keys = scratch(shared("a", "i", "x").join(unsent(shared("b", "j", "y")), "cls").select(
         F.xxhash64("i", "j", "x", "y").alias("key"), "cls"), "keys")
     # Ends of a bucket are combined before the shuffle, so a hot key is one row for each task.
     ends = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    rows = scratch(keys.join(ends, "key").select("key", "cls", "lo", "hi"), "buckets")
+    rows = scratch(keys.join(unsent(ends), "key").select("key", "cls", "lo", "hi"), "buckets")
     near = (rows.where("cls <> lo").select(*_candidates(F.col("cls"), F.col("lo")))
             .unionByName(rows.where("cls <> hi").select(*_candidates(F.col("cls"), F.col("hi")))).distinct())
     near = scratch(near, "near")
     wanted = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
-    sets = scratch(_sets(docs, classes.join(wanted, "cls"), shingle), "sets")
+    sets = scratch(_sets(docs, classes.join(unsent(wanted), "cls"), shingle), "sets")
     good = scratch(_confirm(near, sets, num, den), "links")
     roots = components(good)
     # Classes of buckets that hold several components yet.
-    named = rows.join(roots, rows["cls"] == roots["node"], "left").select(
+    named = rows.join(unsent(roots), rows["cls"] == roots["node"], "left").select(
         "key", "cls", F.coalesce("root", "cls").alias("root"))
     parts = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_sets = scratch(sets.join(named.join(parts.select("key"), "key").select("cls").distinct(), "cls"), "open")
-    across = _prefix_pairs(open_sets, roots, num, den).join(near, ["u", "v"], "left_anti")
+    open_sets = scratch(sets.join(unsent(named.join(unsent(parts.select("key")), "key").select("cls").distinct()), "cls"), "open")
+    across = _prefix_pairs(open_sets, roots, num, den).join(unsent(near), ["u", "v"], "left_anti")
     more = scratch(_confirm(across, open_sets, num, den), "links")
     out = components(good.unionByName(more))
     release(keys, rows, near, sets, open_sets)
@@ -232,11 +232,11 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
              F.first("b").alias("b")).withColumn("doc_id", F.col("first.doc_id"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
     roots = links(docs, classes, shingle, num, den)
-    placed = classes.select("cls", "digest", "first").join(roots, F.col("cls") == F.col("node"), "left").select(
+    placed = classes.select("cls", "digest", "first").join(unsent(roots), F.col("cls") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "cls").alias("root"))
     named = placed.select("root", "digest").join(
-        placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("digest", "first")
-    return signed.join(named, "digest", "left").select(
+        unsent(placed.groupBy("root").agg(F.min("first").alias("first"))), "root").select("digest", "first")
+    return signed.join(unsent(named), "digest", "left").select(
         *[c for c in docs.columns if c != "text"], "n_shingles", "first")
 
 
@@ -260,7 +260,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, de
     a null id only in a group without another.  Rows without words are in no
     group.  Rows with equal id and text count once.  Only rows that share a
     hash slot with a dropped or repeated row are shuffled; the slots (at most
-    SLOTS) are broadcast.
+    SLOTS) are broadcast, and no other table is.
     """
     doc_id, key = F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     grouped = _grouped(docs.select(doc_id.alias("doc_id"), key.alias("key"), "text"), shingle, num, den)
@@ -273,6 +273,6 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, de
     rows = docs.withColumn("_key", key).withColumn("_slot", F.xxhash64(doc_id, "_key").bitwiseAND(SLOTS - 1))
     doubtful = rows.join(slots, "_slot", "left_semi").drop("_slot")
     gone = some.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key"))
-    stay = (doubtful.join(gone, (doubtful["_key"] == F.col("_gone_key")) & doubtful["doc_id"].cast("long").eqNullSafe(
+    stay = (doubtful.join(unsent(gone), (doubtful["_key"] == F.col("_gone_key")) & doubtful["doc_id"].cast("long").eqNullSafe(
                 F.col("_gone")), "left_anti").drop("_key").dropDuplicates(["doc_id", "text"]))
     return rows.join(slots, "_slot", "left_anti").drop("_slot", "_key").unionByName(stay)
