@@ -6,9 +6,10 @@ A write is one transaction in two phases:
    When all have ended, the driver lists the parts that count in one small file,
    ``_COMMITTED``: from then on the write holds.  If the job fails instead, the
    staging folder is deleted and nothing else was touched.
-2. Tasks move the files of the listed parts to their places, one part each.  A
-   move that was done is skipped, so a lost task, or a lost driver followed by
-   ``recover``, ends with the same folders.
+2. Tasks move the folders of the listed parts to their places, one part each:
+   whole where the place is free, or else the file alone.  A move that was done
+   is skipped, so a lost task, or a lost driver followed by ``recover``, ends
+   with the same folders.
 
 ``pyarrow.fs`` does the file work (local and shared folders, HDFS, object
 stores); the driver handles one name for each task.
@@ -30,6 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 STATE_FILE = "trainer_state.json"
 BEST = "checkpoint-best"
+_WHOLE = ("local", "hdfs")  # file systems that move a folder by its name; an object store has only files
 _FIELDS = ("step", "epoch", "metrics", "is_best", "best_metric_value", "extra_state")
 
 
@@ -60,8 +62,11 @@ class _Writer(DataSourceWriter):
         task = TaskContext.get()
         part, used = f"part-{task.partitionId()}-{task.taskAttemptId()}", False
         for row in iterator:
-            folder = f"{_staging(path, self.transaction)}/{part}/{row['folder']}"
-            fs.create_dir(folder, recursive=True)
+            base = f"{_staging(path, self.transaction)}/{part}"
+            folder = f"{base}/{row['folder']}"
+            if not used:
+                fs.create_dir(base, recursive=True)
+            fs.create_dir(folder, recursive=False)
             state = {k: row[k] for k in _FIELDS}
             state["metrics"], state["extra_state"] = state["metrics"] or {}, state["extra_state"] or {}
             with fs.open_output_stream(f"{folder}/{STATE_FILE}") as out:
@@ -95,6 +100,21 @@ class CheckpointFolders(DataSource):
         return _Writer(self.options["path"], self.options["transaction"])
 
 
+def _place(fs: pafs.FileSystem, staged: str, folder: str) -> int:
+    """Move a staged folder to its place; the number of files moved.
+
+    A folder that exists keeps what else is in it.
+    """
+    if fs.type_name in _WHOLE and fs.get_file_info(folder).type == pafs.FileType.NotFound:
+        fs.move(staged, folder)
+        return 1
+    if fs.get_file_info(f"{staged}/{STATE_FILE}").type != pafs.FileType.File:
+        return 0  # an earlier attempt has moved it
+    fs.create_dir(folder, recursive=True)
+    fs.move(f"{staged}/{STATE_FILE}", f"{folder}/{STATE_FILE}")
+    return 1
+
+
 def _move_parts(root: str, transaction: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = _filesystem(root)
@@ -102,14 +122,10 @@ def _move_parts(root: str, transaction: str):
             moved = 0
             for part in frame["part"]:
                 base = f"{_staging(path, transaction)}/{part}"
-                for found in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
-                    if found.type == pafs.FileType.File:  # what an earlier attempt has moved is not there any more
-                        folder = f"{path}/{found.path.rsplit('/', 2)[1]}"
-                        fs.create_dir(folder, recursive=True)
-                        fs.move(found.path, f"{folder}/{STATE_FILE}")
-                        moved += 1
+                for found in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+                    moved += _place(fs, found.path, f"{path}/{found.base_name}")
                 if fs.get_file_info(base).type != pafs.FileType.NotFound:
-                    fs.delete_dir(base)  # its empty folders: one for each file
+                    fs.delete_dir(base)  # with the folders whose file alone was moved
             yield pd.DataFrame({"moved": [moved]})
     return run
 

@@ -3,13 +3,22 @@ metadata (S1-S6), and the artifact slug (S14)."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunelake.session import ship_package
+from tunelake.sources.checkpoint_folders import STATE_FILE, _filesystem
+
 TURNS_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -151,19 +160,85 @@ def _few_listing_tasks(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+STEP_FOLDER = "checkpoint-step-"
+
+
+def _reachable(spark: SparkSession, root: str) -> str | None:
+    """The URI of ``root`` as the tasks can list it by ``pyarrow.fs``; None for a glob, an odd name or another store."""
+    if re.search(r"[*?\[{\\%#]", root):
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    try:
+        fs, path = _filesystem(uri)
+        fs.get_file_info(path)
+    except (OSError, ValueError, pa.ArrowException):  # a store that only Spark reads
+        return None
+    return uri
+
+
+def _step_folders(fs: pafs.FileSystem, path: str) -> Iterator[str]:
+    if fs.type_name != "local":
+        yield from (f.base_name for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)))
+        return
+    try:
+        with os.scandir(path) as entries:  # one after the other: memory doesn't follow their number
+            yield from (e.name for e in entries)
+    except (FileNotFoundError, NotADirectoryError):
+        return
+
+
+def _state_files(spark: SparkSession, uri: str) -> DataFrame:
+    """The state files below ``uri``: one task lists the folders' names, all read the files.
+
+    Spark's own listing asks for each folder on the driver and keeps every file there.
+    """
+    ship_package(spark)
+
+    def listed(batches):
+        for _ in batches:
+            fs, path = _filesystem(uri)
+            some = []
+            for name in _step_folders(fs, path):
+                if name.startswith(STEP_FOLDER):
+                    some.append(name)
+                if len(some) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["name"])
+                    some = []
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["name"])
+
+    def texts(rows):
+        fs, path = _filesystem(uri)
+        for row in rows:
+            try:
+                with fs.open_input_stream(f"{path}/{row['name']}/{STATE_FILE}") as f:
+                    raw = f.read()
+            except (FileNotFoundError, NotADirectoryError):
+                continue  # a folder without a state
+            yield raw.decode(json.detect_encoding(raw), "replace")
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string").repartition(width, "name")
+    return spark.read.schema(TRAINER_STATE_SCHEMA).json(names.rdd.mapPartitions(texts))
+
+
 def read_trainer_states(spark: SparkSession, root: str) -> DataFrame:
     """All ``checkpoint-step-*/trainer_state.json`` and the table of ``write_trainer_states`` under ``root``.
 
     No file -> an empty table with the declared schema.
     """
     found = spark.createDataFrame([], TRAINER_STATE_SCHEMA)
-    pattern, table = f"{root}/checkpoint-step-*/trainer_state.json", f"{root}/trainer_states.parquet"
-    try:  # the folders are matched once, not before the read too
-        with _few_listing_tasks(spark):
-            found = spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(pattern)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    pattern, table = f"{root}/{STEP_FOLDER}*/{STATE_FILE}", f"{root}/trainer_states.parquet"
+    uri = _reachable(spark, root)
+    if uri is not None:
+        found = _state_files(spark, uri)
+    else:
+        try:  # the folders are matched once, not before the read too
+            with _few_listing_tasks(spark):
+                found = spark.read.option("multiLine", True).schema(TRAINER_STATE_SCHEMA).json(pattern)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if path_exists(spark, table):
         found = found.unionByName(spark.read.schema(TRAINER_STATE_SCHEMA).parquet(table))
     return found
